@@ -5,30 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessellar.llm import url_filters, warc
+from tessellar.llm import decontam, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The rules of the URL query, and the host whose URLs make its list.
+#: The rules of the URL query, and the host labels whose URLs make its list.
 URL_RULES = (
     url_filters.Rule("block", "net/"),
     url_filters.Rule("allow", "example.net/en/"),
     url_filters.Rule("block", "example.com/de/"),
     url_filters.Rule("allow", "org/fr/"),
 )
-LISTED_HOST = "spam-farm.example.org"
+LISTED_HOSTS = r"(^|\.)(spam-farm|casino-win)\."
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page's url; the list holds the URLs seen on one known host."""
+    """Verdict on every page's url; the list holds the URLs seen on known hosts."""
     pages = table(spark, sf_dir, "pages")
-    from pyspark.sql import functions as F
-
-    listed = pages.select("url").where(url_filters.url_host(F.col("url")) == LISTED_HOST)
+    listed = pages.select("url").where(url_filters.url_host(F.col("url")).rlike(LISTED_HOSTS))
     return url_filters.judge_urls(pages.select("page_id", "url"), listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -38,6 +37,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside benchmark windows of ten."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.items_sha256(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 SQL_URL = """
 with u as (select page_id, case when url like '%://%' then substr(url, strpos(url, '://') + 3) else '' end rest from pages),
 h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path,
@@ -49,7 +55,7 @@ r as (select *, case when (host = 'example.com' or host like '%.example.com') an
   when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
   when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end rule from c)
 select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
-  when rest <> '' and canon in (select canon from c where host = 'spam-farm.example.org') then 'block' else 'allow' end verdict from r
+  when rest <> '' and canon in (select canon from c where regexp_matches(host, '(^|\\.)(spam-farm|casino-win)\\.')) then 'block' else 'allow' end verdict from r
 """
 
 SQL_WARC = """
@@ -60,6 +66,21 @@ select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 an
   case when payload_bytes >= 100 and page_id <> first then first end refers_to from f
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op8_warc": op8_warc}
+SQL_DECONTAMINATION = """
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from benchmark),
+i as (select item_id, w, least(len(w), 10) n, unnest(range(0, greatest(len(w) - 10, 0) + 1)) k from b where len(w) > 0),
+windows as (select distinct item_id, n, array_to_string(w[k + 1 : k + n], ' ') g from i),
+sizes as (select distinct n from windows),
+e as (select doc_id, w, n, unnest(range(0, len(w) - n + 1)) k from d, sizes where len(w) >= n),
+g as (select doc_id, n, k, array_to_string(w[k + 1 : k + n], ' ') g from e),
+found as (select g.doc_id, g.n, g.k, windows.item_id from g join windows on g.n = windows.n and g.g = windows.g),
+hits as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(k, k + n)) p from found) group by doc_id),
+items as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) ids from (select distinct doc_id, item_id::varchar item from found) group by doc_id)
+select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join hits on hits.doc_id = d.doc_id left join items on items.doc_id = d.doc_id
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination}
 
-ORACLES: dict[str, str] = {"op1_url_filters": SQL_URL, "op8_warc": SQL_WARC}
+ORACLES: dict[str, str] = {"op1_url_filters": SQL_URL, "op8_warc": SQL_WARC, "op9_decontamination": SQL_DECONTAMINATION}
