@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm import decontam, url_filters, warc
+from tessellar.llm import decontam, media, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,13 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages.select("page_id", "url"), listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text stored as a progressive JPEG file and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = media.read_media(media.texts_to_media(docs), tensors=False)
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through an archive and back."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -81,6 +88,6 @@ select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coale
 from d left join hits on hits.doc_id = d.doc_id left join items on items.doc_id = d.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op5_media": op5_media, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination}
 
 ORACLES: dict[str, str] = {"op1_url_filters": SQL_URL, "op8_warc": SQL_WARC, "op9_decontamination": SQL_DECONTAMINATION}
