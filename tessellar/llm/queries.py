@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm import decontam, media, url_filters, warc
+from tessellar.llm import decontam, media, neardup, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages.select("page_id", "url"), listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of near copies."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text stored as a progressive JPEG file and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,6 +93,21 @@ select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coale
 from d left join hits on hits.doc_id = d.doc_id left join items on items.doc_id = d.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op5_media": op5_media, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination}
+SQL_NEAR_DUPLICATES = """
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+e as (select doc_id, w, unnest(range(0, greatest(len(w) - 5, 0) + 1)) k from d where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[k + 1 : k + 5], ' ') g from e),
+n as (select doc_id, count(*) n from s group by doc_id),
+classes as (select doc_id, min(doc_id) over (partition by md5(string_agg(g, chr(10) order by g))) c from s group by doc_id),
+t as materialized (select s.doc_id, g from s join classes using (doc_id) where doc_id = c),
+common as (select a.doc_id a, b.doc_id b, count(*) n_both from t a join t b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as materialized (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * n_both >= 75 * (x.n + y.n - n_both) union select c, doc_id from classes where c <> doc_id),
+sides as materialized (select a, b from links union select b, a from links),
+reach as (select doc_id, doc_id r from n union select reach.doc_id, sides.b from reach join sides on sides.a = reach.r)
+select d.doc_id, coalesce(n, 0)::bigint n_shingles, coalesce(r, d.doc_id) component_id, coalesce(r, d.doc_id) = d.doc_id kept
+from d left join n on n.doc_id = d.doc_id left join (select doc_id, min(r) r from reach group by doc_id) m on m.doc_id = d.doc_id
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op4_near_duplicates": op4_near_duplicates, "op5_media": op5_media, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination}
 
-ORACLES: dict[str, str] = {"op1_url_filters": SQL_URL, "op8_warc": SQL_WARC, "op9_decontamination": SQL_DECONTAMINATION}
+ORACLES: dict[str, str] = {"op1_url_filters": SQL_URL, "op4_near_duplicates": SQL_NEAR_DUPLICATES, "op8_warc": SQL_WARC, "op9_decontamination": SQL_DECONTAMINATION}
