@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm import decontam, media, neardup, url_filters, warc
+from tessellar.llm import decontam, linededup, media, neardup, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,12 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of lines that an earlier place has."""
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through an archive and back."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -108,6 +114,6 @@ select d.doc_id, coalesce(n, 0)::bigint n_shingles, coalesce(r, d.doc_id) compon
 from d left join n on n.doc_id = d.doc_id left join (select doc_id, min(r) r from reach group by doc_id) m on m.doc_id = d.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op4_near_duplicates": op4_near_duplicates, "op5_media": op5_media, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op4_near_duplicates": op4_near_duplicates, "op5_media": op5_media, "op6_line_dedup": op6_line_dedup, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination}
 
 ORACLES: dict[str, str] = {"op1_url_filters": SQL_URL, "op4_near_duplicates": SQL_NEAR_DUPLICATES, "op8_warc": SQL_WARC, "op9_decontamination": SQL_DECONTAMINATION}
