@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm import decontam, linededup, media, neardup, url_filters, warc
+from tessellar.llm import chat, decontam, langid, linededup, media, mixing, neardup, quality, url_filters, warc
+from tessellar.llm.common import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,23 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(pages.select("page_id", "url"), listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as part of a raw transcript, its speaker recovered; the model counts two thirds of the conversations."""
+    raw = chat.as_raw(table(spark, sf_dir, "conversations"))
+    model = chat.train(raw.where(crc_mod(F.col("conv_id"), 3) != 1))
+    found = chat.format_chats(raw, model)
+    return found.select("conv_id", "turn", F.col("role").alias("role_pred"), "n_lines", "n_turns", "rendered")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    model = langid.train(docs, ~held_out)
+    found = langid.identify(docs.select("doc_id", "text"), model, carry=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of near copies."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -49,6 +67,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the probability that mixes sources, languages and topics to tempered shares."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
+    found = mixing.mix(docs, dims, mixing.n_tokens(F.col("text")))
+    return found.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), F.round("weight", 6).alias("weight"), "sampled")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through an archive and back."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -62,6 +88,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.items_sha256(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    model = quality.train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), ~held_out)
+    found = quality.score_quality(docs, model, carry=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 SQL_URL = """
 with u as (select page_id, case when url like '%://%' then substr(url, strpos(url, '://') + 3) else '' end rest from pages),
 h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path,
@@ -114,6 +149,31 @@ select d.doc_id, coalesce(n, 0)::bigint n_shingles, coalesce(r, d.doc_id) compon
 from d left join n on n.doc_id = d.doc_id left join (select doc_id, min(r) r from reach group by doc_id) m on m.doc_id = d.doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filters": op1_url_filters, "op4_near_duplicates": op4_near_duplicates, "op5_media": op5_media, "op6_line_dedup": op6_line_dedup, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination}
+SQL_MIXING = """
+with recursive d as (select doc_id, source, lang, case when text like '%Licensed under%' then 'licence' when regexp_matches(coalesce(text, ''), '[0-9]@[a-z0-9]+\\.') then 'contact' when text like '% | %' then 'table' else 'prose' end topic,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint n_tokens from documents),
+cells as (select source, lang, topic, sum(n_tokens)::double tokens from d group by all),
+whole as (select sum(tokens) w from cells),
+gs as (select source, sum(tokens) ** 0.7 g from cells group by 1 having sum(tokens) > 0), gl as (select lang, sum(tokens) ** 0.7 g from cells group by 1 having sum(tokens) > 0), gt as (select topic, sum(tokens) ** 0.7 g from cells group by 1 having sum(tokens) > 0),
+goals as (select cells.*, w, coalesce(gs.g, 0) / (select sum(g) from gs) s_source, coalesce(gl.g, 0) / (select sum(g) from gl) s_lang, coalesce(gt.g, 0) / (select sum(g) from gt) s_topic
+  from cells, whole left join gs on gs.source is not distinct from cells.source left join gl on gl.lang is not distinct from cells.lang left join gt on gt.topic is not distinct from cells.topic),
+r as (select 0 k, source, lang, topic, tokens, w, s_source, s_lang, s_topic, tokens raked from goals
+  union all
+  select k + 1, source, lang, topic, tokens, w, s_source, s_lang, s_topic, coalesce(b * s_topic * w / nullif(sum(b) over (partition by topic), 0), 0) from (
+    select *, coalesce(a * s_lang * w / nullif(sum(a) over (partition by lang), 0), 0) b from (
+      select *, coalesce(raked * s_source * w / nullif(sum(raked) over (partition by source), 0), 0) a from r where k < 30))),
+f as materialized (select source, lang, topic, tokens, raked, raked / tokens ratio from r where k = 30 and tokens > 0 and raked > 0),
+o as (select *, sum(tokens) over (order by ratio desc) held, sum(raked) over (order by ratio) - raked_here rest, 0.8 * (select sum(tokens) from f) budget from (select *, sum(raked) over (partition by ratio) raked_here from f)),
+s as (select coalesce(max((budget - held) / nullif(rest, 0)) filter (where (budget - held) / nullif(rest, 0) * ratio >= 1), (select 0.8 * sum(tokens) / sum(raked) from f)) scale from o),
+rates as (select cells.source, cells.lang, cells.topic, case when cells.tokens = 0 then 1 else least(1, coalesce(ratio, 0) * scale) end p, case when cells.tokens = 0 then 1 when ratio > 0 then ratio * scale / least(1, ratio * scale) end weight
+  from cells, s left join f on f.source is not distinct from cells.source and f.lang is not distinct from cells.lang and f.topic is not distinct from cells.topic)
+select doc_id, d.source, d.lang, d.topic, n_tokens, round(p, 6) probability, round(weight, 6) weight, ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0 < p sampled
+from d join rates on rates.source is not distinct from d.source and rates.lang is not distinct from d.lang and rates.topic is not distinct from d.topic
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_url_filters, op2_chat_formatting, op3_language_id, op4_near_duplicates, op5_media, op6_line_dedup, op7_mixing, op8_warc, op9_decontamination, op10_quality)
+}
 
-ORACLES: dict[str, str] = {"op1_url_filters": SQL_URL, "op4_near_duplicates": SQL_NEAR_DUPLICATES, "op8_warc": SQL_WARC, "op9_decontamination": SQL_DECONTAMINATION}
+ORACLES: dict[str, str] = {"op1_url_filters": SQL_URL, "op4_near_duplicates": SQL_NEAR_DUPLICATES, "op7_mixing": SQL_MIXING, "op8_warc": SQL_WARC, "op9_decontamination": SQL_DECONTAMINATION}
