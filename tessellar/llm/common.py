@@ -62,8 +62,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, ends - first
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds at most so many bytes of the text column, or one row."""
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that each holds at most so many rows, and bytes of the text column or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -72,6 +72,6 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Itera
         at = 0
         while at < batch.num_rows:
             before = int(total[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(total, before + most, "right")))
+            to = min(max(at + 1, int(np.searchsorted(total, before + most, "right"))), at + rows)
             yield batch.slice(at, to - at)
             at = to

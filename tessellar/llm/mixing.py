@@ -13,14 +13,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellar.llm.common import cut
 
 ROUNDS = 30
 TOLERANCE = 1e-9
-BROADCAST_ROWS = 20_000
+FEW_CELLS = 20_000
+ROUNDS_A_JOB = 5
 #: What the sampling draw is salted with.
 SALT = "mix"
 
@@ -48,44 +49,53 @@ def topic_of(text: Column) -> Column:
 
 
 def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
-    """(value, share): a dimension's shares of tokens raised to the power, over their sum. Values without tokens have none."""
-    own = cut(cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0"))
-    whole = own.agg(F.sum(F.pow("t", F.lit(power)))).first()[0] or 1.0
-    return own.select("value", (F.pow("t", F.lit(power)) / F.lit(whole)).alias("share"))
+    """(value, share): a dimension's tokens raised to the power. Values without tokens have none."""
+    own = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").cast("double").alias("t")).where("t > 0")
+    return own.select("value", F.pow("t", F.lit(power)).alias("share"))
 
 
 def _held(df: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def _with_sums(rows: DataFrame, name: str, few: bool) -> DataFrame:
+    """Adds _sum, the raked tokens of all cells with the row's value: by a window in the one partition of a small table, else by partial sums joined back."""
+    if few:
+        return rows.withColumn("_sum", F.sum("raked").over(Window.partitionBy(name)))
+    sums = rows.groupBy(F.col(name).alias("_v")).agg(F.sum("raked").alias("_sum"))
+    return rows.join(sums, rows[name].eqNullSafe(F.col("_v"))).drop("_v")
+
+
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """Adds raked (tokens after fitting, their sum kept) to cells of unique dimension values with a column tokens.
 
     Values that a dimension's targets leave out, or with share null, zero or less, get nothing, as does a cell without
-    tokens. Repeated target rows of a value add up. Shares are taken over the values that have tokens; if targets and
-    cells share no value, all is 0.
+    tokens. Repeated target rows of a value add up. Shares are taken over the values that have tokens, in proportion; if
+    targets and cells share no value, all is 0.
     """
-    few = cells.count() <= BROADCAST_ROWS
-    goals = {}
-    for name, goal in targets.items():
-        goal = goal.where("share > 0").groupBy("value").agg(F.sum("share").alias("share"))
+    few = cells.count() <= FEW_CELLS
+    now = cells.withColumn("raked", F.col("tokens").cast("double"))
+    for k, (name, goal) in enumerate(targets.items()):
         present = cells.where("tokens > 0").select(F.col(name).alias("_p")).distinct()
-        goal = cut(goal.join(_held(present, few), F.col("value").eqNullSafe(F.col("_p")), "left_semi"))
-        goals[name] = goal.withColumn("share", F.col("share") / F.lit(goal.agg(F.sum("share")).first()[0] or 1.0))
+        goal = goal.where("share > 0").groupBy("value").agg(F.sum("share").alias("share"))
+        goal = goal.join(_held(present, few), F.col("value").eqNullSafe(F.col("_p")), "left_semi")
+        whole_share = goal.agg(F.sum("share")).first()[0] or 1.0
+        goal = goal.select(F.col("value").alias("_v"), (F.col("share") / F.lit(whole_share)).alias(f"_share{k}"))
+        now = now.join(_held(goal, few), now[name].eqNullSafe(F.col("_v")), "left").drop("_v")
+    now = cut(now.coalesce(1) if few else now)
     whole = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    now = cells.withColumn("raked", F.col("tokens").cast("double"))
-    for _ in range(rounds):
-        now = now.withColumn("_before", F.col("raked"))
-        for name, goal in goals.items():
-            sums = now.groupBy(F.col(name).alias("_v")).agg(F.sum("raked").alias("_sum")).where("_sum > 0")
-            factor = sums.join(_held(goal, few), F.col("_v").eqNullSafe(F.col("value"))).select("_v", (F.col("share") * whole / F.col("_sum")).alias("_f"))
-            now = now.join(_held(factor, few), now[name].eqNullSafe(F.col("_v")), "left").withColumn("raked", F.coalesce(F.col("raked") * F.col("_f"), F.lit(0.0))).drop("_v", "_f")
-        now = cut(now)
+    done, moved = 0, float("inf")
+    while done < rounds and moved > tolerance * max(whole, 1.0):
+        for _ in range(min(ROUNDS_A_JOB, rounds - done) if few else 1):
+            done += 1
+            now = now.withColumn("_before", F.col("raked"))
+            for k, name in enumerate(targets):
+                share = F.col(f"_share{k}") * F.lit(whole) / F.col("_sum")
+                now = _with_sums(now, name, few).withColumn("raked", F.when(F.col("_sum") > 0, F.coalesce(F.col("raked") * share, F.lit(0.0))).otherwise(0.0)).drop("_sum")
+                now = now if few else cut(now)
+        now = cut(now.coalesce(1) if few else now)
         moved = now.agg(F.max(F.abs(F.col("raked") - F.col("_before")))).first()[0] or 0.0
-        now = now.drop("_before")
-        if moved <= tolerance * max(whole, 1.0):
-            break
-    return now
+    return now.select(*cells.columns, "raked")
 
 
 def scale_for(cells: DataFrame, rate: float) -> float:
@@ -131,7 +141,7 @@ def mix(docs: DataFrame, dimensions: Mapping[str, Column], tokens: Column, doc_i
     ratio = F.col("raked") / F.col("tokens") * F.lit(scale)
     p = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), ratio))
     w = F.when(F.col("tokens") == 0, F.lit(1.0)).when(p > 0, ratio / p)
-    few = raked.count() <= BROADCAST_ROWS
+    few = raked.count() <= FEW_CELLS
     rates = raked.select(*[F.col(n).alias(f"_{n}") for n in names], p.alias("probability"), w.alias("weight"))
     rows = docs.select(row, *parts)
     same = F.lit(True)

@@ -6,7 +6,9 @@ tells positives from unlabelled, take the threshold where the ratio of the two t
 minimises  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))  with the logistic loss (Kiryo et al.,
 2017); its sigmoid is the score.
 
-Features are counts only: square roots of the shares of character classes and of pairs of neighbouring classes.
+Features are counts only: square roots of the shares of character classes, of pairs of neighbouring classes, and of
+words that repeat the word one or two before. They count in full for long texts only: what a text of n bytes shows is
+weighed by n / (n + 64), so a few words say little for or against it.
 Samples are bounded (``positives``, ``unlabelled``); every text is scored whole, in the task that read it.
 """
 
@@ -24,6 +26,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessellar.llm.common import by_bytes, text_buffers
 from tessellar.llm.sampling import sampled
+from tessellar.llm.words import find_words, space_words
 
 POSITIVES = 4000
 UNLABELLED = 6000
@@ -33,7 +36,8 @@ CHUNK_BYTES = 2_000_000
 #: The classes of characters beside letters, digits and bytes beyond ASCII; all other bytes make one more class.
 SIGNS = (" ", "\n", "\t\r", ".", ",", ";:", "!", "?", "'\"`", "|", "*", "$", "%", "&", "#", "()[]{}<>", "/\\", "-", "_", "@", "=+~^")
 N_CLASSES = len(SIGNS) + 6
-N_FEATURES = N_CLASSES + N_CLASSES**2
+N_FEATURES = N_CLASSES + N_CLASSES**2 + 2
+SMOOTHING = 64
 
 
 def _classes() -> np.ndarray:
@@ -46,7 +50,7 @@ def _classes() -> np.ndarray:
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row for each text of the buffer; a text without bytes has zeros."""
+    """One row for each text of the buffer, the weight of its size last; a text without bytes has zeros."""
     n, sizes = len(offsets) - 1, np.diff(offsets)
     kind = _classes()[data]
     text = np.repeat(np.arange(n), sizes)
@@ -55,18 +59,26 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     pair = (text[:-1] * N_CLASSES**2 + kind[:-1] * N_CLASSES + kind[1:])[same]
     double = np.bincount(pair, minlength=n * N_CLASSES**2).reshape(n, N_CLASSES**2)
     size = np.maximum(sizes, 1)[:, None]
-    return np.sqrt(np.concatenate([single / size, double / size], axis=1)).astype(np.float32)
+    words = find_words(data, offsets, space_words())
+    owner, count = np.repeat(np.arange(n), words.counts), np.maximum(words.counts, 1)[:, None]
+    again = [np.bincount(owner[k:][(words.hashes[k:] == words.hashes[:-k]) & (owner[k:] == owner[:-k])], minlength=n)[:, None] / count for k in (1, 2)]
+    return np.concatenate([np.sqrt(np.concatenate([single / size, double / size, *again], axis=1)), (sizes / (sizes + SMOOTHING))[:, None]], axis=1).astype(np.float32)
 
 
 @dataclass
 class QualityModel:
+    mean: np.ndarray
+    spread: np.ndarray
     weights: np.ndarray
     bias: float
     prior: float
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return (x[:, :-1] - self.mean) / self.spread * x[:, -1:]
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of a good text; it depends on the row alone, not on the batch around it."""
-        return _sigmoid((x.astype(np.float64) * self.weights).sum(axis=1) + self.bias)
+        return _sigmoid((self.standard(x.astype(np.float64)) * self.weights).sum(axis=1) + self.bias)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -125,20 +137,20 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
 
 def fit_model(positive: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
     """The model of feature rows; without positives or unlabelled rows every text scores 0.5."""
+    both = np.concatenate([positive, unlabelled]).astype(np.float64)[:, :-1]
     if not len(positive) or not len(unlabelled):
-        return QualityModel(np.zeros(N_FEATURES), 0.0, 0.5)
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, spread = both.mean(axis=0), both.std(axis=0) + 0.02
-    xp, xu = (positive - mean) / spread, (unlabelled - mean) / spread
+        return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 0.5)
+    model = QualityModel(both.mean(axis=0), both.std(axis=0) + 0.02, np.zeros(N_FEATURES), 0.0, 0.5)
+    xp, xu = model.standard(positive), model.standard(unlabelled)
     scores_p, scores_u = np.zeros(len(xp)), np.zeros(len(xu))
     for k in range(2):  # scores of rows that their own classifier hasn't seen
         own_p, own_u = np.arange(len(xp)) % 2 == k, np.arange(len(xu)) % 2 == k
         if not own_p.all() and not own_u.all():
             w = tell_apart(xp[~own_p], xu[~own_u])
             scores_p[own_p], scores_u[own_u] = xp[own_p] @ w, xu[own_u] @ w
-    prior = estimate_prior(scores_p, scores_u)
-    w, b = fit_nnpu(xp, xu, prior)
-    return QualityModel(w / spread, b - float((mean * w / spread).sum()), prior)
+    model.prior = estimate_prior(scores_p, scores_u)
+    model.weights, model.bias = fit_nnpu(xp, xu, model.prior)
+    return model
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, doc_id: str = "
     # a copied id may bring more rows than ids: the same bound again
     found = trusted.limit(2 * positives).unionByName(web).mapInArrow(_featured, StructType([StructField("key", rows.schema["key"].dataType), *StructType.fromDDL("positive boolean, x binary")]))
     got = sorted(((r["positive"], bytes(r["x"])) for r in found.select("positive", "x").collect()), reverse=True)
-    x = {p: np.array([np.frombuffer(b, np.float32) for q, b in got if q is p]).reshape(-1, N_FEATURES) for p in (True, False)}
+    x = {p: np.array([np.frombuffer(b, np.float32) for q, b in got if q is p]).reshape(-1, N_FEATURES + 1) for p in (True, False)}
     mixed = np.random.default_rng(0)
     return fit_model(mixed.permutation(x[True]), mixed.permutation(x[False]))
 
