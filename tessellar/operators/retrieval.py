@@ -1,0 +1,61 @@
+"""Search, routing and packing under budgets."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessellar.functions.columns import first_line, normalized
+
+#: Points of the search tiers.
+TIERS = {"exact": 400, "title": 300, "body": 200, "neighbour": 100}
+
+#: Signals of a question, and what each looks for; any of them sends it to the graph.
+ROUTES = {
+    "path-trace": r"(?i)\b(path|trace|route) (from|between)\b",
+    "connection": r"(?i)\b(connect|relate|link)(s|ed)?\b",
+    "impact": r"(?i)\b(impact|affect|break)(s|ed)?\b",
+    "dependency": r"(?i)\b(depend|import|call)(s|ed)?\b",
+    "neighborhood": r"(?i)\b(neighbou?r|around|near)",
+    "relation": r"(?i)\b(relation|edge)s?\b",
+}
+
+
+def search(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "text", group: str = "source", neighbours_of: int = 300) -> DataFrame:
+    """(doc_id, tier, points): documents whose title is the query, holds its words, or whose text does; and other documents
+    of a group that has a hit of ``neighbours_of`` points or more."""
+    words = [w for w in query.lower().split() if w]
+    title, body = normalized(first_line(F.col(text))), F.concat(F.lit(" "), normalized(F.col(text)), F.lit(" "))
+    all_in = lambda c: F.forall(F.array(*[F.lit(f" {w} ") for w in words]), lambda w: F.contains(c, w))
+    tier = F.when(title == " ".join(words), "exact").when(all_in(F.concat(F.lit(" "), title, F.lit(" "))), "title").when(all_in(body), "body")
+    direct = docs.select(F.col(doc_id), F.col(group), tier.alias("tier"))
+    strong = direct.where(F.col("tier").isin(*[t for t, p in TIERS.items() if p >= neighbours_of])).select(group).distinct()
+    near = direct.where("tier is null").join(strong, group, "left_semi").withColumn("tier", F.lit("neighbour"))
+    points = F.element_at(F.create_map(*[F.lit(x) for t, p in TIERS.items() for x in (t, p)]), F.col("tier"))
+    return direct.where("tier is not null").unionByName(near).select(doc_id, "tier", points.alias("points"))
+
+
+def pack(rows: DataFrame, key: str, order: Sequence[Column], item: str, cost: Column, budget: int) -> DataFrame:
+    """(key, used, items): of each key's items, in order, those that still fit the budget; one that doesn't is skipped.
+
+    Folds over one key's items (meant for small keys such as conversations): the order, the id and the cost are all that is gathered.
+    """
+    taken = F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.col(item).alias("item"), cost.alias("cost"))))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("items"))
+    step = lambda a, x: F.when(a["used"] + x["cost"] <= budget, F.struct((a["used"] + x["cost"]).alias("used"), F.concat(a["items"], F.array(x["item"])).alias("items"))).otherwise(a)
+    return rows.groupBy(key).agg(F.aggregate(taken, start, step).alias("a")).select(key, "a.used", F.array_join("a.items", ",").alias("items"))
+
+
+def batches(rows: DataFrame, key: str, order: str, size: Column, most: int) -> DataFrame:
+    """(key, n_batches, largest): next-fit batches of each key's items in order; an item larger than a batch has its own."""
+    taken = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.alias("size"))))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("largest"))
+
+    def step(a, x):
+        fresh = (a["n"] == 0) | (a["held"] + x["size"] > most)
+        held = F.when(fresh, x["size"]).otherwise(a["held"] + x["size"])
+        return F.struct((a["n"] + fresh.cast("long")).alias("n"), held.alias("held"), F.greatest(a["largest"], held).alias("largest"))
+
+    return rows.groupBy(key).agg(F.aggregate(taken, start, step).alias("a")).select(key, F.col("a.n").alias("n_batches"), "a.largest")

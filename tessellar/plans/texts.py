@@ -1,0 +1,182 @@
+"""Search, packing, routing and rule queries over documents, pages, labels and conversations, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessellar.functions.columns import signals, tokens
+from tessellar.operators import reports, retrieval
+from tessellar.sources.tables import table
+
+SEARCH = "of the"
+
+
+def search_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for two words, by tier."""
+    return retrieval.search(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), SEARCH)
+
+
+SQL_SEARCH = """with d as (select doc_id, source, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) t, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' b from documents),
+h as (select doc_id, source, case when t = 'of the' then 'exact' when contains(' ' || t || ' ', ' of ') and contains(' ' || t || ' ', ' the ') then 'title' when contains(b, ' of ') and contains(b, ' the ') then 'body' end tier from d),
+a as (select doc_id, coalesce(tier, case when source in (select source from h where tier in ('exact', 'title')) then 'neighbour' end) tier from h)
+select doc_id, tier, case tier when 'exact' then 400 when 'title' then 300 when 'body' then 200 else 100 end points from a where tier is not null"""
+
+
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 20 hits by points and id."""
+    return search_tiers(spark, sf_dir).orderBy(F.desc("points"), "doc_id").limit(20)
+
+
+def context_pack_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each conversation, shortest first, that fit into 300 tokens; those that don't are skipped."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", tokens(F.col("text")).alias("cost"))
+    return retrieval.pack(turns, "conv_id", [F.when(F.col("role") == "system", 0).otherwise(1), F.length("role"), F.col("turn")], "turn", F.col("cost"), 300)
+
+
+SQL_PACK = """with recursive t as (select conv_id, turn, ceil(coalesce(length(text), 0) / 4)::bigint cost, row_number() over (partition by conv_id order by case when role = 'system' then 0 else 1 end, length(role), turn) k from conversations),
+f as (select conv_id, 0::bigint k, 0::bigint used, ''::varchar items from (select distinct conv_id from t)
+  union all select f.conv_id, t.k, case when used + cost <= 300 then used + cost else used end, case when used + cost <= 300 then case when items = '' then turn::varchar else items || ',' || turn end else items end from f join t on t.conv_id = f.conv_id and t.k = f.k + 1)
+select conv_id, used, items from f qualify row_number() over (partition by conv_id order by k desc) = 1"""
+
+
+def next_fit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 1,500 characters of each conversation's turns in order."""
+    return retrieval.batches(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).cast("long"), 1500)
+
+
+SQL_BATCHES = """with recursive t as (select conv_id, coalesce(length(text), 0)::bigint size, row_number() over (partition by conv_id order by turn) k from conversations),
+f as (select conv_id, 0::bigint k, 0::bigint n, 0::bigint held, 0::bigint largest from (select distinct conv_id from t)
+  union all select f.conv_id, t.k, case when n = 0 or held + size > 1500 then n + 1 else n end, case when n = 0 or held + size > 1500 then size else held + size end, greatest(largest, case when n = 0 or held + size > 1500 then size else held + size end) from f join t on t.conv_id = f.conv_id and t.k = f.k + 1)
+select conv_id, n n_batches, largest from f qualify row_number() over (partition by conv_id order by k desc) = 1"""
+
+
+def route_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of every user's turn, and where it goes."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    found = turns.select("conv_id", "turn", signals(F.col("text"), retrieval.ROUTES).alias("s"))
+    return found.select("conv_id", "turn", F.array_join("s", ",").alias("signals"), F.when(F.size("s") > 0, "graph").otherwise("search").alias("route"))
+
+
+_SIGNALS = ", ".join(f"case when regexp_matches(text, '{p}') then '{name}' end" for name, p in retrieval.ROUTES.items())
+SQL_ROUTE = f"""with s as (select conv_id, turn, list_filter([{_SIGNALS}], lambda x: x is not null) s from conversations where role = 'user')
+select conv_id, turn, coalesce(array_to_string(s, ','), '') signals, case when len(s) > 0 then 'graph' else 'search' end route from s"""
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every page, how often, and the pages they lead to (the smallest id of a url)."""
+    pages = table(spark, sf_dir, "pages")
+    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("times"))
+    known = pages.where("url is not null").groupBy(F.col("url").alias("href")).agg(F.min("page_id").alias("leads_to"))
+    return links.join(known, "href", "left").select("page_id", "href", "times", "leads_to")
+
+
+SQL_LINKS = """with l as (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) href from pages), c as (select page_id, href, count(*) times from l group by all), k as (select url href, min(page_id) leads_to from pages group by 1)
+select page_id, c.href, times, leads_to from c left join k on k.href = c.href"""
+
+
+def path_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by first path segment and depth."""
+    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-z]+://[^/?#]*([^?#]*)", 1)
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    return table(spark, sf_dir, "pages").select(F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit("")).alias("facet"), F.size(parts).alias("depth")).groupBy("facet", "depth").agg(F.count("*").alias("n"))
+
+
+SQL_FACETS = """with p as (select list_filter(string_split(regexp_extract(coalesce(url, ''), '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') a from pages) select coalesce(a[1], '') facet, len(a)::int as depth, count(*) n from p group by all"""
+
+
+def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of licence lines that one language's documents state and that differ, with how many documents state each."""
+    stated = table(spark, sf_dir, "documents").select("lang", F.regexp_extract("text", r"Licensed under ([A-Za-z0-9 .,-]*)", 1).alias("licence")).where("licence <> ''").groupBy("lang", "licence").agg(F.count("*").alias("n"))
+    other = stated.select("lang", F.col("licence").alias("other"), F.col("n").alias("n_other"))
+    return stated.join(other, "lang").where("licence < other").select("lang", "licence", "other", "n", "n_other")
+
+
+SQL_CONTRADICTIONS = """with s as (select lang, regexp_extract(text, 'Licensed under ([A-Za-z0-9 .,-]*)', 1) licence, count(*) n from documents where regexp_extract(text, 'Licensed under ([A-Za-z0-9 .,-]*)', 1) <> '' group by all)
+select a.lang, a.licence, b.licence other, a.n, b.n n_other from s a join s b on a.lang = b.lang and a.licence < b.licence"""
+
+
+def untested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that no label covers."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), table(spark, sf_dir, "labels").select("doc_id")
+    return docs.join(labels, "doc_id", "left_anti").select("doc_id", "lang", "source")
+
+
+SQL_UNTESTED = "select doc_id, lang, source from documents where doc_id not in (select doc_id from labels where doc_id is not null)"
+
+
+def reconcile_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What new findings (toxic labels) do to known ones (labels of low quality; those of both are dismissed)."""
+    labels = table(spark, sf_dir, "labels")
+    before = labels.where("quality = 0").select("doc_id", F.when(F.col("toxic") == 1, "dismissed").otherwise("open").alias("status"))
+    return reports.reconcile(before, labels.where("toxic = 1").select("doc_id"), "doc_id", "status")
+
+
+SQL_RECONCILE = """select coalesce(a.doc_id, b.doc_id) doc_id, case when a.status = 'dismissed' then 'dismissed' when b.doc_id is null then 'resolved' when a.status is null then 'opened' else 'kept' end state
+from (select doc_id, case when toxic = 1 then 'dismissed' else 'open' end status from labels where quality = 0) a full join (select doc_id from labels where toxic = 1) b on a.doc_id = b.doc_id"""
+
+
+def severity_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open findings of each source by severity, zero where there are none."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels")
+    high, medium = (F.col("toxic") == 1), (F.col("quality") == 0) & (F.col("toxic") == 0)
+    joined = docs.join(labels, "doc_id", "left")
+    return joined.groupBy("source").agg(F.count_if(high).alias("high"), F.count_if(medium).alias("medium"), F.count_if(F.col("toxic").isNotNull() & ~high & ~medium).alias("none"))
+
+
+SQL_SEVERITY = """select source, count(*) filter (where toxic = 1) high, count(*) filter (where quality = 0 and toxic = 0) medium, count(*) filter (where toxic = 0 and quality <> 0) "none" from documents left join labels using (doc_id) group by 1"""
+
+
+def instruction_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of documents by source and language, and of those short enough to be always loaded."""
+    t = tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(t).alias("tokens"), F.coalesce(F.sum(F.when(t <= 200, t)), F.lit(0)).alias("always"))
+
+
+SQL_COST = """select source, lang, count(*) n, sum(ceil(coalesce(length(text), 0) / 4))::bigint tokens, coalesce(sum(ceil(coalesce(length(text), 0) / 4)) filter (where ceil(coalesce(length(text), 0) / 4) <= 200), 0)::bigint always from documents group by all"""
+
+
+def query_all_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with orders of every priority there is."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority").distinct()
+    n = orders.select("o_orderpriority").distinct().count()
+    return orders.groupBy("o_custkey").agg(F.count("*").alias("n")).where(F.col("n") == n).select("o_custkey")
+
+
+SQL_ALL = "select o_custkey from orders group by 1 having count(distinct o_orderpriority) = (select count(distinct o_orderpriority) from orders)"
+
+
+def query_any_urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with an urgent order."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").join(urgent, "c_custkey", "left_semi")
+
+
+SQL_ANY = "select c_custkey, c_mktsegment from customer where c_custkey in (select o_custkey from orders where o_orderpriority = '1-URGENT')"
+
+
+def query_none_urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without an urgent order."""
+    buyers = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").join(buyers, "c_custkey", "left_anti")
+
+
+SQL_NONE = "select c_custkey, c_mktsegment from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT' and o_custkey is not null)"
+
+
+def todo_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines of turns that come again in their conversation, numbered by turn."""
+    from pyspark.sql import Window as W
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(F.substring_index(F.col("text"), " ", 1)).alias("title"))
+    return turns.withColumn("occurrence", F.row_number().over(W.partitionBy("conv_id", "title").orderBy("turn")))
+
+
+SQL_OCCURRENCES = "select conv_id, turn, lower(split_part(text, ' ', 1)) title, row_number() over (partition by conv_id, lower(split_part(text, ' ', 1)) order by turn)::int occurrence from conversations"
+
+QUERIES = {f.__name__: f for f in (search_tiers, search_page, context_pack_greedy, next_fit_batches, route_question, page_links, path_facets, contradictions, untested_documents, reconcile_findings, severity_dashboard, instruction_cost, query_all_priorities, query_any_urgent, query_none_urgent, todo_occurrences)}
+ORACLES = {
+    "search_tiers": SQL_SEARCH, "search_page": f"select * from ({SQL_SEARCH}) order by points desc, doc_id limit 20", "context_pack_greedy": SQL_PACK, "next_fit_batches": SQL_BATCHES, "route_question": SQL_ROUTE,
+    "page_links": SQL_LINKS, "path_facets": SQL_FACETS, "contradictions": SQL_CONTRADICTIONS, "untested_documents": SQL_UNTESTED, "reconcile_findings": SQL_RECONCILE, "severity_dashboard": SQL_SEVERITY,
+    "instruction_cost": SQL_COST, "query_all_priorities": SQL_ALL, "query_any_urgent": SQL_ANY, "query_none_urgent": SQL_NONE, "todo_occurrences": SQL_OCCURRENCES,
+}
