@@ -8,8 +8,11 @@ Texts with equal sets are one class, known by its smallest doc_id. Classes that
 1. every class is verified against the least class of each of its buckets (a star, never all pairs of a bucket), and
    the verified links give preliminary components;
 2. in buckets that still hold several components, the members outside the bucket's largest component are verified
-   against all members of other components. Links inside a component can't change it, so none that matters is lost.
-Sizes that rule a link out are dropped before the sets are fetched.
+   against eight of its members, in two rounds; what links joins the component;
+3. members that are still outside are compared with all of the largest component and with the others outside, in cells
+   of bounded size: a task holds one block of members and one of queries and returns only links that join components.
+Links inside a component can't change it, so none that matters is lost. Sizes that rule a link out are dropped before
+the sets are fetched, and the sets of all candidates are written once.
 """
 
 from __future__ import annotations
@@ -31,6 +34,10 @@ PLACES = 128
 BANDS = 32
 PERCENT = 75
 CHUNK_BYTES = 2_000_000
+PIVOTS = 4
+PIVOT_ROUNDS = 2
+CELL_ROWS = 512
+CELL_SHINGLES = 250_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,13 +134,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of class ids whose full sets are alike enough."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = wanted.join(classes.select("id", "digest"), "id")
-    texts = docs.join(F.broadcast(wanted.select("id")) if wanted.count() <= 200_000 else wanted.select("id"), "id", "left_semi")
-    sets = texts.mapInArrow(_sets, "id long, digest binary, shingles binary").join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    sets = written(sets.select("id", "shingles"), "shingles")
     rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return cut(rows.select("a", "b", "x", "y").mapInArrow(_compare, "a long, b long").distinct())
 
@@ -142,6 +144,94 @@ def _alike_sizes(n1: str, n2: str):
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT
 
 
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, id, n, label, largest) of the buckets that hold several components; largest is the component with most of its members."""
+    named = buckets.select("band", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("label"))
+    named = cut(named)
+    held = named.groupBy("band", "label").agg(F.count("*").alias("c"))
+    mixed = held.groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    return cut(named.join(mixed, "band"))
+
+
+def _pivot_pairs(mixed: DataFrame, salt: int) -> DataFrame:
+    """Members outside the largest component, each with four members of it that a hash chooses."""
+    chosen = [F.min(F.when(F.col("label") == F.col("largest"), F.struct(F.xxhash64("id", F.lit(salt * PIVOTS + k)).alias("h"), F.col("id").alias("b"), F.col("n").alias("n_b")))).alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = mixed.groupBy("band").agg(*chosen).select("band", F.array(*[f"p{k}" for k in range(PIVOTS)]).alias("pivots"))
+    pairs = mixed.where("label <> largest").select("band", F.col("id").alias("a"), "n").join(pivots, "band").select("a", "n", F.explode("pivots").alias("p"))
+    return pairs.select("a", "p.b", "n", "p.n_b").where(_alike_sizes("n", "n_b")).select("a", "b").distinct()
+
+
+def _cell_links(members: list[tuple], queries: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links between a cell's queries and members, rows (id, label, set), that join components not joined before."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.setdefault(x, x) != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    sizes = np.array([len(s) for *_, s in members])
+    flat, owner = np.concatenate([s for *_, s in members]), np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for i, label, s in queries:
+        low, high = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+        c = high - low
+        at = np.repeat(low - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+        both = np.bincount(owner[at], minlength=len(members))
+        for m in np.flatnonzero(100 * both >= PERCENT * (len(s) + sizes - both)).tolist():
+            x, y = root(label), root(members[m][1])
+            if x != y:
+                above[x] = y
+                yield i, members[m][0]
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each cell; the rows of a cell come one after the other."""
+    held: list[tuple] = []
+    cell = None
+
+    def found() -> Iterator[pa.RecordBatch]:
+        members, queries = [r[1:] for r in held if r[0]], [r[1:] for r in held if not r[0]]
+        if members and queries and (links := list(_cell_links(members, queries))):
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in ("kind", "key", "i", "j")), strict=True)
+        values = zip(*(batch.column(c).to_pylist() for c in ("member", "id", "label")), batch.column("shingles"), strict=True)
+        for key, (member, i, label, raw) in zip(keys, values, strict=True):
+            if key != cell:
+                yield from found()
+                held, cell = [], key
+            held.append((member, i, label, np.frombuffer(raw.as_py(), np.uint64)))
+    yield from found()
+
+
+def _cell_rows(mixed: DataFrame, buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(kind, key, i, j, member, id, label): members and queries of every cell, dealt to blocks.
+
+    A component that is the largest of some bucket meets the members outside it (kind 0, once however many buckets they
+    share), and the members outside meet each other bucket by bucket (kind 1).
+    """
+    outside = mixed.where("label <> largest")
+    queries = outside.select(F.lit(0).alias("kind"), F.col("largest").alias("key"), "id", "n", "label").distinct()
+    large = queries.select("key").distinct()
+    own = buckets.select("id", "n").distinct().join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("label"))
+    members = own.join(large.withColumnRenamed("key", "label"), "label", "left_semi").select(F.lit(0).alias("kind"), F.col("label").alias("key"), "id", "n", "label")
+    apart = outside.select(F.lit(1).alias("kind"), F.col("band").alias("key"), "id", "n", "label")
+    several = apart.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    apart = apart.join(several, "key", "left_semi")
+    members, queries = cut(members.unionByName(apart)), cut(queries.unionByName(apart))
+    blocks = lambda df, name: df.groupBy("kind", "key").agg(F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias(name))
+    sizes = cut(blocks(members, "rows").join(blocks(queries, "columns"), ["kind", "key"]))
+    part = lambda n: F.pmod(F.xxhash64(F.lit("cell"), "id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    m = members.join(sizes, ["kind", "key"]).select("kind", "key", part("rows").alias("i"), every("columns").alias("j"), F.lit(True).alias("member"), "id", "label")
+    q = queries.join(sizes, ["kind", "key"]).select("kind", "key", every("rows").alias("i"), part("columns").alias("j"), F.lit(False).alias("member"), "id", "label")
+    return m.unionByName(q)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
 
@@ -157,24 +247,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     entries = classes.select("id", "n", F.explode("bands").alias("band"))
     least = entries.groupBy("band").agg(F.min("id").alias("pivot"), F.min_by("n", "id").alias("pivot_n"), F.count("*").alias("size")).where("size > 1").drop("size")
     buckets = written(entries.join(least, "band"), "buckets")
+
+    wanted = cut(buckets.select("id").distinct().join(classes.select("id", "digest"), "id"))
+    known = rows.where("id is not null").join(F.broadcast(wanted.select("id")) if wanted.count() <= 100_000 else wanted.select("id"), "id", "left_semi")
+    sets = known.mapInArrow(_sets, "id long, digest binary, shingles binary").join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    sets = written(sets.select("id", "shingles"), "shingles")
+
     star = buckets.where("id <> pivot").where(_alike_sizes("n", "pivot_n")).select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    known = rows.where("id is not null")
-    links = _verified(cut(star), known, classes)
-    labels = cut(components(links))
+    labels = cut(components(_verified(star, sets)))
+    for salt in range(PIVOT_ROUNDS):
+        more = _verified(_pivot_pairs(_mixed(buckets, labels), salt), sets)
+        labels = cut(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    cells = _cell_rows(_mixed(buckets, labels), buckets, labels).join(sets, "id")
+    dealt = cells.repartition("kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j", "id")
+    rest = dealt.select("kind", "key", "i", "j", "member", "id", "label", "shingles").mapInArrow(_cells, "a long, b long")
 
-    named = buckets.select("band", "id", "n").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    named = cut(named)
-    held = named.groupBy("band", "label").agg(F.count("*").alias("c"))
-    mixed = held.groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    several = named.join(mixed, "band")
-    outside = several.where("label <> largest").select("band", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("l_a"))
-    others = several.select("band", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"), "largest")
-    pairs = outside.join(others, "band").where("l_a <> l_b and (l_b = largest or a < b)").where(_alike_sizes("n_a", "n_b"))
-    pairs = cut(pairs.select("a", "b").distinct())
-    more = _verified(pairs, known, classes)
-
-    members = nodes.join(classes.select("digest", F.col("id").alias("class_id")), "digest").where("id <> class_id").select(F.col("id").alias("a"), F.col("class_id").alias("b")).distinct()
-    final = components(links.unionByName(more).unionByName(members))
+    copies = nodes.join(classes.select("digest", F.col("id").alias("class_id")), "digest").where("id <> class_id").select(F.col("id").alias("a"), F.col("class_id").alias("b")).distinct()
+    final = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest).unionByName(copies))
     out = signed.select("id", "n").join(final.withColumnRenamed("node", "id"), "id", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

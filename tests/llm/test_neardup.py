@@ -87,3 +87,33 @@ def test_components(spark):
     got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: least[n] for a, b in links if a is not None and a != b for n in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_large_group_around_the_threshold(spark):
+    """Variants of one text of which many are too far from its least id: links go through others; some reach none."""
+    r = np.random.default_rng(5)
+    base = [f"b{k}" for k in range(90)]
+    rows = []
+    for i in range(700):
+        words = list(base)
+        for at in r.choice(90, int(r.integers(1, 5)), replace=False):
+            words[at] = f"x{i}-{at}"
+        rows.append((i * 3, " ".join(words)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(86)} for i, t in rows}
+    ids = sorted(sets)
+    above = {i: i for i in ids}
+
+    def root(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                above[y] = x
+    got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == {i: root(i) for i in ids}
+    assert len(set(got.values())) > 1
