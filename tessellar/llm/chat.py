@@ -65,7 +65,7 @@ class ChatModel:
     moves: np.ndarray
 
     def lines(self, features: list[tuple[int, int, int]]) -> np.ndarray:
-        f = np.array(features).reshape(-1, 3)
+        f = np.array(features, np.int64).reshape(-1, 3)
         out = np.full((len(f), K), NEVER)
         out[:, :START] = sum(e[:, f[:, k]].T for k, e in enumerate(self.emissions))
         return out

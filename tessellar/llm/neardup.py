@@ -8,7 +8,7 @@ Texts with equal sets are one class, known by its smallest doc_id. Classes that
 1. every class is verified against the least class of each of its buckets (a star, never all pairs of a bucket), and
    the verified links give preliminary components;
 2. in buckets that still hold several components, the members outside the bucket's largest component are verified
-   against eight of its members, in two rounds; what links joins the component;
+   against eight of its members; what links joins the component;
 3. members that are still outside are compared with all of the largest component and with the others outside, in cells
    of bounded size: a task holds one block of members and one of queries and returns only links that join components.
 Links inside a component can't change it, so none that matters is lost. Sizes that rule a link out are dropped before
@@ -34,8 +34,8 @@ PLACES = 128
 BANDS = 32
 PERCENT = 75
 CHUNK_BYTES = 2_000_000
-PIVOTS = 4
-PIVOT_ROUNDS = 2
+PIVOTS = 8
+PIVOT_ROUNDS = 1
 CELL_ROWS = 512
 CELL_SHINGLES = 250_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -154,7 +154,7 @@ def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _pivot_pairs(mixed: DataFrame, salt: int) -> DataFrame:
-    """Members outside the largest component, each with four members of it that a hash chooses."""
+    """Members outside the largest component, each with eight members of it that a hash chooses."""
     chosen = [F.min(F.when(F.col("label") == F.col("largest"), F.struct(F.xxhash64("id", F.lit(salt * PIVOTS + k)).alias("h"), F.col("id").alias("b"), F.col("n").alias("n_b")))).alias(f"p{k}") for k in range(PIVOTS)]
     pivots = mixed.groupBy("band").agg(*chosen).select("band", F.array(*[f"p{k}" for k in range(PIVOTS)]).alias("pivots"))
     pairs = mixed.where("label <> largest").select("band", F.col("id").alias("a"), "n").join(pivots, "band").select("a", "n", F.explode("pivots").alias("p"))
