@@ -74,7 +74,8 @@ class QualityModel:
     prior: float
 
     def standard(self, x: np.ndarray) -> np.ndarray:
-        return (x[:, :-1] - self.mean) / self.spread * x[:, -1:]
+        """Features in units of their spread, in the precision of the rows."""
+        return (x[:, :-1] - self.mean.astype(x.dtype)) / self.spread.astype(x.dtype) * x[:, -1:]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of a good text; it depends on the row alone, not on the batch around it."""
@@ -97,12 +98,10 @@ class _Adam:
 
 def tell_apart(a: np.ndarray, b: np.ndarray, steps: int = 200, decay: float = 1e-3) -> np.ndarray:
     """Weights of a logistic model of rows a (1) against rows b (0), both classes of equal weight."""
-    x = np.concatenate([a, b])
-    y = np.concatenate([np.ones(len(a)), np.zeros(len(b))])
-    each = np.where(y == 1, 0.5 / len(a), 0.5 / len(b))
-    w, adam = np.zeros(x.shape[1]), _Adam(x.shape[1], 0.05)
+    w, adam = np.zeros(a.shape[1]), _Adam(a.shape[1], 0.05)
     for _ in range(steps):
-        w = adam.step(w, x.T @ ((_sigmoid(x @ w) - y) * each) + decay * w)
+        own = w.astype(a.dtype)
+        w = adam.step(w, (_sigmoid(b @ own) @ b / len(b) - _sigmoid(-(a @ own)) @ a / len(a)) / 2 + decay * w)
     return w
 
 
@@ -119,16 +118,16 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 500, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk; where the negative part falls below 0 the step goes back on it."""
-    xp, xu = (np.concatenate([x, np.ones((len(x), 1))], axis=1) for x in (positive, unlabelled))
-    w, adam = np.zeros(xp.shape[1]), _Adam(xp.shape[1], 0.05)
+    xp, xu = positive, unlabelled
+    w, adam = np.zeros(xp.shape[1] + 1), _Adam(xp.shape[1] + 1, 0.05)
     loss = lambda z: np.logaddexp(0, -z)
+    slope = lambda x, g: np.append(g.astype(x.dtype) @ x, g.sum()) / len(x)
     for _ in range(steps):
-        zp, zu = xp @ w, xu @ w
-        slope_minus_u, slope_minus_p = xu.T @ _sigmoid(zu) / len(xu), xp.T @ _sigmoid(zp) / len(xp)
-        slope_plus = -xp.T @ _sigmoid(-zp) / len(xp)
+        own = w[:-1].astype(xp.dtype)
+        zp, zu = xp @ own + w[-1], xu @ own + w[-1]
         negative_risk = loss(-zu).mean() - prior * loss(-zp).mean()
-        negative_slope = slope_minus_u - prior * slope_minus_p
-        g = prior * slope_plus + negative_slope if negative_risk >= 0 else -negative_slope
+        negative_slope = slope(xu, _sigmoid(zu)) - prior * slope(xp, _sigmoid(zp))
+        g = prior * slope(xp, -_sigmoid(-zp)) + negative_slope if negative_risk >= 0 else -negative_slope
         penalty = decay * w
         penalty[-1] = 0
         w = adam.step(w, g + penalty)
@@ -137,10 +136,12 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
 
 def fit_model(positive: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
     """The model of feature rows; without positives or unlabelled rows every text scores 0.5."""
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)[:, :-1]
     if not len(positive) or not len(unlabelled):
         return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0, 0.5)
-    model = QualityModel(both.mean(axis=0), both.std(axis=0) + 0.02, np.zeros(N_FEATURES), 0.0, 0.5)
+    parts, n = (positive[:, :-1], unlabelled[:, :-1]), len(positive) + len(unlabelled)
+    mean = sum(p.sum(axis=0, dtype=np.float64) for p in parts) / n
+    square = sum(np.einsum("ij,ij->j", p, p, dtype=np.float64) for p in parts) / n
+    model = QualityModel(mean, np.sqrt(np.maximum(square - mean**2, 0)) + 0.02, np.zeros(N_FEATURES), 0.0, 0.5)
     xp, xu = model.standard(positive), model.standard(unlabelled)
     scores_p, scores_u = np.zeros(len(xp)), np.zeros(len(xu))
     for k in range(2):  # scores of rows that their own classifier hasn't seen
@@ -172,10 +173,11 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, doc_id: str = "
     web = sampled(rows, F.col("key"), unlabelled).withColumn("positive", F.lit(False))
     # a copied id may bring more rows than ids: the same bound again
     found = trusted.limit(2 * positives).unionByName(web).mapInArrow(_featured, StructType([StructField("key", rows.schema["key"].dataType), *StructType.fromDDL("positive boolean, x binary")]))
-    got = sorted(((r["positive"], bytes(r["x"])) for r in found.select("positive", "x").collect()), reverse=True)
-    x = {p: np.array([np.frombuffer(b, np.float32) for q, b in got if q is p]).reshape(-1, N_FEATURES + 1) for p in (True, False)}
+    got = sorted(((r["positive"], bytes(r["x"])) for r in found.select("positive", "x").toLocalIterator()), reverse=True)  # a task's rows at a time
+    x = {p: np.frombuffer(b"".join(b for q, b in got if q is p), np.float32).reshape(-1, N_FEATURES + 1) for p in (True, False)}
+    del got
     mixed = np.random.default_rng(0)
-    return fit_model(mixed.permutation(x[True]), mixed.permutation(x[False]))
+    return fit_model(mixed.permutation(x.pop(True)), mixed.permutation(x.pop(False)))
 
 
 def _scored(text: str, model: QualityModel, schema: StructType):
