@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import by_bytes, cut, text_buffers, written
+from tessellar.llm.common import by_bytes, cut, small_batches, text_buffers, written
 from tessellar.llm.components import components
 from tessellar.llm.words import find_words, mix, shingles, space_words
 
@@ -33,7 +33,7 @@ SIZE = 5
 PLACES = 128
 BANDS = 32
 PERCENT = 75
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 PIVOTS = 8
 PIVOT_ROUNDS = 1
 CELL_ROWS = 512
@@ -240,6 +240,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     link if 100 times the common shingles are at least 75 times all. Rows that repeat a doc_id are one node; a row with
     a null doc_id takes no part, has a null component and is kept.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     signed = written(rows.mapInArrow(_sign, "id long, n long, digest binary, bands array<long>"), "signed")
     nodes = signed.where("id is not null and n > 0")

@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessellar.llm.common import by_bytes, text_buffers
+from tessellar.llm.common import by_bytes, small_batches, text_buffers
 from tessellar.llm.sampling import sampled
 from tessellar.llm.words import find_words, space_words
 
 POSITIVES = 4000
 UNLABELLED = 6000
 THRESHOLD = 0.7
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 #: The classes of characters beside letters, digits and bytes beyond ASCII; all other bytes make one more class.
 SIGNS = (" ", "\n", "\t\r", ".", ",", ";:", "!", "?", "'\"`", "|", "*", "$", "%", "&", "#", "()[]{}<>", "/\\", "-", "_", "@", "=+~^")
@@ -165,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, doc_id: str = "
 
     Labels of null ids, null labels and contradicting labels of one id are left out; null texts are no training rows.
     """
+    small_batches(docs.sparkSession)
     own = labels.where(learnable).where(F.col(f"`{label}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull())
     good = own.groupBy(F.col(f"`{doc_id}`").alias("_key")).agg(F.min(F.col(f"`{label}`")).alias("_least")).where("_least = 1").select("_key")
     good = sampled(good, F.col("_key"), positives)
@@ -197,6 +198,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", thre
     Null and empty texts get the score of a text without characters; equal texts get equal scores. Columns score and
     predicted of the input are replaced. ``carry`` names the input columns to return, all of them if None.
     """
+    small_batches(docs.sparkSession)
     carried = [c for c in (docs.columns if carry is None else carry) if c not in ("score", "predicted")]
     keep = carried if text in carried else [*carried, text]
     inner = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)])
