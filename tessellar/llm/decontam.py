@@ -25,7 +25,7 @@ from tessellar.llm.common import by_bytes, text_buffers
 from tessellar.llm.words import find_words, item_words
 
 WINDOW = 10
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 3_000_000
 SAMPLE = 32
 BLOCK_BYTES = 32_000_000
 

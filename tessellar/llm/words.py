@@ -8,7 +8,7 @@ from functools import cache
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_PIECE = 1 << 22
+_PIECE = 1 << 18
 
 
 def space_words() -> np.ndarray:
