@@ -160,6 +160,19 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("positive"), pa.array([r.tobytes() for r in x], pa.binary())], ["key", "positive", "x"])
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the sample as one row; the order in which rows come doesn't matter."""
+    got = sorted(((p, x) for b in batches for p, x in zip(b.column("positive").to_pylist(), b.column("x").to_pylist(), strict=True)), reverse=True)
+    if not got:
+        return
+    x = {p: np.frombuffer(b"".join(b for q, b in got if q is p), np.float32).reshape(-1, N_FEATURES + 1) for p in (True, False)}
+    del got
+    mixed = np.random.default_rng(0)
+    m = fit_model(mixed.permutation(x.pop(True)), mixed.permutation(x.pop(False)))
+    vectors = [pa.array([v.tolist()], pa.list_(pa.float64())) for v in (m.mean, m.spread, m.weights)]
+    yield pa.RecordBatch.from_arrays([*vectors, pa.array([float(m.bias)]), pa.array([float(m.prior)])], ["mean", "spread", "weights", "bias", "prior"])
+
+
 def train(docs: DataFrame, labels: DataFrame, learnable: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> QualityModel:
     """Learns from at most twice ``positives`` rows labelled 1 and twice ``unlabelled`` others; ``learnable`` (of the id column) rules rows out.
 
@@ -174,11 +187,11 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, doc_id: str = "
     web = sampled(rows, F.col("key"), unlabelled).withColumn("positive", F.lit(False))
     # a copied id may bring more rows than ids: the same bound again
     found = trusted.limit(2 * positives).unionByName(web).mapInArrow(_featured, StructType([StructField("key", rows.schema["key"].dataType), *StructType.fromDDL("positive boolean, x binary")]))
-    got = sorted(((r["positive"], bytes(r["x"])) for r in found.select("positive", "x").toLocalIterator()), reverse=True)  # a task's rows at a time
-    x = {p: np.frombuffer(b"".join(b for q, b in got if q is p), np.float32).reshape(-1, N_FEATURES + 1) for p in (True, False)}
-    del got
-    mixed = np.random.default_rng(0)
-    return fit_model(mixed.permutation(x.pop(True)), mixed.permutation(x.pop(False)))
+    # the bounded sample meets in one task; only the model's numbers come to the driver
+    row = found.select("positive", "x").repartition(1).mapInArrow(_fitted, "mean array<double>, spread array<double>, weights array<double>, bias double, prior double").first()
+    if row is None:
+        return fit_model(np.zeros((0, N_FEATURES + 1), np.float32), np.zeros((0, N_FEATURES + 1), np.float32))
+    return QualityModel(np.array(row["mean"]), np.array(row["spread"]), np.array(row["weights"]), row["bias"], row["prior"])
 
 
 def _scored(text: str, model: QualityModel, schema: StructType):
