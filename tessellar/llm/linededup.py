@@ -3,7 +3,9 @@
 A gram is the shortest run of lines from a line on that has 25 words. Of the grams that start within 25 words of each
 line, the one with the least hash is a fingerprint, so every repeated run of whole lines with 50 words shares one, and
 every shared one stands for 25 equal words at least. Each fingerprint is joined with its first occurrence only (a star,
-no pairs among copies); there the match is extended both ways, line by line, and the later run is deleted.
+no pairs among copies); there the match is extended both ways, line by line, and the later run is deleted. Where a match
+ends before the text does, a later place may have more of the run: fingerprints with equal matches and an equal next line
+are matched further among themselves, by hashes of 2^j lines for j from the largest down, each group with its first.
 
 All of it is DataFrame functions. Grouping is by fingerprint with partial aggregates; joins are on keys that Spark can
 split where they are skewed; what is gathered for one document is never more than its own lines.
@@ -38,12 +40,48 @@ def fingerprints(profile: DataFrame, gram_words: int = GRAM_WORDS) -> DataFrame:
     return grams.withColumn("least", F.min(whole).over(ahead)).where("least is not null").select("k", "least.pos", "least.gram").distinct()
 
 
+def _further(found: DataFrame, arrays: DataFrame) -> DataFrame | None:
+    """(k, span): what earlier occurrences other than the first have in common with each match beyond its ends; None where nothing grows.
+
+    A group holds places with equal lines from the fingerprint up to n. In each round those that agree in 2^j lines more
+    form a group of their own; the first of each stays behind too, as what the rest of the old group may match in part.
+    ``live`` is false where a place has nothing earlier in its group. So a place has one live row, and a group one other.
+    """
+    at = F.struct("k", "pos")
+    ends = F.array(*[F.struct(F.lit(side).alias("side"), F.col(n).alias("n"), F.col(h).alias("h")) for side, n, h in ((1, "n_ahead", "after"), (-1, "n_behind", "before"))])
+    rows = found.select("k", "pos", "gram", F.explode(ends).alias("e")).where("e.h is not null")
+    rows = written(rows.select("k", "pos", "e.side", (F.col("e.n") + 1).cast("int").alias("n"), F.xxhash64("gram", "e.side", "e.n", "e.h").alias("g")), "ends")
+    first = rows.groupBy("g").agg(F.min(at).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    rows = written(rows.join(first, "g").select("k", "pos", "side", "n", "g", (at != F.col("first")).alias("live")), "ends")
+    keys = rows.select("k").distinct()
+    few = keys.limit(BROADCAST_ROWS + 1).count()
+    if not few:
+        return None
+    arrays = written(arrays.join(F.broadcast(keys) if few <= BROADCAST_ROWS else keys, "k", "left_semi"), "ends-lines")
+    longest = arrays.agg(F.max(F.size("own"))).first()[0]
+    for j in reversed(range(longest.bit_length())):
+        size = 1 << j
+        begin = lambda m: F.when(m["side"] > 0, m["pos"] + m["n"]).otherwise(m["pos"] - m["n"] - size)  # noqa: B023, E731
+        inside = lambda m: (begin(m) >= 0) & (begin(m) + size <= F.size("own"))  # noqa: B023, E731
+        more = lambda m: F.struct(m["pos"].alias("pos"), m["side"].alias("side"), m["n"].alias("n"), m["g"].alias("g"), m["live"].alias("live"), F.when(inside(m), F.xxhash64(F.slice("own", begin(m) + 1, size))).alias("h"))  # noqa: B023, E731
+        held = rows.groupBy("k").agg(F.collect_list(F.struct("pos", "side", "n", "g", "live")).alias("ms")).join(arrays, "k")
+        held = written(held.select("k", F.explode(F.transform("ms", more)).alias("m")).select("k", "m.*"), "ends-hashes")
+        first = held.where("h is not null").groupBy("g", "h").agg(F.min(at).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+        met = held.join(first, ["g", "h"], "left")
+        stays = F.struct("n", "g", "live")
+        grown = lambda live: F.struct((F.col("n") + size).cast("int").alias("n"), F.xxhash64("g", "h").alias("g"), live.alias("live"))  # noqa: B023, E731
+        split = F.when(F.col("first").isNull(), F.array(stays)).when(at == F.col("first"), F.array(stays, grown(F.lit(False)))).otherwise(F.array(grown(F.col("live"))))
+        rows = written(met.select("k", "pos", "side", F.explode(split).alias("r")).select("k", "pos", "side", "r.*"), "ends")
+    start, stop = F.when(F.col("side") > 0, F.col("pos")).otherwise(F.col("pos") - F.col("n")), F.when(F.col("side") > 0, F.col("pos") + F.col("n")).otherwise(F.col("pos"))
+    return rows.where("live").select("k", F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop")).alias("span"))
+
+
 def repeated_runs(profile: DataFrame, gram_words: int = GRAM_WORDS) -> DataFrame:
     """(k, spans): for each document with later repeated runs their line numbers, half open."""
     marks = written(fingerprints(profile, gram_words), "fingerprints")
     first = marks.groupBy("gram").agg(F.min(F.struct("k", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     pairs = marks.join(first, "gram").where(F.struct("k", "pos") != F.col("first"))
-    pairs = pairs.select("k", "pos", F.col("first.k").alias("f"), F.col("first.pos").alias("f_pos"))
+    pairs = pairs.select("k", "pos", "gram", F.col("first.k").alias("f"), F.col("first.pos").alias("f_pos"))
     arrays = profile.select("k", F.transform("lines", lambda x: x["h"]).alias("own"))
     both = pairs.join(arrays, "k").join(arrays.select(F.col("k").alias("f"), F.col("own").alias("other")), "f")
     # matching lines after and before the fingerprint: up to the first that differs
@@ -55,7 +93,12 @@ def repeated_runs(profile: DataFrame, gram_words: int = GRAM_WORDS) -> DataFrame
     backward = F.array_position(F.zip_with(reverse("own", "pos"), reverse("other", "f_pos"), lambda a, b: a == b), F.lit(False))
     n_ahead = F.when(forward == 0, ahead).otherwise(forward - 1)
     n_behind = F.when(behind == 0, F.lit(0)).when(backward == 0, behind).otherwise(backward - 1)
-    spans = both.select("k", F.struct((F.col("pos") - n_behind).cast("int").alias("start"), (F.col("pos") + n_ahead).cast("int").alias("stop")).alias("span"))
+    next_lines = F.get("own", F.col("pos") + F.col("n_ahead")).alias("after"), F.get("own", F.col("pos") - F.col("n_behind") - 1).alias("before")
+    found = both.select("k", "pos", "gram", "own", n_ahead.cast("int").alias("n_ahead"), n_behind.cast("int").alias("n_behind"))
+    found = written(found.select("k", "pos", "gram", "n_ahead", "n_behind", *next_lines), "matches")
+    spans = found.select("k", F.struct((F.col("pos") - F.col("n_behind")).cast("int").alias("start"), (F.col("pos") + F.col("n_ahead")).cast("int").alias("stop")).alias("span"))
+    further = _further(found, arrays)
+    spans = spans if further is None else spans.unionByName(further)
     return spans.groupBy("k").agg(F.collect_set("span").alias("spans"))
 
 

@@ -67,3 +67,40 @@ def test_odd_rows(spark):
     six = next(g for g in got if g[0] == 6)
     assert six[1] == "y\ny\ny\n" and six[2] == 60_001 and six[3] >= 1
     assert dedup_lines(df.limit(0)).collect() == []
+
+
+def test_a_run_goes_whole_where_an_earlier_document_has_its_middle(spark):
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows, want = [], {}
+    for c in range(20):
+        x, f, y = line(f"x{c}_", 20), line(f"f{c}_", 30), line(f"y{c}_", 20)
+        own = [line(f"o{c}_{k}_", 9) for k in range(6)]
+        rows += [(3 * c, "\n".join([own[0], f, own[1]] if c % 2 else [f])), (3 * c + 1, "\n".join([own[2], x, f, y, own[3]])), (3 * c + 2, "\n".join([own[4], x, f, y, own[5]]))]
+        want |= {3 * c: rows[-3][1], 3 * c + 1: "\n".join([own[2], x, y, own[3]]), 3 * c + 2: "\n".join([own[4], own[5]])}
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_every_repeat_of_50_words_goes_by_brute_force(spark, seed):
+    r = np.random.default_rng(seed)
+    lines = [" ".join(f"w{k}_{i}" for i in range(int(r.integers(3, 30)))) for k in range(60)]
+    docs = [[f"own {d}"] for d in range(30)]
+    for d, own in enumerate(docs):
+        for _ in range(int(r.integers(1, 4))):
+            a = int(r.integers(0, 50))
+            own += lines[a : a + int(r.integers(2, 10))] + [f"own {d} {len(own)}"]
+    got = [(x.doc_id, x.text) for x in dedup_lines(spark.createDataFrame([(d, "\n".join(own)) for d, own in enumerate(docs)], "doc_id long, text string")).collect()]
+    gone = {k[1]: v for k, v in check([(d, "\n".join(own)) for d, own in enumerate(docs)], got).items()}
+    for d, own in enumerate(docs):
+        must, may = set(), set()
+        for e, other in enumerate(docs[: d + 1]):
+            for i in range(len(own)):
+                for j in range(i if e == d else len(other)):
+                    n = 0
+                    while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                        n += 1
+                    held = sum(words(x) for x in own[i : i + n])
+                    must |= set(range(i, i + n)) if held >= 50 else set()
+                    may |= set(range(i, i + n)) if held >= GRAM_WORDS else set()
+        assert must <= {i for i, kept in enumerate(gone[d]) if not kept} <= may
