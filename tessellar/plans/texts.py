@@ -86,8 +86,9 @@ SQL_FACETS = """with p as (select list_filter(string_split(regexp_extract(coales
 
 
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of licence lines that one language's documents state and that differ, with how many documents state each."""
-    stated = table(spark, sf_dir, "documents").select("lang", F.regexp_extract("text", r"Licensed under ([A-Za-z0-9 .,-]*)", 1).alias("licence")).where("licence <> ''").groupBy("lang", "licence").agg(F.count("*").alias("n"))
+    """Pairs of licence lines that one language's documents state and that differ, with how many documents state each; a document may state several."""
+    lines = F.array_distinct(F.regexp_extract_all("text", F.lit(r"Licensed under ([A-Za-z0-9 .,-]*)"), F.lit(1)))
+    stated = table(spark, sf_dir, "documents").select("lang", F.explode(lines).alias("licence")).where("licence <> ''").groupBy("lang", "licence").agg(F.count("*").alias("n"))
     other = stated.select("lang", F.col("licence").alias("other"), F.col("n").alias("n_other"))
     return stated.join(other, "lang").where("licence < other").select("lang", "licence", "other", "n", "n_other")
 
