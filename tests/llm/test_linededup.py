@@ -104,3 +104,15 @@ def test_every_repeat_of_50_words_goes_by_brute_force(spark, seed):
                     must |= set(range(i, i + n)) if held >= 50 else set()
                     may |= set(range(i, i + n)) if held >= GRAM_WORDS else set()
         assert must <= {i for i, kept in enumerate(gone[d]) if not kept} <= may
+
+
+@pytest.mark.parametrize(("period", "n_words", "times"), [(1, 2, 40), (1, 30, 9), (2, 3, 50), (3, 20, 7), (40, 6, 5)])
+def test_of_a_periodic_text_the_first_period_or_a_gram_stays(spark, period, n_words, times):
+    once = [" ".join(f"p{k}_{i}" for i in range(n_words)) for k in range(period)]
+    head, tail = " ".join(f"h{i}" for i in range(9)), " ".join(f"t{i}" for i in range(9))
+    rows = [(1, "\n".join([head, *once * times, tail])), (2, "\n".join(once * (times - 1)))]
+    got = {r.doc_id: r.text.split("\n") for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gram = -(-GRAM_WORDS // n_words)
+    kept = len(got[1]) - 2
+    assert got[1] == [head, *(once * times)[:kept], tail] and got[2] == [""]
+    assert max(period, gram) <= kept <= (period if period * n_words >= 2 * GRAM_WORDS else period + gram)
