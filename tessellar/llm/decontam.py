@@ -6,11 +6,14 @@ backward, all together, one rank step per word; the occurrences of those that ar
 next sampled position, and their word spans are merged per text. Words that no window holds end a suffix: each counts
 as a symbol of its own, lower than all others, ordered by position, so ranges and walks never cross one.
 
-Windows are broadcast in blocks of bounded size. All blocks pass over a text in the same stage, so rows meet no shuffle.
+Windows are made in tasks, a block of bounded size each, and written; the driver holds one block at a time, as bytes. Up to
+eight blocks pass over a text in one stage, so rows meet no shuffle; more of them take more stages, the marks written
+between, and what a stage broadcast is released.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -21,39 +24,83 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessellar.llm.common import by_bytes, text_buffers
+from tessellar.llm.common import by_bytes, small_batches, text_buffers, written
 from tessellar.llm.words import find_words, item_words
 
 WINDOW = 10
 SHARD_BYTES = 3_000_000
 SAMPLE = 32
-BLOCK_BYTES = 32_000_000
+#: Bytes of benchmark texts in a block, and blocks that pass in one stage.
+BLOCK_BYTES = 4_000_000
+BLOCKS_A_STAGE = 8
 
 
 @dataclass
 class Windows:
-    """The distinct windows as rows of vocabulary ids (right-aligned, 0 before short ones) with the items that hold them."""
+    """The distinct windows as places in a sequence of vocabulary ids (short items are right-aligned, 0 before them), with the items that hold them."""
 
     vocabulary: np.ndarray  # sorted word hashes; id k + 1 is the k-th
-    ids: np.ndarray
+    sequence: np.ndarray
+    starts: np.ndarray
     lengths: np.ndarray
-    items: list[list[str]]
+    names: list[str]
+    held: np.ndarray  # items of window k: names[held[k]] for k from first[k] to first[k + 1]
+    first: np.ndarray
+    size: int
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.held[self.first[window] : self.first[window + 1]]]
+
+
+def _classes(ids: np.ndarray, size: int) -> np.ndarray:
+    """A number for each run of ``size`` ids, equal for equal runs only, by doubling; those that reach beyond the end are of no use."""
+    part, out, done = ids.astype(np.int64), None, 0
+    for bit in range(size.bit_length()):
+        if size >> bit & 1:
+            if out is None:
+                out, done = part, 1 << bit
+            else:
+                out, done = _paired(out, part, done), done + (1 << bit)
+        part = _paired(part, part, 1 << bit)
+    return out
 
 
-def make_windows(items: pd.DataFrame, size: int = WINDOW) -> Windows:
-    """Windows of rows (item_id, text): runs of ``size`` words, all words of shorter items; null texts and ids have none."""
-    items = items.dropna()
-    words = find_words(*text_buffers(pa.array(items["text"].tolist(), pa.string())), item_words())
-    vocabulary = np.unique(words.hashes)
-    ids = np.searchsorted(vocabulary, words.hashes) + 1
-    found: dict[tuple[int, ...], set[str]] = {}
-    for item, a, b in zip(items["item_id"].astype(str), words.first[:-1], words.first[1:], strict=True):
-        for i in range(a, max(b - size + 1, a + (b > a))):
-            found.setdefault(tuple(ids[i : min(i + size, b)].tolist()), set()).add(item)
-    table = np.zeros((len(found), size), np.int64)
-    for row, key in zip(table, found, strict=True):
-        row[size - len(key) :] = key
-    return Windows(vocabulary, table, np.array([len(k) for k in found], np.int64), [sorted(v) for v in found.values()])
+def _paired(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
+    """A number for each pair of a and what b has so many places on."""
+    after = np.zeros_like(a)
+    after[: max(0, len(a) - shift)] = b[shift:]
+    return np.unique(a * (int(b.max(initial=0)) + 1) + after, return_inverse=True)[1].astype(np.int64)
+
+
+def make_windows(items: Sequence[str], texts: pa.Array, size: int = WINDOW) -> Windows:
+    """Windows of texts without nulls and the items they belong to: runs of ``size`` words, all words of shorter items."""
+    words = find_words(*text_buffers(texts), item_words())
+    vocabulary, ids = np.unique(words.hashes, return_inverse=True)
+    counts = words.counts.astype(np.int64)
+    space = np.where(counts > 0, np.maximum(counts, size), 0)
+    ends = np.cumsum(space)
+    sequence = np.zeros(int(space.sum()), np.int32)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    sequence[np.arange(len(ids)) + (ends - np.cumsum(counts))[owner]] = ids + 1
+    n_starts = np.where(counts > 0, space - size + 1, 0)
+    item = np.repeat(np.arange(len(counts)), n_starts)
+    starts = np.arange(int(n_starts.sum())) + ((ends - space) - (np.cumsum(n_starts) - n_starts))[item]
+    if not len(starts):
+        return Windows(vocabulary, sequence, starts, starts, [], starts, np.zeros(1, np.int64), size)
+    _, at, window = np.unique(_classes(sequence, size)[starts], return_index=True, return_inverse=True)
+    names, own = np.unique(np.array([str(i) for i in items]), return_inverse=True)
+    both = np.unique(window.astype(np.int64) * len(names) + own[item])
+    first = np.searchsorted(both // len(names), np.arange(len(at) + 1))
+    return Windows(vocabulary, sequence, starts[at], np.minimum(counts, size)[item[at]], names.tolist(), (both % len(names)).astype(np.int32), first, size)
+
+
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of a block's items, which come in one partition, as one row."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        rows = pa.Table.from_batches(held)
+        windows = make_windows(rows["item_id"].to_pylist(), rows["text"].combine_chunks())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(windows)], pa.binary())], ["windows"])
 
 
 class WaveletTree:
@@ -134,14 +181,16 @@ class FMIndex:
     def _back(self, symbols: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return self.below[symbols] + self.tree.rank(symbols, rows)
 
-    def search(self, windows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Indices of the windows that occur, with the ranges of their suffixes."""
-        live = np.flatnonzero((windows <= self.top).all(axis=1))
+        here = np.diff(self.below) > 0
+        here[0] = True
+        missing = np.concatenate([[0], np.cumsum(~here[np.minimum(windows.sequence, self.top)] | (windows.sequence > self.top))])
+        live = np.flatnonzero(missing[windows.starts] == missing[windows.starts + windows.size])
         low, high = np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
-        size = windows.shape[1]
-        for k in range(size):
-            moving = lengths[live] > k
-            symbols = windows[live, size - 1 - k]
+        for k in range(windows.size):
+            moving = windows.lengths[live] > k
+            symbols = windows.sequence[windows.starts[live] + windows.size - 1 - k].astype(np.int64)
             low = np.where(moving, self._back(symbols, low), low)
             high = np.where(moving, self._back(symbols, high), high)
             some = low < high
@@ -165,7 +214,7 @@ def find_hits(words, windows: Windows) -> tuple[np.ndarray, list[set[str]]]:
     """Of a shard's words: which are hit; and the items that each text holds."""
     n_texts, n = len(words.first) - 1, len(words.hashes)
     hit, items = np.zeros(n + 1, np.int64), [set() for _ in range(n_texts)]
-    if not n or not len(windows.ids):
+    if not n or not len(windows.starts):
         return hit[:n] > 0, items
     v = windows.vocabulary
     at = np.minimum(np.searchsorted(v, words.hashes), len(v) - 1)
@@ -184,7 +233,7 @@ def find_hits(words, windows: Windows) -> tuple[np.ndarray, list[set[str]]]:
     if not sequence.any():
         return hit[:n] > 0, items
     index = FMIndex(sequence)
-    live, low, high = index.search(windows.ids, windows.lengths)
+    live, low, high = index.search(windows)
     count = high - low
     total = int(count.sum())
     if total:
@@ -195,51 +244,46 @@ def find_hits(words, windows: Windows) -> tuple[np.ndarray, list[set[str]]]:
         np.add.at(hit, start + windows.lengths[window], -1)
         text = np.searchsorted(words.first, start, "right") - 1
         for t, w in np.unique(np.stack([text, window], 1), axis=0).tolist():
-            items[t].update(windows.items[w])
+            items[t].update(windows.items(w))
     return np.cumsum(hit[:n]) > 0, items
 
 
 SPANS = "array<struct<start:bigint,stop:bigint>>"
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
-
-
-def _pass(text: str, broadcast, schema: T.StructType, first: bool):
-    """Marks the hits of one block of windows; later blocks add to the columns of the earlier ones."""
+def _pass(text: str, blocks: list, schema: T.StructType, first: bool):
+    """Marks the hits of some blocks of windows; a later stage adds to the columns of the earlier ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out_schema = to_arrow_schema(schema)
+        windows = [pickle.loads(b.value) for b in blocks]
         for batch in by_bytes(batches, text, SHARD_BYTES):
             words = find_words(*text_buffers(batch.column(text)), item_words())
-            hit, items = find_hits(words, broadcast.value)
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-            a, b = edges[::2], edges[1::2]
-            # a span never crosses texts: cut it at each text's first word
-            inner = np.setdiff1d(words.first[1:-1][(hit[np.minimum(words.first[1:-1], len(hit) - 1)] if len(hit) else np.zeros(len(words.first) - 2, bool))], a)
-            inner = inner[(inner > 0) & (inner < len(hit))]
-            inner = inner[hit[inner - 1]]
-            a, b = np.sort(np.concatenate([a, inner])), np.sort(np.concatenate([b, inner]))
-            spans: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
-            for t, x, y in zip((np.searchsorted(words.first, a, "right") - 1).tolist(), a.tolist(), b.tolist(), strict=True):
-                spans[t].append((x - int(words.first[t]), y - int(words.first[t])))
+            hit, items = np.zeros(len(words.hashes), bool), [set() for _ in range(batch.num_rows)]
+            for w in windows:
+                more, found = find_hits(words, w)
+                hit |= more
+                for own, new in zip(items, found, strict=True):
+                    own.update(new)
             if not first:
                 for t, (old, had) in enumerate(zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist(), strict=True)):
-                    spans[t] = _merged([*spans[t], *((s["start"], s["stop"]) for s in old)])
                     items[t].update(had)
+                    for s in old:
+                        hit[words.first[t] + s["start"] : words.first[t] + s["stop"]] = True
+            # runs of hit words; none crosses texts, so a text's first word begins one
+            before, after = np.concatenate([[False], hit[:-1]]), np.concatenate([hit[1:], [False]])
+            heads = words.first[:-1][words.counts > 0]
+            before[heads], after[heads[1:] - 1] = False, False
+            a, b = np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after) + 1
+            spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for t, x, y in zip((np.searchsorted(words.first, a, "right") - 1).tolist(), a.tolist(), b.tolist(), strict=True):
+                spans[t].append({"start": x - int(words.first[t]), "stop": y - int(words.first[t])})
             columns = [batch.column(f.name) for f in schema.fields if f.name not in ("_spans", "_items", "_words")]
             columns += [
                 pa.array(words.counts, pa.int64()),
-                pa.array([[{"start": x, "stop": y} for x, y in s] for s in spans], out_schema.field("_spans").type),
+                pa.array(spans, out_schema.field("_spans").type),
                 pa.array([sorted(i) for i in items], pa.list_(pa.string())).cast(out_schema.field("_items").type),
             ]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
@@ -258,17 +302,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     carried = docs.columns if carry is None else list(carry)
     keep = [c for c in docs.columns if c == text or c in carried and c not in added]
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("item_id"), F.col(f"`{item_text}`").alias("text")).where("text is not null and item_id is not null")
+    spark, out = docs.sparkSession, docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)])
+    small_batches(spark)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
-    spark, out = docs.sparkSession, docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)])
+    made = written(items.repartition(blocks, "item_id").mapInArrow(_made, "windows binary"), "windows")
     column = f"_c{keep.index(text)}"
     fields = out.schema.fields
-    made = [T.StructField("_words", T.LongType()), *T._parse_datatype_string(f"_spans {SPANS}, _items array<string>").fields]
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toPandas()  # at most about block_bytes of texts
-        last = k == blocks - 1 and text not in carried
-        schema = T.StructType([*(f for f in fields if not last or f.name != column), *made])
-        out = out.mapInArrow(_pass(column, spark.sparkContext.broadcast(make_windows(block)), schema, k == 0), schema)
+    marks = [T.StructField("_words", T.LongType()), *T._parse_datatype_string(f"_spans {SPANS}, _items array<string>").fields]
+    stages = max(1, -(-made.count() // BLOCKS_A_STAGE))
+    rows = made.toLocalIterator()  # a partition, of a block or a few, at a time
+    for k in range(stages):
+        held = [spark.sparkContext.broadcast(bytes(r["windows"])) for _, r in zip(range(BLOCKS_A_STAGE), rows, strict=False)]
+        last = k == stages - 1
+        schema = T.StructType([*(f for f in fields if not last or f.name != column or text in carried), *marks])
+        out = out.mapInArrow(_pass(column, held, schema, k == 0), schema)
+        if not last:
+            out = written(out, "marks")
+            for b in held:
+                b.destroy()
     hits = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return out.select(
         *[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep) if c in carried],

@@ -1,10 +1,10 @@
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 
+from tessellar.llm import decontam
 from tessellar.llm.common import text_buffers
 from tessellar.llm.decontam import FMIndex, find_contamination, find_hits, make_windows, remove_contamination, suffix_order
 from tessellar.llm.words import find_words, item_words
@@ -38,7 +38,7 @@ def brute(docs, items, size=10):
 
 def hits(docs, items, size=10):
     words = find_words(*text_buffers(pa.array(docs, pa.string())), item_words())
-    hit, found = find_hits(words, make_windows(pd.DataFrame(items, columns=["item_id", "text"]), size))
+    hit, found = find_hits(words, make_windows([i for i, _ in items], pa.array([t for _, t in items], pa.string()), size))
     return [(b - a, int(hit[a:b].sum()), sorted(f)) for a, b, f in zip(words.first[:-1].tolist(), words.first[1:].tolist(), found, strict=True)]
 
 
@@ -63,7 +63,9 @@ def test_suffix_order_and_ranks():
     assert index.tree.rank(symbols, at).tolist() == [int((index.before[:a] == s).sum()) for s, a in zip(symbols, at, strict=True)]
 
 
-def test_operator_over_rows(spark):
+@pytest.mark.parametrize("blocks", [1, 8])
+def test_operator_over_rows(spark, monkeypatch, blocks):
+    monkeypatch.setattr(decontam, "BLOCKS_A_STAGE", blocks)
     passage = " ".join(f"word{i}" for i in range(14))
     docs = [(1, f"Intro. {passage}, end", 7), (1, f"Intro. {passage}, end", 7), (2, None, 8), (None, "clean", 9), (3, passage.upper() * 1, 1), (4, passage + " " + passage, 2), (5, "short item", 2)]
     df = spark.createDataFrame(docs, "doc_id long, text string, items int")
