@@ -6,7 +6,8 @@ Landmark texts give the Nyström map K(x, landmarks) K(landmarks, landmarks)^(-1
 against the rest is solved in that space. Texts are scored in batches: presence matrix times landmark matrix times
 weights.
 
-N-grams that no landmark has can't meet one, so presence is counted among the landmarks' n-grams. The training sample
+N-grams that no landmark has can't meet one, so the presence matrix has the landmarks' n-grams only; the sizes of the sets
+count all n-grams. The training sample
 is bounded (``sample`` rows, shared evenly among languages); whole texts are used there and in scoring.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessellar.llm.common import by_bytes, text_buffers
+from tessellar.llm.common import by_bytes, small_batches, text_buffers
 from tessellar.llm.sampling import sampled
 
 SAMPLE = 1200
@@ -66,6 +67,14 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(codes), np.concatenate(texts)
 
 
+def distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and texts of the distinct n-grams of each text, by text and code."""
+    codes, texts = grams(data, offsets)
+    both = np.sort((texts.astype(np.int64) << 32) | codes)
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    return (both & 0xFFFFFFFF).astype(np.int32), (both >> 32).astype(np.int32)
+
+
 @dataclass
 class LanguageModel:
     """vocabulary: sorted codes; landmarks: presence over the root of its size; weights: from kernel values to languages."""
@@ -75,25 +84,22 @@ class LanguageModel:
     landmarks: np.ndarray
     weights: np.ndarray
 
-    def __post_init__(self):
-        self.table = None
-
-    def __getstate__(self):
-        return {"languages": self.languages, "vocabulary": self.vocabulary, "landmarks": self.landmarks, "weights": self.weights, "table": None}
+    def presence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which n-grams of the vocabulary each text has, and how many distinct n-grams of any kind."""
+        codes, texts = distinct(data, offsets)
+        at = np.minimum(np.searchsorted(self.vocabulary, codes), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == codes
+        out = np.zeros((len(offsets) - 1, len(self.vocabulary)), np.float32)
+        out[texts[known], at[known]] = 1
+        return out, np.bincount(texts, minlength=len(offsets) - 1)
 
-    def presence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        if self.table is None:  # one table for each worker: place of every code, the last one for unknown codes
-            self.table = np.full(4 << 24, len(self.vocabulary), np.uint16 if len(self.vocabulary) < 65536 else np.int32)
-            self.table[self.vocabulary] = np.arange(len(self.vocabulary))
-        codes, texts = grams(data, offsets)
-        out = np.zeros((len(offsets) - 1, len(self.vocabulary) + 1), np.float32)
-        out[texts, self.table[codes]] = 1
-        return out[:, :-1]
+    def kernel(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Kernel values of the texts with the landmarks."""
+        p, size = self.presence(data, offsets)
+        return (p @ self.landmarks.T).astype(np.float64) / np.sqrt(np.maximum(size, 1))[:, None]
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        p = self.presence(data, offsets)
-        size = np.sqrt(np.maximum(p.sum(axis=1, dtype=np.float64), 1))
-        return ((p @ self.landmarks.T).astype(np.float64) / size[:, None]) @ self.weights
+        return self.kernel(data, offsets) @ self.weights
 
 
 def fit_model(spectra: list[np.ndarray], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
@@ -110,7 +116,7 @@ def fit_model(spectra: list[np.ndarray], languages: list[str], landmarks: int =
     for row, codes in zip(x, spectra, strict=True):
         at = np.minimum(np.searchsorted(vocabulary, codes), len(vocabulary) - 1)
         row[at[vocabulary[at] == codes]] = 1
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    x /= np.sqrt(np.array([[max(len(codes), 1)] for codes in spectra], np.float32))
     marks = x[chosen]
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     use = values > 1e-6 * values.max()
@@ -123,15 +129,17 @@ def fit_model(spectra: list[np.ndarray], languages: list[str], landmarks: int =
 
 def _spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "text", CHUNK_BYTES):
-        codes, texts = grams(*text_buffers(batch.column("text")))
-        both = np.unique((texts.astype(np.int64) << 32) | codes)
-        ends = np.searchsorted(both >> 32, np.arange(batch.num_rows + 1))
-        held = (both & 0xFFFFFFFF).astype(np.int32)
+        held, texts = distinct(*text_buffers(batch.column("text")))
+        ends = np.searchsorted(texts, np.arange(batch.num_rows + 1))
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([held[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["lang", "codes"])
 
 
 def train(docs: DataFrame, learnable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS) -> LanguageModel | None:
-    """Learns from at most twice ``sample`` rows with text and language that ``learnable`` allows; None if there are none."""
+    """Learns from at most twice ``sample`` rows with text and language that ``learnable`` allows; None if there are none.
+
+    Where there are more languages than ``sample``, so many of the most frequent are learned.
+    """
+    small_batches(docs.sparkSession)
     rows = docs.where(learnable).where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").rlike(r"\p{L}"))
     rows = rows.select(F.col(f"`{doc_id}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     few = sampled(rows, F.col("key"), sample, "lang").select("lang", "text")
@@ -168,6 +176,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text", c
     the first language in text order. Columns lang_pred and score of the input are replaced. ``carry`` names the input
     columns to return, all of them if None.
     """
+    small_batches(docs.sparkSession)
     carried = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]
     keep = carried if text in carried else [*carried, text]
     inner = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(keep)])

@@ -22,10 +22,31 @@ def test_kernel_is_that_of_the_sets():
     for s, t in zip(sets, texts, strict=True):
         assert len(s) == len(spectrum(t))
     model = langid.fit_model([sets[0], sets[1], sets[4]], ["en", "fr", "en"], landmarks=3)
-    k = model.presence(*text_buffers(pa.array(texts))) @ model.landmarks.T
-    order = sorted(range(3), key=lambda i: -len([sets[0], sets[1], sets[4]][i]))
-    assert abs(k[0].max() - len(spectrum(texts[0])) / np.sqrt(len(spectrum(texts[0])))) < 1e-4
-    assert len(order) == 3 and langid.folded(np.frombuffer("ÉÀ×é".encode(), np.uint8)).tobytes().decode() == "éà×é"
+    k = model.kernel(*text_buffers(pa.array(texts)))
+    landmark = sorted((0, 1, 4), key=lambda i: (("en", "fr", "")[(0, 1, 4).index(i)] == "", -len(sets[i])))
+    plain = np.array([[len(spectrum(x) & spectrum(texts[m])) / np.sqrt(max(1, len(spectrum(x))) * len(spectrum(texts[m]))) for m in landmark] for x in texts])
+    assert np.allclose(np.sort(k, axis=1), np.sort(plain, axis=1), atol=1e-5)
+    assert langid.folded(np.frombuffer("ÉÀ×é".encode(), np.uint8)).tobytes().decode() == "éà×é"
+
+
+def test_predictions_are_those_of_plain_kernel_ridge_regression():
+    r = np.random.default_rng(3)
+    words = {"en": "the cat and dog sat on mat with hat".split(), "fr": "le chat et chien était sur là avec où".split(), "de": "der hund und katze saß auf über mit".split()}
+    rows = [(name, " ".join(r.choice(own, 6))) for name, own in words.items() for _ in range(8)]
+    probes = [*(" ".join(r.choice(own, 4)) + f" zq{k} xyzzy" for own in words.values() for k in range(5)), "q", "", "Ω" * 50]
+    codes = [np.unique(langid.grams(*text_buffers(pa.array([t])))[0]) for _, t in rows]
+    model = langid.fit_model(codes, [n for n, _ in rows], landmarks=len(rows))
+    sets, names = [spectrum(t) for _, t in rows], sorted(words)
+    alike = lambda a, b: len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+    k = np.array([[alike(a, b) for b in sets] for a in sets])
+    y = np.array([[1.0 if n == name else -1.0 for name in names] for n, _ in rows])
+    plain = np.array([[alike(spectrum(t), b) for b in sets] for t in probes]) @ np.linalg.solve(k + langid.RIDGE * np.eye(len(k)), y)
+    assert np.allclose(model.margins(*text_buffers(pa.array(probes))), plain, atol=1e-3)
+
+
+def test_more_languages_than_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"word{i} text", f"l{i % 7}") for i in range(40)], "doc_id long, text string, lang string")
+    assert langid.train(docs, F.lit(True), sample=3).languages == ["l0", "l1", "l2"]
 
 
 def test_held_out_accuracy(spark):
