@@ -318,6 +318,9 @@ def decode(data: bytes) -> Picture:
             for c in parts:
                 c.wide, c.high = -(-width // (8 * h)) * c.h, -(-height // (8 * v)) * c.v
                 c.own_wide, c.own_high = -(-(-(-width * c.h // h)) // 8), -(-(-(-height * c.v // v)) // 8)
+            if sum(c.own_wide * c.own_high for c in parts) > 8 * len(data):  # a block takes a bit at least
+                raise ValueError("a frame too large for its file")
+            for c in parts:
                 c.coefficients = np.zeros((c.wide * c.high, 64), np.int16)
         elif kind == 0xDD:
             interval = int.from_bytes(body[:2], "big")

@@ -55,10 +55,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text stored as a progressive JPEG file and read back."""
+    """Every document's text stored as a progressive JPEG file and read back, with its full-resolution RGB tensor."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    read = media.read_media(media.texts_to_media(docs), tensors=False)
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    read = media.read_media(media.texts_to_media(docs))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "tensor")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
