@@ -11,6 +11,7 @@ the driver come counts, sums and one deviation a round.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,7 +39,7 @@ def n_tokens(text: Column) -> Column:
 
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic by form: licence lines, e-mail addresses, tables, all others."""
+    """A stand-in for a topic model, coarse, by form only: licence lines, e-mail addresses, tables, all others."""
     t = F.coalesce(text, F.lit(""))
     return (
         F.when(t.contains("Licensed under"), "licence")
@@ -86,15 +87,17 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
     whole = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     done, moved = 0, float("inf")
     while done < rounds and moved > tolerance * max(whole, 1.0):
-        for _ in range(min(ROUNDS_A_JOB, rounds - done) if few else 1):
+        for _ in range(min(ROUNDS_A_JOB, rounds - done)):  # tested after the same rounds whatever the size
             done += 1
             now = now.withColumn("_before", F.col("raked"))
             for k, name in enumerate(targets):
                 share = F.col(f"_share{k}") * F.lit(whole) / F.col("_sum")
                 now = _with_sums(now, name, few).withColumn("raked", F.when(F.col("_sum") > 0, F.coalesce(F.col("raked") * share, F.lit(0.0))).otherwise(0.0)).drop("_sum")
                 now = now if few else cut(now)
-        now = cut(now.coalesce(1) if few else now)
+        now = cut(now.coalesce(1)) if few else now
         moved = now.agg(F.max(F.abs(F.col("raked") - F.col("_before")))).first()[0] or 0.0
+    if moved > tolerance * max(whole, 1.0):
+        warnings.warn(f"after {done} rounds cells still move by {moved:.3g} of {whole:.3g} tokens: the margins don't hold", stacklevel=2)
     return now.select(*cells.columns, "raked")
 
 
@@ -126,28 +129,32 @@ def mix(docs: DataFrame, dimensions: Mapping[str, Column], tokens: Column, doc_i
     ``targets`` has (value, share) for each dimension; one without targets is tempered with ``power``. Rows with equal ids
     draw alike. A row whose cell gets nothing has probability 0 and null weight. A row without tokens costs nothing; it is
     sampled like its cell, with probability 1 where the whole cell has no tokens. A null dimension value is a value of
-    its own. Columns of the added names that the input has are replaced.
+    its own. Columns of the added names that the input has are replaced. If the margins don't hold after all rounds (targets
+    that contradict each other, or empty cells), a warning says how far cells still move.
     """
+    if clash := {"n_tokens", "probability", "weight", "sampled"} & set(dimensions):
+        raise ValueError(f"a dimension can't have the name of a column that is added: {sorted(clash)}")
     names = list(dimensions)
     added = [*names, "n_tokens", "probability", "weight", "sampled"]
     keep = [c for c in docs.columns if c not in added or c == doc_id]
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")
-    parts = [*[c.cast("string").alias(n) for n, c in dimensions.items()], tokens.cast("long").alias("n_tokens")]
-    counted = docs.select(*parts).groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
+    inner = {n: f"_d{i}" for i, n in enumerate(names)}
+    parts = [*[c.cast("string").alias(inner[n]) for n, c in dimensions.items()], tokens.cast("long").alias("n_tokens")]
+    counted = docs.select(*parts).groupBy(*inner.values()).agg(F.sum("n_tokens").alias("tokens"))
     cells = cut(counted)
-    goals = {n: targets[n] if targets and n in targets else tempered(cells, n, power) for n in names}
+    goals = {d: targets[n] if targets and n in targets else tempered(cells, d, power) for n, d in inner.items()}
     raked = rake(cells, goals, rounds)
     scale = scale_for(raked, rate)
     ratio = F.col("raked") / F.col("tokens") * F.lit(scale)
     p = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), ratio))
     w = F.when(F.col("tokens") == 0, F.lit(1.0)).when(p > 0, ratio / p)
     few = raked.count() <= FEW_CELLS
-    rates = raked.select(*[F.col(n).alias(f"_{n}") for n in names], p.alias("probability"), w.alias("weight"))
+    rates = raked.select(*[F.col(d).alias(f"_{d}") for d in inner.values()], p.alias("probability"), w.alias("weight"))
     rows = docs.select(row, *parts)
     same = F.lit(True)
-    for n in names:
-        same = same & F.col(n).eqNullSafe(F.col(f"_{n}"))
+    for d in inner.values():
+        same = same & F.col(d).eqNullSafe(F.col(f"_{d}"))
     joined = rows.join(_held(rates, few), same, "left")
     chosen = draw(F.col("_row").getField(doc_id)) < F.col("probability")
-    shown = {**{n: F.col(n) for n in names}, "n_tokens": F.col("n_tokens"), "probability": F.col("probability"), "weight": F.col("weight"), "sampled": chosen}
+    shown = {**{n: F.col(d) for n, d in inner.items()}, "n_tokens": F.col("n_tokens"), "probability": F.col("probability"), "weight": F.col("weight"), "sampled": chosen}
     return joined.select(*[F.col("_row").getField(c).alias(c) for c in keep], *[c.alias(n) for n, c in shown.items() if n != doc_id])
