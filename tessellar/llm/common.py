@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,11 +18,13 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set only where that is unset (local tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one is set only where that is unset and the master local."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
         current = sc._jsc.sc().getCheckpointDir()
     return (named or current.get()).rstrip("/")
@@ -42,7 +45,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes unless the session has its own bound: a fixed count of long texts or sets is no bound."""
+    """Bounds Arrow batches by bytes unless the session has its own bound: a fixed count of long texts or sets is no bound.
+
+    Every operator with Python tasks calls it first, so that what a task holds doesn't depend on what ran before in the session.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if name not in spark.conf.getAll:
         spark.conf.set(name, ARROW_BYTES)
