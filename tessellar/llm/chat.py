@@ -4,7 +4,7 @@ A transcript is a sequence of lines, kept as parts (any pieces of whole lines) i
 and whether it begins a turn or goes on with it. What a line shows are its speaker marker, whether a blank line stands
 before it, and its length. The model is counted from transcripts of known roles; Viterbi's best path gives the roles.
 
-A long transcript is no single task: parts are taken in blocks of 256. A block's effect on the scores is a max-plus
+A long transcript is no single task: parts are taken in blocks of about 256. A block's effect on the scores is a max-plus
 matrix; products of such matrices, 256 at a time, give the scores at every block's start and the state at its end, and
 each block is then decoded by itself with those two held.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import cut, written
+from tessellar.llm.common import cut, small_batches, written
 
 ROLES = ("system", "user", "assistant")
 K = 2 * len(ROLES) + 1  # begin and inside of each role, then the start
@@ -96,13 +96,22 @@ FRESH = np.where(np.arange(K) == START, 0.0, NEVER)
 
 
 def _parts(rows: DataFrame, conv_id: str, part: str, text: str, *more: Column) -> DataFrame:
-    """Distinct parts with their number of copies. A row without conversation or part number is a transcript of its own."""
+    """Distinct parts with their number of copies. A row without conversation or part number is a transcript of its own.
+
+    A block has the parts of 256 numbers. Where more than 256 parts of a transcript share a number, its blocks have fewer
+    numbers, and parts of one number are dealt to blocks by the hash that orders them.
+    """
     c, p, t = F.col(f"`{conv_id}`"), F.col(f"`{part}`").cast("long"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     known = c.isNotNull() & p.isNotNull()
     key = F.when(known, F.concat(F.lit("c:"), c.cast("string"))).otherwise(F.concat(F.lit("row:"), F.sha2(t.cast("binary"), 256)))
-    block = F.when(known, F.floor(p / BLOCK)).otherwise(0).cast("long")
-    out = rows.select(key.alias("key"), block.alias("block"), c.alias("conv"), p.alias("part"), t.alias("text"), *more)
-    return out.groupBy(*out.columns).agg(F.count("*").alias("copies"))
+    out = rows.select(key.alias("key"), c.alias("conv"), p.alias("part"), t.alias("text"), *more)
+    out = written(out.groupBy(*out.columns).agg(F.count("*").alias("copies")), "parts")
+    crowded = out.where("conv is not null and part is not null").groupBy("key", "part").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    finer = cut(crowded.groupBy("key").agg(F.ceil(F.max("n") / BLOCK).alias("finer")))
+    place = F.floor((F.xxhash64("text") / F.lit(2.0**64) + F.lit(0.5)) * F.col("finer") * BLOCK)
+    known = F.col("conv").isNotNull() & F.col("part").isNotNull()
+    block = F.when(~known, 0).when(F.col("finer").isNull(), F.floor(F.col("part") / BLOCK)).otherwise(F.col("part") * F.col("finer") + F.floor(F.least(place, F.col("finer") * BLOCK - 1) / BLOCK))
+    return out.join(finer, "key", "left").withColumn("block", block.cast("long")).drop("finer")
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +133,7 @@ def train(turns: DataFrame, conv_id: str = "conv_id", part: str = "turn", role:
     All rows are counted, by partial sums; at most a hundred counts come to the driver. Every count is one more than
     found, so without rows the model takes all to be alike, but for markers, which count for their role as 100 lines.
     """
+    small_batches(turns.sparkSession)
     known = turns.where(F.col(f"`{role}`").isin(*ROLES) & F.col(f"`{conv_id}`").isNotNull() & F.col(f"`{part}`").isNotNull())
     rows = known.select(F.col(f"`{conv_id}`").alias("conv"), F.col(f"`{part}`").cast("long").alias("part"), F.col(f"`{role}`").alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     shown = [np.ones((START, n)) for n in (len(ROLES) + 1, 2, len(LENGTHS) + 1)]
@@ -253,7 +263,8 @@ def format_chats(parts: DataFrame, model: ChatModel, conv_id: str = "conv_id", p
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = parts.sparkSession
-    rows = written(_parts(parts, conv_id, part, text), "parts")
+    small_batches(spark)
+    rows = _parts(parts, conv_id, part, text)
     model_ = spark.sparkContext.broadcast(model)
     together = lambda df: df.repartition("key", "block").sortWithinPartitions("key", "block", "part", F.xxhash64("text"), "text")
     long = rows.groupBy("key").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("key")

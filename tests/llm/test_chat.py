@@ -49,6 +49,16 @@ def test_blocks_give_the_path_of_the_whole(spark, model, monkeypatch):
     assert [got[7, k].n_turns for k in range(70)] == [int(s % 2 == 0) for s in path]
 
 
+def test_parts_of_one_number_are_many_blocks(spark, model, monkeypatch):
+    rows = [(7, 5 if k % 4 else 6, ("User: " if k % 5 == 0 else "") + f"word{k} " * (k % 60 + 1)) for k in range(90)] + [(8, 0, "Bot: hi"), (8, 1, "User: ho")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    whole = sorted((x.conv_id, x.turn, x.role, x.rendered) for x in chat.format_chats(df, model).collect())
+    monkeypatch.setattr(chat, "BLOCK", 4)
+    sizes = [r["count"] for r in chat._parts(df, "conv_id", "turn", "text").groupBy("key", "block").count().collect()]
+    assert max(sizes) <= 16 and len(sizes) > 20
+    assert sorted((x.conv_id, x.turn, x.role, x.rendered) for x in chat.format_chats(df, model).collect()) == whole
+
+
 def test_odd_rows(spark, model):
     rows = [(1, 0, "User: a", "x", 1), (1, 0, "User: a", "x", 1), (1, 0, "User: b", "x", 1), (None, 3, "A: c", "x", 1), (2, None, None, "x", 1), (3, 1, "", "x", 1), (4, -600, "User: " + "w " * 100_000, "x", 1), (4, 900, "A: end", "x", 1)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, text string, role string, n_lines int")
