@@ -48,3 +48,54 @@ def test_odd_rows_and_nothing_to_learn_from(spark):
     assert out.columns == ["doc_id", "text", "source", "score", "predicted"]
     assert [r["score"] for r in out.collect()] == [0.5] * 4
     assert quality.score_quality(docs.limit(0), quality.train(docs.limit(0), labels.limit(0), F.lit(True))).collect() == []
+
+
+def test_features_equal_a_plain_count():
+    texts = ["The cat the cat sat, 12 times!", "", "Ünï $5 $5\n\n| a | a |", "x", "w " * 500]
+    got = quality.features(*text_buffers(pa.array(texts)))
+    kinds = {ord(c): k for k, signs in enumerate(quality.SIGNS) for c in signs}
+    for row, text in zip(got, texts, strict=True):
+        raw = text.encode()
+        n = len(quality.SIGNS)
+        kind = [kinds.get(b, n if 97 <= b < 123 else n + 1 if 65 <= b < 91 else n + 2 if 48 <= b < 58 else n + 3 if 128 <= b < 192 else n + 4 if b >= 192 else n + 5) for b in raw]
+        want = np.zeros(quality.N_FEATURES)
+        for k in kind:
+            want[k] += 1 / len(raw)
+        for a, b in zip(kind, kind[1:]):
+            want[quality.N_CLASSES + a * quality.N_CLASSES + b] += 1 / len(raw)
+        words = text.lower().split()
+        for k in (1, 2):
+            want[quality.N_FEATURES - 3 + k] = sum(a == b for a, b in zip(words, words[k:])) / max(1, len(words))
+        assert np.allclose(row[:-1], np.sqrt(want), atol=1e-5) and abs(row[-1] - len(raw) / (len(raw) + quality.SMOOTHING)) < 1e-6
+
+
+def plain_risk(w, xp, xu, prior, decay):
+    """The non-negative risk, row by row."""
+    loss = lambda z: np.log1p(np.exp(-z))
+    z = lambda x: float(x @ w[:-1] + w[-1])
+    positive = sum(loss(z(x)) for x in xp) / len(xp)
+    negative = sum(loss(-z(x)) for x in xu) / len(xu) - prior * sum(loss(-z(x)) for x in xp) / len(xp)
+    return prior * positive + max(0.0, negative) + decay / 2 * float(w[:-1] @ w[:-1]), negative
+
+
+def test_the_fit_has_the_least_risk_of_its_neighbours():
+    r = np.random.default_rng(5)
+    xp, xu = r.normal(0.5, 1, (60, 3)), np.concatenate([r.normal(0.5, 1, (50, 3)), r.normal(-0.5, 1, (70, 3))])
+    prior, decay = 50 / 120, 1e-2
+    w, bias = quality.fit_nnpu(xp, xu, prior, steps=4000, decay=decay)
+    at = np.append(w, bias)
+    risk, negative = plain_risk(at, xp, xu, prior, decay)
+    assert negative > 0
+    slope = [(plain_risk(at + e, xp, xu, prior, decay)[0] - plain_risk(at - e, xp, xu, prior, decay)[0]) / 2e-4 for e in np.eye(4) * 1e-4]
+    assert np.abs(slope).max() < 5e-3
+    for _ in range(30):
+        assert plain_risk(at + r.normal(0, 0.3, 4), xp, xu, prior, decay)[0] > risk
+
+
+def test_scores_are_those_of_the_formula():
+    r = np.random.default_rng(6)
+    x = quality.features(*text_buffers(pa.array(["some words here", "SPAM!!! $$$ buy buy", "other plain words of a text", "###"])))
+    model = quality.QualityModel(r.normal(size=quality.N_FEATURES), r.random(quality.N_FEATURES) + 0.1, r.normal(size=quality.N_FEATURES), 0.3, 0.5)
+    for row, score in zip(x, model.score(x), strict=True):
+        z = 0.3 + sum((float(v) - m) / s * float(row[-1]) * w for v, m, s, w in zip(row[:-1], model.mean, model.spread, model.weights, strict=True))
+        assert abs(score - 1 / (1 + np.exp(-max(-30, min(30, z))))) < 1e-6
