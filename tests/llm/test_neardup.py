@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tessellar.llm.components import components
-from tessellar.llm.neardup import PLACES, band_keys, near_duplicates, superminhash
+from tessellar.llm.neardup import PLACES, band_keys, missed, near_duplicates, superminhash
 from tessellar.llm.words import mix
 
 
@@ -29,6 +29,19 @@ def test_signatures():
     assert (band_keys(same)[0] == band_keys(same)[1]).all() and len(set(band_keys(same)[0].tolist())) == 32
 
 
+@pytest.mark.parametrize("similarity", [0.4, 0.5])
+def test_share_of_pairs_that_banding_misses(similarity):
+    r, n, pairs = np.random.default_rng(7), 70, 1500
+    both = round(2 * n * similarity / (1 + similarity))
+    elements = r.integers(0, 2**63, (pairs, 2 * n - both)).astype(np.uint64)
+    a, b = elements[:, :n], elements[:, n - both :]
+    first = np.arange(pairs + 1) * n
+    x, y = band_keys(superminhash(a.ravel(), first)), band_keys(superminhash(b.ravel(), first))
+    share = 1 - (x == y).any(axis=1).mean()
+    want = missed(both / (2 * n - both))
+    assert abs(share - want) < 4 * np.sqrt(want * (1 - want) / pairs) and abs(missed(0.75) - 5.17e-6) < 1e-8
+
+
 def brute(rows):
     sets = {}
     for i, text in rows:
