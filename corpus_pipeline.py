@@ -1,6 +1,10 @@
 """Cleaning a corpus: five stages in order, each written to the shared folder and read again before the next.
 
-All but the last return the columns of documents; n_chars is counted again where a stage changes texts.
+All but the last return the columns of documents; n_chars is counted again where a stage changes texts. Other columns of
+documents are dropped, whatever their names. Nulls: a null text has the quality score of an empty one, no lines, no shingles
+and no hits; a null doc_id is never a copy of anything; a null language or source is a value of its own in mixing. An empty
+text stays if the quality stage accepts it; a text that a stage empties goes (line_dedup) or stays empty (decontamination).
+Texts of any length are taken whole. Rows that repeat a doc_id are one document: near_duplicates keeps one of them.
 """
 
 from __future__ import annotations
@@ -33,8 +37,20 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _documents(found.where("n_removed = 0 or n_removed < n_lines"))
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """One row for each doc_id that is not null; only rows of repeated ids are moved."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return docs
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    order = F.struct(*[x for c in rest for x in (F.col(c).isNull(), F.col(c))])
+    one = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*rest), order).alias("row")).select("doc_id", "row.*")
+    return written(docs.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS)), "once")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies."""
+    """The smallest doc_id of each group of near copies; of rows that repeat a doc_id the one with the least text, lang and source (nulls last)."""
+    docs = _once(docs.select(*COLUMNS))
     groups = neardup.near_duplicates(docs.select("doc_id", "text"))
     # the others are what a join has to know: rows that are in no group, or lead one, meet nothing
     gone = groups.where(~F.col("kept")).select("doc_id").distinct()

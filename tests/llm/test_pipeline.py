@@ -41,3 +41,21 @@ def test_no_documents(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, SF), "empty")
         assert docs.count() == 0, name
+
+
+def test_odd_rows(spark):
+    clean = "Plain words of a text that says something about the weather, the sea and the hills of the north coast. "
+    rows = [(1, clean * 3), (1, clean * 3), (2, clean * 3), (None, clean), (None, None), (3, None), (4, ""), (5, "word " * 200_000), (6, clean + "One more line.")]
+    docs = spark.createDataFrame([(i, t, None if k == 8 else "en", "web", 7, "x", True) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, probability string, kept boolean")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality", "line_dedup", "near_duplicates", "decontamination", "mixing"):
+        got = stages[name](spark, docs, SF).collect()
+        if name == "near_duplicates":
+            assert sorted((r["doc_id"] or 0) for r in got) == [0, 0, 1, 3, 4, 5, 6]
+        elif name == "line_dedup":
+            texts = sorted((r["doc_id"] or 0, r["text"] or "") for r in got)
+            assert (5, "word " * 200_000) in texts and (2, clean * 3) not in texts and [t for t in texts if t[0] == 1] == [(1, clean * 3)] * 2
+        elif name == "decontamination":
+            assert len(got) == len(rows) and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+        else:
+            assert {r["doc_id"] for r in got} <= {None, 1, 2, 3, 4, 5, 6}
