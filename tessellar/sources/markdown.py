@@ -1,44 +1,171 @@
-"""Sections, task items and requirement marks of Markdown texts, by DataFrame functions."""
+"""What Markdown texts hold, line by line: headings and their sections, tasks, links, inline code, paragraphs, statements, citations.
+
+Every reader takes rows with an id and a text and returns rows with ``doc_id`` and ``line`` (from 1). Lines of one document
+are ordered by a window over that document; running windows only, so the work grows with its lines. Inside code fences
+there are no headings, tasks, links or statements. A null text has no lines.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessellar.functions.words import REQUIREMENT, clipped, todo_key
+
+#: A task item and the status that each mark stands for.
+TASK = r"^(\s*)[-*+][ \t]+\[([ xX/~-])\][ \t]+(\S.*)$"
+STATUS = {" ": "open", "-": "blocked", "/": "in-progress", "~": "in-progress", "x": "done"}
+#: Headings of acceptance sections and of a decision's sections; prefixes of section tokens; most citations of a document.
+ACCEPTANCE = ("acceptance", "acceptance criteria", "수용 기준")
+DECISION = ("decision", "결정")
+PREFIXES = ("ADR", "G", "MT", "OQ")
+MOST_CITED = 200
+DEPTHS = 10
+
 
-def lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, line from 1, text); a null text has no lines."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\r?\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, line, text, start_byte, end_byte): bytes from the text's start, half open, line breaks left out."""
+    raw = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw"))
+    size = F.octet_length("raw")
+    before = F.sum(size + 1).over(W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, -1))
+    start = F.coalesce(before, F.lit(0)).cast("long")
+    whole = F.regexp_replace("raw", "\r$", "")
+    return raw.select("doc_id", (F.col("line") + 1).alias("line"), whole.alias("text"), start.alias("start_byte"), (start + F.octet_length(whole)).alias("end_byte"))
+
+
+def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``lines`` with fenced (inside or at the edge of a code fence) and last (the document's last line)."""
+    by_doc = W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    edge = F.col("text").rlike(r"^\s*(```|~~~)")
+    rows = lines(docs, doc_id, text).withColumn("_edges", F.sum(edge.cast("int")).over(by_doc))
+    return rows.withColumn("fenced", edge | (F.col("_edges") % 2 == 1)).withColumn("last", F.max("line").over(W.partitionBy("doc_id"))).drop("_edges")
 
 
 def sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line, depth, title, last_line) of every heading outside code fences; a section ends before the next heading as deep or less."""
-    rows = lines(docs, doc_id, text)
-    by_doc = W.partitionBy("doc_id").orderBy("line")
-    fences = F.sum(F.col("text").rlike(r"^\s*(```|~~~)").cast("int")).over(by_doc.rowsBetween(W.unboundedPreceding, 0))
-    heads = rows.withColumn("inside", fences % 2 == 1).withColumn("end", F.max("line").over(W.partitionBy("doc_id")))
-    heads = heads.where(~F.col("inside") & F.col("text").rlike(r"^#{1,6}[ \t]+\S"))
-    heads = heads.select("doc_id", "line", F.length(F.regexp_extract("text", "^(#+)", 1)).alias("depth"), F.trim(F.regexp_replace("text", r"^#+[ \t]+|[ \t]+#+[ \t]*$", "")).alias("title"), "end")
-    after = W.partitionBy("doc_id").orderBy("line").rowsBetween(1, W.unboundedFollowing)
-    later = F.collect_list(F.struct("line", "depth")).over(after)
-    closing = F.filter(later, lambda x: x["depth"] <= F.col("depth"))
-    return heads.withColumn("closing", closing).select("doc_id", "line", "depth", "title", F.when(F.size("closing") > 0, F.col("closing")[0]["line"] - 1).otherwise(F.col("end")).alias("last_line"))
+    """(doc_id, line, depth, title, last_line) of every heading; a section ends before the next heading as deep or less."""
+    rows = marked(docs, doc_id, text).where(~F.col("fenced") & F.col("text").rlike(r"^#{1,6}[ \t]+\S"))
+    heads = rows.select("doc_id", "line", F.length(F.regexp_extract("text", "^(#+)", 1)).alias("depth"), F.trim(F.regexp_replace("text", r"^#+[ \t]+|[ \t]+#+[ \t]*$", "")).alias("title"), "last")
+    # from the last heading upwards, the nearest below is the least line so far
+    below = W.partitionBy("doc_id").orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, -1)
+    nearest = F.array(*[F.min(F.when(F.col("depth") <= d, F.col("line"))).over(below) for d in range(1, 7)])
+    closing = F.element_at(nearest, F.col("depth"))
+    return heads.select("doc_id", "line", "depth", "title", F.coalesce(closing - 1, F.col("last")).alias("last_line"))
+
+
+def section_texts(docs: DataFrame, titles: Sequence[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, line, last_line, start_byte, end_byte, text) of sections with these titles: the text is what isn't blank below the heading."""
+    heads = sections(docs, doc_id, text).where(F.lower(F.trim("title")).isin(*titles)).select("doc_id", F.col("line").alias("head"), "last_line")
+    held = lines(docs, doc_id, text).join(heads, "doc_id").where((F.col("line") >= F.col("head")) & (F.col("line") <= F.col("last_line")))
+    shown = (F.col("line") > F.col("head")) & (F.trim("text") != "")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("line", "text")))), lambda x: x["text"]), "\n")
+    last = F.max(F.when(shown | (F.col("line") == F.col("head")), F.col("line")))
+    out = held.groupBy("doc_id", "head").agg(last.alias("last_line"), F.min("start_byte").alias("start_byte"), F.max(F.when(shown | (F.col("line") == F.col("head")), F.col("end_byte"))).alias("end_byte"), joined.alias("text"))
+    return out.withColumnRenamed("head", "line")
 
 
 def todo_status(mark: Column) -> Column:
     """Status of a task item's mark."""
-    return F.when(mark == " ", "open").when(mark == "-", "blocked").when(mark.isin("/", "~"), "in-progress").when(F.lower(mark) == "x", "done")
+    out = F.when(F.lit(False), "")
+    for m, status in STATUS.items():
+        out = out.when(F.lower(mark) == m, status)
+    return out
 
 
 def todos(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line, status, title, occurrence): task items; equal titles of a document are numbered in their order."""
-    item = r"^\s*[-*+][ \t]+\[([ xX/~-])\][ \t]+(\S.*)$"
-    rows = lines(docs, doc_id, text).where(F.col("text").rlike(item))
-    rows = rows.select("doc_id", "line", todo_status(F.regexp_extract("text", item, 1)).alias("status"), F.substring(F.trim(F.regexp_extract("text", item, 2)), 1, 240).alias("title"))
-    return rows.withColumn("occurrence", F.row_number().over(W.partitionBy("doc_id", F.lower("title")).orderBy("line")))
+    """(doc_id, line, indent, status, title, statement, occurrence, source_key, parent_key) of task items.
+
+    Equal titles of a document (white space and case aside) are numbered in their order, the whole title counts; the title
+    shown is cut to 240 characters. The parent is the nearest item before that is indented less, of up to ten levels.
+    """
+    rows = marked(docs, doc_id, text).where(~F.col("fenced") & F.col("text").rlike(TASK))
+    whole = F.trim(F.regexp_extract("text", TASK, 3))
+    same = F.lower(F.regexp_replace(whole, r"\s+", " "))
+    rows = rows.select("doc_id", "line", "start_byte", "end_byte", F.length(F.replace(F.regexp_extract("text", TASK, 1), F.lit("\t"), F.lit("    "))).alias("indent"), todo_status(F.regexp_extract("text", TASK, 2)).alias("status"), whole.alias("statement"), same.alias("_same"))
+    rows = rows.withColumn("occurrence", F.row_number().over(W.partitionBy("doc_id", "_same").orderBy("line")))
+    rows = rows.withColumn("source_key", todo_key(F.col("doc_id").cast("string"), F.col("statement"), F.col("occurrence")))
+    depth = F.least(F.ceil(F.col("indent") / 2), F.lit(DEPTHS)).cast("int")
+    before = W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_depth", depth)
+    shallower = F.array(*[F.last(F.when(F.col("_depth") < d, F.col("source_key")), ignorenulls=True).over(before) for d in range(1, DEPTHS + 1)])
+    parent = F.when(F.col("_depth") > 0, F.try_element_at(shallower, F.col("_depth")))
+    return rows.select("doc_id", "line", "start_byte", "end_byte", "indent", "status", clipped(F.col("statement")).alias("title"), "statement", "occurrence", "source_key", parent.alias("parent_key"))
+
+
+def code_references(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, line, value) of inline code."""
+    rows = marked(docs, doc_id, text).where(~F.col("fenced"))
+    return rows.select("doc_id", "line", "start_byte", "end_byte", F.explode(F.regexp_extract_all("text", F.lit("`([^`\n]+)`"), F.lit(1))).alias("value"))
+
+
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, line, target) of Markdown links and wiki links; titles and aliases are left out."""
+    rows = marked(docs, doc_id, text).where(~F.col("fenced"))
+    inline = F.regexp_extract_all("text", F.lit(r"(?<!!)\[[^\]\n]*\]\(<?([^)\s>]+)>?[^)\n]*\)"), F.lit(1))
+    wiki = F.transform(F.regexp_extract_all("text", F.lit(r"\[\[([^\]|\n]+)(?:\|[^\]\n]*)?\]\]"), F.lit(1)), F.trim)
+    return rows.select("doc_id", "line", F.explode(F.concat(inline, wiki)).alias("target"))
+
+
+def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, block, line, text, start_byte, end_byte, end_of_block, kind): lines of paragraphs and list items; a blank line, a heading or the next item ends a block."""
+    rows = marked(docs, doc_id, text)
+    item, blank, head = F.col("text").rlike(r"^\s*(?:[-*+]|\d+[.)])[ \t]+"), F.trim("text") == "", F.col("text").rlike(r"^#{1,6}[ \t]")
+    rows = rows.withColumn("_out", blank | head | F.col("fenced"))
+    by_doc = W.partitionBy("doc_id").orderBy("line")
+    fresh = item | F.col("_out") | F.coalesce(F.lag("_out").over(by_doc), F.lit(True))
+    rows = rows.withColumn("_item", item).withColumn("_fresh", fresh).withColumn("block", F.sum(F.col("_fresh").cast("int")).over(by_doc.rowsBetween(W.unboundedPreceding, 0)))
+    ends = F.coalesce(F.lead("_fresh").over(by_doc), F.lit(True))
+    rows = rows.withColumn("end_of_block", ends).withColumn("kind", F.when(F.max("_item").over(W.partitionBy("doc_id", "block")), "item").otherwise("paragraph"))
+    return rows.where(~F.col("_out")).select("doc_id", "block", "line", "text", "start_byte", "end_byte", "end_of_block", "kind")
+
+
+def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, line, last_line, start_byte, end_byte, text): runs of lines that are neither blank nor headings, bullets left out."""
+    bare = F.regexp_replace("text", r"^\s*(?:[-*+]|\d+[.)])[ \t]+(?:\[[ xX/~-]\][ \t]+)?", "")
+    rows = blocks(docs, doc_id, text).withColumn("bare", bare)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "bare"))), lambda x: x["bare"]), "\n")
+    return rows.groupBy("doc_id", "block").agg(F.min("line").alias("line"), F.max("line").alias("last_line"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), joined.alias("text")).drop("block")
+
+
+def statements(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, line, n, keyword, text): sentences with MUST or SHOULD; each ends with its mark or with its paragraph."""
+    bare = F.regexp_replace("text", r"^\s*(?:[-*+]|\d+[.)])[ \t]+(?:\[[ xX/~-]\][ \t]+)?", "")
+    ended = F.regexp_extract_all(bare, F.lit(r"[^.!?\n]*\b(?:MUST|SHOULD)\b[^.!?\n]*[.!?]+"), F.lit(0))
+    open_ = F.regexp_extract_all(bare, F.lit(r"[^.!?\n]*\b(?:MUST|SHOULD)\b[^.!?\n]*(?:[.!?]+|$)"), F.lit(0))
+    rows = blocks(docs, doc_id, text).select("doc_id", "line", "start_byte", "end_byte", F.posexplode(F.when(F.col("end_of_block"), open_).otherwise(ended)).alias("n", "s"))
+    return rows.select("doc_id", "line", "n", "start_byte", "end_byte", F.regexp_extract("s", r"\b(MUST|SHOULD)\b", 1).alias("keyword"), F.trim("s").alias("text"))
+
+
+def token_pattern(prefixes: Sequence[str] = ()) -> str:
+    """A pattern for section tokens; own prefixes of one to eight capitals and digits add to the known ones."""
+    own = [p.strip().upper() for p in prefixes]
+    known = dict.fromkeys([*PREFIXES, *(p for p in own if p.isalnum() and p.isascii() and p[:1].isalpha() and len(p) <= 8)])
+    return r"\b(?:" + "|".join(sorted(known, key=lambda p: (-len(p), p))) + r")-?\d{1,4}\b"
+
+
+def declared_sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefixes: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, token, line, heading, home_rank): headings that open with a token, the first of each token in a document.
+
+    The rank of a home is its heading's depth, and a hundred more where no title follows the token.
+    """
+    pattern = token_pattern(prefixes)
+    heads = sections(docs, doc_id, text).withColumn("token", F.upper(F.regexp_extract("title", f"^({pattern[2:]})(?=\\s|$)", 1))).where("token <> ''")
+    rest = F.substring(F.col("title"), F.length("token") + 1, F.length("title"))
+    rank = F.when(rest.rlike(r"^\s*(?:[—–:-]|$)"), 0).otherwise(100) + F.least("depth", F.lit(9))
+    row = F.struct("line", F.substring("title", 1, 200).alias("heading"), rank.alias("home_rank"))
+    return heads.groupBy("doc_id", "token").agg(F.min(row).alias("r")).select("doc_id", "token", "r.*")
+
+
+def cited_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefixes: Sequence[str] = (), most: int = MOST_CITED) -> DataFrame:
+    """(doc_id, token, line): the first line that names each token, for the first so many tokens of a document (a stated limit of the operator)."""
+    found = lines(docs, doc_id, text).select("doc_id", "line", F.posexplode(F.regexp_extract_all("text", F.lit(token_pattern(prefixes)), F.lit(0))).alias("n", "token"))
+    first = found.groupBy("doc_id", F.upper("token").alias("token")).agg(F.min(F.struct("line", "n")).alias("at"))
+    ranked = first.withColumn("_k", F.row_number().over(W.partitionBy("doc_id").orderBy("at")))
+    return ranked.where(F.col("_k") <= most).select("doc_id", "token", F.col("at.line").alias("line"))
 
 
 def requirement_ids(text: Column) -> Column:
     """Distinct requirement ids of a text, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\bREQ-[A-Z\d]+(?:-[A-Z\d]+)*\b"), F.lit(0))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(REQUIREMENT), F.lit(0))))

@@ -9,7 +9,7 @@ text
 ## Two ##
 ```
 # not a heading
-- [ ] inside counts
+- [ ] inside a fence
 ```
 ## Three
 - [x] Done thing
@@ -26,8 +26,39 @@ def test_sections_end_before_the_next_as_deep(spark):
 
 def test_todos_have_status_and_occurrence(spark):
     docs = spark.createDataFrame([(1, TEXT), (2, None)], "doc_id long, text string")
-    got = sorted(tuple(r) for r in markdown.todos(docs).collect())
-    assert got == [(1, 6, "open", "inside counts", 1), (1, 9, "done", "Done thing", 1), (1, 10, "open", "Same", 1), (1, 11, "in-progress", "same", 2)]
+    got = sorted((r.doc_id, r.line, r.status, r.title, r.occurrence) for r in markdown.todos(docs).collect())
+    assert got == [(1, 9, "done", "Done thing", 1), (1, 10, "open", "Same", 1), (1, 11, "in-progress", "same", 2)]
+
+
+def test_parents_and_long_titles(spark):
+    text = "- [ ] a\n  - [ ] b\n      - [x] c\n  - [-] " + "t" * 300 + "\n  - [ ] " + "t" * 299 + "u\n- [/] a"
+    rows = markdown.todos(spark.createDataFrame([("p.md", text)], "doc_id string, text string")).collect()
+    by_line = {r.line: r for r in rows}
+    assert [by_line[k].parent_key for k in range(1, 7)] == [None, by_line[1].source_key, by_line[2].source_key, by_line[1].source_key, by_line[1].source_key, None]
+    assert by_line[4].title == "t" * 239 + "…" and by_line[4].occurrence == by_line[5].occurrence == 1 and by_line[6].source_key == by_line[1].source_key + "#2"
+    assert [by_line[k].status for k in range(3, 7)] == ["done", "blocked", "open", "in-progress"]
+
+
+def test_bytes_of_lines(spark):
+    text = "é\r\nb\n\nñc"
+    for r in markdown.lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect():
+        assert text.encode()[r.start_byte : r.end_byte].decode() == r.text
+
+
+def test_links_statements_and_paragraphs(spark):
+    text = "See [a](b/c.md#x), ![no](i.png) and [[Note|n]] or `d.ts`.\nIt MUST work. It may\nrest.\n\n- An item SHOULD end here\n- Other. You MUST\n\n```\n[x](y)\n```"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert sorted(r.target for r in markdown.links(docs).collect()) == ["Note", "b/c.md#x"]
+    assert [r.value for r in markdown.code_references(docs).collect()] == ["d.ts"]
+    assert sorted((r.line, r.keyword, r.text) for r in markdown.statements(docs).collect()) == [(2, "MUST", "It MUST work."), (5, "SHOULD", "An item SHOULD end here"), (6, "MUST", "You MUST")]
+    assert sorted((r.line, r.last_line) for r in markdown.paragraphs(docs).collect()) == [(1, 3), (5, 5), (6, 6)]
+
+
+def test_tokens_of_sections(spark):
+    docs = spark.createDataFrame([("a.md", "## ADR-7 — why\nG1 and OQ-3\n# ADR-7 again\n# ADR-8: no"), ("b.md", "# ADR-7 and more\nsee X-12, G1")], "doc_id string, text string")
+    got = sorted((r.doc_id, r.token, r.line, r.home_rank) for r in markdown.declared_sections(docs).collect())
+    assert got == [("a.md", "ADR-7", 1, 2), ("b.md", "ADR-7", 1, 101)]
+    assert sorted((r.doc_id, r.token, r.line) for r in markdown.cited_tokens(docs, prefixes=["x"]).collect()) == [("a.md", "ADR-7", 1), ("a.md", "ADR-8", 4), ("a.md", "G1", 2), ("a.md", "OQ-3", 2), ("b.md", "ADR-7", 1), ("b.md", "G1", 2), ("b.md", "X-12", 2)]
 
 
 def test_requirement_ids(spark):
