@@ -43,6 +43,8 @@ PIVOTS = 8
 PIVOT_ROUNDS = 1
 CELL_ROWS = 512
 CELL_SHINGLES = 250_000
+#: Rows of up to 40 bytes that a broadcast may hold.
+BROADCAST_ROWS = 200_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -159,13 +161,26 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     A pivot's members are dealt to cells of bounded size; each set goes to its cell, a pivot's once for each of its cells.
     """
     pairs = cut(pairs)
-    cells = pairs.groupBy("b").agg(F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("cells"))
-    members = pairs.join(cells, "b").select(F.col("b").alias("pivot"), F.pmod(F.xxhash64(F.lit("cell"), "a"), "cells").cast("int").alias("cell"), F.lit(1).alias("place"), F.col("a").alias("id"))
-    pivots = cells.select(F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("place"), F.col("b").alias("id"))
-    rows = members.unionByName(pivots).join(sets, "id").repartition("pivot", "cell").sortWithinPartitions("pivot", "cell", "place")
+    sizes = pairs.groupBy("b").agg(F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("cells"))
+    several = cut(sizes.where("cells > 1"))  # the others have one cell
+    known = lambda df: df.join(_few(several, several.count()), "b", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    members = known(pairs).select(F.col("b").alias("pivot"), F.pmod(F.xxhash64(F.lit("cell"), "a"), "cells").cast("int").alias("cell"), F.lit(1).alias("place"), F.col("a").alias("id"))
+    pivots = known(pairs.select("b").distinct()).select(F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("place"), F.col("b").alias("id"))
+    rows = _with_sets(members.unionByName(pivots), sets).repartition("pivot", "cell").sortWithinPartitions("pivot", "cell", "place")
     return cut(rows.select("pivot", "cell", "id", "shingles").mapInArrow(_compare, "a long, b long"))
 
 
+def _few(df: DataFrame, n: int) -> DataFrame:
+    """A frame of n rows of a few numbers each, broadcast where they are few."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def _with_sets(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Adds the sets to narrow rows with an id; where the rows are few, the sets stay where they are read."""
+    rows = cut(rows)
+    return sets.join(_few(rows, rows.count()), "id")
+
+
 def _alike_sizes(n1: str, n2: str):
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * PERCENT
 
@@ -276,8 +291,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = written(entries.join(least, "band"), "buckets")
 
     wanted = cut(buckets.select("id").distinct().join(classes.select("id", "digest"), "id"))
-    known = rows.where("id is not null").join(F.broadcast(wanted.select("id")) if wanted.count() <= 100_000 else wanted.select("id"), "id", "left_semi")
-    sets = known.mapInArrow(_sets, "id long, digest binary, shingles binary").join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    wanted_ = _few(wanted, wanted.count())
+    known = rows.where("id is not null").join(wanted_.select("id"), "id", "left_semi")
+    sets = known.mapInArrow(_sets, "id long, digest binary, shingles binary").join(wanted_, ["id", "digest"], "left_semi")
+    if not nodes.groupBy("id", "digest").count().where("count > 1").isEmpty():  # repeated rows
+        sets = sets.dropDuplicates(["id", "digest"])
     sets = written(sets.select("id", "shingles"), "shingles")
 
     star = buckets.where("id <> pivot").where(_alike_sizes("n", "pivot_n")).select(F.col("id").alias("a"), F.col("pivot").alias("b"), "n").distinct()
@@ -285,7 +303,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     for salt in range(PIVOT_ROUNDS):
         more = _verified(_pivot_pairs(_mixed(buckets, labels), salt), sets)
         labels = cut(components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
-    cells = _cell_rows(_mixed(buckets, labels), buckets, labels).join(sets, "id")
+    cells = _with_sets(_cell_rows(_mixed(buckets, labels), buckets, labels), sets)
     dealt = cells.repartition("kind", "key", "i", "j").sortWithinPartitions("kind", "key", "i", "j", "id")
     rest = dealt.select("kind", "key", "i", "j", "member", "id", "label", "shingles").mapInArrow(_cells, "a long, b long")
 
