@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import os
+from collections import Counter
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.sources.tables import cut
+from tessellar.functions.paths import ancestors
+from tessellar.sources.tables import cut, written
+
+#: Relations that a change travels back along, how many edges such a walk looks at and how far it goes; tiers; grades from worst on.
+DEPENDENCIES = ("calls", "declares", "extends", "imports")
+EDGE_BUDGET = 5000
+MAX_DISTANCE = 10
+TIERS = ("agent_asserted", "inferred", "reference", "resolved")
+GRADES = ("broken", "inferred", "verified")
+#: Ids that a broadcast may hold: some 60 bytes each.
+BROADCAST_NODES = 200_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -36,32 +51,175 @@ def degree_histogram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(nodes, edges).groupBy("kind", name.alias("degree_class")).agg(F.count("*").alias("n"), F.sum("degree").alias("ends"))
 
 
+def _near(df: DataFrame, n: int) -> DataFrame:
+    """A frame of n node ids, broadcast where they are few."""
+    return F.broadcast(df) if n <= BROADCAST_NODES else df
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, directed: bool = True) -> DataFrame:
     """(node, depth, via): nodes within so many hops of the seeds (column id), with the least predecessor on a shortest way; seeds have null.
 
-    Breadth first: each hop joins the frontier with the edges and drops what was seen. The frontier is written between hops.
+    Breadth first: each hop joins the frontier with the steps, which are written once, and drops what was seen. Frontier
+    and seen nodes are broadcast while they are few; then a hop shuffles only what it finds.
     """
     steps = edges.select(F.col("source").alias("node"), F.col("target").alias("other")) if directed else both_ways(edges).select("node", "other")
-    steps = cut(steps.distinct())
+    steps = written(steps.distinct())
     frontier = cut(seeds.select(F.col("id").alias("node")).distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")))
-    seen = frontier
+    seen, n = frontier, frontier.count()
+    n_seen = n
     for depth in range(1, max_depth + 1):
-        found = frontier.select("node").join(steps, "node").groupBy("other").agg(F.min("node").alias("via"))
-        fresh = found.join(seen.select(F.col("node").alias("other")), "other", "left_anti")
+        found = steps.join(_near(frontier.select("node"), n), "node").groupBy("other").agg(F.min("node").alias("via"))
+        fresh = found.join(_near(seen.select(F.col("node").alias("other")), n_seen), "other", "left_anti")
         frontier = cut(fresh.select(F.col("other").alias("node"), F.lit(depth).alias("depth"), "via"))
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
-        seen = seen.unionByName(frontier)
+        seen, n_seen = seen.unionByName(frontier), n_seen + n
     return seen
 
 
+def allowed(edges: DataFrame, relations: Sequence[str] | None = None, families: Sequence[str] | None = None) -> DataFrame:
+    """The edges with one of the relations and one of the families; None allows all, an edge without a family belongs to none."""
+    if relations is not None:
+        edges = edges.where(F.col("relation").isin(*relations))
+    return edges if families is None else edges.where(F.col("family").isin(*families))
+
+
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """The distinct edges among nodes within so many hops of the seeds, the other way allowed."""
-    near = reach(edges, seeds, hops, directed=False).select("node")
+    """The distinct edges that a walk of so many hops from the seeds crosses, either way: those that touch a node nearer than that."""
+    edges = written(edges.select("source", "relation", "target").distinct())
+    near = reach(edges, seeds, hops - 1, directed=False).select("node").distinct()
+    n = near.count()
+    from_them = edges.join(_near(near.withColumnRenamed("node", "source"), n), "source", "left_semi")
+    to_them = edges.join(_near(near.withColumnRenamed("node", "target"), n), "target", "left_semi")
+    return from_them.select("source", "relation", "target").unionByName(to_them.select("source", "relation", "target")).distinct()
+
+
+def focus(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """The distinct edges among nodes within so many hops of the seeds."""
+    near = reach(edges, seeds, hops, directed=False).select("node").distinct()
     inside = edges.join(near.withColumnRenamed("node", "source"), "source", "left_semi").join(near.withColumnRenamed("node", "target"), "target", "left_semi")
     return inside.select("source", "relation", "target").distinct()
 
 
+EDGE = "struct<source:string,target:string,relation:string>"
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    """(node, other, e): distinct edges from either end; edges are ordered by source, target and relation."""
+    e = edges.select(F.struct("source", "target", "relation").alias("e")).distinct()
+    return e.select(F.col("e.source").alias("node"), F.col("e.target").alias("other"), "e").unionByName(e.select(F.col("e.target").alias("node"), F.col("e.source").alias("other"), "e"))
+
+
+def trace(edges: DataFrame, start: str, target: str, max_depth: int) -> DataFrame:
+    """(hop, source, relation, target, explain): the edges of the shortest way either way, none if there is none within so many hops.
+
+    Of equally long ways the one that a breadth-first walk finds first, which takes edges in the order of source, target and
+    relation: a node keeps the least list of edges that leads to it.
+    """
+    steps = written(_ordered(edges))
+    spark = edges.sparkSession
+    frontier = spark.createDataFrame([(start, [])], f"node string, way array<{EDGE}>")
+    seen, n, n_seen, found = frontier.select("node"), 1, 1, None
+    for _ in range(max_depth if start != target else 0):
+        reached = steps.join(_near(frontier, n), "node").select("other", F.concat("way", F.array("e")).alias("way"))
+        fresh = reached.join(_near(seen.withColumnRenamed("node", "other"), n_seen), "other", "left_anti")
+        frontier = cut(fresh.groupBy("other").agg(F.min("way").alias("way")).withColumnRenamed("other", "node"))
+        found = frontier.where(F.col("node") == target)
+        n = frontier.count()
+        if not n or not found.isEmpty():
+            break
+        seen, n_seen = seen.unionByName(frontier.select("node")), n_seen + n
+        found = None
+    if found is None:
+        found = frontier.limit(0)
+    hops = found.select(F.posexplode("way").alias("hop", "e"))
+    return hops.select((F.col("hop") + 1).alias("hop"), "e.source", "e.relation", "e.target", F.concat("e.source", F.lit(" -"), "e.relation", F.lit("-> "), "e.target").alias("explain"))
+
+
+def dependency_closure(edges: DataFrame, start: str, relations: Sequence[str] = DEPENDENCIES, budget: int = EDGE_BUDGET, max_distance: int = MAX_DISTANCE) -> tuple[DataFrame, str | None]:
+    """(node, distance, via) of what depends on a node, and what stopped the walk: budget, distance or nothing.
+
+    Edges with these relations are followed from target to source. ``via`` lists the edges from the consumer down to the
+    node. The walk takes edges in breadth-first order and looks at no more of them than the budget.
+    """
+    used = allowed(edges, relations).select(F.struct("source", "target", "relation").alias("e")).distinct()
+    back = written(used.select(F.col("e.target").alias("node"), F.col("e.source").alias("other"), "e"))
+    spark = edges.sparkSession
+    frontier = spark.createDataFrame([(start, [])], f"node string, way array<{EDGE}>")
+    out = spark.createDataFrame([], f"node string, distance int, via array<{EDGE}>")
+    seen, expanded, stopped = frontier.select("node"), 0, None
+    for distance in range(1, max_distance + 1):
+        looked = cut(back.join(F.broadcast(frontier), "node").select("other", F.concat("way", F.array("e")).alias("way")))  # the frontier has no more nodes than the budget
+        n = looked.count()
+        if expanded + n > budget:
+            looked, stopped = looked.orderBy("way").limit(budget - expanded), "budget"
+        expanded += n
+        fresh = looked.join(F.broadcast(seen.withColumnRenamed("node", "other")), "other", "left_anti")
+        frontier = cut(fresh.groupBy("other").agg(F.min("way").alias("way")).withColumnRenamed("other", "node"))
+        out = out.unionByName(frontier.select("node", F.lit(distance).alias("distance"), F.reverse("way").alias("via")))
+        if stopped or frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier.select("node"))
+        if distance == max_distance:
+            stopped = "distance"
+    return out, stopped
+
+
+def impact(edges: DataFrame, start: str, depth: int) -> DataFrame:
+    """(node, role): direct dependents and dependencies of a node, and what else is within the depth."""
+    near = neighbours(edges, edges.sparkSession.createDataFrame([(start,)], "id string"), depth)
+    near = cut(near)
+    up = near.where(F.col("target") == start).select(F.col("source").alias("node"), F.lit("dependent").alias("role"))
+    down = near.where(F.col("source") == start).select(F.col("target").alias("node"), F.lit("dependency").alias("role"))
+    direct = up.unionByName(down).distinct()
+    every = near.select(F.explode(F.array("source", "target")).alias("node")).distinct().where(F.col("node") != start)
+    return direct.unionByName(every.join(direct.select("node"), "node", "left_anti").select("node", F.lit("transitive").alias("role")))
+
+
+def bound_reasons(stopped: str | None, omitted: DataFrame, truncated: Sequence[tuple[str, int]] = ()) -> DataFrame:
+    """(reason) for which an impact is a lower bound: what stopped the walk, edges left out (relation, omitted, reason), tables read in part. No rows: it is exact."""
+    spark = omitted.sparkSession
+    known = {"budget": f"the walk stopped after {EDGE_BUDGET} edges", "distance": f"the walk stopped at {MAX_DISTANCE} hops"}
+    own = [(known[stopped],)] if stopped else []
+    own += [(f"the {name} read stopped at its {limit}-row budget",) for name, limit in truncated]
+    left = omitted.select(F.concat(F.col("omitted").cast("string"), F.lit(" "), "relation", F.lit(" edges were not carried: "), "reason").alias("reason"))
+    return spark.createDataFrame(own, "reason string").unionByName(left)
+
+
+def affected(nodes: DataFrame, edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """(what, id) of a reached set (node): documents and requirements in it, routes that it or what they handle is in, tables that it touches, tests of it. Nodes have kind and, for artifacts, class."""
+    hit = nodes.join(reached.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    at = reached.select("node").distinct()
+    docs = hit.where(F.col("class").isin("adr", "doc", "instruction", "spec", "todo")).select(F.lit("doc").alias("what"), "id")
+    needs = hit.where("kind = 'requirement'").select(F.lit("requirement").alias("what"), "id")
+    routes = hit.where("kind = 'route'").select("id").unionByName(edges.where("relation = 'handles'").join(at.withColumnRenamed("node", "target"), "target", "left_semi").select(F.col("source").alias("id")))
+    touched = edges.join(at.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("target").alias("id")).join(nodes.where("kind = 'db_object'").select("id"), "id", "left_semi")
+    tables = hit.where("kind = 'db_object'").select("id").unionByName(touched)
+    tests = edges.where("relation = 'tests'").join(at.withColumnRenamed("node", "target"), "target", "left_semi").select(F.col("source").alias("id"))
+    out = docs.unionByName(needs)
+    for what, rows in (("route", routes), ("table", tables), ("test", tests)):
+        out = out.unionByName(rows.select(F.lit(what).alias("what"), "id"))
+    return out.distinct()
+
+
+def tier_tally(edges: DataFrame) -> DataFrame:
+    """One row: distinct edges by tier, unstated ones too."""
+    tier = F.col("tier")
+    one = edges.dropDuplicates(["source", "target", "relation"])
+    return one.agg(*[F.count_if(tier == t).alias(t) for t in TIERS], F.count_if(tier.isNull() | ~tier.isin(*TIERS)).alias("unstated"))
+
+
+def simple(edges: DataFrame) -> DataFrame:
+    """(a, b): the undirected edges, each once, no loops."""
+    return edges.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+
+
+def top_hubs(nodes: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
+    """The nodes of highest degree, equal ones by id."""
+    return degrees(nodes, edges).orderBy(F.desc("degree"), "id").limit(n)
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart: float = 0.25, rounds: int = 25) -> DataFrame:
     """(id, rank): personalised PageRank over undirected edges, the largest rank made 1.
 
@@ -109,3 +267,78 @@ def collapse(nodes: DataFrame, edges: DataFrame, group: Column) -> DataFrame:
     named = nodes.select("id", group.alias("g"))
     both = edges.join(named.select(F.col("id").alias("source"), F.col("g").alias("a")), "source").join(named.select(F.col("id").alias("target"), F.col("g").alias("b")), "target")
     return both.groupBy(F.least("a", "b").alias("group"), F.greatest("a", "b").alias("other")).agg(F.count("*").alias("edges"))
+
+
+def supernodes(nodes: DataFrame, group: Column) -> DataFrame:
+    """(group, members, findings, grade, kind) of nodes (id, kind, grade, findings): the sum of findings, the worst grade, the kind that most have (the least of equally frequent ones)."""
+    rows = nodes.select(F.concat(F.lit("community:"), group.cast("string")).alias("group"), "kind", "findings", F.array_position(F.array(*[F.lit(g) for g in GRADES]), F.col("grade")).alias("g"))
+    by_kind = rows.groupBy("group", "kind").agg(F.count("*").alias("c"), F.sum("findings").alias("f"), F.min(F.when(F.col("g") > 0, F.col("g"))).alias("g"))
+    out = by_kind.groupBy("group").agg(F.sum("c").alias("members"), F.sum("f").alias("findings"), F.min("g").alias("g"), F.min_by("kind", F.struct((-F.col("c")).alias("c"), "kind")).alias("kind"))
+    return out.select("group", "members", "findings", F.element_at(F.array(*[F.lit(g) for g in GRADES]), F.coalesce("g", F.lit(len(GRADES))).cast("int")).alias("grade"), "kind")
+
+
+def type_grades(nodes: DataFrame) -> DataFrame:
+    """(kind, grade, n): nodes by kind and grade."""
+    return nodes.groupBy("kind", "grade").agg(F.count("*").alias("n"))
+
+
+def visible(nodes: DataFrame, edges: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
+    """The nodes that a condition keeps, and the edges with both ends among them."""
+    kept = nodes.where(keep)
+    ends = kept.select("id")
+    inside = edges.join(ends.withColumnRenamed("id", "source"), "source", "left_semi").join(ends.withColumnRenamed("id", "target"), "target", "left_semi")
+    return kept, inside
+
+
+def view(nodes: DataFrame, edges: DataFrame, requirements: DataFrame) -> DataFrame:
+    """(source, target, relation, tier, derived): edges with both ends known, each once, and a derived reference from every requirement's (id, source_id) document."""
+    known = nodes.select("id").distinct()
+    inside = edges.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
+    derived = requirements.select(F.col("source_id").alias("source"), F.col("id").alias("target"), F.lit("references").alias("relation"), F.lit("resolved").alias("tier"), F.lit(True).alias("derived")).join(known.withColumnRenamed("id", "source"), "source", "left_semi")
+    return inside.select("source", "target", "relation", "tier", F.lit(False).alias("derived")).dropDuplicates(["source", "target", "relation"]).unionByName(derived.select("source", "target", "relation", "tier", "derived"))
+
+
+def hierarchy(files: DataFrame, packages: DataFrame) -> DataFrame:
+    """(path, group): the innermost package directory that holds a file, else its first two directories, else its own one; files at the root have ``.``."""
+    up = ancestors(F.col("path"))
+    rows = files.select("path").distinct()
+    held = rows.select("path", F.explode(up).alias("dir")).join(packages.select(F.col("path").alias("dir")).distinct(), "dir").groupBy("path").agg(F.max_by("dir", F.length("dir")).alias("package"))
+    two = F.coalesce(F.try_element_at(up, F.lit(2)), F.try_element_at(up, F.lit(1)), F.lit("."))
+    return rows.join(held, "path", "left").select("path", F.coalesce("package", two).alias("group"))
+
+
+def modules(edges: DataFrame, paths: DataFrame, rounds: int = 10, least: int = 2) -> DataFrame:
+    """(key, member, name): communities of a repository's files by label propagation, with in-place updates in the order of paths.
+
+    The updates of one round depend on each other in that order, so one repository (column repo) is one group; repositories
+    are dealt to tasks. A file takes the label that most of its neighbours have, the least of equally frequent ones.
+    """
+    near = edges.select("repo", "source", "target").where("source <> target")
+    rows = paths.select("repo", F.col("path").alias("source"), F.lit(None).cast("string").alias("target")).unionByName(near)
+    return rows.groupBy("repo").applyInPandas(lambda df: _propagated(df, rounds, least), "repo string, key string, member string, name string")
+
+
+def _propagated(df: pd.DataFrame, rounds: int, least: int) -> pd.DataFrame:
+    known = sorted(set(df.loc[df.target.isna(), "source"]))
+    place = {p: i for i, p in enumerate(known)}
+    around: list[list[int]] = [[] for _ in known]
+    for a, b in zip(df.source, df.target, strict=True):
+        if b is not None and a in place and b in place:
+            around[place[a]].append(place[b])
+            around[place[b]].append(place[a])
+    label = list(range(len(known)))
+    for _ in range(rounds):
+        before = list(label)
+        for i, others in enumerate(around):
+            if others:
+                counts = Counter(label[j] for j in others)
+                label[i] = min(counts, key=lambda x: (-counts[x], x))
+        if label == before:
+            break
+    out = []
+    for own in sorted(set(label)):
+        members = [known[i] for i, x in enumerate(label) if x == own]
+        if len(members) >= least:
+            shared = os.path.commonpath([os.path.dirname(m) for m in members]) if all("/" in m for m in members) else ""
+            out += [(df.repo.iloc[0], f"module:{members[0]}", m, shared or members[0]) for m in members]
+    return pd.DataFrame(out, columns=["repo", "key", "member", "name"])

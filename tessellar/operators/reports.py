@@ -4,26 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessellar.functions.columns import level, rounded
+from tessellar.sources.tables import cut
 
+#: Least scores of the levels.
 RISK_LEVELS = {"high": 4.0, "elevated": 2.5, "moderate": 1.0}
 
 
 def co_change_pairs(touches: DataFrame, least: int = 2, most: int = 50) -> DataFrame:
     """(a, b, times, last): how often two items (a < b) were touched by one commit of rows (commit, item, at).
 
-    Commits with fewer or more distinct items than the guard are left out, which bounds what the join emits. Everything
-    until the pair count is partitioned by commit once.
+    Commits with fewer or more distinct items than the guard are left out, which bounds what one commit emits. Everything
+    until the pair count is partitioned by commit once; a commit's items are gathered only after the guard.
     """
     own = touches.repartition("commit").groupBy("commit", "item").agg(F.max("at").alias("at"))
-    fit = own.groupBy("commit").agg(F.count("*").alias("n")).where(F.col("n").between(least, most)).select("commit")
-    own = own.join(fit, "commit", "left_semi")
-    other = own.select("commit", F.col("item").alias("b"))
-    return own.join(other, "commit").where("item < b").groupBy(F.col("item").alias("a"), "b").agg(F.count("*").alias("times"), F.max("at").alias("last"))
+    fit = own.withColumn("n", F.count("*").over(W.partitionBy("commit"))).where(F.col("n").between(least, most))
+    held = fit.groupBy("commit").agg(F.array_sort(F.collect_list(F.struct("item", "at"))).alias("xs"))
+    partners = lambda x, i: F.transform(F.slice("xs", i + 2, F.size("xs")), lambda y: F.struct(x["item"].alias("a"), y["item"].alias("b"), x["at"].alias("at")))
+    pairs = held.select(F.explode(F.flatten(F.transform("xs", partners))).alias("p")).select("p.*")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("times"), F.max("at").alias("last"))
 
 
 def decayed(pairs: DataFrame, as_of: Column, half_life_days: int = 90) -> DataFrame:
@@ -33,40 +36,65 @@ def decayed(pairs: DataFrame, as_of: Column, half_life_days: int = 90) -> DataFr
     return ends.groupBy("item").agg(rounded(F.sum(F.col("w").cast("decimal(20,12)")), 3).alias("weight"))
 
 
-def risk(items: DataFrame, findings: DataFrame, tested: DataFrame, fan_in: DataFrame, co_change: DataFrame, audited: DataFrame) -> DataFrame:
-    """(item, findings, untested, fan_in, co_change, audit, score, level) of every item.
+def risk(items: DataFrame, signals: DataFrame, top: float, measured: bool = True) -> DataFrame:
+    """(item, findings, untested, fan_in, co_change, audit, score, level) of the items with a factor; what has none is left out, as nothing is known of it.
 
-    One point for each finding and for no test, up to two for fan-in against the largest, up to one for co-change, up to
-    one and a half for five audit notes. All inputs are keyed by item: findings, fan_in and audited with a count n,
-    co_change with a weight.
+    ``signals`` has a row for each item: findings, tested (null: unknown), fan_in, importance (against ``top``, the largest),
+    weight of co-change, advisories (null: not audited). One point for each finding and for no test, up to two for
+    importance where something depends on the item, up to one for co-change, up to one and a half for five advisories.
     """
-    top = fan_in.agg(F.max("n")).first()[0] or 1
-    joined = items.select("item").join(findings.select("item", F.col("n").alias("f")), "item", "left").join(tested.select("item", F.lit(True).alias("t")), "item", "left")
-    joined = joined.join(fan_in.select("item", F.col("n").alias("i")), "item", "left").join(co_change.select("item", F.col("weight").alias("c")), "item", "left").join(audited.select("item", F.col("n").alias("a")), "item", "left")
+    rows = items.select("item").join(signals, "item", "left")
     parts = {
-        "findings": F.coalesce("f", F.lit(0)).cast("long"),
-        "untested": F.when(F.col("t").isNull(), 1).otherwise(0).cast("long"),
-        "fan_in": rounded(2 * F.coalesce("i", F.lit(0)) / F.lit(top), 3),
-        "co_change": rounded(F.least(F.lit(1.0), F.coalesce(F.col("c").cast("double"), F.lit(0.0))), 3),
-        "audit": rounded(F.lit(1.5) * F.least(F.lit(1.0), F.coalesce("a", F.lit(0)) / 5), 3),
+        "findings": F.coalesce("findings", F.lit(0)).cast("long"),
+        "untested": F.when(F.coalesce("tested", F.lit(False)) | F.lit(not measured), 0).otherwise(1).cast("long"),
+        "fan_in": F.when(F.coalesce("fan_in", F.lit(0)) > 0, rounded(2 * F.coalesce("importance", F.lit(0.0)) / F.lit(float(top or 1)), 3)).otherwise(rounded(F.lit(0.0), 3)),
+        "co_change": rounded(F.least(F.lit(1.0), F.coalesce(F.col("weight").cast("double"), F.lit(0.0))), 3),
+        "audit": rounded(F.lit(1.5) * F.least(F.lit(1.0), F.coalesce("advisories", F.lit(0)) / 5), 3),
     }
-    out = joined.select("item", *[c.alias(n) for n, c in parts.items()])
+    any_ = (parts["findings"] > 0) | (parts["untested"] > 0) | (F.coalesce("fan_in", F.lit(0)) > 0) | (F.coalesce("weight", F.lit(0)) > 0) | (F.coalesce("advisories", F.lit(0)) > 0)
+    out = rows.where(any_).select("item", *[c.alias(n) for n, c in parts.items()])
     out = out.withColumn("score", (F.col("findings") + F.col("untested") + F.col("fan_in") + F.col("co_change") + F.col("audit")).cast("decimal(18,3)"))
     return out.withColumn("level", level(F.col("score"), RISK_LEVELS, "low"))
 
 
-def running_sum(rows: DataFrame, keys: Sequence[str], order: str, value: Column, width: int = 1024) -> DataFrame:
-    """Adds running: the sum of values up to and with the row, by an integer order column that is unique within a key.
+def risk_factors(scored: DataFrame) -> DataFrame:
+    """(item, kind, weight): a row for each factor that counts."""
+    kinds = {"findings": "open-finding", "untested": "untested", "fan_in": "fan-in", "co_change": "co-changed", "audit": "dependency-audit"}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("decimal(18,3)").alias("weight")) for c, k in kinds.items()]))
+    return scored.select("item", each.alias("f")).select("item", "f.*").where("weight > 0")
 
-    Two steps, so that no key is one task: sums of blocks of the order, their running sums, then sums within each block.
+
+def unmeasured(spark: SparkSession, coverage: bool, audit: bool) -> DataFrame:
+    """(signal, reason) of signals that no report gives: unknown, not zero."""
+    reasons = {"coverage": "no coverage report has been read, so what runs untested files is unknown", "dependency-audit": "no dependency audit has been read, so advisories are unknown"}
+    return spark.createDataFrame([(s, reasons[s]) for s, known in (("coverage", coverage), ("dependency-audit", audit)) if not known], "signal string, reason string")
+
+
+def page(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: Column, most_rows: int, most_bytes: int) -> DataFrame:
+    """The first rows of each key in order, as far as both budgets go, with row and bytes_so_far.
+
+    Rows beyond the row budget are pruned by a window limit before and after the shuffle, so the running sum of sizes sees
+    no more than the budget's rows of a key, however many it has.
+    """
+    by = W.partitionBy(*keys).orderBy(*order)
+    first = rows.withColumn("row", F.row_number().over(by)).where(F.col("row") <= most_rows)
+    summed = first.withColumn("bytes_so_far", F.sum(size).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    return summed.where(F.col("bytes_so_far") <= most_bytes)
+
+
+def running_sum(rows: DataFrame, keys: Sequence[str], order: str, value: Column, blocks: int = 64) -> DataFrame:
+    """Adds running: the sum of values up to and with the row, in an order that is unique within a key.
+
+    Rows are dealt by ranges of key and order, so no key is one task, however its order values lie: each range has sums of
+    its keys, their running sums are small, then sums within each range.
     """
-    b = F.floor(F.col(order) / width)
-    rows = rows.withColumn("_block", b).withColumn("_value", value)
-    sums = rows.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
+    ranged = cut(rows.withColumn("_value", value).repartitionByRange(blocks, *keys, order).withColumn("_block", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
     before = F.sum("_sum").over(W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
     starts = sums.withColumn("_start", F.coalesce(before, F.lit(0))).drop("_sum")
     within = F.sum("_value").over(W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("_within", within).join(starts, [*keys, "_block"]).withColumn("running", F.col("_start") + F.col("_within")).drop("_block", "_value", "_within", "_start")
+    same = [*keys, "_block"]
+    return ranged.withColumn("_within", within).join(starts, same).withColumn("running", F.col("_start") + F.col("_within")).drop("_block", "_value", "_within", "_start")
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:

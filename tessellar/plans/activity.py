@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessellar.functions.columns import ratio, rounded
 from tessellar.operators import reports
 from tessellar.plans.graphs import SQL_PAIRS, _touches
-from tessellar.sources.tables import table
+from tessellar.sources.tables import table, written
 from tessellar.streaming import activity
 
 MONEY = "decimal(18,2)"
@@ -49,28 +49,30 @@ select unnest([a, b]) item, least(1.0::double, times / 10) * pow(0.5::double, da
 SQL_DECAY = f"with {SQL_PAIRS}, {SQL_WEIGHTS} select item, weight from weights"
 
 
-def risk_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts by risk: findings are lines returned at 10 % off, tests are open lines, fan-in is suppliers, audit notes are lines of economy parts taxed 8 %."""
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings are lines returned at 10 % off, tests are open lines, fan-in is suppliers, advisories are lines of economy parts taxed 8 %."""
     items, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    by_part = items.groupBy(F.col("l_partkey").alias("item"))
-    flags = by_part.agg(F.count_if((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.1)).alias("f"), F.max(F.col("l_linestatus") == "O").alias("t"), F.count_if(F.col("l_tax") >= 0.08).alias("a"))
-    suppliers = items.select(F.col("l_partkey").alias("item"), "l_suppkey").distinct().groupBy("item").agg(F.count("*").alias("n"))
-    economy = part.where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("item"))
-    return reports.risk(
-        part.select(F.col("p_partkey").alias("item")),
-        flags.select("item", F.col("f").alias("n")),
-        flags.where("t").select("item"),
-        suppliers,
-        _co_change(spark, sf_dir),
-        flags.join(economy, "item", "left_semi").select("item", F.col("a").alias("n")),
-    )
+    flagged = items.select("l_partkey", "l_suppkey", ((F.col("l_returnflag") == "R") & (F.col("l_discount") >= 0.1)).cast("int").alias("f"), (F.col("l_linestatus") == "O").alias("t"), (F.col("l_tax") >= 0.08).cast("int").alias("a"))
+    by_supplier = flagged.repartition("l_partkey").groupBy("l_partkey", "l_suppkey").agg(F.sum("f").alias("f"), F.max("t").alias("t"), F.sum("a").alias("a"))
+    by_part = by_supplier.groupBy("l_partkey").agg(F.sum("f").alias("findings"), F.max("t").alias("tested"), F.count("*").alias("fan_in"), F.sum("a").alias("a"))
+    economy = part.select("p_partkey", (F.col("p_type") == "ECONOMY").alias("economy"))
+    audited = by_part.join(economy, F.col("p_partkey") == F.col("l_partkey"), "left").select(F.col("l_partkey").alias("item"), "findings", "tested", "fan_in", F.when(F.col("economy"), F.col("a")).alias("advisories"))
+    return audited.join(_co_change(spark, sf_dir), "item", "full_outer")
+
+
+def risk_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by risk, their importance the number of suppliers; parts without a factor are left out."""
+    signals = written(_signals(spark, sf_dir).withColumn("importance", F.col("fan_in").cast("double")))
+    top = signals.agg(F.max("fan_in")).first()[0]
+    return reports.risk(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item")), signals, top)
 
 
 SQL_RISK = f"""with {SQL_PAIRS}, {SQL_WEIGHTS},
 flags as (select l_partkey item, count(*) filter (where l_returnflag = 'R' and l_discount >= 0.1) f, bool_or(l_linestatus = 'O') t, count(*) filter (where l_tax >= 0.08) a, count(distinct l_suppkey) i from lineitem group by 1),
 r as (select p_partkey item, coalesce(f, 0) findings, case when t then 0 else 1 end::bigint untested, round((2 * coalesce(i, 0) / (select max(i) from flags))::decimal(28,12), 3)::decimal(18,3) fan_in,
   least(1, coalesce(weight, 0))::decimal(18,3) co_change, round((1.5::double * least(1, case when p_type = 'ECONOMY' then coalesce(a, 0) else 0 end / 5))::decimal(28,12), 3)::decimal(18,3) audit
-  from part left join flags on flags.item = p_partkey left join weights on weights.item = p_partkey),
+  from part left join flags on flags.item = p_partkey left join weights on weights.item = p_partkey
+  where coalesce(f, 0) > 0 or not coalesce(t, false) or coalesce(i, 0) > 0 or coalesce(weight, 0) > 0),
 s as (select *, (findings + untested + fan_in + co_change + audit)::decimal(18,3) score from r)
 select *, case when score >= 4 then 'high' when score >= 2.5 then 'elevated' when score >= 1 then 'moderate' else 'low' end as level from s"""
 
@@ -79,12 +81,9 @@ def edge_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of each supplier's lines: at most 100 rows and 2,000 bytes."""
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
     rows = rows.groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
-    at = F.col("l_orderkey") * 1000 + F.col("l_linenumber")
     size = F.octet_length(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey"))
-    sized = rows.withColumn("at", at).withColumn("bytes", size)
-    by_bytes = reports.running_sum(sized, ["l_suppkey"], "at", F.col("bytes")).withColumnRenamed("running", "bytes_so_far")
-    both = reports.running_sum(by_bytes, ["l_suppkey"], "at", F.lit(1)).withColumnRenamed("running", "row")
-    return both.where("row <= 100 and bytes_so_far <= 2000").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("row").cast("long").alias("row"), F.col("bytes_so_far").cast("long").alias("bytes_so_far"))
+    both = reports.page(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber"], size, 100, 2000)
+    return both.select("l_suppkey", "l_orderkey", "l_linenumber", F.col("row").cast("long").alias("row"), F.col("bytes_so_far").cast("long").alias("bytes_so_far"))
 
 
 SQL_PAGE = """with r as (select l_suppkey, l_orderkey, l_linenumber, min(l_partkey) p from lineitem group by all),
