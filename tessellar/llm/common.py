@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_BYTES = 2_800_000
+NARROW_ROWS = 50_000
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -36,6 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_narrow(df: DataFrame, most: int) -> DataFrame:
+    """``cut`` for rows of a few numbers, at most so many: into no more files than they need."""
+    return cut(df.coalesce(max(1, -(-most // NARROW_ROWS))))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame written as Parquet under a fresh path of the shared folder and read again."""
     spark = df.sparkSession

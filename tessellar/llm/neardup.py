@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import by_bytes, cut, small_batches, text_buffers, written
+from tessellar.llm.common import NARROW_ROWS, by_bytes, cut, cut_narrow, small_batches, text_buffers, written
 from tessellar.llm.components import components
 from tessellar.llm.words import find_words, mix, shingles, space_words
 
@@ -161,8 +161,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     A pivot's members are dealt to cells of bounded size; each set goes to its cell, a pivot's once for each of its cells.
     """
     pairs = cut(pairs)
+    n_pairs = pairs.count()
+    pairs = pairs.coalesce(max(1, -(-n_pairs // NARROW_ROWS)))
     sizes = pairs.groupBy("b").agg(F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("cells"))
-    several = cut(sizes.where("cells > 1"))  # the others have one cell
+    several = cut_narrow(sizes.where("cells > 1"), n_pairs // CELL_ROWS + 1)  # the others have one cell
     known = lambda df: df.join(_few(several, several.count()), "b", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
     members = known(pairs).select(F.col("b").alias("pivot"), F.pmod(F.xxhash64(F.lit("cell"), "a"), "cells").cast("int").alias("cell"), F.lit(1).alias("place"), F.col("a").alias("id"))
     pivots = known(pairs.select("b").distinct()).select(F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("place"), F.col("b").alias("id"))
