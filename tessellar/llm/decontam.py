@@ -95,12 +95,26 @@ def make_windows(items: Sequence[str], texts: pa.Array, size: int = WINDOW) -> W
 
 
 def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of a block's items, which come in one partition, as one row."""
-    held = [b for b in batches if b.num_rows]
-    if held:
+    """The windows of each block's items, which come one after the other, as one row a block."""
+    held: list[pa.RecordBatch] = []
+
+    def block() -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
         windows = make_windows(rows["item_id"].to_pylist(), rows["text"].combine_chunks())
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(windows)], pa.binary())], ["windows"])
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(windows)], pa.binary())], ["windows"])
+
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            if held and held[0].column("block")[0].as_py() != int(blocks[a]):
+                yield block()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield block()
 
 
 class WaveletTree:
@@ -306,7 +320,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     small_batches(spark)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
-    made = written(items.repartition(blocks, "item_id").mapInArrow(_made, "windows binary"), "windows")
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))).repartition("block").sortWithinPartitions("block")
+    made = written(dealt.select("block", "item_id", "text").mapInArrow(_made, "windows binary"), "windows")
     column = f"_c{keep.index(text)}"
     fields = out.schema.fields
     marks = [T.StructField("_words", T.LongType()), *T._parse_datatype_string(f"_spans {SPANS}, _items array<string>").fields]
