@@ -120,3 +120,14 @@ def reconcile(before: DataFrame, now: DataFrame, key: str, status: str) -> DataF
 def validity(rows: DataFrame, keys: Sequence[str], at: str, order: str) -> DataFrame:
     """Adds valid_to: when the next row of the key came, null for the row in force."""
     return rows.withColumn("valid_to", F.lead(at).over(W.partitionBy(*keys).orderBy(at, order)))
+
+
+def finding_counts(findings: DataFrame) -> DataFrame:
+    """(item, n): open findings (status, path, target) at either end; one at both ends of an item counts twice."""
+    ends = F.explode(F.array_compact(F.array("path", "target")))
+    return findings.where("status = 'open'").select(ends.alias("item")).groupBy("item").agg(F.count("*").alias("n"))
+
+
+def risk_top(scored: DataFrame, n: int = 3) -> DataFrame:
+    """The riskiest items, equal scores by item."""
+    return scored.orderBy(F.desc("score"), "item").limit(n)

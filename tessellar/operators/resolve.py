@@ -283,3 +283,36 @@ def kept_edges(edges: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, Data
     """Edges with known relations, and the others counted by relation."""
     known = vocabulary.select("relation").distinct()
     return edges.join(F.broadcast(known), "relation", "left_semi"), edges.join(F.broadcast(known), "relation", "left_anti").groupBy("relation").agg(F.count("*").alias("omitted"))
+
+
+def symbol_edges(symbols: DataFrame, bases: DataFrame) -> DataFrame:
+    """(source, target, relation): files declare their symbols (path, kind, name), classes extend the symbols of their bases (path, name, kind, target, base); symbols are known by their keys."""
+    from tessellar.functions.words import symbol_key
+
+    key = lambda p, k, n: symbol_key(F.col(p), F.lit(None).cast("string"), F.col(k), F.col(n))
+    own = symbols.where("kind <> 'export'").select("path", "kind", "name", key("path", "kind", "name").alias("key")).distinct()
+    declares = own.select(F.col("path").alias("source"), F.col("key").alias("target"), F.lit("declares").alias("relation"))
+    met = bases.join(own.select("path", "kind", "name", F.col("key").alias("source")), ["path", "kind", "name"]).select("source", F.col("target").alias("path"), F.col("base").alias("name")).join(own.select("path", "name", F.col("key").alias("target")), ["path", "name"])
+    return declares.unionByName(met.select("source", "target", F.lit("extends").alias("relation")).distinct())
+
+
+def schema_edges(links: DataFrame, artifacts: DataFrame, objects: DataFrame) -> DataFrame:
+    """(source, target, relation) of schema links (path, kind, source, target) as ids: from the object in hand where there is one, else from the file; both ends must be known (id, path) and (id, name)."""
+    named = objects.select(F.col("name").alias("source"), F.col("id").alias("_object"))
+    files = artifacts.select("path", F.col("id").alias("_file"))
+    ends = objects.select(F.col("name").alias("target"), F.col("id").alias("_target"))
+    rows = links.join(named, "source", "left").join(files, "path", "left").join(ends, "target")
+    source = F.when(F.col("source").isNull(), F.col("_file")).otherwise(F.col("_object"))
+    return rows.select(source.alias("source"), F.col("_target").alias("target"), F.col("kind").alias("relation")).where("source is not null").distinct()
+
+
+def without_children(children: DataFrame, removed: DataFrame) -> DataFrame:
+    """The rows of files (path) that are still there: a semi-join names what goes with removed files, this is the rest."""
+    return children.join(removed.select("path").distinct(), "path", "left_anti")
+
+
+def evidence_links(evidence: DataFrame, known: DataFrame, needs: DataFrame) -> DataFrame:
+    """(test_file, path, requirement): test evidence (test_file, requirement_ids) led to the known file that its reported path means, and to each requirement (id) that its names state; null where nothing is known."""
+    files = reported_paths(evidence.select(F.col("test_file").alias("reported")), known).withColumnRenamed("reported", "test_file")
+    stated = evidence.select("test_file", F.explode("requirement_ids").alias("id")).join(needs.where("id is not null").select("id").distinct(), "id", "left_semi")
+    return evidence.select("test_file").distinct().join(files, "test_file", "left").join(stated.withColumnRenamed("id", "requirement"), "test_file", "left").select("test_file", "path", "requirement")

@@ -278,3 +278,30 @@ def repository_modules(edges: DataFrame, files: DataFrame) -> DataFrame:
     """(repo, key, member, name): modules by the structure edges (imports and calls) between known files."""
     inner = edges.where(F.col("relation").isin("imports", "calls"))
     return modules(inner, files)
+
+
+def repository_overview(states: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """(repo, files, modules, summarised) of repositories with their modules' states."""
+    files = artifacts.groupBy("repo").agg(F.count("*").alias("files"))
+    own = states.groupBy("repo").agg(F.count("*").alias("modules"), F.count("summary").alias("summarised"))
+    zero = F.lit(0).cast("long")
+    return files.join(own, "repo", "left").select("repo", "files", F.coalesce("modules", zero).alias("modules"), F.coalesce("summarised", zero).alias("summarised"))
+
+
+def page_prose_faults(prose: Column, allowed: Column) -> Column:
+    """Ids that a page's prose cites in double brackets and its skeleton doesn't have."""
+    return F.array_except(F.array_distinct(F.regexp_extract_all(prose, F.lit(r"\[\[([^\]\s]+)\]\]"), F.lit(1))), allowed)
+
+
+def node_content(ids: DataFrame, **kinds: DataFrame) -> DataFrame:
+    """(id, kind, content) of the nodes asked for (id), from tables of several kinds (id, content); ids that none has keep a null kind."""
+    every = None
+    for kind, rows in kinds.items():
+        own = rows.select("id", F.lit(kind).alias("kind"), "content")
+        every = own if every is None else every.unionByName(own)
+    return ids.select("id").distinct().join(every, "id", "left")
+
+
+def module_card(states: DataFrame, clusters: DataFrame, path: str) -> DataFrame:
+    """The state of the module that holds a path; no row if none does."""
+    return states.join(clusters.where(F.col("member") == path).select("repo", "key"), ["repo", "key"], "left_semi")

@@ -77,6 +77,22 @@ s as (select *, (findings + untested + fan_in + co_change + audit)::decimal(18,3
 select *, case when score >= 4 then 'high' when score >= 2.5 then 'elevated' when score >= 1 then 'moderate' else 'low' end as level from s"""
 
 
+def risk_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three riskiest parts."""
+    return reports.risk_top(risk_entries(spark, sf_dir)).select("item", "score", "level")
+
+
+SQL_RISK_TOP = f"select item, score, level from ({SQL_RISK}) order by score desc, item limit 3"
+
+
+def risk_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The factors of every part's risk."""
+    return reports.risk_factors(risk_entries(spark, sf_dir))
+
+
+SQL_FACTORS = f"""with q as ({SQL_RISK}) select item, kind, weight::decimal(18,3) weight from (select item, 'open-finding' kind, findings weight from q union all select item, 'untested', untested from q union all select item, 'fan-in', fan_in from q union all select item, 'co-changed', co_change from q union all select item, 'dependency-audit', audit from q) where weight > 0"""
+
+
 def edge_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of each supplier's lines: at most 100 rows and 2,000 bytes."""
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
@@ -239,9 +255,10 @@ SQL_DIGEST = """select event_type, count(*) filter (where ts::date = d) today, c
 def percentile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank percentiles of event values by type, from counts of distinct values."""
     counted = table(spark, sf_dir, "events").groupBy("event_type", F.col("value").cast(MONEY).alias("v")).agg(F.count("*").alias("c"))
-    by_type = W.partitionBy("event_type")
-    ranked = counted.withColumn("upto", F.sum("c").over(by_type.orderBy("v"))).withColumn("n", F.sum("c").over(by_type))
-    at = lambda f: F.min(F.when(F.col("upto") > F.floor(F.lit(f) * (F.col("n") - 1)), F.col("v")))
+    ranked = reports.running_sum(counted, ["event_type"], "v", F.col("c"))
+    totals = ranked.groupBy(F.col("event_type").alias("t")).agg(F.max("running").alias("n"))
+    ranked = ranked.join(F.broadcast(totals), F.col("event_type").eqNullSafe(F.col("t")))  # one row for each type
+    at = lambda f: F.min(F.when(F.col("running") > F.floor(F.lit(f) * (F.col("n") - 1)), F.col("v")))
     return ranked.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
@@ -257,9 +274,9 @@ def order_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_ORDER_DIGESTS = """select l_orderkey, count(*) members, md5(string_agg(m, chr(10) order by m)) digest from (select distinct l_orderkey, l_partkey || ':' || l_suppkey m from lineitem) group by 1"""
 
-QUERIES = {f.__name__: f for f in (usage_daily, co_change_pairs, co_change_decay, risk_entries, edge_page, budget_prefix, distinct_on_latest, session_activity, glow_windows, pulses, feed_topk, retention_prune, bitemporal_validity, ci_verdict, team_metrics, ledger_balance, commit_cards, pilot_stats, progress_digest, percentile_report, order_digests)}
+QUERIES = {f.__name__: f for f in (usage_daily, co_change_pairs, co_change_decay, risk_entries, risk_top, risk_factors, edge_page, budget_prefix, distinct_on_latest, session_activity, glow_windows, pulses, feed_topk, retention_prune, bitemporal_validity, ci_verdict, team_metrics, ledger_balance, commit_cards, pilot_stats, progress_digest, percentile_report, order_digests)}
 ORACLES = {
-    "usage_daily": SQL_USAGE, "co_change_pairs": SQL_CO_CHANGE, "co_change_decay": SQL_DECAY, "risk_entries": SQL_RISK, "edge_page": SQL_PAGE, "budget_prefix": SQL_PREFIX, "distinct_on_latest": SQL_LATEST,
+    "usage_daily": SQL_USAGE, "co_change_pairs": SQL_CO_CHANGE, "co_change_decay": SQL_DECAY, "risk_entries": SQL_RISK, "risk_top": SQL_RISK_TOP, "risk_factors": SQL_FACTORS, "edge_page": SQL_PAGE, "budget_prefix": SQL_PREFIX, "distinct_on_latest": SQL_LATEST,
     "session_activity": SQL_SESSIONS, "glow_windows": SQL_WINDOWS, "pulses": SQL_PULSES, "feed_topk": SQL_FEED, "retention_prune": SQL_RETENTION, "bitemporal_validity": SQL_VALIDITY, "ci_verdict": SQL_VERDICT,
     "team_metrics": SQL_TEAM, "ledger_balance": SQL_LEDGER, "commit_cards": SQL_CARDS, "pilot_stats": SQL_PILOT, "progress_digest": SQL_DIGEST, "percentile_report": SQL_PERCENTILES, "order_digests": SQL_ORDER_DIGESTS,
 }

@@ -351,16 +351,65 @@ SQL_KEYS = f"""with s as ({SQL_SYMBOLS}), d as (select path, kind, name, md5(pat
 h as (select *, sha256(key) d from d), x as (select *, array_to_string(list_transform(range(1, 33), lambda i: lpad(bin(('0x' || d[i])::int), 4, '0')), '') b from h)
 select path, kind, name, key, '0' || {_ULID} node_id from x"""
 
+def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations and bases of all symbols."""
+    return resolve.symbol_edges(_symbols(spark, sf_dir), heritage(spark, sf_dir))
+
+
+SQL_SYMBOL_EDGES = f"""with s as ({SQL_SYMBOLS}), y as (select path, kind, name, md5(path || '||' || kind || '|' || name) key from s)
+select path source, key target, 'declares' relation from y union all select a.key, b.key, 'extends' from y a, y b where a.path like 'api/n%' and a.kind = 'class' and b.path = 'api/base.py'"""
+
+
+def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open findings at either end of each file."""
+    from tessellar.operators import reports
+
+    return reports.finding_counts(findings(spark, sf_dir).withColumn("status", F.lit("open")))
+
+
+SQL_FINDING_COUNTS = f"with q as ({SQL_FINDINGS}) select item, count(*) n from (select path item from q union all select target from q where target is not null) group by 1"
+
+
+def package_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories of the repository, those with instructions taken as packages."""
+    return resolve.package_directories(star.files(spark, sf_dir), ("AGENTS.md",))
+
+
+SQL_PACKAGES = SQL_REPO + """, d as (select distinct array_to_string(a[1:i], '/') path from (select string_split(path, '/') a from f), lateral (select unnest(range(1, len(a))) i)) select path, path || '/AGENTS.md' in (select path from g) is_package from d"""
+
+
+def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test files, as a report with other prefixes names them, and the requirements that their cases state."""
+    tests = star.files(spark, sf_dir).where("path like 'tests/%'")
+    evidence = tests.select(F.concat(F.lit("/ci/work/"), "path").alias("test_file"), markdown.requirement_ids(F.col("text")).alias("requirement_ids"))
+    return resolve.evidence_links(evidence, star.files(spark, sf_dir).select("path"), _needs(spark, sf_dir))
+
+
+SQL_EVIDENCE_LINKS = SQL_REPO + "select '/ci/work/' || t.path test_file, t.path path, 'REQ-O' || o requirement from n, t left join o on o.o % (select n from n) = t.p"
+
+
+def analysis_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The receipt of an analysis of the whole repository, with two findings and a requirement known before."""
+    from tessellar.operators.analysis import analyse
+
+    known = spark.createDataFrame([("gone:a:1:0", "open"), ("orphan-doc:docs/adr/nation1.md:5:33", "dismissed")], "id string, status string")
+    needs = spark.createDataFrame([("old.md", "REQ-OLD", "active")], "path string, identity string, status string")
+    return analyse(star.files(spark, sf_dir), _symbols(spark, sf_dir), _tested(spark, sf_dir), known, needs)["receipt"]
+
+
+SQL_RECEIPT = SQL_REPO + _NEEDS_SQL + ", q as (" + " union all ".join(f"(select * from ({r}))" for r in (_R1, _R2, _R3, _R4, _R5, _R6, _R7)) + """)
+select (select count(*) from q) - 1 opened, 1 resolved, (select count(*) from q) - 1 open_total, (select count(*) from needs) requirements, (select count(*) from o join p on o % 3 = 0 and p.p = x) implemented, (select count(*) from o, n where (o % n) % 4 = 0) tested, 1 superseded"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         classify_path, repo_todos, sections, requirement_list, exported_symbols, missing_implementation, missing_test, stale_refs, instruction_conflicts, orphan_docs, unproven_claims, untested_code, findings,
-        implements_links, assurance_coverage, doc_links, section_links, rationale_notes, code_links, heritage, schema_links, db_objects, routes, containment_edges, reported_paths, symbol_keys,
+        implements_links, assurance_coverage, doc_links, section_links, rationale_notes, code_links, heritage, schema_links, db_objects, routes, containment_edges, reported_paths, symbol_keys, symbol_edges, finding_counts, package_directories, evidence_links, analysis_receipt,
     )
 }
 ORACLES = {
     "classify_path": SQL_CLASSIFY, "repo_todos": SQL_TODOS, "sections": SQL_SECTIONS, "requirement_list": SQL_NEEDS, "exported_symbols": SQL_SYMBOLS, "missing_implementation": SQL_R1, "missing_test": SQL_R2, "stale_refs": SQL_R3,
     "instruction_conflicts": SQL_R4, "orphan_docs": SQL_R5, "unproven_claims": SQL_R6, "untested_code": SQL_R7, "findings": SQL_FINDINGS, "implements_links": SQL_IMPLEMENTS, "assurance_coverage": SQL_COVERAGE,
     "doc_links": SQL_DOC_LINKS, "section_links": SQL_SECTION_LINKS, "rationale_notes": SQL_RATIONALES, "code_links": SQL_CODE_LINKS, "heritage": SQL_HERITAGE, "schema_links": SQL_SCHEMA, "db_objects": SQL_OBJECTS,
-    "routes": SQL_ROUTES, "containment_edges": SQL_CONTAINMENT, "reported_paths": SQL_REPORTED, "symbol_keys": SQL_KEYS,
+    "routes": SQL_ROUTES, "containment_edges": SQL_CONTAINMENT, "reported_paths": SQL_REPORTED, "symbol_keys": SQL_KEYS, "symbol_edges": SQL_SYMBOL_EDGES, "finding_counts": SQL_FINDING_COUNTS, "package_directories": SQL_PACKAGES, "evidence_links": SQL_EVIDENCE_LINKS, "analysis_receipt": SQL_RECEIPT,
 }

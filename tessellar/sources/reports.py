@@ -166,3 +166,9 @@ def local_tree(spark, root: str) -> DataFrame:
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + root.replace("file://", "").rstrip("/") + "/", "")
     return rows.select(name.alias("path"), F.lit("100644").alias("mode"), git_blob_sha(F.col("content")).alias("sha"), F.col("length").alias("size"), is_binary(F.col("content")).alias("binary"), "content")
+
+
+def recorded_tree(spark, path: str):
+    """(path, mode, type, sha, size) of a recorded tree document: a JSON object with a list of entries, over several lines."""
+    doc = spark.read.schema("sha string, truncated boolean, tree array<struct<path:string,mode:string,type:string,sha:string,size:bigint>>").option("multiLine", "true").json(path)
+    return doc.select(F.explode("tree").alias("e")).select("e.*")

@@ -123,3 +123,24 @@ def test_importance_and_views(spark):
     kept, inside = graphs.graph.visible(nodes, edges, F.col("kind") == "x")
     assert kept.count() == 2 and inside.select("source", "target").distinct().count() == 1
     assert {(r.kind, r.grade, r.n) for r in graphs.graph.type_grades(nodes).collect()} == {("x", "broken", 1), ("x", "verified", 1), ("y", "odd", 1)}
+
+
+def test_schema_edges_cards_and_contents(spark, tmp_path):
+    links = spark.createDataFrame([("m.sql", "defines", None, "users"), ("m.sql", "references", "users", "teams"), ("gone.sql", "defines", None, "users"), ("m.sql", "defines", None, "odd")], "path string, kind string, source string, target string")
+    got = resolve.schema_edges(links, spark.createDataFrame([("f", "m.sql")], "id string, path string"), spark.createDataFrame([("o1", "users"), ("o2", "teams")], "id string, name string"))
+    assert {tuple(r) for r in got.collect()} == {("f", "o1", "defines"), ("o1", "o2", "references")}
+    children = spark.createDataFrame([("a", 1), ("b", 2)], "path string, k int")
+    assert [r.k for r in resolve.without_children(children, spark.createDataFrame([("a",)], "path string")).collect()] == [2]
+    ids = spark.createDataFrame([("1",), ("2",), ("3",)], "id string")
+    got = workspace.node_content(ids, artifact=spark.createDataFrame([("1", "text")], "id string, content string"), finding=spark.createDataFrame([("2", "title")], "id string, content string"))
+    assert {tuple(r) for r in got.collect()} == {("1", "artifact", "text"), ("2", "finding", "title"), ("3", None, None)}
+    assert one(spark, workspace.page_prose_faults(F.lit("See [[a]] and [[b]], [[a]]"), F.array(F.lit("a")))) == ["b"]
+    states = spark.createDataFrame([("r", "k", "ready", "s"), ("r", "l", "stale", None)], "repo string, key string, state string, summary string")
+    files = spark.createDataFrame([("r", "x"), ("r", "y"), ("q", "z")], "repo string, path string")
+    assert {tuple(r) for r in workspace.repository_overview(states, files).collect()} == {("r", 2, 2, 1), ("q", 1, 0, 0)}
+    clusters = spark.createDataFrame([("r", "k", "x")], "repo string, key string, member string")
+    assert [r.key for r in workspace.module_card(states, clusters, "x").collect()] == ["k"] and workspace.module_card(states, clusters, "y").collect() == []
+    from tessellar.sources.reports import recorded_tree
+
+    (tmp_path / "t.json").write_text('{\n "sha": "s",\n "tree": [{"path": "a", "mode": "100644", "type": "blob", "sha": "x", "size": 3},\n {"path": "d", "mode": "040000", "type": "tree", "sha": "y"}]\n}')
+    assert [(r.path, r.size) for r in recorded_tree(spark, str(tmp_path / "t.json")).collect()] == [("a", 3), ("d", None)]
