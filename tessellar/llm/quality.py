@@ -185,8 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, doc_id: str = "
     rows = docs.where(learnable).where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("key"), F.col(f"`{text}`").alias("text"))
     trusted = rows.join(F.broadcast(good), rows["key"] == good["_key"], "left_semi").withColumn("positive", F.lit(True))  # at most 2 * positives ids
     web = sampled(rows, F.col("key"), unlabelled).withColumn("positive", F.lit(False))
-    # a copied id may bring more rows than ids: the same bound again
-    found = trusted.limit(2 * positives).unionByName(web).mapInArrow(_featured, StructType([StructField("key", rows.schema["key"].dataType), *StructType.fromDDL("positive boolean, x binary")]))
+    # a copied id may bring more rows than ids: the same bound again, in an order, so a task that runs again finds the same
+    found = trusted.orderBy("key", F.xxhash64("text"), "text").limit(2 * positives).unionByName(web).mapInArrow(_featured, StructType([StructField("key", rows.schema["key"].dataType), *StructType.fromDDL("positive boolean, x binary")]))
     # the bounded sample meets in one task; only the model's numbers come to the driver
     row = found.select("positive", "x").repartition(1).mapInArrow(_fitted, "mean array<double>, spread array<double>, weights array<double>, bias double, prior double").first()
     if row is None:

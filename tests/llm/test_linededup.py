@@ -116,3 +116,32 @@ def test_of_a_periodic_text_the_first_period_or_a_gram_stays(spark, period, n_wo
     kept = len(got[1]) - 2
     assert got[1] == [head, *(once * times)[:kept], tail] and got[2] == [""]
     assert max(period, gram) <= kept <= (period if period * n_words >= 2 * GRAM_WORDS else period + gram)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_texts_of_few_lines_in_many_orders(spark, seed):
+    r = np.random.default_rng(seed)
+    lines = [" ".join(f"w{k}_{i}" for i in range(int(r.integers(2, 18)))) for k in range(4)]
+    docs = []
+    for d in range(10):
+        own: list[str] = []
+        while len(own) < 40:
+            if r.random() < 0.5:
+                own += [lines[int(k)] for k in r.integers(0, 4, int(r.integers(1, 4)))] * int(r.integers(1, 8))
+            else:
+                own.append(lines[int(r.integers(0, 4))] if r.random() < 0.7 else f"own {d} {len(own)}")
+        docs.append(own)
+    got = {x.doc_id: x.text.split("\n") if x.text else [] for x in dedup_lines(spark.createDataFrame([(d, "\n".join(own)) for d, own in enumerate(docs)], "doc_id long, text string")).collect()}
+    assert {x for own in docs for x in own} == {x for own in got.values() for x in own}
+    for d, own in enumerate(docs):  # what has a copy of 50 words that lies wholly before goes; what has none of 25 words stays
+        must, may = set(), set()
+        for e, other in enumerate(docs[: d + 1]):
+            for i in range(len(own)):
+                for j in range(i if e == d else len(other)):
+                    n = 0
+                    while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                        n += 1
+                    may |= set(range(i, i + n)) if sum(map(words, own[i : i + n])) >= GRAM_WORDS else set()
+                    n = min(n, i - j) if e == d else n
+                    must |= set(range(i, i + n)) if sum(map(words, own[i : i + n])) >= 50 else set()
+        assert len(must) <= len(own) - len(got[d]) <= len(may)
