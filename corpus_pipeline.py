@@ -59,8 +59,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that hold benchmark windows."""
-    found = decontam.find_contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
-    return _documents(decontam.remove_contamination(found))
+    return _documents(decontam.find_contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), clean=True))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

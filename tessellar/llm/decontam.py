@@ -265,8 +265,14 @@ def find_hits(words, windows: Windows) -> tuple[np.ndarray, list[set[str]]]:
 SPANS = "array<struct<start:bigint,stop:bigint>>"
 
 
-def _pass(text: str, blocks: list, schema: T.StructType, first: bool):
-    """Marks the hits of some blocks of windows; a later stage adds to the columns of the earlier ones."""
+def _cut(data: np.ndarray, start: int, stop: int, gone: list[tuple[int, int]]) -> str:
+    """The UTF-8 text from start to stop without some ranges of bytes."""
+    edges = [start, *(x for g in gone for x in g), stop]
+    return b"".join(data[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8")
+
+
+def _pass(text: str, blocks: list, schema: T.StructType, first: bool, clean: bool):
+    """Marks the hits of some blocks of windows; a later stage adds to the columns of the earlier ones. With ``clean`` the text comes back without them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -274,7 +280,8 @@ def _pass(text: str, blocks: list, schema: T.StructType, first: bool):
         out_schema = to_arrow_schema(schema)
         windows = [pickle.loads(b.value) for b in blocks]
         for batch in by_bytes(batches, text, SHARD_BYTES):
-            words = find_words(*text_buffers(batch.column(text)), item_words())
+            data, ends = text_buffers(batch.column(text))
+            words = find_words(data, ends, item_words())
             hit, items = np.zeros(len(words.hashes), bool), [set() for _ in range(batch.num_rows)]
             for w in windows:
                 more, found = find_hits(words, w)
@@ -295,6 +302,12 @@ def _pass(text: str, blocks: list, schema: T.StructType, first: bool):
             for t, x, y in zip((np.searchsorted(words.first, a, "right") - 1).tolist(), a.tolist(), b.tolist(), strict=True):
                 spans[t].append({"start": x - int(words.first[t]), "stop": y - int(words.first[t])})
             columns = [batch.column(f.name) for f in schema.fields if f.name not in ("_spans", "_items", "_words")]
+            if clean and len(a):
+                at = [f.name for f in schema.fields].index(text)
+                texts = columns[at].to_pylist()
+                for t in np.unique(np.searchsorted(words.first, a, "right") - 1).tolist():
+                    texts[t] = _cut(data, int(ends[t]), int(ends[t + 1]), [(int(words.starts[words.first[t] + s["start"]]), int(words.ends[words.first[t] + s["stop"] - 1])) for s in spans[t]])
+                columns[at] = pa.array(texts, pa.string())
             columns += [
                 pa.array(words.counts, pa.int64()),
                 pa.array(spans, out_schema.field("_spans").type),
@@ -305,12 +318,13 @@ def _pass(text: str, blocks: list, schema: T.StructType, first: bool):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", block_bytes: int = BLOCK_BYTES, carry: Sequence[str] | None = None) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", block_bytes: int = BLOCK_BYTES, carry: Sequence[str] | None = None, clean: bool = False) -> DataFrame:
     """Adds n_words, n_hit, spans (merged runs of hit words, half open) and items (ids as strings, sorted) to every row.
 
     A null or wordless text has no words, no hits and no items. Repeated rows get the same result. Items of null text or
     id, and wordless ones, have no window; with no items nothing is hit. Input columns of the added names are replaced.
     ``carry`` names the input columns to return (all of them if None); a text that isn't carried doesn't leave the tasks.
+    With ``clean`` the text comes back without its spans, as ``remove_contamination`` gives it, from the same Python workers.
     """
     added = ["n_words", "n_hit", "spans", "items"]
     carried = docs.columns if carry is None else list(carry)
@@ -331,7 +345,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         held = [spark.sparkContext.broadcast(bytes(r["windows"])) for _, r in zip(range(BLOCKS_A_STAGE), rows, strict=False)]
         last = k == stages - 1
         schema = T.StructType([*(f for f in fields if not last or f.name != column or text in carried), *marks])
-        out = out.mapInArrow(_pass(column, held, schema, k == 0), schema)
+        out = out.mapInArrow(_pass(column, held, schema, k == 0, clean and last), schema)
         if not last:
             out = written(out, "marks")
             for b in held:
@@ -348,13 +362,9 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
     out = []
     for t, cuts in zip(text, spans, strict=True):
         if t is not None and len(cuts):
-            raw = t.encode("utf-8")
-            words = find_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), item_words())
-            kept, at = [], 0
-            for c in cuts:
-                kept.append(raw[at : int(words.starts[c["start"]])])
-                at = int(words.ends[c["stop"] - 1])
-            t = b"".join([*kept, raw[at:]]).decode("utf-8")
+            data = np.frombuffer(t.encode("utf-8"), np.uint8)
+            words = find_words(data, np.array([0, len(data)]), item_words())
+            t = _cut(data, 0, len(data), [(int(words.starts[c["start"]]), int(words.ends[c["stop"] - 1])) for c in cuts])
         out.append(t)
     return pd.Series(out, dtype=object)
 

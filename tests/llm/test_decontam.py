@@ -79,6 +79,7 @@ def test_operator_over_rows(spark, monkeypatch, blocks):
         assert got == sorted((d[0] or 0, *w) for d, w in zip(docs, want, strict=True))
         clean = {r.doc_id: r.text for r in remove_contamination(found).collect()}
         assert clean == {1: "Intro. , end", 2: None, None: "clean", 3: "", 4: "", 5: ""}
+        assert {r.doc_id: r.text for r in find_contamination(df, bench, block_bytes=block_bytes, clean=True).collect()} == clean
     slim = find_contamination(df, bench, carry=["doc_id"])
     assert slim.columns == ["doc_id", "n_words", "n_hit", "spans", "items"] and slim.count() == 7
     empty = find_contamination(df.limit(0), bench.limit(0))
