@@ -99,7 +99,7 @@ def requirement_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _needs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assurance.requirements(star.files(spark, sf_dir).where(F.col("classification").isin(*DOC_CLASSES)))
+    return star.once(spark, sf_dir, "requirements", lambda: assurance.requirements(star.files(spark, sf_dir).where(F.col("classification").isin(*DOC_CLASSES))))
 
 
 _NEEDS_SQL = """, needs as (select path, 'task' origin, line, line last_line, s = 'F' fulfilled, 'REQ-O' || o id, statement from o
@@ -112,7 +112,7 @@ SQL_NEEDS = SQL_REPO + _NEEDS_SQL + "select path, origin, line::int line, last_l
 
 
 def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(code.exported_symbols(star.files(spark, sf_dir).where("classification = 'code_metadata'")))
+    return star.once(spark, sf_dir, "symbols", lambda: code.exported_symbols(star.files(spark, sf_dir).where("classification = 'code_metadata'")))
 
 
 def exported_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +221,7 @@ SQL_IMPLEMENTS = SQL_REPO + "select o.path, 'REQ-O' || o identity, line::int lin
 
 def assurance_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many requirements are implemented and tested."""
-    needs = cut(_needs(spark, sf_dir))
+    needs = _needs(spark, sf_dir)
     return assurance.requirement_coverage(needs, assurance.implementation_links(needs, _symbols(spark, sf_dir)), assurance.tested_requirements(star.files(spark, sf_dir)))
 
 
@@ -257,6 +257,10 @@ SQL_RATIONALES = SQL_REPO + "select path, (n_q + 2)::int line, 'why' kind, 'part
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.once(spark, sf_dir, "links", lambda: _resolved(spark, sf_dir))
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = star.files(spark, sf_dir).where("classification = 'code_metadata'")
     known = files.select("path")
     script, python, symbols = cut(code.script_imports(files)), code.python_imports(files), _symbols(spark, sf_dir)

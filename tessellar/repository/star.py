@@ -6,6 +6,8 @@ every fourth part, records are nations, instructions and schema files are region
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,20 +80,25 @@ def place_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, text, classification) of the whole repository, written once in a session for the readers that follow."""
-    key = spark.sparkContext.applicationId, sf_dir
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table of the repository, written once in a session for the queries that read it."""
+    key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _WRITTEN:
-        _WRITTEN[key] = _built(spark, sf_dir)
+        _WRITTEN[key] = written(make())
     return _WRITTEN[key]
 
 
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text, classification) of the whole repository."""
+    return once(spark, sf_dir, "files", lambda: _built(spark, sf_dir))
+
+
 def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = code_files(spark, sf_dir).unionByName(test_files(spark, sf_dir)).unionByName(spec_files(spark, sf_dir)).unionByName(place_files(spark, sf_dir))
-    return written(every.withColumn("classification", classify(F.col("path"))))
+    return every.withColumn("classification", classify(F.col("path")))
 
 
 def aliases(spark: SparkSession) -> DataFrame:
