@@ -230,21 +230,22 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, restart: floa
     inner = edges.where("source <> target").join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
     steps = both_ways(inner).groupBy("node", "other").agg(F.count("*").alias("times"))
     degree = steps.groupBy("node").agg(F.sum("times").alias("degree"))
-    steps = cut(steps.join(degree, "node").select("node", "other", (F.col("times") / F.col("degree")).alias("share")))
+    steps = written(steps.join(degree, "node").select("node", "other", (F.col("times") / F.col("degree")).alias("share")))
     seeded = seeds.join(known, "id", "left_semi").groupBy("id").agg(F.count("*").alias("w"))
     total = seeded.agg(F.sum("w")).first()[0]
     if not total:
         seeded, total = known.withColumn("w", F.lit(1)), known.count()
     base = known.join(seeded, "id", "left").join(degree.select(F.col("node").alias("id"), "degree"), "id", "left")
     base = cut(base.select("id", (F.coalesce("w", F.lit(0)) / F.lit(float(total or 1))).alias("start"), F.col("degree").isNull().alias("loose")))
-    some_loose = not base.where("loose").isEmpty()
-    now = base.withColumn("rank", F.col("start"))
+    # a node without edges gets only what restarts and what such nodes lose, so their sum follows from the round before
+    held = float(base.where("loose").agg(F.sum("start")).first()[0] or 0.0)
+    now, lost = base.withColumn("rank", F.col("start")), held
     for k in range(rounds):
-        lost = now.where("loose").agg(F.sum("rank")).first()[0] if some_loose else 0.0
         got = steps.join(now.select(F.col("id").alias("node"), "rank"), "node").groupBy("other").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = restart * F.col("start") + (1 - restart) * (F.coalesce("got", F.lit(0.0)) + F.lit(float(lost or 0.0)) * F.col("start"))
+        rank = restart * F.col("start") + (1 - restart) * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) * F.col("start"))
         now = base.join(got.withColumnRenamed("other", "id"), "id", "left").select("id", "start", "loose", rank.alias("rank"))
-        if k % 5 == 4 or some_loose:
+        lost = held * (restart + (1 - restart) * lost)
+        if k % 5 == 4 or k + 1 == rounds:
             now = cut(now)
     top = now.agg(F.max("rank")).first()[0] or 1.0
     return now.select("id", (F.col("rank") / F.lit(top)).alias("rank"))
