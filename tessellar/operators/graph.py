@@ -21,6 +21,8 @@ TIERS = ("agent_asserted", "inferred", "reference", "resolved")
 GRADES = ("broken", "inferred", "verified")
 #: Ids that a broadcast may hold: some 60 bytes each.
 BROADCAST_NODES = 200_000
+#: Edges that a broadcast may hold, some 100 bytes each: where it does, wedges, of which there are many more, aren't shuffled.
+BROADCAST_EDGES = 1_500_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, directed: bool = T
     and seen nodes are broadcast while they are few; then a hop shuffles only what it finds.
     """
     steps = edges.select(F.col("source").alias("node"), F.col("target").alias("other")) if directed else both_ways(edges).select("node", "other")
-    steps = written(steps.distinct())
+    steps = written(steps)  # repeated ones add nothing but their rows
     frontier = cut(seeds.select(F.col("id").alias("node")).distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via")))
     seen, n = frontier, frontier.count()
     n_seen = n
@@ -260,6 +262,7 @@ def triangles(edges: DataFrame) -> DataFrame:
     up = cut(ranked.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v")))
     wedges = up.alias("x").join(up.alias("y"), F.col("x.u") == F.col("y.u")).where("x.v < y.v").select(F.col("x.u").alias("u"), F.col("x.v").alias("v"), F.col("y.v").alias("w"))
     closed = up.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("w"))
+    closed = F.broadcast(closed) if up.count() <= BROADCAST_EDGES else closed
     return wedges.join(closed, ["v", "w"]).select(F.explode(F.array("u", "v", "w")).alias("node")).groupBy("node").agg(F.count("*").alias("triangles"))
 
 
