@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm import chat, decontam, langid, linededup, media, mixing, neardup, quality, url_filters, warc
+from tessellar.llm import centroids, chat, decontam, html_text, langid, linededup, media, mixing, neardup, quality, url_filters, warc, whitening
 from tessellar.llm.common import crc_mod
 
 
@@ -97,6 +97,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's centroid after three of Lloyd's rounds over two trees."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text, by the wrapper of its host."""
+    return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened coordinates on the eight leading components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 SQL_URL = """
 with u as (select page_id, case when url like '%://%' then substr(url, strpos(url, '://') + 3) else '' end rest from pages),
 h as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path,
@@ -171,9 +186,37 @@ select doc_id, d.source, d.lang, d.topic, n_tokens, round(p, 6) probability, rou
 from d join rates on rates.source is not distinct from d.source and rates.lang is not distinct from d.lang and rates.topic is not distinct from d.topic
 """
 
+_SQL_ROUND = """
+d{r} as materialized (select v.i, v.x, c.k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint distance from v, c{r} c),
+a{r} as materialized (select i, x, arg_min(k, (distance, k)) k, min(distance) distance from d{r} group by i, x),
+m{r} as (select k, j, sum(x[j])::hugeint s, count(*)::hugeint n from a{r}, (select unnest(range(1, 65)) j) group by k, j),
+n{r} as (select k, list(((s - ((s % n) + n) % n) // n)::bigint order by j) x from m{r} group by k),
+c{next} as materialized (select c.k, coalesce(n.x, c.x) x from c{r} c left join n{r} n on n.k = c.k),"""
+
+SQL_CENTROIDS = (
+    """
+with v as materialized (select row_number() over (order by sha256('1:' || coalesce(vec_id::varchar, '')), embedding) i, vec_id, list_transform(embedding, lambda e: floor(64 * e::double)::bigint) x
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+c0 as (select i - 1 k, x from v where i <= 16),"""
+    + "".join(_SQL_ROUND.format(r=r, next=r + 1) for r in range(4))
+    + """
+w as (select k, sum(distance)::bigint cluster_inertia from a3 group by k)
+select v.vec_id, a3.k::int as cluster, a3.distance, cluster_inertia, (select sum(distance)::bigint from a3) inertia, sha256(array_to_string(c3.x, ',')) centroid_sha256
+from a3 join v on v.i = a3.i join w on w.k = a3.k join c3 on c3.k = a3.k
+"""
+)
+
+#: For pages of one article each, without elements to be left out inside it, and with these references alone, as the tables have.
+SQL_HTML = """
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) h from pages),
+b as (select page_id, url, regexp_replace(regexp_replace(h, '</?(p|h1|br)>', ' ', 'g'), '<[^<>]*>', '', 'g') t from a),
+c as (select page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')) text from b)
+select page_id, url, text, length(text)::bigint n_chars from c
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filters, op2_chat_formatting, op3_language_id, op4_near_duplicates, op5_media, op6_line_dedup, op7_mixing, op8_warc, op9_decontamination, op10_quality)
+    for f in (op1_url_filters, op2_chat_formatting, op3_language_id, op4_near_duplicates, op5_media, op6_line_dedup, op7_mixing, op8_warc, op9_decontamination, op10_quality, op11_centroid_clustering, op12_html_extraction, op13_embedding_whitening)
 }
 
-ORACLES: dict[str, str] = {"op1_url_filters": SQL_URL, "op4_near_duplicates": SQL_NEAR_DUPLICATES, "op7_mixing": SQL_MIXING, "op8_warc": SQL_WARC, "op9_decontamination": SQL_DECONTAMINATION}
+ORACLES: dict[str, str] = {"op1_url_filters": SQL_URL, "op4_near_duplicates": SQL_NEAR_DUPLICATES, "op7_mixing": SQL_MIXING, "op8_warc": SQL_WARC, "op9_decontamination": SQL_DECONTAMINATION, "op11_centroid_clustering": SQL_CENTROIDS, "op12_html_extraction": SQL_HTML}
