@@ -18,7 +18,7 @@ from tessellar.functions.words import convention, requirement_id, symbols_in
 from tessellar.operators.resolve import symbol_owners
 from tessellar.sources import markdown
 from tessellar.sources.markdown import ACCEPTANCE, DECISION, requirement_ids
-from tessellar.sources.tables import cut
+from tessellar.sources.tables import cut, written
 
 #: Verbs of a claim; a source reference; files that need no test of their own; severities from worst on.
 CLAIM = r"(?i)\b(?:supports?|provides?|implements?|guarantees?|ensures?)\b"
@@ -50,13 +50,23 @@ def fingerprint(kind: Column, path: Column, line: Column, column: Column) -> Col
     return F.concat_ws(":", kind, path, line.cast("string"), column.cast("string"))
 
 
+def marked_lines(files: DataFrame) -> DataFrame:
+    """The lines of documents (``markdown.marked``) with the class of each, made once for all readers; a table of lines stays."""
+    if "end_of_block" in files.columns:
+        return files
+    # the class goes with the id through the reader, as no other columns do
+    pair = F.struct(F.col("path"), F.col("classification"))
+    rows = markdown.marked(files.select(pair.alias("doc_id"), "text"))
+    return rows.select(F.col("doc_id.path").alias("doc_id"), *[c for c in rows.columns if c != "doc_id"], F.col("doc_id.classification").alias("classification"))
+
+
 def requirements(files: DataFrame) -> DataFrame:
     """(path, origin, line, last_line, start_byte, end_byte, fulfilled, id, statement) of each document.
 
     Tasks, acceptance sections, decision sections of records, and statements with MUST or SHOULD that none of those
     contains; one for each span, in that order. Statements are contained by lines: an anti-join within the document.
     """
-    docs = files.select(F.col("path").alias("doc_id"), "text", "classification")
+    docs = marked_lines(files)
     tasks = markdown.todos(docs).select("doc_id", F.lit("task").alias("origin"), "line", F.col("line").alias("last_line"), "start_byte", "end_byte", (F.col("status") == "done").alias("fulfilled"), "statement")
     shape = lambda df, origin: df.select("doc_id", F.lit(origin).alias("origin"), "line", "last_line", "start_byte", "end_byte", F.lit(None).cast("boolean").alias("fulfilled"), F.col("text").alias("statement"))
     accepted = shape(markdown.section_texts(docs, ACCEPTANCE), "acceptance")
@@ -114,9 +124,9 @@ def missing_test(needs: DataFrame, specs: DataFrame, tested: DataFrame, symbols:
     return _finding(_targets(done, symbols), "missing-test", "medium", F.lit(0.9), F.col("id"), F.col("target"))
 
 
-def source_references(files: DataFrame, known: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(path, line, start_byte, end_byte, reference, symbol, live, file_known) of inline code that names a source file: as written, else relative to the document."""
-    refs = markdown.code_references(files.select(F.col("path").alias("doc_id"), "text")).where(F.col("value").rlike(SOURCE_REFERENCE))
+def source_references(docs: DataFrame, known: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(path, line, start_byte, end_byte, reference, symbol, live, file_known) of inline code, in documents or their lines, that names a source file: as written, else relative to the document."""
+    refs = markdown.code_references(marked_lines(docs)).where(F.col("value").rlike(SOURCE_REFERENCE))
     refs = refs.select(F.col("doc_id").alias("path"), "line", "start_byte", "end_byte", F.regexp_extract("value", SOURCE_REFERENCE, 1).alias("written"), F.nullif(F.regexp_extract("value", SOURCE_REFERENCE, 2), F.lit("")).alias("symbol"))
     paths = known.select(F.col("path").alias("written"), F.lit(True).alias("as_written")).distinct()
     refs = refs.join(paths, "written", "left").withColumn("reference", F.when(F.col("as_written"), F.col("written")).otherwise(joined_path(directory(F.col("path")), F.col("written"))))
@@ -133,15 +143,14 @@ def stale_documents(references: DataFrame, classes: DataFrame) -> DataFrame:
     return _finding(rows, "stale-doc", "medium", F.lit(0.98), F.coalesce("symbol", "reference", "written"), F.when(F.col("file_known"), F.col("reference")))
 
 
-def contradictions(files: DataFrame) -> DataFrame:
+def contradictions(docs: DataFrame) -> DataFrame:
     """Instructions that state another key convention than one whose scope overlaps; the finding is on the one with the shorter path.
 
     A scope overlaps those above and below it. Each statement is met with one partner for each scope and convention (the
     greatest by length of path, path and line), not with every one: statements are gathered by scope, and once more under
     every scope above theirs.
     """
-    docs = files.where(F.col("classification").isin(*INSTRUCTIONS)).select(F.col("path").alias("doc_id"), "text")
-    said = markdown.statements(docs).select(F.col("doc_id").alias("path"), "line", "start_byte", "end_byte", "n", convention(F.col("text")).alias("convention"), directory(F.col("doc_id")).alias("scope")).where("convention is not null")
+    said = markdown.statements(marked_lines(docs.where(F.col("classification").isin(*INSTRUCTIONS)))).select(F.col("doc_id").alias("path"), "line", "start_byte", "end_byte", "n", convention(F.col("text")).alias("convention"), directory(F.col("doc_id")).alias("scope")).where("convention is not null")
     said = cut(said.withColumn("rank", F.struct(F.length("path").alias("size"), "path", "line", "n")))
     above = F.concat(F.array(F.lit("")), ancestors(F.col("path")))
     below = said.select(F.explode(above).alias("scope"), "convention", "rank").groupBy("scope", F.col("convention").alias("other")).agg(F.max("rank").alias("partner"))
@@ -151,19 +160,19 @@ def contradictions(files: DataFrame) -> DataFrame:
     return _finding(rows, "contradicting-instructions", "medium", F.lit(0.96), F.concat_ws(":", "partner.path", F.col("partner.line").cast("string")))
 
 
-def orphan_documents(files: DataFrame, references: DataFrame) -> DataFrame:
+def orphan_documents(docs: DataFrame, references: DataFrame) -> DataFrame:
     """Records with a decision and no live source reference; on the decision's first statement, else on the decision."""
-    records = files.where("classification = 'adr'").join(references.where("live").select("path").distinct(), "path", "left_anti")
-    docs = records.select(F.col("path").alias("doc_id"), "text")
+    lines = marked_lines(docs.where("classification = 'adr'"))
+    docs = lines.join(references.where("live").select(F.col("path").alias("doc_id")).distinct(), "doc_id", "left_anti")
     decided = markdown.section_texts(docs, DECISION).groupBy("doc_id").agg(F.min(F.struct("line", "last_line", "start_byte", "end_byte")).alias("d"))
     said = markdown.statements(docs).join(decided, "doc_id").where("line between d.line and d.last_line").groupBy("doc_id").agg(F.min(F.struct("line", "n", "start_byte", "end_byte")).alias("s"))
     rows = decided.join(said, "doc_id", "left").select(F.col("doc_id").alias("path"), F.coalesce("s.line", "d.line").alias("line"), F.coalesce("s.start_byte", "d.start_byte").alias("start_byte"), F.coalesce("s.end_byte", "d.end_byte").alias("end_byte"))
     return _finding(rows, "orphan-doc", "low", F.lit(0.85), F.regexp_replace(base_name(F.col("path")), r"\.[^.]*$", ""))
 
 
-def unproven_claims(files: DataFrame, needs: DataFrame, stale: DataFrame) -> DataFrame:
+def unproven_claims(docs: DataFrame, needs: DataFrame, stale: DataFrame) -> DataFrame:
     """Paragraphs of specifications that claim a capability, are no part of a requirement and begin on no stale line."""
-    docs = files.where("classification = 'spec'").select(F.col("path").alias("doc_id"), "text")
+    docs = marked_lines(docs.where("classification = 'spec'"))
     said = markdown.paragraphs(docs).where(F.col("text").rlike(CLAIM)).select(F.col("doc_id").alias("path"), "line", "last_line")
     held = needs.select("path", F.col("line").alias("from"), F.col("last_line").alias("to"))
     free = said.alias("p").join(held.alias("r"), (F.col("p.path") == F.col("r.path")) & (F.col("r.from") <= F.col("p.line")) & (F.col("r.to") >= F.col("p.last_line")), "left_anti")
@@ -195,17 +204,18 @@ def first_rule_wins(found: list[DataFrame]) -> DataFrame:
 
 def analyze(files: DataFrame, symbols: DataFrame, tested: DataFrame) -> DataFrame:
     """All findings of (path, classification, text), (path, line, kind, name) and (path) of tested files."""
-    needs = cut(requirements(files.where(F.col("classification").isin("adr", "agents", "claude", "cursor_rule", "skill", "spec", "todo_progress"))))
+    docs = written(marked_lines(files.where(F.col("classification").isin("adr", "agents", "claude", "cursor_rule", "skill", "spec", "todo_progress"))))
+    needs = cut(requirements(docs))
     specs = files.where("classification = 'spec'").select("path")
-    references = cut(source_references(files.where("classification in ('adr', 'spec')"), files.select("path"), symbols))
+    references = cut(source_references(docs.where("classification in ('adr', 'spec')"), files.select("path"), symbols))
     stale = stale_documents(references, files)
     return first_rule_wins([
         missing_implementation(needs, specs, symbols),
         missing_test(needs, specs, tested_requirements(files), symbols),
         stale,
-        contradictions(files),
-        orphan_documents(files, references),
-        unproven_claims(files, needs, stale),
+        contradictions(docs),
+        orphan_documents(docs, references),
+        unproven_claims(docs, needs, stale),
         untested_code(files, symbols, tested),
     ])
 

@@ -82,13 +82,16 @@ def page(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: Colum
     return summed.where(F.col("bytes_so_far") <= most_bytes)
 
 
-def running_sum(rows: DataFrame, keys: Sequence[str], order: str, value: Column, blocks: int = 64) -> DataFrame:
+def running_sum(rows: DataFrame, keys: Sequence[str], order: str, value: Column, blocks: int | None = None) -> DataFrame:
     """Adds running: the sum of values up to and with the row, in an order that is unique within a key.
 
     Rows are dealt by ranges of key and order, so no key is one task, however its order values lie: each range has sums of
-    its keys, their running sums are small, then sums within each range.
+    its keys, their running sums are small, then sums within each range. As many ranges as the session has shuffle
+    partitions, unless a number is given.
     """
-    ranged = cut(rows.withColumn("_value", value).repartitionByRange(blocks, *keys, order).withColumn("_block", F.spark_partition_id()))
+    valued = rows.withColumn("_value", value)
+    dealt = valued.repartitionByRange(*keys, order) if blocks is None else valued.repartitionByRange(blocks, *keys, order)
+    ranged = cut(dealt.withColumn("_block", F.spark_partition_id()))
     sums = ranged.groupBy(*keys, "_block").agg(F.sum("_value").alias("_sum"))
     before = F.sum("_sum").over(W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
     starts = sums.withColumn("_start", F.coalesce(before, F.lit(0))).drop("_sum")

@@ -171,35 +171,58 @@ def through_barrels(asked: DataFrame, imports: DataFrame, targets: DataFrame, ex
 
 
 def name_matches(called: DataFrame, exports: DataFrame) -> DataFrame:
-    """(source, target, name): bare calls of a name that exactly one other file exports."""
-    rows = called.select("path", "name").distinct().join(exports.select(F.col("path").alias("target"), "name").distinct(), "name").where("path <> target")
-    return rows.groupBy("path", "name").agg(F.min("target").alias("target"), F.count("*").alias("n")).where("n = 1").select(F.col("path").alias("source"), "target", "name")
+    """(source, target, name): bare calls of a name that exactly one other file exports.
 
+    Exporters are summed by name before they meet a caller: the least, the greatest and how many. A caller of a name with one takes it unless that is itself; with two, it must be one of them and takes the other. So the
+    work is callers plus exporters, however often a name is exported and called.
+    """
+    owners = exports.select("path", "name").distinct().groupBy("name").agg(F.min("path").alias("first"), F.max("path").alias("last"), F.count("*").alias("n")).where("n <= 2")
+    rows = called.select("path", "name").distinct().join(owners, "name")
+    one = F.col("first") == F.col("last")
+    target = F.when(one & (F.col("path") != F.col("first")), F.col("first")).when(~one & (F.col("path") == F.col("first")), F.col("last")).when(~one & (F.col("path") == F.col("last")), F.col("first"))
+    return rows.select(F.col("path").alias("source"), target.alias("target"), "name").where("target is not null")
 
-def code_links(imports: DataFrame, targets: DataFrame, owners: DataFrame, called: DataFrame, locals_: DataFrame, exports: DataFrame) -> DataFrame:
-    """(kind, source, target, tier, method, names): imports, calls and tests.
 
-    Names that a barrel gives on belong to their owner (barrel, name, owner); the rest to the module itself. Calls of
-    imported names are resolved, bare calls of one exporter's name a reference. An import out of a test makes a tests
-    link to what is no test. Of several ways to one target the resolved one counts; up to eight names are kept, in order.
+def _seen(imports: DataFrame, targets: DataFrame) -> DataFrame:
+    return imports.join(targets, ["path", "specifier"]).select("path", "target", "tier", "method", F.when(F.size("names") > 0, F.col("names")).otherwise(F.array(F.lit("*"))).alias("names"), "bindings")
+
+
+def import_links(imports: DataFrame, targets: DataFrame, owners: DataFrame) -> DataFrame:
+    """(kind, source, target, tier, method, name): imports and tests, a row for each name.
+
+    Names that a barrel gives on belong to their owner (barrel, name, owner); the rest to the module itself. An import out
+    of a test makes a tests link to what is no test.
     """
-    seen = imports.join(targets, ["path", "specifier"]).select("path", "target", "tier", "method", F.when(F.size("names") > 0, F.col("names")).otherwise(F.array(F.lit("*"))).alias("names"), "bindings")
-    each = seen.select("path", "target", "tier", "method", F.explode("names").alias("name"))
+    each = _seen(imports, targets).select("path", "target", "tier", "method", F.explode("names").alias("name"))
     owned = each.join(owners.select(F.col("barrel").alias("target"), "name", "owner"), ["target", "name"], "left")
     barrel = owned.where("owner is not null and owner <> path").select(F.lit("imports").alias("kind"), F.col("path").alias("source"), F.col("owner").alias("target"), F.lit("resolved").alias("tier"), F.lit("barrel-resolution").alias("method"), "name")
     plain = owned.where("owner is null or owner = path").select(F.lit("imports").alias("kind"), F.col("path").alias("source"), "target", "tier", "method", "name")
     every = barrel.unionByName(plain).where("source <> target")
     tests = every.where(is_test(F.col("source")) & ~is_test(F.col("target"))).select(F.lit("tests").alias("kind"), "source", "target", F.lit("reference").alias("tier"), F.lit("test-import").alias("method"), "name")
-    bound = bound_names(seen, owners)
+    return every.unionByName(tests)
+
+
+def call_links(imports: DataFrame, targets: DataFrame, owners: DataFrame, called: DataFrame, locals_: DataFrame, exports: DataFrame) -> DataFrame:
+    """(kind, source, target, tier, method, name): calls. Those of imported names are resolved, bare calls of one exporter's name a reference."""
+    bound = bound_names(_seen(imports, targets), owners)
     met = called.join(bound, ["path", "binding"]).select(F.lit("calls").alias("kind"), F.col("path").alias("source"), "target", F.lit("resolved").alias("tier"), F.lit("import-binding").alias("method"), F.coalesce("member", "symbol").alias("name"))
     bare = called.where("member is null").join(bound.select("path", "binding").distinct(), ["path", "binding"], "left_anti").select("path", F.col("binding").alias("name")).join(locals_, ["path", "name"], "left_anti")
     guessed = name_matches(bare, exports).select(F.lit("calls").alias("kind"), "source", "target", F.lit("reference").alias("tier"), F.lit("name-match").alias("method"), "name")
-    links = every.unionByName(tests).unionByName(met.where("source <> target")).unionByName(guessed)
+    return met.where("source <> target").unionByName(guessed)
+
+
+def one_link(links: DataFrame) -> DataFrame:
+    """(kind, source, target, tier, method, names): of several ways to one target the resolved one counts; up to eight names are kept, in order."""
     best = F.struct((F.col("tier") != "resolved").alias("weak"), "method")
     named = F.slice(F.array_sort(F.collect_set(F.when(F.col("name") != "*", F.col("name")))), 1, MOST_NAMES)
     return links.groupBy("kind", "source", "target").agg(F.min_by(F.struct("tier", "method"), best).alias("r"), named.alias("names")).select("kind", "source", "target", "r.tier", "r.method", "names")
 
 
+def code_links(imports: DataFrame, targets: DataFrame, owners: DataFrame, called: DataFrame, locals_: DataFrame, exports: DataFrame) -> DataFrame:
+    """(kind, source, target, tier, method, names): ``import_links`` and ``call_links``, one for each kind, source and target."""
+    return one_link(import_links(imports, targets, owners).unionByName(call_links(imports, targets, owners, called, locals_, exports)))
+
+
 def bound_names(seen: DataFrame, owners: DataFrame) -> DataFrame:
     """(path, binding, symbol, target): what local names of imports stand for."""
     rows = seen.select("path", F.col("target").alias("module"), F.explode("bindings").alias("b")).select("path", "module", F.col("b.local").alias("binding"), F.col("b.symbol").alias("symbol"))

@@ -30,7 +30,7 @@ ROUTES = {
 }
 #: Tools of either route.
 GRAPH_TOOLS = ("search_index", "get_neighbors", "trace_path", "impact_of", "query_brain")
-SEARCH_TOOLS = ("search_index",)
+SEARCH_TOOLS = ("search_index", "get_artifact")
 #: Points of the kinds of context documents, of graph and key word matches, and of the root's instructions.
 KIND_POINTS = {"agents": 100, "claude": 90, "spec": 50, "todo_progress": 40, "skill": 30, "cursor_rule": 20, "adr": 10}
 GRAPH_POINTS, WORD_POINTS, ROOT_POINTS = 100, 10, 10_000
@@ -171,7 +171,7 @@ def first_fit(rows: DataFrame, key: str, order: Sequence[Column], item: str, cos
     out = small.groupBy("key").agg(F.aggregate(taken, start, step).alias("a")).select("key", F.explode("a.items").alias("item"))
     if not some:
         return out
-    left = cut(rows.join(large, "key", "left_semi").withColumn("left", F.lit(budget).cast("long")).where("cost <= left"))
+    left = cut(rows.join(large, rows["key"].eqNullSafe(large["key"]), "left_semi").withColumn("left", F.lit(budget).cast("long")).where("cost <= left"))
     at = W.partitionBy("key").orderBy(*names, "item")
     while not left.isEmpty():
         first = left.withColumn("_n", F.row_number().over(at)).where(F.col("_n") <= budget + 1)
@@ -180,19 +180,20 @@ def first_fit(rows: DataFrame, key: str, order: Sequence[Column], item: str, cos
         out = out.unionByName(first.where(fits).select("key", "item"))
         mark = F.struct(*names, "item")
         state = first.groupBy("key").agg(F.coalesce(F.max(F.when(fits, F.col("_run"))), F.lit(0)).alias("_used"), F.coalesce(F.min(F.when(~fits, mark)), F.max(mark)).alias("_last"))
-        left = cut(left.join(state, "key").where(mark > F.col("_last")).withColumn("left", F.col("left") - F.col("_used")).where("cost <= left").drop("_used", "_last"))
+        left = cut(left.join(state, left["key"].eqNullSafe(state["key"])).drop(state["key"]).where(mark > F.col("_last")).withColumn("left", F.col("left") - F.col("_used")).where("cost <= left").drop("_used", "_last"))
     return out
 
 
 def pack(rows: DataFrame, key: str, order: Sequence[Column], item: str, cost: Column, budget: int) -> DataFrame:
     """(key, used, items): what ``first_fit`` takes of each key, its cost and its items in order."""
-    whole = rows.withColumn("_cost", cost.cast("long"))
-    taken = first_fit(whole, key, order, item, F.col("_cost"), budget)
-    own = whole.select(F.col(key), *[c.alias(f"_o{i}") for i, c in enumerate(order)], F.col(item).alias("item"), "_cost")
-    met = own.join(taken.withColumnRenamed("key", key), [key, "item"])
-    listed = met.groupBy(key).agg(F.sum("_cost").alias("used"), F.array_sort(F.collect_list(F.struct(*[f"_o{i}" for i in range(len(order))], "item"))).alias("xs"))
-    shown = listed.select(key, "used", F.array_join(F.transform("xs", lambda x: x["item"].cast("string")), ",").alias("items"))
-    return rows.select(key).distinct().join(shown, key, "left").select(key, F.coalesce("used", F.lit(0)).cast("long").alias("used"), F.coalesce("items", F.lit("")).alias("items"))
+    own = rows.select(F.col(key).alias("_key"), *[c.alias(f"_o{i}") for i, c in enumerate(order)], F.col(item).alias("_item"), cost.cast("long").alias("_cost"))
+    taken = first_fit(own, "_key", [F.col(f"_o{i}") for i in range(len(order))], "_item", F.col("_cost"), budget)
+    met = own.join(taken, own["_key"].eqNullSafe(taken["key"]) & own["_item"].eqNullSafe(taken["item"]), "left_semi")
+    listed = met.groupBy("_key").agg(F.sum("_cost").alias("used"), F.array_sort(F.collect_list(F.struct(*[f"_o{i}" for i in range(len(order))], "_item"))).alias("xs"))
+    shown = listed.select(F.col("_key").alias("_k"), "used", F.array_join(F.transform("xs", lambda x: x["_item"].cast("string")), ",").alias("items"))
+    keys = own.select("_key").distinct()
+    out = keys.join(shown, keys["_key"].eqNullSafe(shown["_k"]), "left")
+    return out.select(F.col("_key").alias(key), F.coalesce("used", F.lit(0)).cast("long").alias("used"), F.coalesce("items", F.lit("")).alias("items"))
 
 
 def batch_starts(rows: DataFrame, key: str, order: str, size: Column, most: int) -> DataFrame:
@@ -226,7 +227,8 @@ def batch_starts(rows: DataFrame, key: str, order: str, size: Column, most: int)
 def batches(rows: DataFrame, key: str, order: str, size: Column, most: int) -> DataFrame:
     """(key, n_batches, largest): next-fit batches of each key's items in order; an item larger than a batch has its own.
 
-    Keys of up to 4,096 items are folded in one row; of larger ones the batches are found by ``batch_starts``.
+    Keys of up to 4,096 items are folded in one row; of larger ones the batches are found by ``batch_starts``. A null key is
+    folded in one row whatever its size.
     """
     rows = rows.withColumn("_size", size.cast("long"))
     large = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > GATHERED).select(key))

@@ -132,4 +132,4 @@ def superseded_assertions(assertions: DataFrame) -> DataFrame:
 
 def due_entries(entries: DataFrame, tenants: DataFrame, as_of: Column, default_days: int = 30) -> DataFrame:
     """The entries older than their tenant's days of retention (tenant, days), which pruning removes."""
-    return entries.join(F.broadcast(tenants), "tenant", "left").where(F.col("at") < as_of - F.make_interval(days=F.coalesce("days", F.lit(default_days)))).drop("days")
+    return entries.join(tenants, "tenant", "left").where(F.col("at") < as_of - F.make_interval(days=F.coalesce("days", F.lit(default_days)))).drop("days")

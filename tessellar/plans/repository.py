@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tessellar.functions import paths, words
 from tessellar.operators import assurance, resolve
 from tessellar.repository import star
 from tessellar.sources import code, markdown
-from tessellar.sources.tables import cut, table
+from tessellar.sources.tables import cut, table, written
 
 DOC_CLASSES = ("adr", "agents", "claude", "cursor_rule", "doc", "skill", "spec", "todo_progress")
 
@@ -28,8 +30,63 @@ f as (select path, 'code_metadata' class from p union all select path, 'code_met
 """
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.files(spark, sf_dir).where(F.col("classification").isin(*DOC_CLASSES)).select(F.col("path").alias("doc_id"), "text")
+class Repository:
+    """What one query derives from the tables: files and what is read from them, each written once for the steps of that query alone."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return written(star.files(self.spark, self.sf_dir))
+
+    @cached_property
+    def code(self) -> DataFrame:
+        return self.files.where("classification = 'code_metadata'")
+
+    @cached_property
+    def docs(self) -> DataFrame:
+        """Lines of all documents, with their class."""
+        docs = self.files.where(F.col("classification").isin(*DOC_CLASSES))
+        return written(assurance.marked_lines(docs))
+
+    @cached_property
+    def needs(self) -> DataFrame:
+        return written(assurance.requirements(self.docs))
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return written(code.exported_symbols(self.code))
+
+    @cached_property
+    def specs(self) -> DataFrame:
+        return self.files.where("classification = 'spec'").select("path")
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        script, python = code.script_imports(self.code), code.python_imports(self.code)
+        none = F.array().cast("array<struct<local:string,symbol:string>>").alias("bindings")
+        return written(script.unionByName(python.select("path", F.col("n").cast("int").alias("n"), "specifier", F.lit(False).alias("is_re_export"), "names", none)))
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        known, python = self.code.select("path"), F.lower("path").endswith(".py")
+        scripts = resolve.script_targets(self.imports.where(~python), known, star.aliases(self.spark))
+        return written(scripts.unionByName(resolve.python_targets(self.imports.where(python), known, ("", "api"))))
+
+    @cached_property
+    def owners(self) -> DataFrame:
+        asked = self.imports.join(self.targets, ["path", "specifier"]).select(F.col("target").alias("barrel"), F.explode("names").alias("name"))
+        return cut(resolve.through_barrels(asked, self.imports, self.targets, self.symbols))
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return resolve.code_links(self.imports, self.targets, self.owners, code.calls(self.code), code.local_names(self.code), self.symbols)
+
+    @cached_property
+    def tested(self) -> DataFrame:
+        """What a test imports."""
+        return resolve.import_links(self.imports, self.targets, self.owners).where("kind = 'tests'").select(F.col("target").alias("path")).distinct()
 
 
 _NAMES = ["AGENTS.md", "CLAUDE.md", "SKILL.md", "TODO.md", "spec-a.md", "adr-1.md", "notes.txt", "page.tsx", "layout.tsx", "route.ts", "index.ts", "use.test.ts", "actions.ts", "Card.tsx", "a.go", "conftest.py", "x.sql", "x.css", "x.yaml", "package.json", "tsconfig.base.json", "yarn.lock", "handoff.md", "picture.png", "_app.tsx", "Dockerfile.web"]
@@ -76,7 +133,8 @@ select p_partkey, path, class, case class when 'todo_progress' then 'todo' when
 
 def repo_todos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task items of all specifications with their keys and parents."""
-    return markdown.todos(_docs(spark, sf_dir)).select(F.col("doc_id").alias("path"), "line", "status", "title", "occurrence", "source_key", "parent_key")
+    repo = Repository(spark, sf_dir)
+    return markdown.todos(repo.docs).select(F.col("doc_id").alias("path"), "line", "status", "title", "occurrence", "source_key", "parent_key")
 
 
 SQL_TODOS = SQL_REPO + """, w as (select *, 'document:' || path || ':' || substr(sha256(lower(statement)), 1, 16) key from o)
@@ -86,7 +144,8 @@ select path, line::int line, case s when 'F' then 'done' when 'P' then 'in-progr
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of all documents with the lines of their sections."""
-    return markdown.sections(_docs(spark, sf_dir)).select(F.col("doc_id").alias("path"), "line", "depth", "title", "last_line")
+    repo = Repository(spark, sf_dir)
+    return markdown.sections(repo.docs).select(F.col("doc_id").alias("path"), "line", "depth", "title", "last_line")
 
 
 SQL_SECTIONS = SQL_REPO + """select path, 1 line, 1 depth, 'Customer ' || c title, (12 + n_o)::int last_line from c union all select path, 5, 2, 'Acceptance criteria', 8 from c union all select path, 9, 2, 'Tasks', (12 + n_o)::int from c
@@ -95,11 +154,8 @@ union all select path, 1, 1, 'ADR-' || k || ' — nation', 7 from k union all se
 
 def requirement_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirements of all documents."""
-    return _needs(spark, sf_dir).select("path", "origin", "line", "last_line", "fulfilled", "id", "statement")
-
-
-def _needs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.once(spark, sf_dir, "requirements", lambda: assurance.requirements(star.files(spark, sf_dir).where(F.col("classification").isin(*DOC_CLASSES))))
+    repo = Repository(spark, sf_dir)
+    return repo.needs.select("path", "origin", "line", "last_line", "fulfilled", "id", "statement")
 
 
 _NEEDS_SQL = """, needs as (select path, 'task' origin, line, line last_line, s = 'F' fulfilled, 'REQ-O' || o id, statement from o
@@ -111,28 +167,22 @@ _NEEDS_SQL = """, needs as (select path, 'task' origin, line, line last_line, s
 SQL_NEEDS = SQL_REPO + _NEEDS_SQL + "select path, origin, line::int line, last_line::int last_line, fulfilled, id, statement from needs"
 
 
-def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.once(spark, sf_dir, "symbols", lambda: code.exported_symbols(star.files(spark, sf_dir).where("classification = 'code_metadata'")))
-
-
 def exported_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every source file exports."""
-    return _symbols(spark, sf_dir)
+    repo = Repository(spark, sf_dir)
+    return repo.symbols
 
 
 SQL_SYMBOLS = SQL_REPO + "select path, (n_q + 3)::int line, 'function' kind, 'loadPart' || p name from m union all select 'api/n' || k || '.py', 5, 'function', 'load' from k union all select 'api/n' || k || '.py', 8, 'class', 'N' || k from k union all values ('api/base.py', 1, 'class', 'Base')"
 
 
-def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.files(spark, sf_dir).where("classification = 'spec'").select("path")
-
-
 SHOWN = ("type", "path", "line", "severity", "confidence", "target", "detail")
 
 
 def missing_implementation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule 1 over all specifications."""
-    return assurance.missing_implementation(_needs(spark, sf_dir), _specs(spark, sf_dir), _symbols(spark, sf_dir)).select(*SHOWN)
+    repo = Repository(spark, sf_dir)
+    return assurance.missing_implementation(repo.needs, repo.specs, repo.symbols).select(*SHOWN)
 
 
 _R1 = "select 'missing-implementation' type, path, line::int line, 'medium' severity, case when o % 3 = 0 then 0.95 else 0.75 end::double confidence, null::varchar target, 'REQ-O' || o detail from o, n where s <> 'F' and not (o % 3 = 0 and x < n)"
@@ -141,7 +191,8 @@ SQL_R1 = SQL_REPO + _R1
 
 def missing_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule 2 over all specifications and tests."""
-    return assurance.missing_test(_needs(spark, sf_dir), _specs(spark, sf_dir), assurance.tested_requirements(star.files(spark, sf_dir)), _symbols(spark, sf_dir)).select(*SHOWN)
+    repo = Repository(spark, sf_dir)
+    return assurance.missing_test(repo.needs, repo.specs, assurance.tested_requirements(repo.files), repo.symbols).select(*SHOWN)
 
 
 _R2 = "select 'missing-test' type, o.path, line::int line, 'medium' severity, 0.9::double confidence, p.path target, 'REQ-O' || o detail from o cross join n left join p on o % 3 = 0 and p.p = x where s = 'F' and (o % n) % 4 <> 0"
@@ -150,8 +201,9 @@ SQL_R2 = SQL_REPO + _R2
 
 def stale_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule 3 over all records and specifications."""
-    files = star.files(spark, sf_dir)
-    return assurance.stale_documents(assurance.source_references(files.where("classification in ('adr', 'spec')"), files.select("path"), _symbols(spark, sf_dir)), files).select(*SHOWN)
+    repo = Repository(spark, sf_dir)
+    files = repo.files
+    return assurance.stale_documents(assurance.source_references(repo.docs.where("classification in ('adr', 'spec')"), files.select("path"), repo.symbols), files).select(*SHOWN)
 
 
 _R3 = "select 'stale-doc' type, path, (12 + n_o)::int line, 'medium' severity, 0.98::double confidence, null::varchar target, 'loadPart' || y detail from c, n where y >= n"
@@ -160,7 +212,8 @@ SQL_R3 = SQL_REPO + _R3
 
 def instruction_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule 4 over all instructions."""
-    return assurance.contradictions(star.files(spark, sf_dir)).select(*SHOWN)
+    repo = Repository(spark, sf_dir)
+    return assurance.contradictions(repo.docs).select(*SHOWN)
 
 
 _R4 = "select 'contradicting-instructions' type, 'AGENTS.md' path, 1 line, 'medium' severity, 0.96::double confidence, null::varchar target, max(path) || ':3' detail from g where r % 2 = 0 having count(*) > 0"
@@ -169,8 +222,9 @@ SQL_R4 = SQL_REPO + _R4
 
 def orphan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule 5 over all records."""
-    files = star.files(spark, sf_dir)
-    return assurance.orphan_documents(files, assurance.source_references(files.where("classification = 'adr'"), files.select("path"), _symbols(spark, sf_dir))).select(*SHOWN)
+    repo = Repository(spark, sf_dir)
+    files = repo.files
+    return assurance.orphan_documents(repo.docs, assurance.source_references(repo.docs.where("classification = 'adr'"), files.select("path"), repo.symbols)).select(*SHOWN)
 
 
 _R5 = "select 'orphan-doc' type, path, 5 line, 'low' severity, 0.85::double confidence, null::varchar target, 'nation' || k detail from k where k % 2 = 1"
@@ -179,9 +233,10 @@ SQL_R5 = SQL_REPO + _R5
 
 def unproven_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule 6 over all specifications."""
-    files = star.files(spark, sf_dir)
-    stale = assurance.stale_documents(assurance.source_references(files.where("classification = 'spec'"), files.select("path"), _symbols(spark, sf_dir)), files)
-    return assurance.unproven_claims(files, _needs(spark, sf_dir), stale).select(*SHOWN)
+    repo = Repository(spark, sf_dir)
+    files = repo.files
+    stale = assurance.stale_documents(assurance.source_references(repo.docs.where("classification = 'spec'"), files.select("path"), repo.symbols), files)
+    return assurance.unproven_claims(repo.docs, repo.needs, stale).select(*SHOWN)
 
 
 _R6 = "select 'unproven-claim' type, path, 3 line, 'medium' severity, 0.8::double confidence, null::varchar target, 'claim' detail from c"
@@ -190,12 +245,9 @@ SQL_R6 = SQL_REPO + _R6
 
 def untested_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule 7 over all code."""
-    files = star.files(spark, sf_dir)
-    return assurance.untested_code(files, _symbols(spark, sf_dir), _tested(spark, sf_dir)).select(*SHOWN)
-
-
-def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _links(spark, sf_dir).where("kind = 'tests'").select(F.col("target").alias("path")).distinct()
+    repo = Repository(spark, sf_dir)
+    files = repo.files
+    return assurance.untested_code(files, repo.symbols, repo.tested).select(*SHOWN)
 
 
 _R7 = """select 'untested-code' type, path, (n_q + 3)::int line, 'low' severity, 0.6::double confidence, path target, '1 exported' detail from m where p % 4 <> 0
@@ -205,7 +257,8 @@ SQL_R7 = SQL_REPO + _R7
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules, the first one on each span."""
-    return assurance.analyze(star.files(spark, sf_dir), _symbols(spark, sf_dir), _tested(spark, sf_dir)).select(*SHOWN)
+    repo = Repository(spark, sf_dir)
+    return assurance.analyze(repo.files, repo.symbols, repo.tested).select(*SHOWN)
 
 
 SQL_FINDINGS = SQL_REPO + " union all ".join(f"(select * from ({r}))" for r in (_R1, _R2, _R3, _R4, _R5, _R6, _R7))
@@ -213,7 +266,8 @@ SQL_FINDINGS = SQL_REPO + " union all ".join(f"(select * from ({r}))" for r in (
 
 def implements_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirements and the files that own the symbols they name."""
-    return assurance.implementation_links(_needs(spark, sf_dir), _symbols(spark, sf_dir))
+    repo = Repository(spark, sf_dir)
+    return assurance.implementation_links(repo.needs, repo.symbols)
 
 
 SQL_IMPLEMENTS = SQL_REPO + "select o.path, 'REQ-O' || o identity, line::int line, 'loadPart' || x symbol, p.path target from o join p on o % 3 = 0 and p.p = x"
@@ -221,8 +275,9 @@ SQL_IMPLEMENTS = SQL_REPO + "select o.path, 'REQ-O' || o identity, line::int lin
 
 def assurance_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many requirements are implemented and tested."""
-    needs = _needs(spark, sf_dir)
-    return assurance.requirement_coverage(needs, assurance.implementation_links(needs, _symbols(spark, sf_dir)), assurance.tested_requirements(star.files(spark, sf_dir)))
+    repo = Repository(spark, sf_dir)
+    needs = repo.needs
+    return assurance.requirement_coverage(needs, assurance.implementation_links(needs, repo.symbols), assurance.tested_requirements(repo.files))
 
 
 SQL_COVERAGE = SQL_REPO + _NEEDS_SQL + "select count(*) requirements, (select count(*) from o join p on o % 3 = 0 and p.p = x) implemented, (select count(*) from o, n where (o % n) % 4 = 0) tested from needs"
@@ -230,8 +285,9 @@ SQL_COVERAGE = SQL_REPO + _NEEDS_SQL + "select count(*) requirements, (select co
 
 def doc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all documents to files."""
-    docs = _docs(spark, sf_dir)
-    return resolve.doc_links(resolve.mentions(markdown.code_references(docs), markdown.links(docs)), star.files(spark, sf_dir).select("path"))
+    repo = Repository(spark, sf_dir)
+    docs = repo.docs
+    return resolve.doc_links(resolve.mentions(markdown.code_references(docs), markdown.links(docs)), repo.files.select("path"))
 
 
 SQL_DOC_LINKS = SQL_REPO + """, l as (select c.path source, p.path target, (12 + n_o)::int line, 'path-exists' method from c join p on p.p = y union all select c.path, p.path, (12 + n_o)::int, 'doc-link' from c join p on p.p = z)
@@ -240,7 +296,8 @@ select source, target, line, min(method) method, 'resolved' tier from l group by
 
 def section_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of decision records by documents and by comments in code."""
-    docs, files = _docs(spark, sf_dir), star.files(spark, sf_dir)
+    repo = Repository(spark, sf_dir)
+    docs, files = repo.docs, repo.files
     return resolve.section_links(markdown.declared_sections(docs), markdown.cited_tokens(docs), code.rationales(files.where("classification = 'code_metadata'")))
 
 
@@ -250,32 +307,17 @@ union all select m.path, 'ADR-' || (p % 30), k.path, (n_q + 2)::int, 'rationale'
 
 def rationale_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons that comments give."""
-    return code.rationales(star.files(spark, sf_dir).where("classification = 'code_metadata'"))
+    repo = Repository(spark, sf_dir)
+    return code.rationales(repo.code)
 
 
 SQL_RATIONALES = SQL_REPO + "select path, (n_q + 2)::int line, 'why' kind, 'part ' || p || ' follows ADR-' || (p % 30) \"text\", 'ADR-' || (p % 30) adr from m"
 
 
-def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.once(spark, sf_dir, "links", lambda: _resolved(spark, sf_dir))
-
-
-def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = star.files(spark, sf_dir).where("classification = 'code_metadata'")
-    known = files.select("path")
-    script, python, symbols = cut(code.script_imports(files)), code.python_imports(files), _symbols(spark, sf_dir)
-    targets = cut(resolve.script_targets(script, known, star.aliases(spark)))
-    asked = script.join(targets, ["path", "specifier"]).select(F.col("target").alias("barrel"), F.explode("names").alias("name"))
-    owners = cut(resolve.through_barrels(asked, script, targets, symbols))
-    none = F.array().cast("array<struct<local:string,symbol:string>>").alias("bindings")
-    every = script.unionByName(python.select("path", F.col("n").cast("int").alias("n"), "specifier", F.lit(False).alias("is_re_export"), "names", none))
-    both = targets.unionByName(resolve.python_targets(python, known, ("", "api")))
-    return resolve.code_links(every, both, owners, code.calls(files), code.local_names(files), symbols)
-
-
 def code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports, calls and tests between all source files."""
-    return _links(spark, sf_dir).withColumn("names", F.array_join("names", ","))
+    repo = Repository(spark, sf_dir)
+    return repo.links.withColumn("names", F.array_join("names", ","))
 
 
 SQL_CODE_LINKS = SQL_REPO + """, i as (select m.path source, p.path target, q % 3 = 0 alias, 'loadPart' || q name from pairs join m on m.p = pairs.p join p on p.p = q)
@@ -290,9 +332,10 @@ union all select 'imports', 'api/n' || k || '.py', 'api/base.py', 'reference', '
 
 def heritage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bases of all classes."""
-    files = star.files(spark, sf_dir).where("classification = 'code_metadata'")
+    repo = Repository(spark, sf_dir)
+    files = repo.code
     nothing = spark.createDataFrame([], "path string, binding string, symbol string, target string")
-    return resolve.heritage_links(code.heritage(files), nothing, _symbols(spark, sf_dir))
+    return resolve.heritage_links(code.heritage(files), nothing, repo.symbols)
 
 
 SQL_HERITAGE = SQL_REPO + "select 'api/n' || k || '.py' path, 'N' || k as name, 'class' kind, 'api/base.py' target, 'Base' base from k"
@@ -300,7 +343,8 @@ SQL_HERITAGE = SQL_REPO + "select 'api/n' || k || '.py' path, 'N' || k as name,
 
 def schema_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements and queries on schema objects."""
-    files = star.files(spark, sf_dir)
+    repo = Repository(spark, sf_dir)
+    files = repo.files
     objects, links = code.schema_statements(files)
     return resolve.schema_links(objects, links, code.table_literals(files.where("classification = 'code_metadata'")))
 
@@ -311,7 +355,8 @@ union all select 'db/r' || r || '/t' || k || '.sql', 5, 'modifies', null, 't' ||
 
 def db_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file that declares each schema object."""
-    return resolve.declaring_files(code.schema_statements(star.files(spark, sf_dir))[0])
+    repo = Repository(spark, sf_dir)
+    return resolve.declaring_files(code.schema_statements(repo.files)[0])
 
 
 SQL_OBJECTS = SQL_REPO + "select 't' || k as name, 'db/r' || r || '/t' || k || '.sql' path, 1 line, 'table' kind from k"
@@ -319,7 +364,8 @@ SQL_OBJECTS = SQL_REPO + "select 't' || k as name, 'db/r' || r || '/t' || k || '
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which file serves which url."""
-    files = star.files(spark, sf_dir)
+    repo = Repository(spark, sf_dir)
+    files = repo.files
     return resolve.route_handlers(files, code.python_routes(files))
 
 
@@ -328,7 +374,8 @@ SQL_ROUTES = SQL_REPO + "select '/nations/' || k url, 'GET' as method, 'api/n' |
 
 def containment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every directory and what lies in it."""
-    return resolve.containment(star.files(spark, sf_dir))
+    repo = Repository(spark, sf_dir)
+    return resolve.containment(repo.files)
 
 
 SQL_CONTAINMENT = SQL_REPO + """, s as (select string_split(path, '/') a from f), e as (select distinct array_to_string(a[1:i], '/') source, array_to_string(a[1:i + 1], '/') target from s, lateral (select unnest(range(1, len(a))) i)) select source, target from e"""
@@ -336,8 +383,9 @@ SQL_CONTAINMENT = SQL_REPO + """, s as (select string_split(path, '/') a from f)
 
 def reported_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of a coverage report, with a prefix of the machine that made it, and the files they stand for."""
+    repo = Repository(spark, sf_dir)
     reported = table(spark, sf_dir, "part").select(F.expr("concat('/ci/run', p_partkey % 7, '/./src/b', p_partkey % 26, '/p', p_partkey, '.ts')").alias("reported"))
-    return resolve.reported_paths(reported, star.files(spark, sf_dir).select("path"))
+    return resolve.reported_paths(reported, repo.files.select("path"))
 
 
 SQL_REPORTED = SQL_REPO + "select '/ci/run' || (p % 7) || '/./src/b' || (p % 26) || '/p' || p || '.ts' reported, case when p % 26 = p % 25 then path end path from p"
@@ -345,7 +393,8 @@ SQL_REPORTED = SQL_REPO + "select '/ci/run' || (p % 7) || '/./src/b' || (p % 26)
 
 def symbol_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stable keys of all exported symbols, and ids made of them."""
-    s = _symbols(spark, sf_dir)
+    repo = Repository(spark, sf_dir)
+    s = repo.symbols
     key = words.symbol_key(F.col("path"), F.lit(None).cast("string"), F.col("kind"), F.col("name"))
     return s.select("path", "kind", "name", key.alias("key"), words.ulid_of(key).alias("node_id"))
 
@@ -357,7 +406,8 @@ select path, kind, name, key, '0' || {_ULID} node_id from x"""
 
 def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declarations and bases of all symbols."""
-    return resolve.symbol_edges(_symbols(spark, sf_dir), heritage(spark, sf_dir))
+    repo = Repository(spark, sf_dir)
+    return resolve.symbol_edges(repo.symbols, heritage(spark, sf_dir))
 
 
 SQL_SYMBOL_EDGES = f"""with s as ({SQL_SYMBOLS}), y as (select path, kind, name, md5(path || '||' || kind || '|' || name) key from s)
@@ -376,7 +426,8 @@ SQL_FINDING_COUNTS = f"with q as ({SQL_FINDINGS}) select item, count(*) n from (
 
 def package_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories of the repository, those with instructions taken as packages."""
-    return resolve.package_directories(star.files(spark, sf_dir), ("AGENTS.md",))
+    repo = Repository(spark, sf_dir)
+    return resolve.package_directories(repo.files, ("AGENTS.md",))
 
 
 SQL_PACKAGES = SQL_REPO + """, d as (select distinct array_to_string(a[1:i], '/') path from (select string_split(path, '/') a from f), lateral (select unnest(range(1, len(a))) i)) select path, path || '/AGENTS.md' in (select path from g) is_package from d"""
@@ -384,9 +435,10 @@ SQL_PACKAGES = SQL_REPO + """, d as (select distinct array_to_string(a[1:i], '/'
 
 def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test files, as a report with other prefixes names them, and the requirements that their cases state."""
-    tests = star.files(spark, sf_dir).where("path like 'tests/%'")
+    repo = Repository(spark, sf_dir)
+    tests = repo.files.where("path like 'tests/%'")
     evidence = tests.select(F.concat(F.lit("/ci/work/"), "path").alias("test_file"), markdown.requirement_ids(F.col("text")).alias("requirement_ids"))
-    return resolve.evidence_links(evidence, star.files(spark, sf_dir).select("path"), _needs(spark, sf_dir))
+    return resolve.evidence_links(evidence, repo.files.select("path"), repo.needs)
 
 
 SQL_EVIDENCE_LINKS = SQL_REPO + "select '/ci/work/' || t.path test_file, t.path path, 'REQ-O' || o requirement from n, t left join o on o.o % (select n from n) = t.p"
@@ -394,11 +446,12 @@ SQL_EVIDENCE_LINKS = SQL_REPO + "select '/ci/work/' || t.path test_file, t.path
 
 def analysis_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The receipt of an analysis of the whole repository, with two findings and a requirement known before."""
+    repo = Repository(spark, sf_dir)
     from tessellar.operators.analysis import analyse
 
     known = spark.createDataFrame([("gone:a:1:0", "open"), ("orphan-doc:docs/adr/nation1.md:5:33", "dismissed")], "id string, status string")
     needs = spark.createDataFrame([("old.md", "REQ-OLD", "active")], "path string, identity string, status string")
-    return analyse(star.files(spark, sf_dir), _symbols(spark, sf_dir), _tested(spark, sf_dir), known, needs)["receipt"]
+    return analyse(repo.files, repo.symbols, repo.tested, known, needs)["receipt"]
 
 
 SQL_RECEIPT = SQL_REPO + _NEEDS_SQL + ", q as (" + " union all ".join(f"(select * from ({r}))" for r in (_R1, _R2, _R3, _R4, _R5, _R6, _R7)) + """)

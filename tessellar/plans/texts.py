@@ -164,7 +164,7 @@ def route_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SIGNALS = ", ".join(f"case when regexp_matches(text, '{p}') then '{name}' end" for name, p in retrieval.ROUTES.items())
 SQL_ROUTE = f"""with s as (select conv_id, turn, list_filter([{_SIGNALS}], lambda x: x is not null) s from conversations where role = 'user')
-select conv_id, turn, coalesce(array_to_string(s, ','), '') signals, case when len(s) > 0 then 'graph' else 'search' end route, case when len(s) > 0 then 'search_index,get_neighbors,trace_path,impact_of,query_brain' else 'search_index' end tools, case when len(s) > 0 then 'search' else 'graph' end fallback from s"""
+select conv_id, turn, coalesce(array_to_string(s, ','), '') signals, case when len(s) > 0 then 'graph' else 'search' end route, case when len(s) > 0 then 'search_index,get_neighbors,trace_path,impact_of,query_brain' else 'search_index,get_artifact' end tools, case when len(s) > 0 then 'search' else 'graph' end fallback from s"""
 
 
 def prompt_signals(spark: SparkSession, sf_dir: str) -> DataFrame:

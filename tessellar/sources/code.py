@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessellar.functions.words import bare_name
-from tessellar.sources.markdown import lines
+from tessellar.sources.markdown import numbered
 
 SCRIPT = r"\.[cm]?[jt]sx?$"
 #: Patterns of statements.
@@ -60,7 +60,7 @@ def script_imports(files: DataFrame) -> DataFrame:
 
 def python_imports(files: DataFrame) -> DataFrame:
     """(path, n, specifier, names) of Python's import lines."""
-    rows = lines(files.where(F.lower("path").endswith(".py")), "path", "text").withColumnRenamed("doc_id", "path")
+    rows = numbered(files.where(F.lower("path").endswith(".py")), "path", "text").withColumnRenamed("doc_id", "path")
     plain = rows.select("path", "line", F.explode(F.split(F.nullif(F.regexp_extract("text", PY_IMPORT, 1), F.lit("")), ",")).alias("s")).select("path", F.col("line").alias("n"), F.trim("s").alias("specifier"), F.array(F.lit("*")).alias("names"))
     named = rows.where(F.col("text").rlike(PY_FROM) & ~F.col("text").rlike(PY_IMPORT))
     listed = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_extract("text", PY_FROM, 2), "[()]", ""), ","), lambda x: F.regexp_extract(F.trim(x), r"^(\S+)", 1)), lambda x: x.rlike(r"^[\w*]+$"))
@@ -69,7 +69,7 @@ def python_imports(files: DataFrame) -> DataFrame:
 
 def exported_symbols(files: DataFrame) -> DataFrame:
     """(path, line, kind, name): what scripts export, what Python defines at the left margin without a leading underscore, what Go names with a capital; of names given on, kind export."""
-    rows = lines(files, "path", "text").withColumnRenamed("doc_id", "path")
+    rows = numbered(files, "path", "text").withColumnRenamed("doc_id", "path")
     lower = F.lower("path")
     kinds = F.when(F.regexp_extract("text", EXPORT, 1).isin("const", "let", "var"), "variable").otherwise(F.regexp_extract("text", EXPORT, 1))
     script = rows.where(lower.rlike(SCRIPT) & F.col("text").rlike(EXPORT)).select("path", "line", kinds.alias("kind"), F.regexp_extract("text", EXPORT, 2).alias("name"))
@@ -84,7 +84,7 @@ def exported_symbols(files: DataFrame) -> DataFrame:
 
 def heritage(files: DataFrame) -> DataFrame:
     """(path, line, kind, name, binding, member): bases of exported classes and interfaces of scripts, and of Python's public classes."""
-    rows = lines(files, "path", "text").withColumnRenamed("doc_id", "path")
+    rows = numbered(files, "path", "text").withColumnRenamed("doc_id", "path")
     script = r"^\s*export\s+(?:default\s+)?(?:abstract\s+)?(class|interface)\s+([A-Za-z_$][\w$]*)(?:<[^>]*>)?\s+(.*?)\{?\s*$"
     bases = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"\b(?:extends|implements)\s+([\w$.,\s<>]+?)(?=\bimplements\b|\{|$)"), F.lit(1)), lambda x: F.split(F.regexp_replace(x, "<[^>]*>", ""), ",")))
     ts = rows.where(F.lower("path").rlike(SCRIPT) & F.col("text").rlike(script)).select("path", "line", F.regexp_extract("text", script, 1).alias("kind"), F.regexp_extract("text", script, 2).alias("name"), F.explode(bases).alias("base"))
@@ -107,14 +107,14 @@ def calls(files: DataFrame) -> DataFrame:
 
 def local_names(files: DataFrame) -> DataFrame:
     """(path, name): what scripts declare at their top level."""
-    rows = lines(files.where(F.lower("path").rlike(SCRIPT)), "path", "text").withColumnRenamed("doc_id", "path")
+    rows = numbered(files.where(F.lower("path").rlike(SCRIPT)), "path", "text").withColumnRenamed("doc_id", "path")
     pattern = r"^(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:function|class|interface|type|enum|const|let|var)\*?\s+([A-Za-z_$][\w$]*)"
     return rows.where(F.col("text").rlike(pattern)).select("path", F.regexp_extract("text", pattern, 1).alias("name")).distinct()
 
 
 def rationales(files: DataFrame, most: int = 240) -> DataFrame:
     """(path, line, kind, text, adr): comments marked as a reason or a note, and those that name a decision, cut to so many characters."""
-    rows = lines(files, "path", "text").withColumnRenamed("doc_id", "path").where(F.col("text").rlike(COMMENT))
+    rows = numbered(files, "path", "text").withColumnRenamed("doc_id", "path").where(F.col("text").rlike(COMMENT))
     marked = F.col("text").rlike(REASON)
     body = F.when(marked, F.regexp_extract("text", REASON, 2)).otherwise(F.regexp_extract("text", COMMENT, 1))
     adr = F.nullif(F.regexp_extract(body, r"\bADR-\d{1,4}\b", 0), F.lit(""))
@@ -124,7 +124,7 @@ def rationales(files: DataFrame, most: int = 240) -> DataFrame:
 
 def schema_statements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Objects (path, line, kind, name), the first statement of each name in a file; and links (path, line, kind, source, target): defines, modifies, references from the object in hand."""
-    rows = lines(files.where(F.lower("path").endswith(".sql")), "path", "text").withColumnRenamed("doc_id", "path")
+    rows = numbered(files.where(F.lower("path").endswith(".sql")), "path", "text").withColumnRenamed("doc_id", "path")
     made, altered = F.regexp_extract("text", CREATE, 4), F.regexp_extract("text", ALTER, 1)
     kind = F.coalesce(*[F.nullif(F.lower(F.regexp_extract("text", CREATE, k)), F.lit("")) for k in (1, 2, 3)])
     rows = rows.withColumn("kind", kind).withColumn("made", F.when(made != "", bare_name(made))).withColumn("altered", F.when((made == "") & (altered != ""), bare_name(altered)))
@@ -140,14 +140,14 @@ def schema_statements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def table_literals(files: DataFrame) -> DataFrame:
     """(path, line, name): table names in query calls and models, each once a line."""
-    rows = lines(files, "path", "text").withColumnRenamed("doc_id", "path")
+    rows = numbered(files, "path", "text").withColumnRenamed("doc_id", "path")
     found = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in TABLE_LITERALS])
     return rows.select("path", "line", F.explode(F.array_distinct(F.transform(found, bare_name))).alias("name"))
 
 
 def python_routes(files: DataFrame) -> DataFrame:
     """(path, line, method, url) of route decorators; a bare route without methods takes any."""
-    rows = lines(files.where(F.lower("path").endswith(".py")), "path", "text").withColumnRenamed("doc_id", "path").where(F.col("text").rlike(DECORATOR))
+    rows = numbered(files.where(F.lower("path").endswith(".py")), "path", "text").withColumnRenamed("doc_id", "path").where(F.col("text").rlike(DECORATOR))
     listed = F.filter(F.transform(F.regexp_extract_all(F.regexp_extract("text", r"(?i)methods\s*=\s*\[([^\]]{0,200})\]", 1), F.lit("['\"]([A-Za-z]+)['\"]"), F.lit(1)), F.upper), lambda m: m.isin(*METHODS))
     verb = F.regexp_extract("text", DECORATOR, 1)
     methods = F.when(verb != "route", F.array(F.upper(verb))).when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("ANY")))

@@ -1,14 +1,21 @@
 """What Markdown texts hold, line by line: headings and their sections, tasks, links, inline code, paragraphs, statements, citations.
 
-Every reader takes rows with an id and a text and returns rows with ``doc_id`` and ``line`` (from 1). Lines of one document
-are ordered by a window over that document; running windows only, so the work grows with its lines. Inside code fences
-there are no headings, tasks, links or statements. A null text has no lines.
+One automaton runs over the lines of each text (``marked``, Arrow batches in tasks): it knows front matter, fences with their mark and length, inside
+quotes and items too, HTML blocks and comments, headings of both forms, rules and the blocks between. Its rows have all that
+the readers need, so these filter rows and look at few of them together; no line is shuffled to be numbered or counted.
+
+Every reader takes rows with an id and a text, or the table that ``marked`` made of them once, and returns rows with
+``doc_id`` and ``line`` (from 1). In fences, HTML and front matter there are no headings, tasks, links or statements. A null
+text has no lines. A heading that is underlined has one line of text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,28 +33,149 @@ MOST_CITED = 200
 DEPTHS = 10
 
 
+#: HTML elements whose block ends at a blank line.
+HTML_BLOCKS = "address|article|aside|base|basefont|blockquote|body|caption|center|col|colgroup|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|frame|frameset|h[1-6]|head|header|hr|html|iframe|legend|li|link|main|menu|menuitem|nav|noframes|ol|optgroup|option|p|param|search|section|summary|table|tbody|td|tfoot|th|thead|title|tr|track|ul"
+FENCE = r"^\s*(?:(?:[-*+]|\d{1,9}[.)])[ \t]+)*(`{3,}|~{3,})(.*)$"
+ITEM = r"^\s*(?:[-*+]|\d+[.)])[ \t]+"
+HEADING = r"^ {0,3}(#{1,6})[ \t]+(?=\S)"
+UNDERLINE = r"^ {0,3}(=+|-+)[ \t]*$"
+RULE = r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$"
+_NORMAL, _FENCE, _HTML, _FRONT, _COMMENT, _RAW = range(6)
+
+
+def numbered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, line, text): the lines without their breaks."""
+    raw = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw"))
+    return raw.select("doc_id", (F.col("line") + 1).alias("line"), F.regexp_replace("raw", "\r$", "").alias("text"))
+
+
 def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line, text, start_byte, end_byte): bytes from the text's start, half open, line breaks left out."""
-    raw = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw"))
-    size = F.octet_length("raw")
-    before = F.sum(size + 1).over(W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, -1))
-    start = F.coalesce(before, F.lit(0)).cast("long")
-    whole = F.regexp_replace("raw", "\r$", "")
-    return raw.select("doc_id", (F.col("line") + 1).alias("line"), whole.alias("text"), start.alias("start_byte"), (start + F.octet_length(whole)).alias("end_byte"))
+    return marked(docs, doc_id, text).select("doc_id", "line", "text", "start_byte", "end_byte")
+
+
+#: Lines that one batch of ``marked`` brings at most, besides those of its last text.
+BATCH_LINES = 20_000
+MARKED = "line int, text string, start_byte long, end_byte long, kind string, fenced boolean, next_text string, block int, item boolean, end_of_block boolean, last int"
+_QUOTE = re.compile(r"(?: {0,3}> ?)+")
+_FENCE_RE, _ITEM_RE, _HEADING_RE, _UNDERLINE_RE, _RULE_RE = (re.compile(p) for p in (FENCE, ITEM, HEADING, UNDERLINE, RULE))
+_RAW_START, _RAW_END = re.compile(r"(?i) {0,3}<(?:script|pre|style|textarea)(?:[\s>]|$)"), re.compile(r"(?i)</(?:script|pre|style|textarea)>")
+_HTML_START, _COMMENT_START = re.compile(rf"(?i) {{0,3}}</?(?:{HTML_BLOCKS})(?:[\s/>]|$)"), re.compile(r" {0,3}<!--")
+_FRONT_END = re.compile(r"(?:---|\.\.\.)\s*$")
+
+
+def _kinds(texts: list[str]) -> list[str]:
+    """What each line of a text is: one pass, the mode of a line is that which the line before left."""
+    out: list[str] = []
+    front = bool(texts) and re.match(r"---\s*$", texts[0]) is not None and any(_FRONT_END.match(t) for t in texts[1:])
+    mode, mark = (_FRONT if front else _NORMAL), ""
+    for k, text in enumerate(texts):
+        bare = text[_QUOTE.match(text).end() :] if text.lstrip(" ").startswith(">") else text
+        first = bare.strip()[:1]
+        if mode == _FRONT:
+            out.append("front")
+            mode = _NORMAL if k and _FRONT_END.match(text) else _FRONT
+        elif mode == _FENCE:
+            out.append("fence")
+            closing = first and first == mark[0] and _FENCE_RE.match(bare)
+            if closing and not closing[2].strip() and bare.lstrip()[0] in "`~" and len(closing[1]) >= len(mark):
+                mode = _NORMAL
+        elif mode == _HTML:
+            out.append("html" if first else "blank")
+            mode = _HTML if first else _NORMAL
+        elif mode == _COMMENT:
+            out.append("html")
+            mode = _NORMAL if "-->" in text else _COMMENT
+        elif mode == _RAW:
+            out.append("html")
+            mode = _NORMAL if _RAW_END.search(text) else _RAW
+        elif not first:
+            out.append("blank")
+        elif ("```" in bare or "~~~" in bare) and (opening := _FENCE_RE.match(bare)) and not (opening[1][0] == "`" and "`" in opening[2]):
+            out.append("fence")
+            mode, mark = _FENCE, opening[1]
+        elif first == "<" and _COMMENT_START.match(bare):
+            out.append("html")
+            mode = _NORMAL if "-->" in text else _COMMENT
+        elif first == "<" and _RAW_START.match(bare):
+            out.append("html")
+            mode = _NORMAL if _RAW_END.search(text) else _RAW
+        elif first == "<" and _HTML_START.match(bare):
+            out.append("html")
+            mode = _HTML
+        elif first == "#" and _HEADING_RE.match(text):
+            out.append("heading")
+        elif first in "=-" and out and out[-1] == "setext" and _UNDERLINE_RE.match(text):
+            out.append("under")
+        elif first in "*-_" and _RULE_RE.match(text):
+            out.append("rule")
+        elif bare is text and k + 1 < len(texts) and texts[k + 1].strip()[:1] in ("=", "-") and _UNDERLINE_RE.match(texts[k + 1]) and not _ITEM_RE.match(text):
+            out.append("setext")
+        else:
+            out.append("text")
+    return out
+
+
+def _mark():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list] = [[] for _ in range(11)]
+        ids: list[pa.Array] = []
+
+        def out() -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32())
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *arrays], names=["doc_id", *(x.split()[0] for x in MARKED.split(", "))])
+            ids.clear()
+            for c in columns:
+                c.clear()
+            return batch
+
+        for batch in batches:
+            for d in range(batch.num_rows):
+                whole = batch.column("text")[d].as_py()
+                if whole is None:
+                    continue
+                raw = whole.split("\n")
+                texts = [t[:-1] if t.endswith("\r") else t for t in raw]
+                kinds = _kinds(texts)
+                items = [k == "text" and t.lstrip()[:1] in "-*+0123456789" and _ITEM_RE.match(t) is not None for t, k in zip(texts, kinds, strict=True)]
+                fresh = [kinds[k] != "text" or items[k] or not k or kinds[k - 1] != "text" for k in range(len(texts))]
+                sizes = np.fromiter((len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in raw), np.int64, len(raw))
+                starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+                ends = starts + sizes - np.fromiter((len(r) != len(t) for r, t in zip(raw, texts, strict=True)), np.int64, len(raw))
+                block = np.cumsum(fresh)
+                held = (range(1, len(raw) + 1), texts, starts.tolist(), ends.tolist(), kinds, [k in ("fence", "html", "front") for k in kinds], [*texts[1:], None], block.tolist(), items, [*fresh[1:], True], [len(raw)] * len(raw))
+                for c, values in zip(columns, held, strict=True):
+                    c.extend(values)
+                ids.append(batch.column("doc_id").take(pa.array([d] * len(raw))))
+                if len(columns[0]) >= BATCH_LINES:
+                    yield out()
+        if columns[0]:
+            yield out()
+
+    return run
 
 
 def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``lines`` with fenced (inside or at the edge of a code fence) and last (the document's last line)."""
-    by_doc = W.partitionBy("doc_id").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    edge = F.col("text").rlike(r"^\s*(```|~~~)")
-    rows = lines(docs, doc_id, text).withColumn("_edges", F.sum(edge.cast("int")).over(by_doc))
-    return rows.withColumn("fenced", edge | (F.col("_edges") % 2 == 1)).withColumn("last", F.max("line").over(W.partitionBy("doc_id"))).drop("_edges")
+    """(doc_id, line, text, start_byte, end_byte, kind, fenced, next_text, block, item, end_of_block, last) of every line; a table that is one already stays.
+
+    kind: text, blank, heading, setext (a heading by the line below), under (that line), rule, fence, html, front; fenced:
+    one of the last three. block: number of the paragraph or item that the line is of, item where one begins; last: the
+    document's last line. Texts go through tasks where they are read; nothing is shuffled.
+    """
+    if "end_of_block" in docs.columns:
+        return docs
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    return rows.mapInArrow(_mark(), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {MARKED}")
 
 
 def sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line, depth, title, last_line) of every heading; a section ends before the next heading as deep or less."""
-    rows = marked(docs, doc_id, text).where(~F.col("fenced") & F.col("text").rlike(r"^#{1,6}[ \t]+\S"))
-    heads = rows.select("doc_id", "line", F.length(F.regexp_extract("text", "^(#+)", 1)).alias("depth"), F.trim(F.regexp_replace("text", r"^#+[ \t]+|[ \t]+#+[ \t]*$", "")).alias("title"), "last")
+    rows = marked(docs, doc_id, text).where("kind in ('heading', 'setext')")
+    under = F.col("kind") == "setext"
+    depth = F.when(under, F.when(F.col("next_text").rlike("^ *="), 1).otherwise(2)).otherwise(F.length(F.regexp_extract("text", HEADING, 1)))
+    title = F.when(under, F.col("text")).otherwise(F.regexp_replace(F.regexp_replace("text", HEADING, ""), r"(?:^|[ \t]+)#+[ \t]*$", ""))
+    heads = rows.select("doc_id", "line", depth.alias("depth"), F.trim(title).alias("title"), "last")
     # from the last heading upwards, the nearest below is the least line so far
     below = W.partitionBy("doc_id").orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, -1)
     nearest = F.array(*[F.min(F.when(F.col("depth") <= d, F.col("line"))).over(below) for d in range(1, 7)])
@@ -57,9 +185,10 @@ def sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def section_texts(docs: DataFrame, titles: Sequence[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line, last_line, start_byte, end_byte, text) of sections with these titles: the text is what isn't blank below the heading."""
-    heads = sections(docs, doc_id, text).where(F.lower(F.trim("title")).isin(*titles)).select("doc_id", F.col("line").alias("head"), "last_line")
-    held = lines(docs, doc_id, text).join(heads, "doc_id").where((F.col("line") >= F.col("head")) & (F.col("line") <= F.col("last_line")))
-    shown = (F.col("line") > F.col("head")) & (F.trim("text") != "")
+    docs = marked(docs, doc_id, text)
+    heads = sections(docs).where(F.lower(F.trim("title")).isin(*titles)).select("doc_id", F.col("line").alias("head"), "last_line")
+    held = docs.select("doc_id", "line", "text", "start_byte", "end_byte", "kind").join(heads, "doc_id").where((F.col("line") >= F.col("head")) & (F.col("line") <= F.col("last_line")))
+    shown = (F.col("line") > F.col("head")) & (F.trim("text") != "") & (F.col("kind") != "under")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("line", "text")))), lambda x: x["text"]), "\n")
     last = F.max(F.when(shown | (F.col("line") == F.col("head")), F.col("line")))
     out = held.groupBy("doc_id", "head").agg(last.alias("last_line"), F.min("start_byte").alias("start_byte"), F.max(F.when(shown | (F.col("line") == F.col("head")), F.col("end_byte"))).alias("end_byte"), joined.alias("text"))
@@ -109,16 +238,9 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, block, line, text, start_byte, end_byte, end_of_block, kind): lines of paragraphs and list items; a blank line, a heading or the next item ends a block."""
-    rows = marked(docs, doc_id, text)
-    item, blank, head = F.col("text").rlike(r"^\s*(?:[-*+]|\d+[.)])[ \t]+"), F.trim("text") == "", F.col("text").rlike(r"^#{1,6}[ \t]")
-    rows = rows.withColumn("_out", blank | head | F.col("fenced"))
-    by_doc = W.partitionBy("doc_id").orderBy("line")
-    fresh = item | F.col("_out") | F.coalesce(F.lag("_out").over(by_doc), F.lit(True))
-    rows = rows.withColumn("_item", item).withColumn("_fresh", fresh).withColumn("block", F.sum(F.col("_fresh").cast("int")).over(by_doc.rowsBetween(W.unboundedPreceding, 0)))
-    ends = F.coalesce(F.lead("_fresh").over(by_doc), F.lit(True))
-    rows = rows.withColumn("end_of_block", ends).withColumn("kind", F.when(F.max("_item").over(W.partitionBy("doc_id", "block")), "item").otherwise("paragraph"))
-    return rows.where(~F.col("_out")).select("doc_id", "block", "line", "text", "start_byte", "end_byte", "end_of_block", "kind")
+    """(doc_id, block, line, text, start_byte, end_byte, end_of_block, item): lines of paragraphs and list items, item where one begins; a blank line, a heading or the next item ends a block."""
+    rows = marked(docs, doc_id, text).where("kind = 'text'")
+    return rows.select("doc_id", "block", "line", "text", "start_byte", "end_byte", "end_of_block", "item")
 
 
 def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,7 +282,7 @@ def declared_sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 def cited_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefixes: Sequence[str] = (), most: int = MOST_CITED) -> DataFrame:
     """(doc_id, token, line): the first line that names each token, for the first so many tokens of a document (a stated limit of the operator)."""
-    found = lines(docs, doc_id, text).select("doc_id", "line", F.posexplode(F.regexp_extract_all("text", F.lit(token_pattern(prefixes)), F.lit(0))).alias("n", "token"))
+    found = marked(docs, doc_id, text).select("doc_id", "line", F.posexplode(F.regexp_extract_all("text", F.lit(token_pattern(prefixes)), F.lit(0))).alias("n", "token"))
     first = found.groupBy("doc_id", F.upper("token").alias("token")).agg(F.min(F.struct("line", "n")).alias("at"))
     ranked = first.withColumn("_k", F.row_number().over(W.partitionBy("doc_id").orderBy("at")))
     return ranked.where(F.col("_k") <= most).select("doc_id", "token", F.col("at.line").alias("line"))
