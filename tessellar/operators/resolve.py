@@ -90,54 +90,66 @@ def _probes(joined: Column) -> Column:
     return F.array_compact(F.array(joined, *ends, *[F.concat(joined, F.lit(f"/index{e}")) for e in MODULE_ENDINGS]))
 
 
-def script_targets(imports: DataFrame, known: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(path, specifier, target, tier, method) of the modules that imports name.
+def script_candidates(imports: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(path, specifier, rank, tier, method, candidates): the paths that a script's specifiers may mean, in order; the least rank comes first.
 
     Relative ones are joined with the importing directory. Others go by alias rules (priority, scope, prefix, suffix,
-    wildcard, target, tier), those with the least priority first: a rule holds for files below its scope and specifiers
-    between its prefix and suffix, what stands between takes the place of ``*`` in the target. Rules are joined on scope and
-    prefix: every directory of the file, and every beginning of the specifier, is a row.
+    wildcard, target, tier): a rule holds for files below its scope and specifiers between its prefix and suffix, what
+    stands between takes the place of ``*`` in the target. Rules are joined on scope and prefix: every directory of the file,
+    and every beginning of the specifier of a length that some rule's prefix has, is a row.
     """
     asked = imports.select("path", "specifier").distinct()
-    near = asked.where(F.col("specifier").startswith("."))
-    keys = ["path", "specifier"]
-    joined = near.withColumn("at", normal_path(F.concat(directory(F.col("path")), F.lit("/"), F.col("specifier")))).where("at is not null")
-    out = first_known(joined, keys, _probes(F.col("at")), known).select(*keys, "target", F.lit("resolved").alias("tier"), F.lit("module-resolution").alias("method"))
+    near = asked.where(F.col("specifier").startswith(".")).withColumn("at", normal_path(F.concat(directory(F.col("path")), F.lit("/"), F.col("specifier")))).where("at is not null")
+    out = near.select("path", "specifier", F.lit(0).alias("rank"), F.lit("resolved").alias("tier"), F.lit("module-resolution").alias("method"), _probes(F.col("at")).alias("candidates"))
     if aliases is None:
         return out
+    lengths = sorted(r[0] for r in aliases.select(F.length("prefix")).distinct().collect())  # no more than a path has characters
     far = asked.where(~F.col("specifier").startswith("."))
     scoped = far.withColumn("scope", F.explode(F.concat(F.array(F.lit("")), ancestors(F.col("path")))))
-    scoped = scoped.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(0), F.length("specifier")), lambda i: F.substring(F.col("specifier"), F.lit(1), i))))
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths or [0]]), lambda n: n <= F.length("specifier"))
+    scoped = scoped.withColumn("prefix", F.explode(F.transform(fitting, lambda n: F.substring(F.col("specifier"), F.lit(1), n))))
     met = scoped.join(aliases, ["scope", "prefix"])
     long = F.length("specifier") >= F.length("prefix") + F.length("suffix")
     fits = F.when(F.col("wildcard"), long & F.endswith("specifier", F.col("suffix"))).otherwise(F.col("prefix") == F.col("specifier"))
     caught = F.when(F.col("wildcard"), F.substring(F.col("specifier"), F.length("prefix") + 1, F.length("specifier") - F.length("prefix") - F.length("suffix"))).otherwise("")
     placed = F.when(F.col("target").contains("*"), F.replace("target", F.lit("*"), caught)).when(caught != "", F.concat("target", F.lit("/"), caught)).otherwise(F.col("target"))
-    ruled = met.where(fits).select(*keys, "priority", "tier", normal_path(placed).alias("at")).where("at is not null and at <> ''")
-    hits = first_known(ruled, [*keys, "priority", "tier"], _probes(F.col("at")), known)
-    best = hits.groupBy(*keys).agg(F.min_by(F.struct("target", "tier"), F.struct("priority", "target")).alias("r"))
-    return out.unionByName(best.select(*keys, "r.target", "r.tier", F.lit("alias-resolution").alias("method")))
+    ruled = met.where(fits).select("path", "specifier", F.col("priority").alias("rank"), "tier", normal_path(placed).alias("at")).where("at is not null and at <> ''")
+    return out.unionByName(ruled.select("path", "specifier", "rank", "tier", F.lit("alias-resolution").alias("method"), _probes(F.col("at")).alias("candidates")))
 
 
-def python_targets(imports: DataFrame, known: DataFrame, roots: tuple[str, ...] = ("",)) -> DataFrame:
-    """(path, specifier, target, tier, method): dots go up from the file's directory; else the file's own longest root, else the one other root that has the module."""
+def script_targets(imports: DataFrame, known: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(path, specifier, target, tier, method) of the modules that imports name: of the candidates of the least rank with a known one, the first known."""
+    keys = ["path", "specifier"]
+    hits = first_known(script_candidates(imports, aliases), [*keys, "rank", "tier", "method"], F.col("candidates"), known)
+    best = hits.groupBy(*keys).agg(F.min_by(F.struct("target", "tier", "method"), F.struct("rank", "target")).alias("r"))
+    return best.select(*keys, "r.target", "r.tier", "r.method")
+
+
+def python_candidates(imports: DataFrame, roots: tuple[str, ...] = ("",)) -> DataFrame:
+    """(path, specifier, place, candidates): dots go up from the file's directory (place ``dots``); else the file's own longest root (``own``), and every other (``at:`` and the root)."""
     asked = imports.select("path", "specifier").distinct()
     dots, rest = F.length(F.regexp_extract("specifier", r"^(\.*)", 1)), F.regexp_replace("specifier", r"^\.+", "")
     as_path = F.replace(rest, F.lit("."), F.lit("/"))
     above = F.concat(F.reverse(ancestors(F.col("path"))), F.array(F.lit("")))
     base = F.coalesce(F.try_element_at(above, dots), F.lit(""))
     probes = lambda at: F.filter(F.array(F.concat(at, F.lit(".py")), F.concat(at, F.lit("/__init__.py"))), lambda p: ~p.isin(".py", "/__init__.py"))
-    keys = ["path", "specifier"]
-    near = first_known(asked.where(dots > 0), keys, probes(joined_path(base, as_path)), known)
     own = F.lit(None).cast("string")
     for r in sorted(roots, key=len):
         own = F.when((F.lit(r) == "") | F.col("path").startswith(f"{r}/"), F.lit(r)).otherwise(own)
-    far = asked.where(dots == 0).withColumn("own", own)
-    at_home = first_known(far.where("own is not null"), keys, probes(joined_path(F.col("own"), as_path)), known)
-    left = far.join(at_home, keys, "left_anti").withColumn("root", F.explode(F.array(*[F.lit(r) for r in roots]))).where("not (root <=> own)")
-    away = first_known(left, [*keys, "root"], probes(joined_path(F.col("root"), as_path)), known).groupBy(*keys).agg(F.min("target").alias("target"), F.max("target").alias("other")).where("target = other").drop("other")
-    out = near.unionByName(at_home).unionByName(away)
-    return out.select(*keys, "target", F.lit("reference").alias("tier"), F.lit("module-resolution").alias("method"))
+    near = asked.where(dots > 0).select("path", "specifier", F.lit("dots").alias("place"), probes(joined_path(base, as_path)).alias("candidates"))
+    far = asked.where(dots == 0).withColumn("own", own).withColumn("root", F.explode(F.array(*[F.lit(r) for r in roots])))
+    placed = F.when(F.col("root").eqNullSafe(F.col("own")), F.lit("own")).otherwise(F.concat(F.lit("at:"), "root"))
+    return near.unionByName(far.select("path", "specifier", placed.alias("place"), probes(joined_path(F.col("root"), as_path)).alias("candidates")))
+
+
+def python_targets(imports: DataFrame, known: DataFrame, roots: tuple[str, ...] = ("",)) -> DataFrame:
+    """(path, specifier, target, tier, method): by dots; else in the file's own root, else in the one other root that has the module."""
+    keys = ["path", "specifier"]
+    hits = first_known(python_candidates(imports, roots), [*keys, "place"], F.col("candidates"), known)
+    at_home, away = F.col("place").isin("dots", "own"), F.col("place").startswith("at:")
+    sides = hits.groupBy(*keys).agg(F.min(F.when(at_home, F.col("target"))).alias("home"), F.min(F.when(away, F.col("target"))).alias("one"), F.max(F.when(away, F.col("target"))).alias("other"))
+    target = F.coalesce("home", F.when(F.col("one") == F.col("other"), F.col("one")))
+    return sides.select(*keys, target.alias("target"), F.lit("reference").alias("tier"), F.lit("module-resolution").alias("method")).where("target is not null")
 
 
 def through_barrels(asked: DataFrame, imports: DataFrame, targets: DataFrame, exports: DataFrame, depth: int = BARREL_DEPTH) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellar.functions import paths, words
-from tessellar.operators import assurance, resolve
+from tessellar.operators import assurance, resolve, scan
 from tessellar.repository import star
 from tessellar.sources import code, markdown
 from tessellar.sources.tables import cut, table, written
@@ -330,12 +330,23 @@ union all select 'imports', 'api/n' || k || '.py', 'api/n' || ((k + 1) % 25) ||
 union all select 'imports', 'api/n' || k || '.py', 'api/base.py', 'reference', 'module-resolution', 'Base' from k"""
 
 
+def incremental_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links after a scan that is brought up to date: before it, every fiftieth part had no file, another fiftieth no text, and some files were there that are gone."""
+    files = written(star.files(spark, sf_dir).where("classification = 'code_metadata'").select("path", "text"))
+    part = F.regexp_extract("path", "^src/b[0-9]+/p([0-9]+)[.]ts$", 1).try_cast("long") % 50
+    gone = table(spark, sf_dir, "part").where("p_partkey % 50 = 11").select(F.expr("concat('src/old/p', p_partkey, '.ts')").alias("path"), F.expr("concat('import { loadPart', p_partkey, ' } from \"@/b', p_partkey % 25, '/p', p_partkey, '\";')").alias("text"))
+    earlier = written(files.where(~F.coalesce(part == 7, F.lit(False))).withColumn("text", F.when(part == 9, "").otherwise(F.col("text"))).unionByName(gone))
+    before = scan.full_scan(earlier, star.aliases(spark), ("", "api"))
+    before["links"] = written(before["links"])
+    return scan.incremental_scan(before, files, star.aliases(spark), ("", "api"))["links"].withColumn("names", F.array_join("names", ","))
+
+
 def heritage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bases of all classes."""
     repo = Repository(spark, sf_dir)
     files = repo.code
-    nothing = spark.createDataFrame([], "path string, binding string, symbol string, target string")
-    return resolve.heritage_links(code.heritage(files), nothing, repo.symbols)
+    bound = resolve.bound_names(repo.imports.join(repo.targets, ["path", "specifier"]), repo.owners)
+    return resolve.heritage_links(code.heritage(files), bound, repo.symbols)
 
 
 SQL_HERITAGE = SQL_REPO + "select 'api/n' || k || '.py' path, 'N' || k as name, 'class' kind, 'api/base.py' target, 'Base' base from k"
@@ -461,12 +472,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         classify_path, repo_todos, sections, requirement_list, exported_symbols, missing_implementation, missing_test, stale_refs, instruction_conflicts, orphan_docs, unproven_claims, untested_code, findings,
-        implements_links, assurance_coverage, doc_links, section_links, rationale_notes, code_links, heritage, schema_links, db_objects, routes, containment_edges, reported_paths, symbol_keys, symbol_edges, finding_counts, package_directories, evidence_links, analysis_receipt,
+        implements_links, assurance_coverage, doc_links, section_links, rationale_notes, code_links, incremental_links, heritage, schema_links, db_objects, routes, containment_edges, reported_paths, symbol_keys, symbol_edges, finding_counts, package_directories, evidence_links, analysis_receipt,
     )
 }
 ORACLES = {
     "classify_path": SQL_CLASSIFY, "repo_todos": SQL_TODOS, "sections": SQL_SECTIONS, "requirement_list": SQL_NEEDS, "exported_symbols": SQL_SYMBOLS, "missing_implementation": SQL_R1, "missing_test": SQL_R2, "stale_refs": SQL_R3,
     "instruction_conflicts": SQL_R4, "orphan_docs": SQL_R5, "unproven_claims": SQL_R6, "untested_code": SQL_R7, "findings": SQL_FINDINGS, "implements_links": SQL_IMPLEMENTS, "assurance_coverage": SQL_COVERAGE,
-    "doc_links": SQL_DOC_LINKS, "section_links": SQL_SECTION_LINKS, "rationale_notes": SQL_RATIONALES, "code_links": SQL_CODE_LINKS, "heritage": SQL_HERITAGE, "schema_links": SQL_SCHEMA, "db_objects": SQL_OBJECTS,
+    "doc_links": SQL_DOC_LINKS, "section_links": SQL_SECTION_LINKS, "rationale_notes": SQL_RATIONALES, "code_links": SQL_CODE_LINKS, "incremental_links": SQL_CODE_LINKS, "heritage": SQL_HERITAGE, "schema_links": SQL_SCHEMA, "db_objects": SQL_OBJECTS,
     "routes": SQL_ROUTES, "containment_edges": SQL_CONTAINMENT, "reported_paths": SQL_REPORTED, "symbol_keys": SQL_KEYS, "symbol_edges": SQL_SYMBOL_EDGES, "finding_counts": SQL_FINDING_COUNTS, "package_directories": SQL_PACKAGES, "evidence_links": SQL_EVIDENCE_LINKS, "analysis_receipt": SQL_RECEIPT,
 }

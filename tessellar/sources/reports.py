@@ -5,6 +5,8 @@ Rows have a report id (or path) and its content as text; what can't be read give
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -164,7 +166,10 @@ def local_tree(spark, root: str) -> DataFrame:
     from tessellar.functions.words import git_blob_sha, is_binary
 
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    name = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + root.replace("file://", "").rstrip("/") + "/", "")
+    # what is read are URLs: decoded (a plus sign is itself there), and without the root, counted in characters and not taken as a pattern
+    whole = F.url_decode(F.replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), F.lit("+"), F.lit("%2B")))
+    base = re.sub("^[a-z]+:/*", "/", root).rstrip("/") + "/"
+    name = F.when(whole.startswith(base), F.substring(whole, len(base) + 1, 1 << 20)).otherwise(whole)
     return rows.select(name.alias("path"), F.lit("100644").alias("mode"), git_blob_sha(F.col("content")).alias("sha"), F.col("length").alias("size"), is_binary(F.col("content")).alias("binary"), "content")
 
 
