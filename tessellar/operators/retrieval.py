@@ -41,40 +41,52 @@ MAP_SYMBOLS = 12
 GATHERED = 4096
 
 
-def search(entries: DataFrame, edges: DataFrame, query: str, compose: bool = True, connected: bool = False) -> DataFrame:
-    """(id, path, tier, points) of entries (id, path, title, search_key, headings, tags, symbols): those that a query finds.
+def direct_hits(entries: DataFrame, query: str, compose: bool = True) -> DataFrame:
+    """(id, path, tier) of entries (id, path, title, search_key, headings, tags, symbols) that a query finds by their own texts.
 
     exact: a field is the query; title-heading: title, headings and tags hold all its words; path-symbol: path and symbols
-    do; graph-neighbor: a neighbour of any of those. With ``connected`` the seeded PageRank around the direct hits, over the
-    undirected edges, adds up to 50 points. A query without words finds nothing. Texts are read once.
+    do. A query without words finds nothing.
     """
     tokens = query_tokens(query)
     whole = " ".join(query.split()).lower()
     text = lambda c: search_text(c, compose)
-    none = F.array().cast("array<string>")
-    listed = lambda c: F.coalesce(F.col(c), none)
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     joined = text(F.concat_ws(" ", "title", listed("headings"), listed("tags")))
-    fields = F.array_join(F.concat(F.array("title", "path", "search_key"), listed("headings"), listed("tags"), listed("symbols")), "\x00")
-    exact = F.contains(F.concat(F.lit("\x01"), F.regexp_replace(text(F.regexp_replace(fields, "\x00", " \x01 ")), " ?\x01 ?", "\x01"), F.lit("\x01")), F.lit(f"\x01{whole}\x01"))
+    exact = F.contains(fields_text(compose), F.lit(f"\x01{whole}\x01"))
     tier = F.when(exact, "exact").when(has_all(joined, tokens), "title-heading").when(has_all(text(F.concat_ws(" ", "path", listed("symbols"))), tokens), "path-symbol")
-    if not tokens:
-        tier = F.lit(None).cast("string")
-    ranked = written(entries.select("id", "path", tier.alias("tier")))
-    hits = ranked.where("tier is not null")
+    return entries.select("id", "path", (tier if tokens else F.lit(None).cast("string")).alias("tier")).where("tier is not null")
+
+
+def fields_text(compose: bool = True) -> Column:
+    """Every field of an entry as the search compares it, between marks."""
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    fields = F.array_join(F.concat(F.array("title", "path", "search_key"), listed("headings"), listed("tags"), listed("symbols")), "\x00")
+    shown = search_text(F.regexp_replace(fields, "\x00", " \x01 "), compose)
+    return F.concat(F.lit("\x01"), F.regexp_replace(shown, " ?\x01 ?", "\x01"), F.lit("\x01"))
+
+
+def answer(hits: DataFrame, nodes: DataFrame, edges: DataFrame, connected: bool = False) -> DataFrame:
+    """(id, path, tier, points) of direct hits and, as graph-neighbor, of their neighbours among the nodes (id, path).
+
+    With ``connected`` the seeded PageRank around the direct hits, over the undirected edges, adds up to 50 points.
+    """
+    hits = written(hits)
     around = both_ways(edges).join(hits.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("other").alias("id")).distinct()
-    near = ranked.where("tier is null").join(around, "id", "left_semi").withColumn("tier", F.lit("graph-neighbor"))
+    near = nodes.select("id", "path").join(around, "id", "left_semi").join(hits, "id", "left_anti").withColumn("tier", F.lit("graph-neighbor"))
     points = F.element_at(F.create_map(*[F.lit(x) for t, p in TIERS.items() for x in (t, p)]), F.col("tier")).cast("double")
     out = hits.unionByName(near).select("id", "path", "tier", points.alias("points"))
-    if not connected:
-        return out
-    seeds = cut(hits.select("id"))
-    if seeds.isEmpty():
+    if not connected or hits.isEmpty():
         return out
     pairs = simple(edges).select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit("link").alias("relation"))
-    rank = pagerank(entries.select("id"), pairs, seeds)
+    rank = pagerank(nodes.select("id"), pairs, hits.select("id"))
     return out.join(rank, "id", "left").select("id", "path", "tier", (F.col("points") + F.coalesce("rank", F.lit(0.0)) * CONNECTION).alias("points"))
 
 
+def search(entries: DataFrame, edges: DataFrame, query: str, compose: bool = True, connected: bool = False) -> DataFrame:
+    """(id, path, tier, points): ``answer`` to the ``direct_hits`` of a query, by a pass over all entries."""
+    return answer(direct_hits(entries, query, compose), entries, edges, connected)
+
+
 def search_page(found: DataFrame, limit: int = 20) -> DataFrame:
     """The first hits by points, path and id, each with how many there are and how many the page leaves out."""
     found = cut(found)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellar.functions import words
 from tessellar.functions.columns import tokens
-from tessellar.operators import reports, retrieval
+from tessellar.operators import reports, retrieval, search_index
 from tessellar.plans.graphs import SQL_EDGES
-from tessellar.sources.tables import star_edges, table
+from tessellar.sources.tables import shared_dir, star_edges, table
 
 SEARCH = "small ring"
 
@@ -43,6 +45,13 @@ a as (select id, path, coalesce(tier, case when id in (select other from ends wh
 select id, path, tier, case tier when 'exact' then 400 when 'title-heading' then 300 when 'path-symbol' then 200 else 100 end points from a where tier is not null"""
 
 
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hits, found through a trigram index of all entries that is written first."""
+    path = f"{shared_dir(spark)}/tables/index-{uuid.uuid4().hex}"
+    search_index.write_index(_entries(spark, sf_dir), path, compose=False)
+    return search_index.indexed_search(spark, path, star_edges(spark, sf_dir), SEARCH).withColumn("points", F.col("points").cast("int"))
+
+
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 20 hits by points, path and id, and how many there are."""
     return retrieval.search_page(search_tiers(spark, sf_dir))
@@ -292,9 +301,9 @@ def todo_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_OCCURRENCES = r"""with t as (select conv_id, turn, lower(trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g'))) title from conversations) select conv_id, turn, title, row_number() over (partition by conv_id, title order by turn)::int occurrence from t"""
 
-QUERIES = {f.__name__: f for f in (search_tiers, search_page, search_ranked, repo_map, context_ranking, context_pack, term_ranking, query_nodes, prompt_signals, context_pack_greedy, next_fit_batches, route_question, page_links, path_facets, contradictions, untested_documents, reconcile_findings, severity_dashboard, instruction_cost, query_all_priorities, query_any_urgent, query_none_urgent, todo_occurrences)}
+QUERIES = {f.__name__: f for f in (search_tiers, search_indexed, search_page, search_ranked, repo_map, context_ranking, context_pack, term_ranking, query_nodes, prompt_signals, context_pack_greedy, next_fit_batches, route_question, page_links, path_facets, contradictions, untested_documents, reconcile_findings, severity_dashboard, instruction_cost, query_all_priorities, query_any_urgent, query_none_urgent, todo_occurrences)}
 ORACLES = {
-    "search_tiers": SQL_SEARCH, "search_page": SQL_SEARCH_PAGE, "context_ranking": SQL_RANKED, "context_pack": SQL_CONTEXT, "term_ranking": SQL_TERMS, "query_nodes": SQL_QUERY, "prompt_signals": SQL_PROMPTS, "context_pack_greedy": SQL_PACK, "next_fit_batches": SQL_BATCHES, "route_question": SQL_ROUTE,
+    "search_tiers": SQL_SEARCH, "search_indexed": SQL_SEARCH, "search_page": SQL_SEARCH_PAGE, "context_ranking": SQL_RANKED, "context_pack": SQL_CONTEXT, "term_ranking": SQL_TERMS, "query_nodes": SQL_QUERY, "prompt_signals": SQL_PROMPTS, "context_pack_greedy": SQL_PACK, "next_fit_batches": SQL_BATCHES, "route_question": SQL_ROUTE,
     "page_links": SQL_LINKS, "path_facets": SQL_FACETS, "contradictions": SQL_CONTRADICTIONS, "untested_documents": SQL_UNTESTED, "reconcile_findings": SQL_RECONCILE, "severity_dashboard": SQL_SEVERITY,
     "instruction_cost": SQL_COST, "query_all_priorities": SQL_ALL, "query_any_urgent": SQL_ANY, "query_none_urgent": SQL_NONE, "todo_occurrences": SQL_OCCURRENCES,
 }

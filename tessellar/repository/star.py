@@ -1,7 +1,8 @@
 """A repository made of the star tables: every party and part is a file, so that readers and rules have whole tables to work on.
 
 Specifications are customers (a task for each order), code is parts (imports of the next part of an order), tests are
-every fourth part, records are nations, instructions and schema files are regions. Texts are built from keys alone.
+every fourth part, records are nations, instructions and schema files are regions. Texts are built from keys alone; scripts end with a comment, strings and a
+template that hold what looks like statements.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         concat('// WHY: part ', p_partkey, ' follows ADR-', p_partkey % 30),
         concat('export function loadPart', p_partkey, '() {'),
         concat('  return db.from("t', p_partkey % 30, '");'),
-        transform(qs, q -> concat('  loadPart', q, '();')), '}')""")
+        transform(qs, q -> concat('  loadPart', q, '();')), '}',
+        '/* import { loadPart1 } from "../b1/p1.ts";', '   loadPart2(); */ // loadPart3();',
+        concat('const said = "export function fake() { loadPart4(); } // it\\'s no comment", more = \\'import x from \\\\\\'../b5/p5.ts\\\\\\'\\';'),
+        concat('const page = `', 'import y from "../b6/p6.ts";'), 'export class Other extends Fake {}', '// WHY: no reason', '${said.trim()} `;')""")
     return rows.select(path.alias("path"), text.alias("text"))
 
 

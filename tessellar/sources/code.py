@@ -1,6 +1,7 @@
 """What source files state, line by line: imports, exports, calls, bases, schema objects, table literals, routes, rationale comments.
 
-Readers go by patterns on lines, not by a compiler: what spans lines in other ways than a braced list is not seen. Rows have
+Readers go by patterns, not by a compiler, on texts that the lexer has freed of comments and of strings that look like
+code; a statement that goes on in the next line is drawn together first, its line break moved behind it. Rows have
 ``path`` and ``line`` (from 1).
 """
 
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessellar.functions.words import bare_name
+from tessellar.sources.lexer import code_only, comments_only
 from tessellar.sources.markdown import numbered
 
 SCRIPT = r"\.[cm]?[jt]sx?$"
@@ -19,8 +21,8 @@ IMPORT = r"""(?:^|[\n;])[ \t]*(import|export)\s+(?:type\s+)?((?:[\w$*][^'";\n]*?
 DYNAMIC = r"""\bimport\(\s*['"]([^'"\n]+)['"]\s*\)"""
 EXPORT = r"^\s*export\s+(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function|class|interface|type|enum|const|let|var)\*?\s+([A-Za-z_$][\w$]*)"
 PY_CLASS = r"^class\s+([A-Za-z_]\w*)\s*\(([^)]*)\)\s*:"
-PY_IMPORT = r"^\s*import\s+([\w.]+(?:\s*,\s*[\w.]+)*)"
-PY_FROM = r"^\s*from\s+([\w.]+|\.+[\w.]*)\s+import\s+(.+)$"
+PY_IMPORT = r"(?m)^[ \t]*import[ \t]+([\w.]+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*)"
+PY_FROM = r"(?m)^[ \t]*from[ \t]+(\.*[\w.]*)[ \t]+import[ \t]+(\([^()]*\)|[^\n;(]+)"
 CREATE = r"(?i)^\s*create\s+(?:(table)\s+(?:if\s+not\s+exists\s+)?|(?:or\s+replace\s+)?(?:materialized\s+)?(view)\s+|(?:or\s+replace\s+)?(function)\s+)([\w.\"]+)"
 ALTER = r"(?i)^\s*alter\s+table\s+(?:if\s+exists\s+)?([\w.\"]+)"
 FOREIGN_KEY = r"(?i)\breferences\s+([\w.\"]+)\s*\("
@@ -30,8 +32,37 @@ METHODS = ("DELETE", "GET", "HEAD", "OPTIONS", "PATCH", "POST", "PUT")
 COMMENT = r"^\s*(?://|#|\*|/\*|--)\s*(.+?)\s*(?:\*/)?\s*$"
 REASON = r"^\s*(?://|#|\*|/\*|--)\s*(WHY|NOTE):\s*(.+?)\s*(?:\*/)?\s*$"
 
+#: Statements that go on in the next line: what stands before the break, and what goes on.
+_WRAPPED = {
+    "script": ((r"(\b(?:class|interface)[ \t]+[\w$]+[^\n{};]*?)", r"(?:extends|implements)\b[^\n]*"), (r"(\bexport)", r"(?:default|async|function|class|const)\b[^\n]*")),
+    "tables": ((r"((?:\.from|\.rpc|\bTable)\()", r"[^\n]+"),),
+    "python": ((r"(?m)(^[ \t]*@[\w. \t]+\([^()\n]*)", r"[^\n]+"), (r"(?m)(^class[ \t]+\w+[ \t]*\([^()\n]*)", r"[^\n]+")),
+    "sql": ((r"(?im)(^[ \t]*(?:create|alter)\b[^\n(;]*?\b(?:create|replace|alter|table|view|function|exists|materialized|only))", r"[^\n]+"), (r"(?i)(\breferences)", r"[^\n]+"), (r"(?i)(\breferences[ \t]+[\w.\"]+)", r"\([^\n]*")),
+}
+_ROUNDS = 4
 
 
+def _drawn(files: DataFrame, kind: str) -> DataFrame:
+    """The code of files, statements drawn to the line where they begin (each may go on over four lines more)."""
+    text = F.col("text")
+    for before, after in _WRAPPED[kind]:
+        for _ in range(_ROUNDS):
+            text = F.regexp_replace(text, rf"{before}[ \t]*((?:\n[ \t]*)+)({after})", "$1 $3$2")
+    return code_only(files).withColumn("text", text)
+
+
+def _bare(c: Column) -> Column:
+    """Without white space at either end, line breaks too."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def _scripts(files: DataFrame) -> DataFrame:
+    return files.where(F.lower("path").rlike(SCRIPT))
+
+
+def _pythons(files: DataFrame) -> DataFrame:
+    return files.where(F.lower("path").endswith(".py"))
+
 
 def script_imports(files: DataFrame) -> DataFrame:
     """(path, n, specifier, is_re_export, names, bindings) of import and export statements with a source, and of dynamic imports.
@@ -39,12 +70,12 @@ def script_imports(files: DataFrame) -> DataFrame:
     ``names`` are those asked of the source, ``default`` and ``*`` included; ``bindings`` pairs a local name with the one
     it stands for (null for a whole module); of re-exports, the name given on with the one it has in the source.
     """
-    own = files.where(F.lower("path").rlike(SCRIPT))
+    own = code_only(_scripts(files))
     found = own.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(IMPORT), F.lit(0))).alias("n", "s"))
     clause = F.regexp_extract("s", IMPORT, 2)
-    rows = found.select("path", "n", F.regexp_extract("s", IMPORT, 3).alias("specifier"), (F.regexp_extract("s", IMPORT, 1) == "export").alias("is_re_export"), F.trim(F.regexp_replace(clause, r"\s+from\s+$", "")).alias("clause"))
+    rows = found.select("path", "n", F.regexp_extract("s", IMPORT, 3).alias("specifier"), (F.regexp_extract("s", IMPORT, 1) == "export").alias("is_re_export"), _bare(F.regexp_replace(clause, r"\s+from\s+$", "")).alias("clause"))
     rows = rows.where(~F.col("is_re_export") | (F.col("clause") != ""))
-    listed = F.filter(F.transform(F.split(F.regexp_extract("clause", r"\{([^}]*)\}", 1), ","), lambda x: F.regexp_replace(F.trim(x), r"^type\s+", "")), lambda x: x != "")
+    listed = F.filter(F.transform(F.split(F.regexp_extract("clause", r"\{([^}]*)\}", 1), ","), lambda x: F.regexp_replace(_bare(x), r"^type\s+", "")), lambda x: x != "")
     pair = lambda x: F.struct(F.regexp_extract(x, r"([\w$]+)\s*$", 1).alias("local"), F.regexp_extract(x, r"^([\w$]+)", 1).alias("symbol"))
     named = F.transform(listed, pair)
     none = F.array().cast("array<struct<local:string,symbol:string>>")
@@ -59,17 +90,18 @@ def script_imports(files: DataFrame) -> DataFrame:
 
 
 def python_imports(files: DataFrame) -> DataFrame:
-    """(path, n, specifier, names) of Python's import lines."""
-    rows = numbered(files.where(F.lower("path").endswith(".py")), "path", "text").withColumnRenamed("doc_id", "path")
-    plain = rows.select("path", "line", F.explode(F.split(F.nullif(F.regexp_extract("text", PY_IMPORT, 1), F.lit("")), ",")).alias("s")).select("path", F.col("line").alias("n"), F.trim("s").alias("specifier"), F.array(F.lit("*")).alias("names"))
-    named = rows.where(F.col("text").rlike(PY_FROM) & ~F.col("text").rlike(PY_IMPORT))
-    listed = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_extract("text", PY_FROM, 2), "[()]", ""), ","), lambda x: F.regexp_extract(F.trim(x), r"^(\S+)", 1)), lambda x: x.rlike(r"^[\w*]+$"))
-    return plain.unionByName(named.select("path", F.col("line").alias("n"), F.regexp_extract("text", PY_FROM, 1).alias("specifier"), listed.alias("names")))
+    """(path, n, specifier, names) of Python's imports, braced lists over lines included."""
+    own = code_only(_pythons(files))
+    plain = own.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(PY_IMPORT), F.lit(1))).alias("n", "s")).select("path", "n", F.explode(F.split("s", ",")).alias("s"))
+    plain = plain.select("path", "n", F.regexp_extract(F.trim("s"), r"^([\w.]+)", 1).alias("specifier"), F.array(F.lit("*")).alias("names"))
+    named = own.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(PY_FROM), F.lit(0))).alias("n", "s"))
+    listed = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_extract("s", PY_FROM, 2), "[()]", ""), ","), lambda x: F.regexp_extract(_bare(x), r"^(\S+)", 1)), lambda x: x.rlike(r"^[\w*]+$"))
+    return plain.unionByName(named.select("path", F.col("n") + 1_000_000, F.regexp_extract("s", PY_FROM, 1).alias("specifier"), listed.alias("names")).toDF("path", "n", "specifier", "names"))
 
 
 def exported_symbols(files: DataFrame) -> DataFrame:
     """(path, line, kind, name): what scripts export, what Python defines at the left margin without a leading underscore, what Go names with a capital; of names given on, kind export."""
-    rows = numbered(files, "path", "text").withColumnRenamed("doc_id", "path")
+    rows = numbered(_drawn(files, "script"), "path", "text").withColumnRenamed("doc_id", "path")
     lower = F.lower("path")
     kinds = F.when(F.regexp_extract("text", EXPORT, 1).isin("const", "let", "var"), "variable").otherwise(F.regexp_extract("text", EXPORT, 1))
     script = rows.where(lower.rlike(SCRIPT) & F.col("text").rlike(EXPORT)).select("path", "line", kinds.alias("kind"), F.regexp_extract("text", EXPORT, 2).alias("name"))
@@ -84,11 +116,12 @@ def exported_symbols(files: DataFrame) -> DataFrame:
 
 def heritage(files: DataFrame) -> DataFrame:
     """(path, line, kind, name, binding, member): bases of exported classes and interfaces of scripts, and of Python's public classes."""
-    rows = numbered(files, "path", "text").withColumnRenamed("doc_id", "path")
+    named = lambda df: numbered(df, "path", "text").withColumnRenamed("doc_id", "path")
+    scripts, pythons = named(_drawn(_scripts(files), "script")), named(_drawn(_pythons(files), "python"))
     script = r"^\s*export\s+(?:default\s+)?(?:abstract\s+)?(class|interface)\s+([A-Za-z_$][\w$]*)(?:<[^>]*>)?\s+(.*?)\{?\s*$"
     bases = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"\b(?:extends|implements)\s+([\w$.,\s<>]+?)(?=\bimplements\b|\{|$)"), F.lit(1)), lambda x: F.split(F.regexp_replace(x, "<[^>]*>", ""), ",")))
-    ts = rows.where(F.lower("path").rlike(SCRIPT) & F.col("text").rlike(script)).select("path", "line", F.regexp_extract("text", script, 1).alias("kind"), F.regexp_extract("text", script, 2).alias("name"), F.explode(bases).alias("base"))
-    py = rows.where(F.lower("path").endswith(".py") & F.col("text").rlike(PY_CLASS)).select("path", "line", F.lit("class").alias("kind"), F.regexp_extract("text", PY_CLASS, 1).alias("name"), F.explode(F.split(F.regexp_extract("text", PY_CLASS, 2), ",")).alias("base"))
+    ts = scripts.where(F.col("text").rlike(script)).select("path", "line", F.regexp_extract("text", script, 1).alias("kind"), F.regexp_extract("text", script, 2).alias("name"), F.explode(bases).alias("base"))
+    py = pythons.where(F.col("text").rlike(PY_CLASS)).select("path", "line", F.lit("class").alias("kind"), F.regexp_extract("text", PY_CLASS, 1).alias("name"), F.explode(F.split(F.regexp_extract("text", PY_CLASS, 2), ",")).alias("base"))
     py = py.where("name not like '\\_%'").withColumn("base", F.regexp_replace(F.trim("base"), r"\[.*$", "")).where("base <> 'object' and not contains(base, '=')")
     both = ts.unionByName(py).withColumn("base", F.trim("base")).where(F.col("base").rlike(r"^[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)?$"))
     parts = F.split("base", r"\.")
@@ -97,9 +130,9 @@ def heritage(files: DataFrame) -> DataFrame:
 
 def calls(files: DataFrame) -> DataFrame:
     """(path, binding, member): distinct names that scripts call, alone or as a member; declarations and key words are no calls."""
-    own = files.where(F.lower("path").rlike(SCRIPT))
+    own = code_only(_scripts(files))
     call = r"(?<![\w$.])([A-Za-z_$][\w$]*)(?:\.([A-Za-z_$][\w$]*))?\s*\("
-    text = F.regexp_replace(F.regexp_replace("text", r"\b(?:function|class)\s*\*?\s*[A-Za-z_$][\w$]*\s*\(", " "), r"(?m)//.*$", "")
+    text = F.regexp_replace("text", r"\b(?:function|class)\s*\*?\s*[A-Za-z_$][\w$]*\s*\(", " ")
     rows = own.select("path", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(call), F.lit(0)))).alias("s"))
     rows = rows.select("path", F.regexp_extract("s", call, 1).alias("binding"), F.nullif(F.regexp_extract("s", call, 2), F.lit("")).alias("member"))
     return rows.where(~F.col("binding").isin("if", "for", "while", "switch", "catch", "return", "function", "import", "typeof", "await", "new", "super")).distinct()
@@ -107,14 +140,14 @@ def calls(files: DataFrame) -> DataFrame:
 
 def local_names(files: DataFrame) -> DataFrame:
     """(path, name): what scripts declare at their top level."""
-    rows = numbered(files.where(F.lower("path").rlike(SCRIPT)), "path", "text").withColumnRenamed("doc_id", "path")
+    rows = numbered(code_only(_scripts(files)), "path", "text").withColumnRenamed("doc_id", "path")
     pattern = r"^(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:function|class|interface|type|enum|const|let|var)\*?\s+([A-Za-z_$][\w$]*)"
     return rows.where(F.col("text").rlike(pattern)).select("path", F.regexp_extract("text", pattern, 1).alias("name")).distinct()
 
 
 def rationales(files: DataFrame, most: int = 240) -> DataFrame:
     """(path, line, kind, text, adr): comments marked as a reason or a note, and those that name a decision, cut to so many characters."""
-    rows = numbered(files, "path", "text").withColumnRenamed("doc_id", "path").where(F.col("text").rlike(COMMENT))
+    rows = numbered(comments_only(files), "path", "text").withColumnRenamed("doc_id", "path").where(F.col("text").rlike(COMMENT))
     marked = F.col("text").rlike(REASON)
     body = F.when(marked, F.regexp_extract("text", REASON, 2)).otherwise(F.regexp_extract("text", COMMENT, 1))
     adr = F.nullif(F.regexp_extract(body, r"\bADR-\d{1,4}\b", 0), F.lit(""))
@@ -124,7 +157,7 @@ def rationales(files: DataFrame, most: int = 240) -> DataFrame:
 
 def schema_statements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Objects (path, line, kind, name), the first statement of each name in a file; and links (path, line, kind, source, target): defines, modifies, references from the object in hand."""
-    rows = numbered(files.where(F.lower("path").endswith(".sql")), "path", "text").withColumnRenamed("doc_id", "path")
+    rows = numbered(_drawn(files.where(F.lower("path").endswith(".sql")), "sql"), "path", "text").withColumnRenamed("doc_id", "path")
     made, altered = F.regexp_extract("text", CREATE, 4), F.regexp_extract("text", ALTER, 1)
     kind = F.coalesce(*[F.nullif(F.lower(F.regexp_extract("text", CREATE, k)), F.lit("")) for k in (1, 2, 3)])
     rows = rows.withColumn("kind", kind).withColumn("made", F.when(made != "", bare_name(made))).withColumn("altered", F.when((made == "") & (altered != ""), bare_name(altered)))
@@ -140,14 +173,14 @@ def schema_statements(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def table_literals(files: DataFrame) -> DataFrame:
     """(path, line, name): table names in query calls and models, each once a line."""
-    rows = numbered(files, "path", "text").withColumnRenamed("doc_id", "path")
+    rows = numbered(_drawn(files, "tables"), "path", "text").withColumnRenamed("doc_id", "path")
     found = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for p in TABLE_LITERALS])
     return rows.select("path", "line", F.explode(F.array_distinct(F.transform(found, bare_name))).alias("name"))
 
 
 def python_routes(files: DataFrame) -> DataFrame:
     """(path, line, method, url) of route decorators; a bare route without methods takes any."""
-    rows = numbered(files.where(F.lower("path").endswith(".py")), "path", "text").withColumnRenamed("doc_id", "path").where(F.col("text").rlike(DECORATOR))
+    rows = numbered(_drawn(_pythons(files), "python"), "path", "text").withColumnRenamed("doc_id", "path").where(F.col("text").rlike(DECORATOR))
     listed = F.filter(F.transform(F.regexp_extract_all(F.regexp_extract("text", r"(?i)methods\s*=\s*\[([^\]]{0,200})\]", 1), F.lit("['\"]([A-Za-z]+)['\"]"), F.lit(1)), F.upper), lambda m: m.isin(*METHODS))
     verb = F.regexp_extract("text", DECORATOR, 1)
     methods = F.when(verb != "route", F.array(F.upper(verb))).when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("ANY")))

@@ -226,7 +226,7 @@ def todos(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def code_references(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line, value) of inline code."""
     rows = marked(docs, doc_id, text).where(~F.col("fenced"))
-    return rows.select("doc_id", "line", "start_byte", "end_byte", F.explode(F.regexp_extract_all("text", F.lit("`([^`\n]+)`"), F.lit(1))).alias("value"))
+    return rows.select("doc_id", "line", "start_byte", "end_byte", F.explode(F.regexp_extract_all("text", F.lit("(?<!`)`([^`\n]+)`(?!`)"), F.lit(1))).alias("value"))
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
