@@ -6,9 +6,9 @@ Landmark texts give the Nyström map K(x, landmarks) K(landmarks, landmarks)^(-1
 against the rest is solved in that space. Texts are scored in batches: presence matrix times landmark matrix times
 weights.
 
-N-grams that no landmark has can't meet one, so the presence matrix has the landmarks' n-grams only; the sizes of the sets
-count all n-grams. The training sample
-is bounded (``sample`` rows, shared evenly among languages); whole texts are used there and in scoring.
+N-grams that no landmark has can't meet one, so the presence matrix has the landmarks' n-grams only, block by block; the
+sizes of the sets count all n-grams. The training sample is bounded (``sample`` rows, shared evenly among languages); whole
+texts are used there and in scoring.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ UNKNOWN = "und"
 LONGEST = 3
 CHUNK_BYTES = 2_000_000
 CHUNK_ROWS = 512
+#: N-grams of a block of the presence and landmark matrices.
+WIDTH = 1 << 14
 
 
 def folded(data: np.ndarray) -> np.ndarray:
@@ -77,33 +79,56 @@ def distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class LanguageModel:
-    """vocabulary: sorted codes; landmarks: presence over the root of its size; weights: from kernel values to languages."""
+    """vocabulary: sorted codes of the landmarks' n-grams; starts and owners: the landmarks that have each; scale: one over the root of a landmark's size; weights: from kernel values to languages."""
 
     languages: list[str]
     vocabulary: np.ndarray
-    landmarks: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
+    scale: np.ndarray
     weights: np.ndarray
 
-    def presence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which n-grams of the vocabulary each text has, and how many distinct n-grams of any kind."""
-        codes, texts = distinct(data, offsets)
+    def kernel_of(self, codes: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
+        """Kernel values with the landmarks of n texts, given by their distinct codes.
+
+        Presence and landmark matrices are made for so many n-grams at a time, and only for those that some text has.
+        """
+        size = np.bincount(texts, minlength=n)
         at = np.minimum(np.searchsorted(self.vocabulary, codes), len(self.vocabulary) - 1)
         known = self.vocabulary[at] == codes
-        out = np.zeros((len(offsets) - 1, len(self.vocabulary)), np.float32)
-        out[texts[known], at[known]] = 1
-        return out, np.bincount(texts, minlength=len(offsets) - 1)
+        at, texts = at[known], texts[known]
+        if len(self.vocabulary) > WIDTH:
+            order = np.argsort(at, kind="stable")
+            at, texts = at[order], texts[order]
+        shared = np.zeros((n, len(self.scale)))
+        for first in range(0, len(self.vocabulary), WIDTH):
+            last = min(first + WIDTH, len(self.vocabulary))
+            some = slice(*np.searchsorted(at, [first, last])) if len(self.vocabulary) > WIDTH else slice(None)
+            if not len(at[some]):
+                continue
+            here = slice(self.starts[first], self.starts[last])
+            marks = np.zeros((len(self.scale), last - first), np.float32)
+            marks[self.owners[here], np.repeat(np.arange(last - first), np.diff(self.starts[first : last + 1]))] = 1
+            for row in range(0, n, CHUNK_ROWS):
+                mine = (texts[some] >= row) & (texts[some] < row + CHUNK_ROWS) if n > CHUNK_ROWS else slice(None)
+                presence = np.zeros((min(CHUNK_ROWS, n - row), last - first), np.float32)
+                presence[texts[some][mine] - row, at[some][mine] - first] = 1
+                shared[row : row + CHUNK_ROWS] += presence @ marks.T
+        return shared * self.scale / np.sqrt(np.maximum(size, 1))[:, None]
 
     def kernel(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Kernel values of the texts with the landmarks."""
-        p, size = self.presence(data, offsets)
-        return (p @ self.landmarks.T).astype(np.float64) / np.sqrt(np.maximum(size, 1))[:, None]
+        return self.kernel_of(*distinct(data, offsets), len(offsets) - 1)
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return self.kernel(data, offsets) @ self.weights
 
 
 def fit_model(spectra: list[np.ndarray], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """The model of rows given by their codes; landmarks are dealt evenly among the languages, longest spectra first."""
+    """The model of rows given by their codes; landmarks are dealt evenly among the languages, longest spectra first.
+
+    It holds the spectra, the landmarks' n-grams and one kernel value for each row and landmark, never a matrix of rows by n-grams.
+    """
     names = sorted(set(languages))
     rank: dict[str, int] = {}
     order = []
@@ -111,20 +136,24 @@ def fit_model(spectra: list[np.ndarray], languages: list[str], landmarks: int =
         order.append((rank.setdefault(languages[k], 0), languages[k], k))
         rank[languages[k]] += 1
     chosen = [k for *_, k in sorted(order)[:landmarks]]
-    vocabulary = np.unique(np.concatenate([spectra[k] for k in chosen]))
-    x = np.zeros((len(spectra), len(vocabulary)), np.float32)
-    for row, codes in zip(x, spectra, strict=True):
-        at = np.minimum(np.searchsorted(vocabulary, codes), len(vocabulary) - 1)
-        row[at[vocabulary[at] == codes]] = 1
-    x /= np.sqrt(np.array([[max(len(codes), 1)] for codes in spectra], np.float32))
-    marks = x[chosen]
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    held = np.concatenate([spectra[k] for k in chosen])
+    of = np.repeat(np.arange(len(chosen), dtype=np.int32), [len(spectra[k]) for k in chosen])
+    by_code = np.argsort(held, kind="stable")
+    vocabulary, starts = np.unique(held[by_code], return_index=True)
+    scale = 1 / np.sqrt(np.array([max(len(spectra[k]), 1) for k in chosen], np.float64))
+    model = LanguageModel(names, vocabulary, np.append(starts, len(held)).astype(np.int64), of[by_code], scale, np.zeros((len(chosen), len(names))))
+    kernel = np.zeros((len(spectra), len(chosen)))
+    for row in range(0, len(spectra), CHUNK_ROWS):
+        some = spectra[row : row + CHUNK_ROWS]
+        kernel[row : row + CHUNK_ROWS] = model.kernel_of(np.concatenate(some), np.repeat(np.arange(len(some), dtype=np.int32), [len(x) for x in some]), len(some))
+    values, vectors = np.linalg.eigh(kernel[chosen])
     use = values > 1e-6 * values.max()
     root = vectors[:, use] / np.sqrt(values[use])
-    phi = (x @ marks.T).astype(np.float64) @ root
+    phi = kernel @ root
     y = np.array([[1.0 if own == name else -1.0 for name in names] for own in languages])
-    w = np.linalg.solve(phi.T @ phi + ridge * len(x) / len(chosen) * np.eye(phi.shape[1]), phi.T @ y)
-    return LanguageModel(names, vocabulary, marks, root @ w)
+    w = np.linalg.solve(phi.T @ phi + ridge * len(kernel) / len(chosen) * np.eye(phi.shape[1]), phi.T @ y)
+    model.weights = root @ w
+    return model
 
 
 def _spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,19 +163,37 @@ def _spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([held[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["lang", "codes"])
 
 
+def _fitted(landmarks: int):
+    """The model of a task's rows: languages, and its arrays as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((name, codes) for batch in batches for name, codes in zip(batch.column("lang").to_pylist(), batch.column("codes").to_pylist(), strict=True))
+        if got:
+            m = fit_model([np.frombuffer(b, np.int32) for _, b in got], [name for name, _ in got], landmarks)
+            arrays = [m.vocabulary, m.starts, m.owners, m.scale, m.weights]
+            yield pa.RecordBatch.from_arrays([pa.array([m.languages]), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], MODEL_FIELDS)
+
+    return run
+
+
+MODEL_FIELDS = ["languages", "vocabulary", "starts", "owners", "scale", "weights"]
+
+
 def train(docs: DataFrame, learnable: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS) -> LanguageModel | None:
     """Learns from at most twice ``sample`` rows with text and language that ``learnable`` allows; None if there are none.
 
-    Where there are more languages than ``sample``, so many of the most frequent are learned.
+    Where there are more languages than ``sample``, so many of the most frequent are learned. The bounded sample meets in
+    one task; only the model comes to the driver.
     """
     small_batches(docs.sparkSession)
     rows = docs.where(learnable).where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").rlike(r"\p{L}"))
     rows = rows.select(F.col(f"`{doc_id}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     few = sampled(rows, F.col("key"), sample, "lang").select("lang", "text")
-    got = sorted((r["lang"], bytes(r["codes"])) for r in few.mapInArrow(_spectra, "lang string, codes binary").collect())
-    if not got:
+    row = few.mapInArrow(_spectra, "lang string, codes binary").repartition(1).mapInArrow(_fitted(landmarks), "languages array<string>, " + ", ".join(f"{f} binary" for f in MODEL_FIELDS[1:])).first()
+    if row is None:
         return None
-    return fit_model([np.frombuffer(b, np.int32) for _, b in got], [name for name, _ in got], landmarks)
+    read = lambda f, kind: np.frombuffer(bytes(row[f]), kind)
+    return LanguageModel(row["languages"], read("vocabulary", np.int32), read("starts", np.int64), read("owners", np.int32), read("scale", np.float64), read("weights", np.float64).reshape(-1, len(row["languages"])))
 
 
 def _predicted(text: str, broadcast, schema: StructType):

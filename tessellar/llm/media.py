@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import by_bytes
+from tessellar.llm.common import by_bytes, small_batches
 
 UNIT = 192
 FILLER = 32
@@ -481,6 +481,7 @@ def texts_to_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     docs = docs.drop(*({"n_bytes", "media"} - {text}))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), "n_bytes long, media binary"])
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_store(text), schema)
 
 
@@ -523,4 +524,5 @@ def read_media(rows: DataFrame, media: str = "media", tensors: bool = True) -> D
     rows = rows.drop(*({n for n, _ in _MADE} - {media}))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != media]
     made = ["width int", "height int", "tensor binary", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string"]
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(_read(media, tensors), ", ".join([*kept, *made]))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm.common import cut, shared_dir
+from tessellar.llm.common import cut, shared_dir, small_batches
 
 MIN_REVISIT_BYTES = 100
 RECORDS_PER_FILE = 4096
@@ -147,6 +147,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """All candidate records and the ends of the folder's files; a file is read whole by one task (files of up to 2 GB)."""
+    small_batches(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_scan, CANDIDATES)
 
 

@@ -64,3 +64,24 @@ def test_odd_rows(spark):
     assert langid.train(docs.limit(0), F.lit(True)) is None
     assert [r["lang_pred"] for r in langid.identify(docs.limit(2), None).collect()] == ["und", "und"]
     assert langid.identify(docs.limit(0), None).collect() == []
+
+
+def test_scripts_of_many_grams_stay_in_bounded_memory():
+    """A full sample of random Han, Hangul and Ethiopic letters: hundreds of thousands of n-grams, no matrix of rows by n-grams."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    first = {"zh": 0x4E00, "ko": 0xAC00, "am": 0x1200}
+    width = {"zh": 20_000, "ko": 11_000, "am": 340}
+    rows = [(name, "".join(chr(first[name] + int(c)) for c in r.integers(0, width[name], 400))) for name in first for _ in range(2 * langid.SAMPLE // 3)]
+    codes = [langid.distinct(*text_buffers(pa.array([t])))[0] for _, t in rows]
+    tracemalloc.start()
+    model = langid.fit_model(codes, [n for n, _ in rows])
+    probe = text_buffers(pa.array([t for _, t in rows[:: len(rows) // 300]]))
+    got = model.margins(*probe).argmax(axis=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.vocabulary) > 3 * langid.WIDTH
+    assert [model.languages[k] for k in got] == [n for n, _ in rows[:: len(rows) // 300]]
+    assert most < 200 << 20  # rows by n-grams in single precision would be five times as much
+    assert most < len(rows) * len(model.vocabulary) * 4 / 3
