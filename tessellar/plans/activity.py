@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 from tessellar.functions.columns import ratio, rounded
 from tessellar.operators import reports
 from tessellar.plans.graphs import SQL_PAIRS, _touches
-from tessellar.sources.tables import table, written
-from tessellar.streaming import activity
+from tessellar.sources.tables import shared_dir, table, written
+from tessellar.streaming import activity, co_change
 
 MONEY = "decimal(18,2)"
 
@@ -34,6 +36,16 @@ def co_change_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_CO_CHANGE = f'with {SQL_PAIRS} select a, b, times, last as "last" from pairs'
 
 
+def co_change_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs from counters that take the orders in four batches, one of them twice, and orders of one batch again in the next."""
+    path = f"{shared_dir(spark)}/tables/counters-{uuid.uuid4().hex}"
+    touches = _touches(spark, sf_dir)
+    part = F.pmod(F.xxhash64("commit"), F.lit(8))
+    for batch, parts in enumerate(((0, 1), (2, 3, 0), (2, 3, 0), (4, 5), (6, 7, 4))):
+        co_change.merge_commits(touches.where(part.isin(*parts)), min(batch, 1) if batch < 3 else batch - 1, path, buckets=8)
+    return co_change.counters(spark, path, *(touches.schema[c].dataType.simpleString() for c in ("item", "at")))
+
+
 def _co_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_of = table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate")).first()[0]
     return reports.decayed(reports.co_change_pairs(_touches(spark, sf_dir)), F.lit(as_of))
@@ -274,9 +286,9 @@ def order_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_ORDER_DIGESTS = """select l_orderkey, count(*) members, md5(string_agg(m, chr(10) order by m)) digest from (select distinct l_orderkey, l_partkey || ':' || l_suppkey m from lineitem) group by 1"""
 
-QUERIES = {f.__name__: f for f in (usage_daily, co_change_pairs, co_change_decay, risk_entries, risk_top, risk_factors, edge_page, budget_prefix, distinct_on_latest, session_activity, glow_windows, pulses, feed_topk, retention_prune, bitemporal_validity, ci_verdict, team_metrics, ledger_balance, commit_cards, pilot_stats, progress_digest, percentile_report, order_digests)}
+QUERIES = {f.__name__: f for f in (usage_daily, co_change_pairs, co_change_streamed, co_change_decay, risk_entries, risk_top, risk_factors, edge_page, budget_prefix, distinct_on_latest, session_activity, glow_windows, pulses, feed_topk, retention_prune, bitemporal_validity, ci_verdict, team_metrics, ledger_balance, commit_cards, pilot_stats, progress_digest, percentile_report, order_digests)}
 ORACLES = {
-    "usage_daily": SQL_USAGE, "co_change_pairs": SQL_CO_CHANGE, "co_change_decay": SQL_DECAY, "risk_entries": SQL_RISK, "risk_top": SQL_RISK_TOP, "risk_factors": SQL_FACTORS, "edge_page": SQL_PAGE, "budget_prefix": SQL_PREFIX, "distinct_on_latest": SQL_LATEST,
+    "usage_daily": SQL_USAGE, "co_change_pairs": SQL_CO_CHANGE, "co_change_streamed": SQL_CO_CHANGE, "co_change_decay": SQL_DECAY, "risk_entries": SQL_RISK, "risk_top": SQL_RISK_TOP, "risk_factors": SQL_FACTORS, "edge_page": SQL_PAGE, "budget_prefix": SQL_PREFIX, "distinct_on_latest": SQL_LATEST,
     "session_activity": SQL_SESSIONS, "glow_windows": SQL_WINDOWS, "pulses": SQL_PULSES, "feed_topk": SQL_FEED, "retention_prune": SQL_RETENTION, "bitemporal_validity": SQL_VALIDITY, "ci_verdict": SQL_VERDICT,
     "team_metrics": SQL_TEAM, "ledger_balance": SQL_LEDGER, "commit_cards": SQL_CARDS, "pilot_stats": SQL_PILOT, "progress_digest": SQL_DIGEST, "percentile_report": SQL_PERCENTILES, "order_digests": SQL_ORDER_DIGESTS,
 }

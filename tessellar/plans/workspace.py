@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellar.functions import paths
-from tessellar.operators import graph, workspace
+from tessellar.operators import graph, pages, workspace
 from tessellar.plans.graphs import SQL_EDGES, SQL_NODES, SQL_PAIRS, _touches
 from tessellar.plans.repository import SQL_DOC_LINKS, SQL_REPO, code_links, containment_edges, doc_links, implements_links, routes, schema_links
 from tessellar.operators import reports
 from tessellar.repository import star
-from tessellar.sources.tables import star_edges, star_nodes, table
+from tessellar.sources.tables import shared_dir, star_edges, star_nodes, table
 
 
 def repository_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +48,21 @@ w as (select id, row_number() over (order by id)::int as row, sum(octet_length(e
 select id, row as "row", b::bigint bytes_so_far, (select count(*) from e) > (select count(*) from w where row <= 300 and b <= 20000) has_more from w where row <= 300 and b <= 20000"""
 
 
+def page_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """300 edges from position 500 on, and the 300 past an edge, from a table of all edges that is written in order."""
+    path, order = f"{shared_dir(spark)}/tables/sorted-{uuid.uuid4().hex}", ["id", "relation"]
+    edges = star_edges(spark, sf_dir).select(F.concat_ws(">", "source", "target").alias("id"), "source", "target", "relation")
+    pages.write_sorted(edges, order, path)
+    at, after = pages.page_at(spark, path, order, 500, 300), pages.page_after(spark, path, order, ("n:2", ""), 300)
+    return at.withColumn("page", F.lit("position")).unionByName(after.withColumn("page", F.lit("key"))).select("page", "id", "relation", "position", "left_over")
+
+
+SQL_POSITIONS = f"""with {SQL_EDGES}, e as (select source || '>' || target id, relation, row_number() over (order by source || '>' || target, relation) - 1 p, count(*) over () n from edges),
+k as (select count(*) before from e where id <= 'n:2')
+select 'position' page, id, relation, p::bigint "position", greatest(0, n - 800)::bigint left_over from e where p between 500 and 799
+union all select 'key', id, relation, p::bigint, greatest(0, n - before - 300)::bigint from e, k where p between before and before + 299"""
+
+
 def neighbour_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node's neighbours."""
     return workspace.neighbour_ids(star_nodes(spark, sf_dir), star_edges(spark, sf_dir)).select("id", F.md5(F.array_join("neighbours", ",")).alias("digest"), F.size("neighbours").alias("n"))
@@ -152,8 +169,8 @@ def artifact_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_CARDS = f"""with {SQL_NODES}, {SQL_EDGES}, i as (select target id, count(*) filter (where relation = 'part_of') a, count(*) filter (where relation = 'produces') b from edges group by 1), o as (select source id, count(*) filter (where relation = 'part_of') a, count(*) filter (where relation = 'produces') b from edges group by 1)
 select id, kind, coalesce(i.a, 0) incoming_part_of, coalesce(i.b, 0) incoming_produces, coalesce(o.a, 0) outgoing_part_of, coalesce(o.b, 0) outgoing_produces from nodes left join i using (id) left join o using (id)"""
 
-QUERIES = {f.__name__: f for f in (repository_graph, edge_page_bounded, neighbour_ids, co_changed_nodes, finding_filter, library_filter, module_states, page_skeletons, change_brief, touched_nodes, hierarchy_groups, artifact_cards)}
+QUERIES = {f.__name__: f for f in (repository_graph, edge_page_bounded, page_by_position, neighbour_ids, co_changed_nodes, finding_filter, library_filter, module_states, page_skeletons, change_brief, touched_nodes, hierarchy_groups, artifact_cards)}
 ORACLES = {
-    "repository_graph": SQL_GRAPH, "edge_page_bounded": SQL_EDGE_PAGE, "neighbour_ids": SQL_NEIGHBOUR_IDS, "co_changed_nodes": SQL_CO_CHANGED, "finding_filter": SQL_FINDING_FILTER, "library_filter": SQL_LIBRARY,
+    "repository_graph": SQL_GRAPH, "edge_page_bounded": SQL_EDGE_PAGE, "page_by_position": SQL_POSITIONS, "neighbour_ids": SQL_NEIGHBOUR_IDS, "co_changed_nodes": SQL_CO_CHANGED, "finding_filter": SQL_FINDING_FILTER, "library_filter": SQL_LIBRARY,
     "module_states": SQL_MODULES, "page_skeletons": SQL_PAGES, "change_brief": SQL_BRIEF, "touched_nodes": SQL_TOUCHED, "hierarchy_groups": SQL_HIERARCHY, "artifact_cards": SQL_CARDS,
 }
