@@ -155,6 +155,17 @@ def glow_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_WINDOWS = "select json_extract_string(props, '$.k') node, time_bucket(interval 1 hour, ts) start_at, count(*) n, max(ts) last_at from events group by 1, 2"
 
 
+def phase_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every phase that a node of the events enters; the same function makes them of a stream."""
+    found = activity.phase_changes(table(spark, sf_dir, "events"), F.get_json_object("props", "$.k"))
+    return found.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+SQL_PHASES = """with e as (select json_extract_string(props, '$.k') node, ts, row_number() over w n, lead(ts) over w nxt from events window w as (partition by json_extract_string(props, '$.k') order by ts, event_id)),
+b as (select node, n, nxt, unnest([{'phase': 'pulse', 'at': ts}, {'phase': 'decay', 'at': ts + interval 750 milliseconds}, {'phase': 'afterglow', 'at': ts + interval 2600 milliseconds}, {'phase': 'idle', 'at': ts + interval 12 seconds}]) p from e where node is not null and ts is not null)
+select node, p.phase phase, p.at "at", n from b where p.phase = 'pulse' or nxt is null or p.at < nxt"""
+
+
 def pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes' events, last times and phases as of two seconds after the last event."""
     events = table(spark, sf_dir, "events")
@@ -286,9 +297,9 @@ def order_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_ORDER_DIGESTS = """select l_orderkey, count(*) members, md5(string_agg(m, chr(10) order by m)) digest from (select distinct l_orderkey, l_partkey || ':' || l_suppkey m from lineitem) group by 1"""
 
-QUERIES = {f.__name__: f for f in (usage_daily, co_change_pairs, co_change_streamed, co_change_decay, risk_entries, risk_top, risk_factors, edge_page, budget_prefix, distinct_on_latest, session_activity, glow_windows, pulses, feed_topk, retention_prune, bitemporal_validity, ci_verdict, team_metrics, ledger_balance, commit_cards, pilot_stats, progress_digest, percentile_report, order_digests)}
+QUERIES = {f.__name__: f for f in (usage_daily, co_change_pairs, co_change_streamed, co_change_decay, risk_entries, risk_top, risk_factors, edge_page, budget_prefix, distinct_on_latest, session_activity, glow_windows, pulses, phase_changes, feed_topk, retention_prune, bitemporal_validity, ci_verdict, team_metrics, ledger_balance, commit_cards, pilot_stats, progress_digest, percentile_report, order_digests)}
 ORACLES = {
     "usage_daily": SQL_USAGE, "co_change_pairs": SQL_CO_CHANGE, "co_change_streamed": SQL_CO_CHANGE, "co_change_decay": SQL_DECAY, "risk_entries": SQL_RISK, "risk_top": SQL_RISK_TOP, "risk_factors": SQL_FACTORS, "edge_page": SQL_PAGE, "budget_prefix": SQL_PREFIX, "distinct_on_latest": SQL_LATEST,
-    "session_activity": SQL_SESSIONS, "glow_windows": SQL_WINDOWS, "pulses": SQL_PULSES, "feed_topk": SQL_FEED, "retention_prune": SQL_RETENTION, "bitemporal_validity": SQL_VALIDITY, "ci_verdict": SQL_VERDICT,
+    "session_activity": SQL_SESSIONS, "glow_windows": SQL_WINDOWS, "pulses": SQL_PULSES, "phase_changes": SQL_PHASES, "feed_topk": SQL_FEED, "retention_prune": SQL_RETENTION, "bitemporal_validity": SQL_VALIDITY, "ci_verdict": SQL_VERDICT,
     "team_metrics": SQL_TEAM, "ledger_balance": SQL_LEDGER, "commit_cards": SQL_CARDS, "pilot_stats": SQL_PILOT, "progress_digest": SQL_DIGEST, "percentile_report": SQL_PERCENTILES, "order_digests": SQL_ORDER_DIGESTS,
 }

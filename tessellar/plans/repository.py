@@ -131,9 +131,9 @@ select p_partkey, path, class, case class when 'todo_progress' then 'todo' when
  case when entry is not null then '/' || array_to_string(list_filter(string_split(case when contains('/' || path, '/app/') then regexp_replace(regexp_extract('/' || path, '/app/(.*)$', 1), '/?(page|layout|route)\\.[cm]?[jt]sx?$', '') else regexp_replace(regexp_extract(path, 'pages/(.+)\\.[cm]?[jt]sx?$', 1), '/?index$', '') end, '/'), lambda s: s <> '' and not regexp_matches(s, '^\\(.*\\)$')), '/') end url from u"""
 
 
-def repo_todos(spark: SparkSession, sf_dir: str) -> DataFrame:
+def repo_todos(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Task items of all specifications with their keys and parents."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     return markdown.todos(repo.docs).select(F.col("doc_id").alias("path"), "line", "status", "title", "occurrence", "source_key", "parent_key")
 
 
@@ -142,9 +142,9 @@ select path, line::int line, case s when 'F' then 'done' when 'P' then 'in-progr
   case when inner_ then last_value(case when not inner_ then key end ignore nulls) over (partition by path order by line rows between unbounded preceding and 1 preceding) end parent_key from w"""
 
 
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sections(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Headings of all documents with the lines of their sections."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     return markdown.sections(repo.docs).select(F.col("doc_id").alias("path"), "line", "depth", "title", "last_line")
 
 
@@ -152,9 +152,9 @@ SQL_SECTIONS = SQL_REPO + """select path, 1 line, 1 depth, 'Customer ' || c titl
 union all select path, 1, 1, 'ADR-' || k || ' — nation', 7 from k union all select path, 3, 2, 'Decision', 7 from k"""
 
 
-def requirement_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requirement_list(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Requirements of all documents."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     return repo.needs.select("path", "origin", "line", "last_line", "fulfilled", "id", "statement")
 
 
@@ -167,9 +167,9 @@ _NEEDS_SQL = """, needs as (select path, 'task' origin, line, line last_line, s
 SQL_NEEDS = SQL_REPO + _NEEDS_SQL + "select path, origin, line::int line, last_line::int last_line, fulfilled, id, statement from needs"
 
 
-def exported_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exported_symbols(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """What every source file exports."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     return repo.symbols
 
 
@@ -179,9 +179,9 @@ SQL_SYMBOLS = SQL_REPO + "select path, (n_q + 3)::int line, 'function' kind, 'lo
 SHOWN = ("type", "path", "line", "severity", "confidence", "target", "detail")
 
 
-def missing_implementation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def missing_implementation(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Rule 1 over all specifications."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     return assurance.missing_implementation(repo.needs, repo.specs, repo.symbols).select(*SHOWN)
 
 
@@ -189,9 +189,9 @@ _R1 = "select 'missing-implementation' type, path, line::int line, 'medium' seve
 SQL_R1 = SQL_REPO + _R1
 
 
-def missing_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+def missing_test(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Rule 2 over all specifications and tests."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     return assurance.missing_test(repo.needs, repo.specs, assurance.tested_requirements(repo.files), repo.symbols).select(*SHOWN)
 
 
@@ -199,9 +199,9 @@ _R2 = "select 'missing-test' type, o.path, line::int line, 'medium' severity, 0.
 SQL_R2 = SQL_REPO + _R2
 
 
-def stale_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stale_refs(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Rule 3 over all records and specifications."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     files = repo.files
     return assurance.stale_documents(assurance.source_references(repo.docs.where("classification in ('adr', 'spec')"), files.select("path"), repo.symbols), files).select(*SHOWN)
 
@@ -210,9 +210,9 @@ _R3 = "select 'stale-doc' type, path, (12 + n_o)::int line, 'medium' severity, 0
 SQL_R3 = SQL_REPO + _R3
 
 
-def instruction_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def instruction_conflicts(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Rule 4 over all instructions."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     return assurance.contradictions(repo.docs).select(*SHOWN)
 
 
@@ -220,9 +220,9 @@ _R4 = "select 'contradicting-instructions' type, 'AGENTS.md' path, 1 line, 'medi
 SQL_R4 = SQL_REPO + _R4
 
 
-def orphan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orphan_docs(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Rule 5 over all records."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     files = repo.files
     return assurance.orphan_documents(repo.docs, assurance.source_references(repo.docs.where("classification = 'adr'"), files.select("path"), repo.symbols)).select(*SHOWN)
 
@@ -231,9 +231,9 @@ _R5 = "select 'orphan-doc' type, path, 5 line, 'low' severity, 0.85::double conf
 SQL_R5 = SQL_REPO + _R5
 
 
-def unproven_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unproven_claims(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Rule 6 over all specifications."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     files = repo.files
     stale = assurance.stale_documents(assurance.source_references(repo.docs.where("classification = 'spec'"), files.select("path"), repo.symbols), files)
     return assurance.unproven_claims(repo.docs, repo.needs, stale).select(*SHOWN)
@@ -243,9 +243,9 @@ _R6 = "select 'unproven-claim' type, path, 3 line, 'medium' severity, 0.8::doubl
 SQL_R6 = SQL_REPO + _R6
 
 
-def untested_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+def untested_code(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Rule 7 over all code."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     files = repo.files
     return assurance.untested_code(files, repo.symbols, repo.tested).select(*SHOWN)
 
@@ -255,27 +255,27 @@ _R7 = """select 'untested-code' type, path, (n_q + 3)::int line, 'low' severity,
 SQL_R7 = SQL_REPO + _R7
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def findings(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """All rules, the first one on each span."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     return assurance.analyze(repo.files, repo.symbols, repo.tested).select(*SHOWN)
 
 
 SQL_FINDINGS = SQL_REPO + " union all ".join(f"(select * from ({r}))" for r in (_R1, _R2, _R3, _R4, _R5, _R6, _R7))
 
 
-def implements_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def implements_links(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Requirements and the files that own the symbols they name."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     return assurance.implementation_links(repo.needs, repo.symbols)
 
 
 SQL_IMPLEMENTS = SQL_REPO + "select o.path, 'REQ-O' || o identity, line::int line, 'loadPart' || x symbol, p.path target from o join p on o % 3 = 0 and p.p = x"
 
 
-def assurance_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def assurance_coverage(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """How many requirements are implemented and tested."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     needs = repo.needs
     return assurance.requirement_coverage(needs, assurance.implementation_links(needs, repo.symbols), assurance.tested_requirements(repo.files))
 
@@ -283,9 +283,9 @@ def assurance_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_COVERAGE = SQL_REPO + _NEEDS_SQL + "select count(*) requirements, (select count(*) from o join p on o % 3 = 0 and p.p = x) implemented, (select count(*) from o, n where (o % n) % 4 = 0) tested from needs"
 
 
-def doc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_links(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Links of all documents to files."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     docs = repo.docs
     return resolve.doc_links(resolve.mentions(markdown.code_references(docs), markdown.links(docs)), repo.files.select("path"))
 
@@ -294,9 +294,9 @@ SQL_DOC_LINKS = SQL_REPO + """, l as (select c.path source, p.path target, (12 +
 select source, target, line, min(method) method, 'resolved' tier from l group by source, target, line union all select k.path, p.path, 7, 'path-exists', 'resolved' from k join p on p.p = k where k % 2 = 0"""
 
 
-def section_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def section_links(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Citations of decision records by documents and by comments in code."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     docs, files = repo.docs, repo.files
     return resolve.section_links(markdown.declared_sections(docs), markdown.cited_tokens(docs), code.rationales(files.where("classification = 'code_metadata'")))
 
@@ -305,18 +305,18 @@ SQL_SECTION_LINKS = SQL_REPO + """select c.path source, 'ADR-' || nk token, 'doc
 union all select m.path, 'ADR-' || (p % 30), k.path, (n_q + 2)::int, 'rationale' from m left join k on k.k = p % 30"""
 
 
-def rationale_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rationale_notes(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Reasons that comments give."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     return code.rationales(repo.code)
 
 
 SQL_RATIONALES = SQL_REPO + "select path, (n_q + 2)::int line, 'why' kind, 'part ' || p || ' follows ADR-' || (p % 30) \"text\", 'ADR-' || (p % 30) adr from m"
 
 
-def code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def code_links(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Imports, calls and tests between all source files."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     return repo.links.withColumn("names", F.array_join("names", ","))
 
 
@@ -341,9 +341,9 @@ def incremental_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.incremental_scan(before, files, star.aliases(spark), ("", "api"))["links"].withColumn("names", F.array_join("names", ","))
 
 
-def heritage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def heritage(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Bases of all classes."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     files = repo.code
     bound = resolve.bound_names(repo.imports.join(repo.targets, ["path", "specifier"]), repo.owners)
     return resolve.heritage_links(code.heritage(files), bound, repo.symbols)
@@ -352,9 +352,9 @@ def heritage(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_HERITAGE = SQL_REPO + "select 'api/n' || k || '.py' path, 'N' || k as name, 'class' kind, 'api/base.py' target, 'Base' base from k"
 
 
-def schema_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def schema_links(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Statements and queries on schema objects."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     files = repo.files
     objects, links = code.schema_statements(files)
     return resolve.schema_links(objects, links, code.table_literals(files.where("classification = 'code_metadata'")))
@@ -364,18 +364,18 @@ SQL_SCHEMA = SQL_REPO + """select 'db/r' || r || '/t' || k || '.sql' path, 1 lin
 union all select 'db/r' || r || '/t' || k || '.sql', 5, 'modifies', null, 't' || ((k + 2) % 25) from k union all select path, (n_q + 4)::int, 'queries', null, 't' || (p % 30) from m where p % 30 < 25"""
 
 
-def db_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def db_objects(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """The file that declares each schema object."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     return resolve.declaring_files(code.schema_statements(repo.files)[0])
 
 
 SQL_OBJECTS = SQL_REPO + "select 't' || k as name, 'db/r' || r || '/t' || k || '.sql' path, 1 line, 'table' kind from k"
 
 
-def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def routes(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Which file serves which url."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     files = repo.files
     return resolve.route_handlers(files, code.python_routes(files))
 
@@ -383,18 +383,18 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_ROUTES = SQL_REPO + "select '/nations/' || k url, 'GET' as method, 'api/n' || k || '.py' path, 'decorator' entry from k"
 
 
-def containment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def containment_edges(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Every directory and what lies in it."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     return resolve.containment(repo.files)
 
 
 SQL_CONTAINMENT = SQL_REPO + """, s as (select string_split(path, '/') a from f), e as (select distinct array_to_string(a[1:i], '/') source, array_to_string(a[1:i + 1], '/') target from s, lateral (select unnest(range(1, len(a))) i)) select source, target from e"""
 
 
-def reported_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reported_paths(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Paths of a coverage report, with a prefix of the machine that made it, and the files they stand for."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     reported = table(spark, sf_dir, "part").select(F.expr("concat('/ci/run', p_partkey % 7, '/./src/b', p_partkey % 26, '/p', p_partkey, '.ts')").alias("reported"))
     return resolve.reported_paths(reported, repo.files.select("path"))
 
@@ -402,9 +402,9 @@ def reported_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_REPORTED = SQL_REPO + "select '/ci/run' || (p % 7) || '/./src/b' || (p % 26) || '/p' || p || '.ts' reported, case when p % 26 = p % 25 then path end path from p"
 
 
-def symbol_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+def symbol_keys(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Stable keys of all exported symbols, and ids made of them."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     s = repo.symbols
     key = words.symbol_key(F.col("path"), F.lit(None).cast("string"), F.col("kind"), F.col("name"))
     return s.select("path", "kind", "name", key.alias("key"), words.ulid_of(key).alias("node_id"))
@@ -415,10 +415,10 @@ SQL_KEYS = f"""with s as ({SQL_SYMBOLS}), d as (select path, kind, name, md5(pat
 h as (select *, sha256(key) d from d), x as (select *, array_to_string(list_transform(range(1, 33), lambda i: lpad(bin(('0x' || d[i])::int), 4, '0')), '') b from h)
 select path, kind, name, key, '0' || {_ULID} node_id from x"""
 
-def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def symbol_edges(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Declarations and bases of all symbols."""
-    repo = Repository(spark, sf_dir)
-    return resolve.symbol_edges(repo.symbols, heritage(spark, sf_dir))
+    repo = repo or Repository(spark, sf_dir)
+    return resolve.symbol_edges(repo.symbols, heritage(spark, sf_dir, repo))
 
 
 SQL_SYMBOL_EDGES = f"""with s as ({SQL_SYMBOLS}), y as (select path, kind, name, md5(path || '||' || kind || '|' || name) key from s)
@@ -435,18 +435,18 @@ def finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_FINDING_COUNTS = f"with q as ({SQL_FINDINGS}) select item, count(*) n from (select path item from q union all select target from q where target is not null) group by 1"
 
 
-def package_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+def package_directories(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Directories of the repository, those with instructions taken as packages."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     return resolve.package_directories(repo.files, ("AGENTS.md",))
 
 
 SQL_PACKAGES = SQL_REPO + """, d as (select distinct array_to_string(a[1:i], '/') path from (select string_split(path, '/') a from f), lateral (select unnest(range(1, len(a))) i)) select path, path || '/AGENTS.md' in (select path from g) is_package from d"""
 
 
-def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evidence_links(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """Test files, as a report with other prefixes names them, and the requirements that their cases state."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     tests = repo.files.where("path like 'tests/%'")
     evidence = tests.select(F.concat(F.lit("/ci/work/"), "path").alias("test_file"), markdown.requirement_ids(F.col("text")).alias("requirement_ids"))
     return resolve.evidence_links(evidence, repo.files.select("path"), repo.needs)
@@ -455,9 +455,9 @@ def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_EVIDENCE_LINKS = SQL_REPO + "select '/ci/work/' || t.path test_file, t.path path, 'REQ-O' || o requirement from n, t left join o on o.o % (select n from n) = t.p"
 
 
-def analysis_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
+def analysis_receipt(spark: SparkSession, sf_dir: str, repo: Repository | None = None) -> DataFrame:
     """The receipt of an analysis of the whole repository, with two findings and a requirement known before."""
-    repo = Repository(spark, sf_dir)
+    repo = repo or Repository(spark, sf_dir)
     from tessellar.operators.analysis import analyse
 
     known = spark.createDataFrame([("gone:a:1:0", "open"), ("orphan-doc:docs/adr/nation1.md:5:33", "dismissed")], "id string, status string")

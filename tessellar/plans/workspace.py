@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessellar.functions import paths
 from tessellar.operators import graph, pages, workspace
 from tessellar.plans.graphs import SQL_EDGES, SQL_NODES, SQL_PAIRS, _touches
-from tessellar.plans.repository import SQL_DOC_LINKS, SQL_REPO, code_links, containment_edges, doc_links, implements_links, routes, schema_links
+from tessellar.plans.repository import SQL_DOC_LINKS, SQL_REPO, Repository, code_links, containment_edges, doc_links, implements_links, routes, schema_links
 from tessellar.operators import reports
 from tessellar.repository import star
 from tessellar.sources.tables import shared_dir, star_edges, star_nodes, table
@@ -18,13 +18,14 @@ from tessellar.sources.tables import shared_dir, star_edges, star_nodes, table
 
 def repository_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole graph of the repository: code, documents, requirements, schema, routes and containment as edges with families, counted by relation."""
-    edges = code_links(spark, sf_dir).select("source", "target", F.col("kind").alias("relation"), F.lit("artifact").alias("from"))
-    edges = edges.unionByName(doc_links(spark, sf_dir).select("source", "target", F.lit("references").alias("relation"), F.lit("artifact").alias("from")))
-    edges = edges.unionByName(implements_links(spark, sf_dir).select(F.col("target").alias("source"), F.col("identity").alias("target"), F.lit("implements").alias("relation"), F.lit("artifact").alias("from")))
-    schema = schema_links(spark, sf_dir)
+    repo = Repository(spark, sf_dir)
+    edges = code_links(spark, sf_dir, repo).select("source", "target", F.col("kind").alias("relation"), F.lit("artifact").alias("from"))
+    edges = edges.unionByName(doc_links(spark, sf_dir, repo).select("source", "target", F.lit("references").alias("relation"), F.lit("artifact").alias("from")))
+    edges = edges.unionByName(implements_links(spark, sf_dir, repo).select(F.col("target").alias("source"), F.col("identity").alias("target"), F.lit("implements").alias("relation"), F.lit("artifact").alias("from")))
+    schema = schema_links(spark, sf_dir, repo)
     edges = edges.unionByName(schema.select(F.coalesce("source", "path").alias("source"), "target", F.col("kind").alias("relation"), F.when(F.col("source").isNotNull(), "db_object").otherwise("artifact").alias("from")))
-    edges = edges.unionByName(routes(spark, sf_dir).select(F.col("url").alias("source"), F.col("path").alias("target"), F.lit("handles").alias("relation"), F.lit("route").alias("from")))
-    edges = edges.unionByName(containment_edges(spark, sf_dir).select("source", "target", F.lit("contains").alias("relation"), F.lit("directory").alias("from")))
+    edges = edges.unionByName(routes(spark, sf_dir, repo).select(F.col("url").alias("source"), F.col("path").alias("target"), F.lit("handles").alias("relation"), F.lit("route").alias("from")))
+    edges = edges.unionByName(containment_edges(spark, sf_dir, repo).select("source", "target", F.lit("contains").alias("relation"), F.lit("directory").alias("from")))
     return edges.distinct().groupBy("relation", paths.edge_family(F.col("relation"), F.col("from")).alias("family")).agg(F.count("*").alias("n"))
 
 
