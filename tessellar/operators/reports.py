@@ -100,6 +100,20 @@ def running_sum(rows: DataFrame, keys: Sequence[str], order: str, value: Column,
     return ranged.withColumn("_within", within).join(starts, same).withColumn("running", F.col("_start") + F.col("_within")).drop("_block", "_value", "_within", "_start")
 
 
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds at (from 0, in the order) and n (of the key) to each row: dealt by ranges, so that no key is one task."""
+    ranged = cut(rows.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_block").agg(F.count("*").alias("_m"))
+    by = W.partitionBy(*keys)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_m").over(by.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("_m").over(by))
+    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), "_before", "n")
+    same = F.col("_block") == F.col("_b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    each = ranged.withColumn("_in", F.row_number().over(W.partitionBy(*keys, "_block").orderBy(*order)))
+    return each.join(counts, same).select(*rows.columns, (F.col("_before") + F.col("_in") - 1).alias("at"), "n")
+
+
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """The row of each key with the greatest order values, by a partial aggregate instead of a window."""
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_row"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellar.functions.words import grading_text, half_up
+from tessellar.operators.reports import numbered
+from tessellar.sources.tables import written
 
 #: Resamples, their share inside the interval, seeds' hash and generator, and bounds of the gate.
 RESAMPLES, LEVEL = 2000, 0.95
@@ -35,45 +36,52 @@ def draws(seed: int, n: int) -> np.ndarray:
         return (v ^ (v >> np.uint32(14))).astype(np.float64) / 4294967296.0
 
 
-def interval(values: np.ndarray, key: str, weights: np.ndarray | None = None) -> tuple[float | None, float | None]:
-    """The percentile interval of the mean (or of one minus the ratio of two sums, in percent, if weights are given) of resampled units; nulls without units."""
-    n = len(values)
-    if not n:
-        return None, None
-    found = []
-    for at in range(0, RESAMPLES, 64):  # a block of resamples at a time
-        k = min(64, RESAMPLES - at)
-        picks = np.floor(_stream(seed_of(key), at * n, k * n) * n).astype(np.int64).reshape(k, n)
-        if weights is None:
-            found.append(values[picks].mean(axis=1))
-        else:
-            whole = weights[picks].sum(axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                found.append(np.where(whole == 0, np.nan, (1 - values[picks].sum(axis=1) / whole) * 100))
-    e = np.sort(np.concatenate(found))
-    e = e[np.isfinite(e)]
-    if not len(e):
-        return None, None
-    tail = (1 - LEVEL) / 2
-    return round(float(e[max(0, int(np.floor(tail * len(e))))]), 6), round(float(e[min(len(e) - 1, int(np.ceil((1 - tail) * len(e))) - 1)]), 6)
-
-
-def _stream(seed: int, start: int, n: int) -> np.ndarray:
-    return draws((seed + start * STEP) & 0xFFFFFFFF, n)
+def _seed(key: Column) -> Column:
+    """``seed_of`` as a column."""
+    units = F.hex(F.encode(key, "UTF-16BE"))
+    each = F.transform(F.sequence(F.lit(0), F.floor(F.length(units) / 4).cast("int") - 1), lambda i: F.conv(F.substring(units, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    fold = lambda h, u: F.pmod(h.bitwiseXOR(u) * FNV_PRIME, F.lit(1 << 32))
+    return F.when(F.length(units) > 0, F.aggregate(each, F.lit(FNV_START).cast("long"), fold)).otherwise(F.lit(FNV_START).cast("long"))
 
 
-def bootstrap(rows: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
-    """(key, n, mean, lower, upper): the interval of each key's mean, seeded by the key, its units taken in order.
+def _times(a: Column, b: Column) -> Column:
+    """The product of two numbers below 2^32, modulo 2^32: in halves, so that none is larger than a long."""
+    high, low = F.shiftrightunsigned(a, 16), a.bitwiseAND(F.lit(0xFFFF))
+    return (low * b + F.shiftleft((high * b).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def intervals(units: DataFrame, resamples: int = RESAMPLES) -> DataFrame:
+    """(key, lower, upper) of units (key, name, at, n, value, weight): the percentile interval of the resampled mean of the values, or, where weights are given, of one minus the ratio of the two sums, in percent.
 
-    One key's values are gathered in one group, eight bytes each: meant for trials, of which there are hundreds.
+    ``at`` numbers the n units of a key from 0, ``name`` seeds its draws. Every unit makes one draw of each resample, told by
+    its place alone; how often a resample takes a unit is counted, joined with the unit and summed. No key is gathered but
+    for its resamples' results, two thousand numbers. Results that aren't finite are left out; without any, nulls.
     """
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        values = df.sort_values(list(order))[value].to_numpy(np.float64)
-        low, high = interval(values, str(df[key].iloc[0]))
-        return pd.DataFrame({key: [df[key].iloc[0]], "n": [len(values)], "mean": [round(float(values.mean()), 6)], "lower": [low], "upper": [high]})
+    drawn = units.withColumn("seed", _seed(F.col("name"))).select("key", "n", "seed", "at", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    # the draws are made of plain columns, or each step would be spelled out in the next one's text many times
+    state = drawn.select("key", "n", "r", (F.col("seed") + F.pmod(F.col("r").cast("long") * F.col("n") + F.col("at") + 1, F.lit(1 << 32)) * STEP).bitwiseAND(F.lit(0xFFFFFFFF)).alias("s"))
+    first = state.select("key", "n", "r", _times(F.col("s").bitwiseXOR(F.shiftrightunsigned("s", 15)), F.col("s").bitwiseOR(F.lit(1))).alias("v"))
+    second = first.select("key", "n", "r", F.col("v").bitwiseXOR((F.col("v") + _times(F.col("v").bitwiseXOR(F.shiftrightunsigned("v", 7)), F.col("v").bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(0xFFFFFFFF))).alias("v"))
+    picks = second.select("key", "r", F.floor(F.col("v").bitwiseXOR(F.shiftrightunsigned("v", 14)) / F.lit(float(1 << 32)) * F.col("n")).alias("at"))
+    taken = picks.groupBy("key", "r", "at").agg(F.count("*").alias("times"))
+    own = units.select("key", "at", "value", "weight")
+    met = taken.join(own, taken["key"].eqNullSafe(own["key"]) & (taken["at"] == own["at"])).select(taken["key"], "r", "times", "value", "weight")
+    sums = met.groupBy("key", "r").agg(F.sum(F.col("times") * F.col("value")).alias("value"), F.sum(F.col("times") * F.col("weight")).alias("weight"), F.sum("times").alias("times"), F.count("weight").alias("weighted"))
+    result = F.when(F.col("weighted") == 0, F.col("value") / F.col("times")).when(F.col("weight") != 0, (1 - F.col("value") / F.col("weight")) * 100)
+    ranked = sums.select("key", result.alias("e")).where("e is not null and not isnan(e)")
+    whole = ranked.groupBy("key").agg(F.array_sort(F.collect_list("e")).alias("es"))  # a number for each resample
+    size, tail = F.size("es"), (1 - LEVEL) / 2
+    low, high = F.greatest(F.lit(0), F.floor(tail * size)), F.least(size - 1, F.ceil((1 - tail) * size) - 1)
+    return whole.select("key", F.round(F.get("es", low.cast("int")), 6).alias("lower"), F.round(F.get("es", high.cast("int")), 6).alias("upper"))
 
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, value, *order).groupBy(key).applyInPandas(one, f"`{key}` {kind}, n long, mean double, lower double, upper double")
+
+def bootstrap(rows: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
+    """(key, n, mean, lower, upper): the interval of each key's mean, seeded by the key, its units taken in order."""
+    units = numbered(rows.select(F.col(key).alias("key"), F.col(value).cast("double").alias("value"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]), ["key"], [f"_o{i}" for i in range(len(order))])
+    units = written(units.select("key", F.coalesce(F.col("key").cast("string"), F.lit("")).alias("name"), "at", "n", "value", F.lit(None).cast("double").alias("weight")))
+    means = units.groupBy("key").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    found = intervals(units).withColumnRenamed("key", "_k")
+    return means.join(found, means["key"].eqNullSafe(found["_k"]), "left").select(F.col("key").alias(key), "n", "mean", "lower", "upper")
 
 
 def mean_or_zero(c: Column) -> Column:
@@ -128,17 +136,16 @@ def paired(trials: DataFrame, baseline: str, treatment: str) -> DataFrame:
 
 def gate(pairs: DataFrame) -> DataFrame:
     """(model, units, delta, lower, upper, token_reduction, token_lower, token_upper, not_worse, better): whether the treatment is no worse, or better, by the bounds of its intervals in points."""
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["task", "model", "trial"])
-        name = df.model.iloc[0]
-        d = (df.treatment_score - df.baseline_score).to_numpy(np.float64)
-        low, high = interval(d * 100, f"accuracy-delta\0{name}")
-        t_low, t_high = interval(df.treatment_tokens.to_numpy(np.float64), f"token-reduction\0{name}", df.baseline_tokens.to_numpy(np.float64))
-        whole = df.baseline_tokens.sum()
-        saved = round(float((1 - df.treatment_tokens.sum() / whole) * 100), 6) if whole else None
-        return pd.DataFrame({"model": [name], "units": [len(df)], "delta": [round(float(d.mean() * 100), 6)], "lower": [low], "upper": [high], "token_reduction": [saved], "token_lower": [t_low], "token_upper": [t_high], "not_worse": [low is not None and low >= NOT_WORSE], "better": [low is not None and low >= BETTER]})
-
-    return pairs.groupBy("model").applyInPandas(one, "model string, units long, delta double, lower double, upper double, token_reduction double, token_lower double, token_upper double, not_worse boolean, better boolean")
+    rows = numbered(pairs.select("task", "model", "trial", (F.col("treatment_score") - F.col("baseline_score")).alias("d"), F.col("treatment_tokens").cast("double").alias("used"), F.col("baseline_tokens").cast("double").alias("base")), ["model"], ["task", "trial"])
+    rows = written(rows)
+    named = lambda kind: F.concat(F.lit(f"{kind}\0"), F.coalesce("model", F.lit("")))
+    deltas = intervals(rows.select(F.col("model").alias("key"), named("accuracy-delta").alias("name"), "at", "n", (F.col("d") * 100).alias("value"), F.lit(None).cast("double").alias("weight")))
+    saved = intervals(rows.select(F.col("model").alias("key"), named("token-reduction").alias("name"), "at", "n", F.col("used").alias("value"), F.col("base").alias("weight")))
+    own = rows.groupBy("model").agg(F.count("*").alias("units"), F.round(F.avg("d") * 100, 6).alias("delta"), F.when(F.sum("base") != 0, F.round((1 - F.sum("used") / F.nullif(F.sum("base"), F.lit(0.0))) * 100, 6)).alias("token_reduction"))
+    out = own.join(deltas.withColumnRenamed("key", "_d"), F.col("model").eqNullSafe(F.col("_d")), "left").drop("_d")
+    out = out.join(saved.select(F.col("key").alias("_s"), F.col("lower").alias("token_lower"), F.col("upper").alias("token_upper")), F.col("model").eqNullSafe(F.col("_s")), "left")
+    holds = lambda bound: F.coalesce(F.col("lower") >= bound, F.lit(False))
+    return out.select("model", "units", "delta", "lower", "upper", "token_reduction", "token_lower", "token_upper", holds(NOT_WORSE).alias("not_worse"), holds(BETTER).alias("better"))
 
 
 def adoption(trials: DataFrame, tool: str) -> Column:
