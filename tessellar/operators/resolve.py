@@ -99,7 +99,8 @@ def script_candidates(imports: DataFrame, aliases: DataFrame | None = None) -> D
     and every beginning of the specifier of a length that some rule's prefix has, is a row.
     """
     asked = imports.select("path", "specifier").distinct()
-    near = asked.where(F.col("specifier").startswith(".")).withColumn("at", normal_path(F.concat(directory(F.col("path")), F.lit("/"), F.col("specifier")))).where("at is not null")
+    near = asked.where(F.col("specifier").startswith(".")).select("path", "specifier", normal_path(F.concat(directory(F.col("path")), F.lit("/"), F.col("specifier"))).alias("at"))
+    near = cut(near.where("at is not null"))  # else the path is worked out once for each candidate made of it
     out = near.select("path", "specifier", F.lit(0).alias("rank"), F.lit("resolved").alias("tier"), F.lit("module-resolution").alias("method"), _probes(F.col("at")).alias("candidates"))
     if aliases is None:
         return out
@@ -113,7 +114,8 @@ def script_candidates(imports: DataFrame, aliases: DataFrame | None = None) -> D
     fits = F.when(F.col("wildcard"), long & F.endswith("specifier", F.col("suffix"))).otherwise(F.col("prefix") == F.col("specifier"))
     caught = F.when(F.col("wildcard"), F.substring(F.col("specifier"), F.length("prefix") + 1, F.length("specifier") - F.length("prefix") - F.length("suffix"))).otherwise("")
     placed = F.when(F.col("target").contains("*"), F.replace("target", F.lit("*"), caught)).when(caught != "", F.concat("target", F.lit("/"), caught)).otherwise(F.col("target"))
-    ruled = met.where(fits).select("path", "specifier", F.col("priority").alias("rank"), "tier", normal_path(placed).alias("at")).where("at is not null and at <> ''")
+    ruled = met.where(fits).select("path", "specifier", F.col("priority").alias("rank"), "tier", normal_path(placed).alias("at"))
+    ruled = cut(ruled.where("at is not null and at <> ''"))
     return out.unionByName(ruled.select("path", "specifier", "rank", "tier", F.lit("alias-resolution").alias("method"), _probes(F.col("at")).alias("candidates")))
 
 
