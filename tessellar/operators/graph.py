@@ -113,29 +113,52 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return e.select(F.col("e.source").alias("node"), F.col("e.target").alias("other"), "e").unionByName(e.select(F.col("e.target").alias("node"), F.col("e.source").alias("other"), "e"))
 
 
+def two_sided(steps: DataFrame, start: str, target: str, max_depth: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Layers from the start (node) and from the target (node, e, next: the least edge back towards it) over steps (node, other, e), until they meet; none from the target if they don't.
+
+    In each round the side with fewer nodes goes on. No node is in layers of both sides but in the last one of each.
+    """
+    spark = steps.sparkSession
+    one = lambda x: spark.createDataFrame([(x,)], "node string")
+    ahead, back = [one(start)], [one(target)]
+    counts, seen, n_seen = [1, 1], [ahead[0], back[0]], [1, 1]
+    for _ in range(max_depth if start != target else 0):
+        side = int(counts[1] < counts[0])
+        layers = (ahead, back)[side]
+        reached = steps.join(_near(layers[-1].select("node"), counts[side]), "node")
+        fresh = reached.join(_near(seen[side].withColumnRenamed("node", "other"), n_seen[side]), "other", "left_anti")
+        layer = fresh.select("other").distinct() if side == 0 else fresh.groupBy("other").agg(F.min(F.struct("e", F.col("node").alias("next"))).alias("p")).select("other", "p.*")
+        layers.append(cut(layer.withColumnRenamed("other", "node")))
+        counts[side] = layers[-1].count()
+        if not counts[side]:
+            break
+        seen[side], n_seen[side] = seen[side].unionByName(layers[-1].select("node")), n_seen[side] + counts[side]
+        if not ahead[-1].join(_near(back[-1].select("node"), counts[1]), "node", "left_semi").isEmpty():
+            return ahead, back
+    return ahead, []
+
+
 def trace(edges: DataFrame, start: str, target: str, max_depth: int) -> DataFrame:
     """(hop, source, relation, target, explain): the edges of the shortest way either way, none if there is none within so many hops.
 
-    Of equally long ways the one that a breadth-first walk finds first, which takes edges in the order of source, target and
-    relation: a node keeps the least list of edges that leads to it.
+    Of equally long ways the one whose list of edges is least, edges being ordered by source, target and relation. Both ends
+    walk towards each other; what the walk from the start reached and is on no shortest way is left out going back from where
+    they met, and each node that stays points along its least edge, so that the way is read from pointers.
     """
     steps = written(_ordered(edges))
-    spark = edges.sparkSession
-    frontier = spark.createDataFrame([(start, [])], f"node string, way array<{EDGE}>")
-    seen, n, n_seen, found = frontier.select("node"), 1, 1, None
-    for _ in range(max_depth if start != target else 0):
-        reached = steps.join(_near(frontier, n), "node").select("other", F.concat("way", F.array("e")).alias("way"))
-        fresh = reached.join(_near(seen.withColumnRenamed("node", "other"), n_seen), "other", "left_anti")
-        frontier = cut(fresh.groupBy("other").agg(F.min("way").alias("way")).withColumnRenamed("other", "node"))
-        found = frontier.where(F.col("node") == target)
-        n = frontier.count()
-        if not n or not found.isEmpty():
-            break
-        seen, n_seen = seen.unionByName(frontier.select("node")), n_seen + n
-        found = None
-    if found is None:
-        found = frontier.limit(0)
-    hops = found.select(F.posexplode("way").alias("hop", "e"))
+    ahead, back = two_sided(steps, start, target, max_depth)
+    pointers, kept = [], back[-1].select("node") if back else None
+    if back:
+        kept = cut(ahead[-1].join(kept, "node", "left_semi"))
+        for layer in reversed(ahead[:-1]):
+            held = steps.join(_near(kept, kept.count()), "node").join(layer.withColumnRenamed("node", "other"), "other", "left_semi")
+            pointers.append(cut(held.groupBy("other").agg(F.min(F.struct("e", F.col("node").alias("next"))).alias("p")).select(F.col("other").alias("node"), "p.*")))
+            kept = pointers[-1].select("node")
+        pointers = pointers[::-1] + back[:0:-1]
+    at = edges.sparkSession.createDataFrame([(start, [])], f"node string, way array<{EDGE}>")
+    for p in pointers:  # one row goes along
+        at = p.join(F.broadcast(at), "node").select(F.col("next").alias("node"), F.concat("way", F.array("e")).alias("way"))
+    hops = at.select(F.posexplode("way").alias("hop", "e"))
     return hops.select((F.col("hop") + 1).alias("hop"), "e.source", "e.relation", "e.target", F.concat("e.source", F.lit(" -"), "e.relation", F.lit("-> "), "e.target").alias("explain"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellar.functions import paths
-from tessellar.operators import graph, pages, workspace
+from tessellar.operators import graph, pages, publish, workspace
 from tessellar.plans.graphs import SQL_EDGES, SQL_NODES, SQL_PAIRS, _touches
 from tessellar.plans.repository import SQL_DOC_LINKS, SQL_REPO, Repository, code_links, containment_edges, doc_links, implements_links, routes, schema_links
 from tessellar.operators import reports
@@ -159,6 +159,45 @@ def hierarchy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_HIERARCHY = SQL_REPO + """, d as (select path, string_split(path, '/') a from f) select path, case when a[1] = 'db' and len(a) > 1 then 'db' when len(a) = 1 then '.' when len(a) = 2 then a[1] else a[1] || '/' || a[2] end "group" from d"""
 
 
+def _published_parties(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A store at its second version, with the outcomes of both: customers without debts and suppliers as nodes after all customers; places renamed among the edges, of which those that the second plan hasn't stay."""
+    path = f"{shared_dir(spark)}/tables/store-{uuid.uuid4().hex}"
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    nodes = c.select(F.concat(F.lit("c:"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("nation"))
+    later = c.where("c_acctbal >= 0").select(F.concat(F.lit("c:"), "c_custkey").alias("id"), F.when(F.col("c_nationkey") == 5, F.upper("c_name")).otherwise(F.col("c_name")).alias("name"), F.when(F.col("c_nationkey") != 6, F.col("c_nationkey")).cast("long").alias("nation"))
+    later = later.unionByName(s.select(F.concat(F.lit("s:"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("nation")))
+    edges = star_edges(spark, sf_dir)
+    moved = edges.where("target = 'n:7' or source like 'n:%'").withColumn("relation", F.when(F.col("target") == "n:7", "located_in").otherwise(F.col("relation")))
+    keys = {"nodes": ["id"], "edges": ["source", "target"]}
+    first = publish.publish(spark, path, {"nodes": nodes, "edges": edges}, keys, keep=["edges"], expected=0)
+    second = publish.publish(spark, path, {"nodes": later, "edges": moved}, keys, keep=["edges"], expected=1)
+    return path, first.unionByName(second)
+
+
+def publish_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of the rows of two tables when two plans are published one after the other."""
+    told = _published_parties(spark, sf_dir)[1]
+    same = F.when(F.col("outcome").isin("unchanged", "untouched", "kept"), "same").otherwise(F.col("outcome"))
+    return told.groupBy("version", "table", same.alias("outcome")).agg(F.sum("n").alias("n"))
+
+
+_SQL_PARTIES = f"""{SQL_EDGES}, n1 as (select 'c:' || c_custkey id, c_name as name, c_nationkey::bigint nation from customer),
+n2 as (select 'c:' || c_custkey id, case when c_nationkey = 5 then upper(c_name) else c_name end as name, case when c_nationkey <> 6 then c_nationkey end::bigint nation from customer where c_acctbal >= 0 union all select 's:' || s_suppkey, s_name, s_nationkey from supplier),
+w as (select n1.id is null fresh, n2.id is null gone, n1.name is distinct from n2.name or n1.nation is distinct from n2.nation differs, n2.* from n1 full join n2 using (id))"""
+SQL_PUBLISH = f"""with {_SQL_PARTIES}, o as (select 1 "version", 'nodes' "table", 'inserted' outcome from n1 union all select 1, 'edges', 'inserted' from edges
+union all select 2, 'nodes', case when fresh then 'inserted' when gone then 'removed' when differs then 'updated' else 'same' end from w union all select 2, 'edges', case when target = 'n:7' then 'updated' else 'same' end from edges)
+select "version"::bigint "version", "table", outcome, count(*) n from o group by all"""
+
+
+def published_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes that readers find after both plans, and the version that gave each its values."""
+    path = _published_parties(spark, sf_dir)[0]
+    return publish.read(spark, path, "nodes", "id string, name string, nation long")
+
+
+SQL_PUBLISHED = f"with {_SQL_PARTIES} select id, name, nation, case when fresh or differs then 2 else 1 end::bigint since from w where not gone"
+
+
 def artifact_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes as artifacts with how often each relation leads to and from them."""
     nodes = star_nodes(spark, sf_dir).select("id", F.col("id").alias("path"), "kind")
@@ -170,8 +209,8 @@ def artifact_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_CARDS = f"""with {SQL_NODES}, {SQL_EDGES}, i as (select target id, count(*) filter (where relation = 'part_of') a, count(*) filter (where relation = 'produces') b from edges group by 1), o as (select source id, count(*) filter (where relation = 'part_of') a, count(*) filter (where relation = 'produces') b from edges group by 1)
 select id, kind, coalesce(i.a, 0) incoming_part_of, coalesce(i.b, 0) incoming_produces, coalesce(o.a, 0) outgoing_part_of, coalesce(o.b, 0) outgoing_produces from nodes left join i using (id) left join o using (id)"""
 
-QUERIES = {f.__name__: f for f in (repository_graph, edge_page_bounded, page_by_position, neighbour_ids, co_changed_nodes, finding_filter, library_filter, module_states, page_skeletons, change_brief, touched_nodes, hierarchy_groups, artifact_cards)}
+QUERIES = {f.__name__: f for f in (repository_graph, edge_page_bounded, page_by_position, neighbour_ids, co_changed_nodes, finding_filter, library_filter, module_states, page_skeletons, change_brief, touched_nodes, hierarchy_groups, artifact_cards, publish_plan, published_rows)}
 ORACLES = {
     "repository_graph": SQL_GRAPH, "edge_page_bounded": SQL_EDGE_PAGE, "page_by_position": SQL_POSITIONS, "neighbour_ids": SQL_NEIGHBOUR_IDS, "co_changed_nodes": SQL_CO_CHANGED, "finding_filter": SQL_FINDING_FILTER, "library_filter": SQL_LIBRARY,
-    "module_states": SQL_MODULES, "page_skeletons": SQL_PAGES, "change_brief": SQL_BRIEF, "touched_nodes": SQL_TOUCHED, "hierarchy_groups": SQL_HIERARCHY, "artifact_cards": SQL_CARDS,
+    "module_states": SQL_MODULES, "page_skeletons": SQL_PAGES, "change_brief": SQL_BRIEF, "touched_nodes": SQL_TOUCHED, "hierarchy_groups": SQL_HIERARCHY, "artifact_cards": SQL_CARDS, "publish_plan": SQL_PUBLISH, "published_rows": SQL_PUBLISHED,
 }
