@@ -35,6 +35,12 @@ def schema_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy(F.lit("node").alias("what"), F.col("kind").alias("name")).agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.lit("edge").alias("what"), F.col("relation").alias("name")).agg(F.count("*").alias("n")))
 
 
+def schema_card(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(what, name, n): nodes by kind, edges by relation and by family (column family); edges without a family count in none."""
+    families = edges.where("family is not null").groupBy(F.lit("family").alias("what"), F.col("family").alias("name")).agg(F.count("*").alias("n"))
+    return schema_counts(nodes, edges).unionByName(families)
+
+
 def relation_card(nodes: DataFrame, edges: DataFrame, relations: list[str]) -> DataFrame:
     """For every node how often it stands in each relation, zero where it doesn't."""
     counted = both_ways(edges).groupBy("node").agg(*[F.count_if(F.col("relation") == r).alias(r) for r in relations])
@@ -46,6 +52,11 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(counted, nodes["id"] == counted["node"], "left").select("id", "kind", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
+def top_degrees(nodes: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
+    """(id, kind, degree) of the nodes with the most ends of edges, of equal ones the least ids."""
+    return degrees(nodes, edges).orderBy(F.desc("degree"), "id").limit(n)
+
+
 def degree_histogram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes by degree class: orphans, 1, 2 to 4, 5 to 9, 10 and more."""
     d = F.col("degree")

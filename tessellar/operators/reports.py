@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessellar.functions.columns import level, rounded
+from tessellar.operators.graph import pagerank
 from tessellar.sources.tables import cut
 
 #: Least scores of the levels.
@@ -57,6 +58,39 @@ def risk(items: DataFrame, signals: DataFrame, top: float, measured: bool = True
     return out.withColumn("level", level(F.col("score"), RISK_LEVELS, "low"))
 
 
+def workspace_risk(artifacts: DataFrame, edges: DataFrame, findings: DataFrame, pairs: DataFrame | None = None, as_of: Column | None = None, covered: DataFrame | None = None, advisories: int = 0) -> DataFrame:
+    """The risk of a workspace's artifacts (id, path, classification), as ``risk`` gives it, with their path.
+
+    Edges (source, target, relation) go by ids; those with an end that is no artifact, such as a requirement or a route, are
+    left out. What imports and calls lead to an artifact is its fan-in, its importance its PageRank over these edges, started
+    everywhere alike. Code is untested without an edge of tests and a path among the covered ones; other artifacts need none.
+    Findings (path, target, status) and pairs (a, b, times, last) go by paths; pairs count if both paths are known. The
+    advisories of an audit fall on manifests.
+    """
+    known = artifacts.select("id").distinct()
+    inner = edges.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
+    inner = cut(inner.select("source", "target", "relation"))
+    depends = inner.where(F.col("relation").isin("imports", "calls") & (F.col("source") != F.col("target")))
+    fan_in = depends.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("fan_in"))
+    ranks = pagerank(known, depends, known.limit(0)).select("id", F.col("rank").alias("importance"))
+    tested = inner.where("relation = 'tests'").select(F.col("target").alias("id"), F.lit(True).alias("_tested")).distinct()
+    out = artifacts.select("id", "path", "classification").join(fan_in, "id", "left").join(ranks, "id", "left").join(tested, "id", "left")
+    out = out.join(finding_counts(findings).select(F.col("item").alias("path"), F.col("n").alias("findings")), "path", "left")
+    if pairs is None:
+        out = out.withColumn("weight", F.lit(None).cast("double"))
+    else:
+        paths = artifacts.select("path").distinct()
+        both = pairs.join(paths.withColumnRenamed("path", "a"), "a", "left_semi").join(paths.withColumnRenamed("path", "b"), "b", "left_semi")
+        out = out.join(decayed(both, as_of).withColumnRenamed("item", "path"), "path", "left")
+    measured = F.lit(False) if covered is None else F.coalesce("_covered", F.lit(False))
+    if covered is not None:
+        out = out.join(covered.select("path", F.lit(True).alias("_covered")).distinct(), "path", "left")
+    fine = (F.col("classification") != "code_metadata") | F.coalesce("_tested", F.lit(False)) | measured
+    manifest = F.col("path").rlike(r"(?:^|/)(?:package\.json|pyproject\.toml)$")
+    signals = out.select(F.col("id").alias("item"), "findings", fine.alias("tested"), "fan_in", "importance", "weight", F.when(manifest, F.lit(advisories)).alias("advisories"))
+    return risk(artifacts.select(F.col("id").alias("item")), signals, 1.0).join(artifacts.select(F.col("id").alias("item"), "path"), "item")
+
+
 def risk_factors(scored: DataFrame) -> DataFrame:
     """(item, kind, weight): a row for each factor that counts."""
     kinds = {"findings": "open-finding", "untested": "untested", "fan_in": "fan-in", "co_change": "co-changed", "audit": "dependency-audit"}

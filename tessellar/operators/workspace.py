@@ -68,10 +68,13 @@ def finding_filter(findings: DataFrame, kind: str | None = None, severity: str |
     return rows.withColumn("severity_rank", severity_rank(F.col("severity")))
 
 
-def saved_query(nodes: DataFrame, name: str) -> DataFrame:
-    """The nodes of a named query: untested-code, undocumented-code, unimplemented-requirements."""
+def saved_query(nodes: DataFrame, name: str, risk: DataFrame | None = None) -> DataFrame:
+    """The nodes of a named query: untested-code, undocumented-code, unimplemented-requirements, and risk-top-10, which needs the nodes' risk (item, score) and leaves out code without one."""
     from tessellar.operators.retrieval import query_nodes
 
+    if name == "risk-top-10":
+        scored = query_nodes(nodes, units=["code"]).join(risk.select(F.col("item").alias("id"), "score"), "id")
+        return scored.orderBy(F.desc("score"), "path", "id").limit(10)
     filters = {"untested-code": {"units": ["code"], "without_relations": ["tests"]}, "undocumented-code": {"has_summary": False, "units": ["code"], "without_relations": ["references"]}, "unimplemented-requirements": {"types": ["requirement"], "without_relations": ["implements"]}}
     return query_nodes(nodes, **filters[name])
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tessellar.functions import paths
 from tessellar.operators import graph, pages, publish, workspace
 from tessellar.plans.graphs import SQL_EDGES, SQL_NODES, SQL_PAIRS, _touches
-from tessellar.plans.repository import SQL_DOC_LINKS, SQL_REPO, Repository, code_links, containment_edges, doc_links, implements_links, routes, schema_links
+from tessellar.plans.activity import SQL_WEIGHTS
+from tessellar.plans.repository import SQL_CODE_LINKS, SQL_DOC_LINKS, SQL_FINDINGS, SQL_REPO, Repository, code_links, containment_edges, doc_links, findings, implements_links, routes, schema_links
 from tessellar.operators import reports
 from tessellar.repository import star
+from tessellar.sources import reports as report_sources
 from tessellar.sources.tables import shared_dir, star_edges, star_nodes, table
 
 
@@ -198,6 +200,84 @@ def published_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_PUBLISHED = f"with {_SQL_PARTIES} select id, name, nation, case when fresh or differs then 2 else 1 end::bigint since from w where not gone"
 
 
+def _repository_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = Repository(spark, sf_dir)
+    id_ = lambda c: F.concat(F.lit("artifact:"), c)
+    artifacts = repo.files.select(id_("path").alias("id"), "path", "classification")
+    edges = code_links(spark, sf_dir, repo).select(id_("source").alias("source"), id_("target").alias("target"), F.col("kind").alias("relation"))
+    edges = edges.unionByName(implements_links(spark, sf_dir, repo).select(id_("target").alias("source"), F.concat(F.lit("requirement:"), "identity").alias("target"), F.lit("implements").alias("relation")))
+    path = lambda c: F.format_string("src/b%d/p%d.ts", F.col(c) % 25, F.col(c))
+    pairs = reports.co_change_pairs(_touches(spark, sf_dir)).select(path("a").alias("a"), path("b").alias("b"), "times", "last")
+    as_of = table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate")).first()[0]
+    return reports.workspace_risk(artifacts, edges, findings(spark, sf_dir, repo).withColumn("status", F.lit("open")), pairs, F.lit(as_of))
+
+
+def repository_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the repository by risk, their importance their PageRank over imports and calls."""
+    return _repository_risk(spark, sf_dir).drop("item")
+
+
+_SQL_RISK = f"""rule as materialized ({SQL_FINDINGS}), link as materialized ({SQL_CODE_LINKS}), file as materialized ({SQL_REPO} select path, class from f), {SQL_PAIRS},
+known_pairs as (select * from pairs where a in (select p_partkey from part) and b in (select p_partkey from part)), {SQL_WEIGHTS.replace("from pairs", "from known_pairs")},
+dep as materialized (select source, target from link where kind in ('imports', 'calls') and source <> target),
+ok as (select source node, target other from dep union all select target, source from dep),
+steps as materialized (select node, other, count(*)::double / sum(count(*)) over (partition by node) share from ok group by node, other),
+base as materialized (select path id, 1.0::double / count(*) over () start, path not in (select node from steps) loose from file),
+walk as (select 0 k, id, start::double r from base
+  union all
+  select any_value(k) + 1, x.id, 0.25 * any_value(x.start) + 0.75 * sum(got) from (
+    select w.k, s.other id, w.r * s.share got, b.start from walk w join steps s on s.node = w.id join base b on b.id = s.other where w.k < 25
+    union all select k, base.id, lost * base.start, base.start from (select w.k, sum(w.r) lost from walk w join base bw on bw.id = w.id and bw.loose where w.k < 25 group by w.k) q, base
+    union all select w.k, w.id, 0, b.start from walk w join base b on b.id = w.id where w.k < 25) x group by x.id),
+ranked as (select id, r / max(r) over () rank from walk where k = 25),
+held as (select path item, count(*) n from (select path from rule union all select target from rule where target is not null) group by 1),
+fan as (select target, count(*) n from dep group by 1), co as (select 'src/b' || (item % 25) || '/p' || item || '.ts' item, weight from weights),
+r as (select path, coalesce(held.n, 0) findings, case when class = 'code_metadata' and path not in (select target from link where kind = 'tests') then 1 else 0 end::bigint untested,
+  case when fan.n > 0 then round((2 * rank)::decimal(28,12), 3) else 0 end::decimal(18,3) fan_in, least(1, coalesce(weight, 0))::decimal(18,3) co_change, 0::decimal(18,3) audit, coalesce(fan.n, 0) dependents
+  from file left join held on held.item = path left join fan on fan.target = path left join co on co.item = path left join ranked on ranked.id = path),
+scored as (select * exclude (dependents), (findings + untested + fan_in + co_change + audit)::decimal(18,3) score from r where findings > 0 or untested > 0 or dependents > 0 or co_change > 0)"""
+_SQL_LEVEL = "case when score >= 4 then 'high' when score >= 2.5 then 'elevated' when score >= 1 then 'moderate' else 'low' end"
+SQL_REPOSITORY_RISK = f"with recursive {_SQL_RISK} select *, {_SQL_LEVEL} as level from scored"
+
+
+def graph_schema_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by kind, edges by relation and by family."""
+    kind = F.when(F.col("source").startswith("r:"), "region").otherwise("artifact")
+    return graph.schema_card(star_nodes(spark, sf_dir), star_edges(spark, sf_dir).withColumn("family", paths.edge_family(F.col("relation"), kind)))
+
+
+SQL_SCHEMA_CARD = f"with {SQL_NODES}, {SQL_EDGES} select 'node' what, kind as name, count(*) n from nodes group by 2 union all select 'edge', relation, count(*) from edges group by 2 union all select 'family', 'semantic', count(*) from edges"
+
+
+def degree_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nodes with the most ends of edges."""
+    return graph.top_degrees(star_nodes(spark, sf_dir), star_edges(spark, sf_dir))
+
+
+SQL_DEGREE_TOP = f"with {SQL_NODES}, {SQL_EDGES} select id, kind, count(other) degree from nodes left join ends on node = id group by id, kind order by degree desc, id limit 10"
+
+
+def webhook_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as deliveries: pushes of their lines' parts, check and workflow runs, pings; some runs are queued, some commits have no full hash."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.concat(F.lit("p"), "l_partkey")).alias("modified"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    key, sha = F.col("o_orderkey"), F.sha2(F.col("o_orderkey").cast("string"), 256).substr(1, 40)
+    head = F.when(key % 7 == 0, "main").otherwise(sha)
+    run = F.struct(head.alias("head_sha"), F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "failure").alias("conclusion"))
+    body = F.struct(F.when(key % 3 == 0, "queued").otherwise("completed").alias("action"), head.alias("after"), F.struct(F.lit(1).alias("id"), F.lit("a/star").alias("full_name")).alias("repository"), F.struct(key.alias("id")).alias("installation"), run.alias("check_run"), run.alias("workflow_run"), F.array(F.struct(sha.alias("id"), F.col("modified"))).alias("commits"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("push", "check_run", "workflow_run", "ping")]), (key % 4 + 1).cast("int"))
+    events = orders.select(key.cast("string").alias("delivery"), kind.alias("event"), F.to_json(body).alias("payload"))
+    return report_sources.webhook_events(events).select("delivery", "event", "outcome", "action", "sha", "conclusion", "installation", "repository", F.transform("commits", lambda c: F.concat_ws(",", c["paths"])).alias("c")).select("*", F.md5(F.concat_ws(";", "c")).alias("paths_digest")).drop("c")
+
+
+SQL_WEBHOOKS = """with l as (select l_orderkey k, list_sort(list_distinct(list('p' || l_partkey))) ps from lineitem group by 1),
+e as (select o_orderkey k, (['push', 'check_run', 'workflow_run', 'ping'])[(o_orderkey % 4 + 1)::int] event, case when o_orderkey % 3 = 0 then 'queued' else 'completed' end a, case when o_orderkey % 7 = 0 then 'main' else substr(sha256(o_orderkey::varchar), 1, 40) end s,
+  case o_orderstatus when 'F' then 'success' when 'O' then 'failure' end c, case when o_orderkey % 4 = 0 and len(ps) between 2 and 50 then array_to_string(ps, ',') else '' end p from orders left join l on l.k = o_orderkey),
+r as (select *, case when event = 'ping' or event <> 'push' and a = 'queued' then 'ignored' when s = 'main' then 'rejected' else 'accepted' end outcome from e)
+select k::varchar delivery, event, outcome, case when outcome = 'accepted' and event <> 'push' then a end "action", case when outcome = 'accepted' then s end sha, case when outcome = 'accepted' and event <> 'push' then c end conclusion,
+case when outcome = 'accepted' then k end::bigint installation, case when outcome = 'accepted' then 'a/star' end repository, md5(case when outcome = 'accepted' then p else '' end) paths_digest from r"""
+
+
 def artifact_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes as artifacts with how often each relation leads to and from them."""
     nodes = star_nodes(spark, sf_dir).select("id", F.col("id").alias("path"), "kind")
@@ -209,8 +289,9 @@ def artifact_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_CARDS = f"""with {SQL_NODES}, {SQL_EDGES}, i as (select target id, count(*) filter (where relation = 'part_of') a, count(*) filter (where relation = 'produces') b from edges group by 1), o as (select source id, count(*) filter (where relation = 'part_of') a, count(*) filter (where relation = 'produces') b from edges group by 1)
 select id, kind, coalesce(i.a, 0) incoming_part_of, coalesce(i.b, 0) incoming_produces, coalesce(o.a, 0) outgoing_part_of, coalesce(o.b, 0) outgoing_produces from nodes left join i using (id) left join o using (id)"""
 
-QUERIES = {f.__name__: f for f in (repository_graph, edge_page_bounded, page_by_position, neighbour_ids, co_changed_nodes, finding_filter, library_filter, module_states, page_skeletons, change_brief, touched_nodes, hierarchy_groups, artifact_cards, publish_plan, published_rows)}
+QUERIES = {f.__name__: f for f in (repository_graph, edge_page_bounded, page_by_position, neighbour_ids, co_changed_nodes, finding_filter, library_filter, module_states, page_skeletons, change_brief, touched_nodes, hierarchy_groups, artifact_cards, publish_plan, published_rows, repository_risk, graph_schema_card, degree_top, webhook_events)}
 ORACLES = {
     "repository_graph": SQL_GRAPH, "edge_page_bounded": SQL_EDGE_PAGE, "page_by_position": SQL_POSITIONS, "neighbour_ids": SQL_NEIGHBOUR_IDS, "co_changed_nodes": SQL_CO_CHANGED, "finding_filter": SQL_FINDING_FILTER, "library_filter": SQL_LIBRARY,
     "module_states": SQL_MODULES, "page_skeletons": SQL_PAGES, "change_brief": SQL_BRIEF, "touched_nodes": SQL_TOUCHED, "hierarchy_groups": SQL_HIERARCHY, "artifact_cards": SQL_CARDS, "publish_plan": SQL_PUBLISH, "published_rows": SQL_PUBLISHED,
+    "repository_risk": SQL_REPOSITORY_RISK, "graph_schema_card": SQL_SCHEMA_CARD, "degree_top": SQL_DEGREE_TOP, "webhook_events": SQL_WEBHOOKS,
 }

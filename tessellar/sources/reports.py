@@ -114,6 +114,35 @@ def pushed_commits(events: DataFrame, least: int = 2, most: int = 50) -> DataFra
     return rows.where(F.col("sha").rlike("^[0-9a-f]{40}$")).withColumn("counted", F.size("paths").between(least, most))
 
 
+def webhook_events(events: DataFrame, least: int = 2, most: int = 50) -> DataFrame:
+    """What deliveries (delivery, event, payload) of pushes, check runs and workflow runs say: (delivery, event, outcome, action, sha, conclusion, installation, repository, repository_id, digest, commits).
+
+    Other events are ignored, and so are runs that aren't completed; a payload that can't be read or lacks a field, or whose
+    commit is no full hash, is rejected. Of both nothing but the outcome is given. ``commits`` (sha, paths) has a push's
+    commits with few enough paths to count pairs of.
+    """
+    change = "array<struct<id:string,added:array<string>,modified:array<string>,removed:array<string>>>"
+    run = "struct<head_sha:string,conclusion:string>"
+    body = F.from_json("payload", f"struct<action:string,after:string,repository:struct<id:bigint,full_name:string>,installation:struct<id:bigint>,check_run:{run},workflow_run:{run},commits:{change}>")
+    rows = events.select("delivery", "event", F.sha2("payload", 256).alias("digest"), body.alias("j"))
+    push, none = F.col("event") == "push", F.array().cast("array<string>")
+    ran = F.when(F.col("event") == "check_run", F.col("j.check_run")).when(F.col("event") == "workflow_run", F.col("j.workflow_run"))
+    sha = F.when(push, F.col("j.after")).otherwise(ran["head_sha"])
+    paths = lambda c: F.array_sort(F.array_distinct(F.concat(*[F.coalesce(c[k], none) for k in ("added", "modified", "removed")])))
+    told = F.transform(F.coalesce("j.commits", F.array().cast(change)), lambda c: F.struct(c["id"].alias("sha"), paths(c).alias("paths")))
+    counted = F.filter(told, lambda c: F.coalesce(c["sha"].rlike("^[0-9a-f]{40}$"), F.lit(False)) & F.size(c["paths"]).between(least, most))
+    outcome = (
+        F.when(~F.coalesce(F.col("event").isin("push", "check_run", "workflow_run"), F.lit(False)), "ignored")
+        .when(F.col("j.repository").isNull() | F.col("j.installation").isNull() | (~push & F.col("j.action").isNull()), "rejected")
+        .when(~push & (F.col("j.action") != "completed"), "ignored")
+        .when(~F.coalesce(sha.rlike("^[0-9a-f]{40}$"), F.lit(False)), "rejected")
+        .when(F.col("j.repository.id").isNull() | F.col("j.repository.full_name").isNull() | F.col("j.installation.id").isNull(), "rejected")
+        .otherwise("accepted")
+    )
+    given = {"action": F.when(~push, F.col("j.action")), "sha": sha, "conclusion": ran["conclusion"], "installation": F.col("j.installation.id"), "repository": F.col("j.repository.full_name"), "repository_id": F.col("j.repository.id"), "digest": F.col("digest"), "commits": F.when(push, counted).otherwise(F.filter(counted, lambda c: F.lit(False)))}
+    return rows.withColumn("outcome", outcome).select("delivery", "event", "outcome", *[F.when(F.col("outcome") == "accepted", c).alias(n) for n, c in given.items()])
+
+
 def alias_rules(manifests: DataFrame) -> DataFrame:
     """(priority, scope, prefix, suffix, wildcard, target, tier) of module aliases that manifests (path, text) state.
 
