@@ -194,10 +194,10 @@ select "version"::bigint "version", "table", outcome, count(*) n from o group by
 def published_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nodes that readers find after both plans, and the version that gave each its values."""
     path = _published_parties(spark, sf_dir)[0]
-    return publish.read(spark, path, "nodes", "id string, name string, nation long")
+    return publish.read(spark, path, "nodes", "id string, name string, nation long").withColumn("nation", F.col("nation").cast("string"))
 
 
-SQL_PUBLISHED = f"with {_SQL_PARTIES} select id, name, nation, case when fresh or differs then 2 else 1 end::bigint since from w where not gone"
+SQL_PUBLISHED = f"with {_SQL_PARTIES} select id, name, nation::varchar nation, case when fresh or differs then 2 else 1 end::bigint since from w where not gone"
 
 
 def _repository_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +267,7 @@ def webhook_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.struct(F.when(key % 3 == 0, "queued").otherwise("completed").alias("action"), head.alias("after"), F.struct(F.lit(1).alias("id"), F.lit("a/star").alias("full_name")).alias("repository"), F.struct(key.alias("id")).alias("installation"), run.alias("check_run"), run.alias("workflow_run"), F.array(F.struct(sha.alias("id"), F.col("modified"))).alias("commits"))
     kind = F.element_at(F.array(*[F.lit(k) for k in ("push", "check_run", "workflow_run", "ping")]), (key % 4 + 1).cast("int"))
     events = orders.select(key.cast("string").alias("delivery"), kind.alias("event"), F.to_json(body).alias("payload"))
-    return report_sources.webhook_events(events).select("delivery", "event", "outcome", "action", "sha", "conclusion", "installation", "repository", F.transform("commits", lambda c: F.concat_ws(",", c["paths"])).alias("c")).select("*", F.md5(F.concat_ws(";", "c")).alias("paths_digest")).drop("c")
+    return report_sources.webhook_events(events).select("delivery", "event", "outcome", "action", "sha", "conclusion", F.col("installation").cast("string").alias("installation"), "repository", F.transform("commits", lambda c: F.concat_ws(",", c["paths"])).alias("c")).select("*", F.md5(F.concat_ws(";", "c")).alias("paths_digest")).drop("c")
 
 
 SQL_WEBHOOKS = """with l as (select l_orderkey k, list_sort(list_distinct(list('p' || l_partkey))) ps from lineitem group by 1),
@@ -275,7 +275,7 @@ e as (select o_orderkey k, (['push', 'check_run', 'workflow_run', 'ping'])[(o_or
   case o_orderstatus when 'F' then 'success' when 'O' then 'failure' end c, case when o_orderkey % 4 = 0 and len(ps) between 2 and 50 then array_to_string(ps, ',') else '' end p from orders left join l on l.k = o_orderkey),
 r as (select *, case when event = 'ping' or event <> 'push' and a = 'queued' then 'ignored' when s = 'main' then 'rejected' else 'accepted' end outcome from e)
 select k::varchar delivery, event, outcome, case when outcome = 'accepted' and event <> 'push' then a end "action", case when outcome = 'accepted' then s end sha, case when outcome = 'accepted' and event <> 'push' then c end conclusion,
-case when outcome = 'accepted' then k end::bigint installation, case when outcome = 'accepted' then 'a/star' end repository, md5(case when outcome = 'accepted' then p else '' end) paths_digest from r"""
+case when outcome = 'accepted' then k end::varchar installation, case when outcome = 'accepted' then 'a/star' end repository, md5(case when outcome = 'accepted' then p else '' end) paths_digest from r"""
 
 
 def artifact_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
