@@ -6,8 +6,9 @@ last step. Nothing is deleted row by row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,30 +98,35 @@ def memory_states(writes: DataFrame, most: int = 12) -> DataFrame:
     """(seq, outcome) of writes (seq, name, entry_key, anchor, text, remove) to a memory that keeps up to twelve active entries for each anchor and name.
 
     Each write of a key is judged against the key's last write: invalidated if it removes what is there, noop if nothing
-    changes, else added or updated. Additions beyond the cap are rejected_cap. The cap counts in order of writes, so an
-    anchor and name are folded in one group, of which only keys and texts' digests are gathered.
+    changes, else added or updated. Additions beyond the cap are rejected_cap. The cap counts in order of writes, so rows are
+    sorted by anchor, name and seq and pass once, batch by batch, beside a state of twelve keys and their texts' digests: an
+    anchor of any size takes no more memory than a small one. Null anchors and names are values of their own.
     """
-    return writes.select("seq", "name", "entry_key", "anchor", F.md5("text").alias("text"), "remove").groupBy("anchor", "name").applyInPandas(lambda df: _memory(df, most), "seq long, outcome string")
-
-
-def _memory(df, most: int):
-    import pandas as pd
-
-    held: dict[str, str] = {}
-    out = []
-    for row in df.sort_values("seq").itertuples(index=False):
-        known = held.get(row.entry_key)
-        if row.remove:
-            out.append((row.seq, "invalidated" if known is not None else "noop"))
-            held.pop(row.entry_key, None)
-        elif known == row.text:
-            out.append((row.seq, "noop"))
-        elif known is None and len(held) >= most:
-            out.append((row.seq, "rejected_cap"))
-        else:
-            out.append((row.seq, "updated" if known is not None else "added"))
-            held[row.entry_key] = row.text
-    return pd.DataFrame(out, columns=["seq", "outcome"])
+    memory = F.to_json(F.struct("anchor", "name"), {"ignoreNullFields": "false"})
+    rows = writes.select(memory.alias("memory"), "seq", "entry_key", F.md5("text").alias("text"), "remove")
+    rows = rows.repartition("memory").sortWithinPartitions("memory", "seq", "entry_key", "remove", "text")
+    return rows.mapInPandas(lambda batches: _memory(batches, most), "seq long, outcome string")
+
+
+def _memory(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    memory, held = None, {}
+    for df in batches:
+        out = []
+        for row in df.itertuples(index=False):
+            if row.memory != memory:
+                memory, held = row.memory, {}
+            known = held.get(row.entry_key)
+            if row.remove:
+                out.append((row.seq, "invalidated" if known is not None else "noop"))
+                held.pop(row.entry_key, None)
+            elif known == row.text:
+                out.append((row.seq, "noop"))
+            elif known is None and len(held) >= most:
+                out.append((row.seq, "rejected_cap"))
+            else:
+                out.append((row.seq, "updated" if known is not None else "added"))
+                held[row.entry_key] = row.text
+        yield pd.DataFrame(out, columns=["seq", "outcome"])
 
 
 def superseded_assertions(assertions: DataFrame) -> DataFrame:

@@ -212,9 +212,24 @@ def issue_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_ISSUES = "select 'c' || o_custkey path, row_number() over (partition by o_custkey order by o_orderkey) line, 'beads:c' || o_custkey || ':o' || o_orderkey source_key, 'open' status, 'Order ' || o_orderkey title from orders"
 
-QUERIES = {f.__name__: f for f in (affected_set, edge_tiers, visible_edges, receipts_continuous, tasks_migrated, url_handlers, relations_omitted, fact_grades, fix_touches, arms_paired, arm_tokens, titles_repeated, files_to_summarise, omissions_merged, node_contents, last_events, artifact_lookup, finding_provenance, issue_items)}
+def memory_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as writes to their users' memory: thirty keys, two texts, every eleventh removes."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    writes = e.select(i.alias("seq"), F.lit("memory").alias("name"), F.concat(F.lit("k"), (i * 7 % 30).cast("string")).alias("entry_key"), F.col("user_id").cast("string").alias("anchor"), F.concat(F.lit("text "), (i % 2).cast("string")).alias("text"), (i % 11 == 0).alias("remove"))
+    return sinks.memory_states(writes)
+
+
+SQL_MEMORY = """with recursive w as materialized (select event_id seq, user_id a, 'k' || (event_id * 7 % 30) k, event_id % 2 t, event_id % 11 = 0 rm, row_number() over (partition by user_id order by event_id) n from events),
+fold as (select a, 0::bigint n, null::bigint seq, null::varchar outcome, []::struct(k varchar, t bigint)[] held from (select distinct a from w)
+  union all select a, n, seq, outcome, case outcome when 'invalidated' then rest when 'noop' then held when 'rejected_cap' then held else list_append(rest, {'k': k, 't': t}) end from (
+    select w.*, held, list_filter(held, lambda x: x.k <> w.k) rest, list_filter(held, lambda x: x.k = w.k)[1].t known,
+      case when rm then case when known is null then 'noop' else 'invalidated' end when known = w.t then 'noop' when known is null and len(held) >= 12 then 'rejected_cap' when known is null then 'added' else 'updated' end outcome
+    from fold f join w on w.a is not distinct from f.a and w.n = f.n + 1))
+select seq, outcome from fold where n > 0"""
+
+QUERIES = {f.__name__: f for f in (affected_set, edge_tiers, visible_edges, receipts_continuous, tasks_migrated, url_handlers, relations_omitted, fact_grades, fix_touches, arms_paired, arm_tokens, titles_repeated, files_to_summarise, omissions_merged, node_contents, last_events, artifact_lookup, finding_provenance, issue_items, memory_outcomes)}
 ORACLES = {
     "affected_set": SQL_AFFECTED, "edge_tiers": SQL_TIERS, "visible_edges": SQL_VISIBLE, "receipts_continuous": SQL_RECEIPTS, "tasks_migrated": SQL_MIGRATED, "url_handlers": SQL_HANDLERS, "relations_omitted": SQL_OMITTED,
     "fact_grades": SQL_FACTS, "fix_touches": SQL_FIXES, "arms_paired": SQL_PAIRED, "arm_tokens": SQL_ARM_TOKENS, "titles_repeated": SQL_REPEATED, "files_to_summarise": SQL_TO_SUMMARISE, "omissions_merged": SQL_OMISSIONS,
-    "node_contents": SQL_CONTENTS, "last_events": SQL_LAST_EVENTS, "artifact_lookup": SQL_LOOKUP, "finding_provenance": SQL_PROVENANCE, "issue_items": SQL_ISSUES,
+    "node_contents": SQL_CONTENTS, "last_events": SQL_LAST_EVENTS, "artifact_lookup": SQL_LOOKUP, "finding_provenance": SQL_PROVENANCE, "issue_items": SQL_ISSUES, "memory_outcomes": SQL_MEMORY,
 }
