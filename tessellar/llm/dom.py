@@ -7,11 +7,20 @@ leaves named ``#``. Optional end tags are closed as browsers do; texts of blocks
 from __future__ import annotations
 
 import html as entities
+import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
 DEPTH = 200
+#: Cells of a matching's table that are kept whole, those of a table in plain lists, so many of which are kept, and rows of scores that wait for nodes alike.
+CELLS = 1 << 22
+SMALL = 1024
+HELD = 5_000
+ALIKE = 64
+#: Stands for the text of a wrapper's node where pages differ: no page has it, and it equals nothing.
+VARIES = "\0"
 #: Elements that make blocks, that hold no text of the page, and that end an open element of their kind.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 HIDDEN = frozenset("head script style noscript template textarea select button svg iframe object canvas audio video math".split())
@@ -187,6 +196,11 @@ def mass(node: Node) -> int:
     return len(node[2]) if 2 * node[3] <= len(node[2]) else 0
 
 
+def whole_mass(node: Node) -> int:
+    """Characters outside links in a node and what is below it, but not in outer ones."""
+    return 0 if node[1] & (OUTER | UNSEEN | HEADER) else mass(node) + sum(whole_mass(c) for c in node[4])
+
+
 def heaviest(node: Node, share: float) -> Node:
     """The lowest node that holds at least the share of all characters outside links and outer nodes."""
     memo: dict[int, int] = {}
@@ -207,44 +221,157 @@ def heaviest(node: Node, share: float) -> Node:
 def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the greatest number of pairs of equal labels that keeps order and parents; equal texts count twice.
 
-    Rows of leaves are compared as arrays; of the children of ``a`` that are alike no more stay than ``b`` has children.
+    Rows of children are compared as arrays; of the leaves of ``a`` that are alike no more stay than ``b`` has children.
+    Subtrees that differ only in texts of one side score alike and are compared once.
     """
     if a[0] != b[0]:
         return 0, []
-    score = 1 + (bool(a[2]) and a[2] == b[2])
-    if not a[4] or not b[4]:
-        return score, [(a, b)]
-    left, right = _folded(a[4], b[4]), b[4]
-    names = {c[0]: k for k, c in enumerate(right)}
-    la = np.fromiter((names.get(c[0], -1) for c in left), np.int32, len(left))
-    lb = np.fromiter((names[c[0]] for c in right), np.int32, len(right))
-    w = (la[:, None] == lb[None, :]).astype(np.int32)
-    said = {c[2]: [] for c in right if c[2]}
-    for j, c in enumerate(right):
-        if c[2]:
-            said[c[2]].append(j)
-    deeper: dict[tuple[int, int], list] = {}
-    inner = [j for j, c in enumerate(right) if c[4]]
-    for i, c in enumerate(left):
-        if c[2] in said and c[2]:
-            w[i, said[c[2]]] *= 2
-        if c[4]:
-            for j in inner:
-                if w[i, j]:
-                    w[i, j], deeper[i, j] = match(c, right[j])
-    table = np.zeros((len(left) + 1, len(right) + 1), np.int32)
-    for i in range(len(left)):
-        np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + w[i]), out=table[i + 1, 1:])
-    pairs, i, j = [(a, b)], len(left), len(right)
-    while i and j:
-        if table[i, j] == table[i - 1, j]:
-            i -= 1
-        elif table[i, j] == table[i, j - 1]:
-            j -= 1
+    return _Matching(a, b).result()
+
+
+class _Matching:
+    """The state of one matching: numbers of subtrees that are alike, and the scores of their pairs."""
+
+    def __init__(self, a: Node, b: Node) -> None:
+        self.a, self.b = a, b
+        self.said = _said(a, set()) & _said(b, set())
+        self.known: dict[tuple, int] = {}
+        self.number: dict[int, int] = {}
+        self.scores: dict[tuple[int, int], int] = {}
+        self.small: dict[tuple[int, int], list[list[int]]] = {}
+        self._count(a)
+        self._count(b)
+
+    def result(self) -> tuple[int, list[tuple[Node, Node]]]:
+        pairs: list[tuple[Node, Node]] = []
+        score = self._score(self.a, self.b)
+        self._pair(self.a, self.b, pairs)
+        return score, pairs
+
+    def _count(self, node: Node) -> int:
+        key = node[0], node[2] if node[2] in self.said else "", tuple([self._count(c) for c in node[4]])
+        self.number[id(node)] = self.known.setdefault(key, len(self.known))
+        return self.number[id(node)]
+
+    def _score(self, a: Node, b: Node) -> int:
+        if a[0] != b[0]:
+            return 0
+        own = 1 + (a[2] == b[2] and a[2] in self.said)
+        if not a[4] or not b[4]:
+            return own
+        key = self.number[id(a)], self.number[id(b)]
+        if len(a[4]) * len(b[4]) <= SMALL:
+            return own + self._table(key, a[4], b[4])[-1][-1]
+        if key not in self.scores:
+            row = np.zeros(len(b[4]) + 1, np.int32)
+            for w in self._weights(_folded(a[4], b[4]), b[4]):
+                row = _next(row, w)
+            self.scores[key] = own + int(row[-1])
+        return self.scores[key]
+
+    def _table(self, key: tuple[int, int], left: list[Node], right: list[Node]) -> list[list[int]]:
+        """The whole table of few children, kept for all nodes alike."""
+        rows = self.small.get(key)
+        if rows is None:
+            above = [0] * (len(right) + 1)
+            rows = [above]
+            for c in left:
+                label, text, inner, best, row = c[0], c[2], c[4], 0, [0]
+                if text not in self.said:
+                    text = VARIES
+                for j, d in enumerate(right):
+                    if above[j + 1] > best:
+                        best = above[j + 1]
+                    if d[0] == label:
+                        score = above[j] + (self._score(c, d) if inner and d[4] else 2 if text == d[2] != VARIES else 1)
+                        if score > best:
+                            best = score
+                    row.append(best)
+                rows.append(row)
+                above = row
+            if len(self.small) >= HELD:
+                self.small.clear()
+            self.small[key] = rows
+        return rows
+
+    def _weights(self, left: list[Node], right: list[Node]) -> Iterator[np.ndarray]:
+        """For each node on the left its scores with those on the right."""
+        names = {c[0]: k for k, c in enumerate(right)}
+        labels = np.fromiter((names[c[0]] for c in right), np.int32, len(right))
+        said: dict[str, list[int]] = {}
+        for j, c in enumerate(right):
+            if c[2] in self.said:
+                said.setdefault(c[2], []).append(j)
+        inner = [j for j, c in enumerate(right) if c[4]]
+        rows: dict[int, np.ndarray] = {}
+        for c in left:
+            w = rows.get(self.number[id(c)])
+            if w is None:
+                w = (labels == names.get(c[0], -1)).astype(np.int32)
+                if c[2] in said:
+                    w[said[c[2]]] *= 2
+                if c[4]:
+                    for j in inner:
+                        if w[j]:
+                            w[j] = self._score(c, right[j])
+                if len(rows) >= ALIKE:
+                    rows.clear()
+                rows[self.number[id(c)]] = w
+            yield w
+
+    def _pair(self, a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> None:
+        pairs.append((a, b))
+        if not a[4] or not b[4]:
+            return
+        if len(a[4]) * len(b[4]) <= SMALL:
+            left, right, step = a[4], b[4], 1
+            marks = self._table((self.number[id(a)], self.number[id(b)]), left, right)
         else:
-            i, j = i - 1, j - 1
-            pairs += deeper.get((i, j)) or [(left[i], right[j])]
-    return score + int(table[-1, -1]), pairs
+            left, right = _folded(a[4], b[4]), b[4]
+            marks, step = self._marks(left, right)
+        i, j, chosen = len(left), len(right), []
+        start, table = (0, marks) if step == 1 else (i, [])
+        while i and j:
+            if i <= start:
+                start = (i - 1) // step * step
+                table = [marks[start // step]]
+                for w in self._weights(left[start:i], right):
+                    table.append(_next(table[-1], w))
+            here, above = table[i - start], table[i - start - 1]
+            if here[j] == above[j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                chosen.append((left[i], right[j]))
+        for x, y in chosen:
+            self._pair(x, y, pairs)
+
+    def _marks(self, left: list[Node], right: list[Node]) -> tuple[list[np.ndarray], int]:
+        """Rows of the table, of a large one every so many; those between are made again where the way back comes by."""
+        step = 1 if len(left) * len(right) <= CELLS else math.isqrt(len(left)) + 1
+        marks = [np.zeros(len(right) + 1, np.int32)]
+        row = marks[0]
+        for i, w in enumerate(self._weights(left, right)):
+            row = _next(row, w)
+            if (i + 1) % step == 0:
+                marks.append(row)
+        return marks, step
+
+
+def _next(row: np.ndarray, w: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(row), np.int32)
+    np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w), out=out[1:])
+    return out
+
+
+def _said(node: Node, found: set[str]) -> set[str]:
+    if node[2] and node[2] != VARIES:
+        found.add(node[2])
+    for c in node[4]:
+        _said(c, found)
+    return found
 
 
 def _folded(children: list[Node], others: list[Node]) -> list[Node]:

@@ -1,11 +1,13 @@
 """Main text of pages by wrapper induction.
 
-Pages of one host and frame (the set of its structural tags, in order) share a wrapper. Up to eight different pages of each,
-those with the extreme and least hashes, are aligned one after the other by simple tree matching: the wrapper holds every
-node seen in one of them, with the text that it has in all, or none where texts differ. A text that differs in two pages is
-in a slot; only a node with the same text in all of them can be template. Whether it is, all pages of the host and frame
-decide: they are aligned with the wrapper and counted (partial counts in tasks, then one row a node). Where nothing in the
-content can be template, and the content is known, there is nothing to count and the pages aren't read for it.
+Pages of one host and frame (the set of its structural tags, in order) share a wrapper, induced from all of them. Their trees,
+texts as hashes, are dealt by the hash of the html to parts of some 64 pages; a part aligns its pages one after the other by simple tree
+matching, and parts are aligned in the same way, sixteen at a time, until one is left. The order is that of the hashes, so the
+result doesn't depend on how pages lie in files or tasks. The wrapper holds every node with the number of its pages and the
+text that may be in most of them (a majority vote, which parts add up). A node that fewer than 1/32 of a part's pages
+have is left out of it: what nine tenths of the pages have can't get lost in that way, not in all rounds of parts together.
+Where a node of the content may have one text in nine tenths of the pages, or the content isn't known, all pages are aligned with the
+wrapper once more and counted (partial counts in tasks, then one row a node).
 
 The content of a wrapper is its articles, else its main elements, else the lowest node that holds at least 0.7 of the
 characters in varying slots. Every page is aligned with the way to these nodes; its text is what stands there, but template
@@ -20,6 +22,7 @@ a wrapper's content (odd or cut ones) take their own articles, main elements or
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 from tessellar.llm import dom
 from tessellar.llm.common import ascii_lower, by_bytes, cut, small_batches
 
-SEEDS = 8
-WRAPPER_NODES = 512
+#: Pages of a part and parts folded into one; share of its pages that a node of a part is in at least.
+PART = 64
+FAN = 16
+RARE = 1 / 32
 CONTENT_SHARE = 0.7
 TEMPLATE_SHARE = 0.9
 TEMPLATE_CONTENTS = 8
@@ -51,82 +56,139 @@ def keyed(pages: DataFrame, url: str, html: str) -> DataFrame:
     return pages.withColumn("_host", host_of(F.col(f"`{url}`"))).withColumn("_frame", frame).withColumn("_hash", F.xxhash64(F.coalesce(F.col(f"`{html}`"), F.lit(""))))
 
 
-def seeds(pages: DataFrame, html: str) -> DataFrame:
-    """(_host, _frame, html): up to eight different pages of each host and frame. Their hashes are chosen first, so no text is moved but theirs."""
-    hashes = [F.min("_hash").alias("_s0"), F.max("_hash").alias("_s1")] + [F.min_by("_hash", F.xxhash64("_hash", F.lit(k))).alias(f"_s{k}") for k in range(2, SEEDS)]
-    chosen = pages.groupBy(*KEYS).agg(*hashes).select(*KEYS, F.explode(F.array_distinct(F.array(*[f"_s{k}" for k in range(SEEDS)]))).alias("_hash"))
-    chosen = cut(chosen)
-    small = chosen.count() <= BROADCAST_BYTES // 64
-    found = pages.select(*KEYS, "_hash", F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html")).join(F.broadcast(chosen) if small else chosen, [*KEYS, "_hash"], "left_semi")
-    # copies of a chosen page are one seed; few rows, each key of them bounded
-    return found.groupBy(*KEYS, "_hash").agg(F.min("html").alias("html")).groupBy(*KEYS).agg(F.array_sort(F.collect_list("html")).alias("seeds"))
+def hash_of(text: str) -> int:
+    import xxhash
 
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
-def induce(pages: list[str]) -> tuple[dom.Node, bool]:
-    """The wrapper of the pages, nodes as [label, kind, text or '' where it varies, 0, children, same, id], and whether nodes of its content may be template."""
-    trees = [dom.parse(p) for p in pages]
-    wrapper: dom.Node = ["root", 0, "", 0, []]
-    same: dict[int, bool] = {id(wrapper): False}
-    held: list = [wrapper]  # keeps ids alive
 
-    def grow(node: dom.Node, copy: dom.Node) -> None:
-        for c in node[4]:
-            if len(held) >= WRAPPER_NODES:
-                break
-            new = [c[0], c[1], c[2], c[3], []]
-            held.append(new)
-            same[id(new)] = False
-            copy[4].append(new)
-            grow(c, new)
-
-    grow(trees[0], wrapper)
-    for tree in trees[1:]:
-        _, pairs = dom.match(tree, wrapper)
-        of = {id(a): b for a, b in pairs}
-        for a, b in pairs:
-            if a[2] == b[2]:
-                same[id(b)] = same[id(b)] or bool(a[2])
+def told(node: dom.Node) -> dom.Node:
+    """The tree with hashes for texts, and each node of the page beside its own."""
+    return [node[0], node[1], f"{hash_of(node[2]):x}" if node[2] else "", node[3], [told(c) for c in node[4]], node]
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_host, _frame, _hash, _tree, _n): the trees of the pages of a task, copies that lie near each other once."""
+    kinds: dict = {}
+
+    def lean(node: dom.Node) -> list:
+        return [node[0], node[1], f"{hash_of(node[2]):x}" if node[2] else "", 0, [lean(c) for c in node[4]]]
+
+    for batch in by_bytes(batches, "html", 1 << 20, 256):
+        copies = Counter(zip(*(batch.column(c).to_pylist() for c in (*KEYS, "_hash", "html")), strict=True))
+        keys = list(zip(*copies, strict=True))
+        trees = [json.dumps(lean(dom.parse(page, kinds)), separators=(",", ":")) for page in keys[3]]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.int64()), pa.array(trees, pa.string()), pa.array(list(copies.values()), pa.int64())], names=[*KEYS, "_hash", "_tree", "_n"])
+
+
+def _voted(node: list, n: int, votes: int, text: str) -> None:
+    """Adds the pages of another node to a wrapper's: of different texts as many votes go on both sides."""
+    node[5] += n
+    if text == node[7]:
+        node[6] += votes
+    elif votes > node[6]:
+        node[6], node[7] = votes - node[6], text
+    else:
+        node[6] -= votes
+    node[2] = node[7] if 2 * node[6] >= node[5] else dom.VARIES
+
+
+def merge(wrapper: list | None, tree: list, n: int = 1) -> list:
+    """The wrapper with another tree in it, of n equal pages or of a part. Its nodes are [label, kind, text or dom.VARIES, 0, children, pages, votes, text voted for]."""
+
+    def grown(node: list) -> list:
+        return node if len(node) > 5 else [*node[:4], [grown(c) for c in node[4]], n, n, node[2]]
+
+    if wrapper is None:
+        return grown(tree)
+    pairs = dom.match(tree, wrapper)[1]
+    of = {id(a): b for a, b in pairs}
+    for a, b in pairs:
+        _voted(b, *(a[5:8] if len(a) > 5 else (n, n, a[2])))
+        b[1] |= a[1] & (dom.MAIN | dom.ARTICLE)
+        children, at = [], 0
+        for c in a[4]:
+            if id(c) in of:
+                place = next(k for k in range(at, len(b[4])) if b[4][k] is of[id(c)]) + 1
+                children += b[4][at:place]
+                at = place
             else:
-                b[2], same[id(b)] = "\0", False  # a text that no page has: it varies
-            b[1] |= a[1] & (dom.MAIN | dom.ARTICLE)
-        for a, b in pairs:
-            at = 0
-            for c in a[4]:
-                if id(c) in of:
-                    at = next(k for k, x in enumerate(b[4]) if x is of[id(c)]) + 1
-                elif len(held) < WRAPPER_NODES:
-                    new = [c[0], c[1], c[2], c[3], []]
-                    held.append(new)
-                    same[id(new)] = False
-                    b[4].insert(at, new)
-                    at += 1
-                    grow(c, new)
-    number = 0
+                children.append(grown(c))
+        b[4] = children + b[4][at:]
+    return wrapper
 
-    def settled(node: dom.Node) -> list:
-        nonlocal number
-        me, number = number, number + 1
-        return [node[0], node[1], node[2], node[3], [settled(c) for c in node[4]], same[id(node)], me]
 
-    out = settled(wrapper)
-    known = dom.articles(out, dom.ARTICLE) or dom.articles(out, dom.MAIN)
-    return out, not known or any(_may_vary(r) for r in known)
+def _common(node: list, least: float) -> list:
+    node[4] = [_common(c, least) for c in node[4] if c[5] >= least]
+    return node
 
 
-def _may_vary(node: list) -> bool:
-    return node[5] or any(_may_vary(c) for c in node[4])
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_host, _frame, _part, _tree, _n) of rows that lie together and in order by these keys: one tree a part. _n is 0 for rows that are parts themselves."""
+    key, wrapper, raw, copies = None, None, None, 0
+
+    def out() -> pa.RecordBatch:
+        whole = merge(wrapper, json.loads(raw), copies)
+        whole = _common(whole, RARE * whole[5])
+        return pa.RecordBatch.from_pydict({"_host": [key[0]], "_frame": [key[1]], "_part": [key[2]], "_tree": [json.dumps(whole, separators=(",", ":"))], "_n": [0]})
+
+    for batch in by_bytes(batches, "_tree", 1 << 20, 256):
+        hosts, frames, parts, trees, ns = (batch.column(c) for c in (*KEYS, "_part", "_tree", "_n"))
+        for k in range(batch.num_rows):
+            at, tree, n = (hosts[k].as_py(), frames[k].as_py(), parts[k].as_py()), trees[k].as_py(), ns[k].as_py()
+            if at == key and tree == raw and n:
+                copies += n
+                continue
+            if at == key:
+                wrapper = merge(wrapper, json.loads(raw), copies)
+            else:
+                if key is not None:
+                    yield out()
+                key, wrapper = at, None
+            raw, copies = tree, n
+    if key is not None:
+        yield out()
 
 
-def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            wrapper, open_ = induce(batch.column("seeds")[k].as_py())
+            wrapper, open_ = settle(json.loads(batch.column("_tree")[k].as_py()))
             yield pa.RecordBatch.from_pydict({"_host": [batch.column("_host")[k].as_py()], "_frame": [batch.column("_frame")[k].as_py()], "_wrapper": [json.dumps(wrapper)], "_open": [open_]})
 
 
-def wrappers(seeded: DataFrame) -> DataFrame:
-    """(_host, _frame, _wrapper, _open): one wrapper for each host and frame; open where the pages have to be counted."""
-    return seeded.mapInArrow(_wrappers, "_host string, _frame long, _wrapper string, _open boolean")
+def settle(whole: list) -> tuple[list, bool]:
+    """The nodes as [label, kind, text or dom.VARIES, 0, children, may be template, id], and whether pages have to be counted for it."""
+    number = 0
+
+    def numbered(x: list) -> list:
+        nonlocal number
+        me, number = number, number + 1
+        return [x[0], x[1], x[2], 0, [numbered(c) for c in x[4]], may(x), me]
+
+    def may(x: list) -> bool:
+        return x[5] > 1 and bool(x[2]) and x[2] != dom.VARIES
+
+    def common(x: list) -> bool:  # parts may have left out some of the pages of what nine tenths have, not as many as that
+        return 2 * x[5] >= whole[5] and (may(x) or any(common(c) for c in x[4]))
+
+    known = dom.articles(whole, dom.ARTICLE) or dom.articles(whole, dom.MAIN)
+    return numbered(whole), not known or whole[5] >= TEMPLATE_CONTENTS and any(common(r) for r in known)
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(_host, _frame, _wrapper, _open): one wrapper for each host and frame, of all its pages; open where the pages have to be counted."""
+    sizes = cut(pages.groupBy(*KEYS).agg(F.ceil(F.count("*") / PART).alias("_parts")))
+    keys, parts = sizes.agg(F.count("*"), F.max("_parts")).first()
+    trees = pages.select(*KEYS, "_hash", "html").mapInArrow(_trees, "_host string, _frame long, _hash long, _tree string, _n long")
+    dealt = trees.join(F.broadcast(sizes) if keys <= BROADCAST_BYTES // 64 else sizes, KEYS).withColumn("_part", F.expr("pmod(xxhash64(_hash, 7), _parts)"))
+    part = "_host string, _frame long, _part long, _tree string, _n long"
+    level = cut(dealt.repartition(*KEYS, "_part").sortWithinPartitions(*KEYS, "_part", "_hash", "_tree").select(*KEYS, "_part", "_tree", "_n").mapInArrow(_folded, part))
+    while (parts or 1) > 1:
+        parts = -(-parts // FAN)
+        next_ = level.withColumn("_place", F.col("_part")).withColumn("_part", F.expr(f"_part div {FAN}"))
+        level = cut(next_.repartition(*KEYS, "_part").sortWithinPartitions(*KEYS, "_part", "_place").select(*KEYS, "_part", "_tree", "_n").mapInArrow(_folded, part))
+    return level.mapInArrow(_settled, "_host string, _frame long, _wrapper string, _open boolean")
 
 
 def _known(texts: dict, host: str, frame: int, raw: pa.Scalar, read) -> object:
@@ -139,59 +201,57 @@ def _known(texts: dict, host: str, frame: int, raw: pa.Scalar, read) -> object:
     return texts[key]
 
 
-def _bits(text: str) -> int:
-    """One bit of 63 by the text: the bits of many texts tell that there are at least so many different ones."""
-    return 1 << (hash_of(text) % 63)
-
-
-def hash_of(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_host, _frame, _node, _n, _equal, _mass, _bits) of the pages of a task, summed before they leave it."""
+    """(_host, _frame, _node, _content, _n, _equal, _mass) of the pages of a task, summed before they leave it.
+
+    Rows without a node tell of contents by their hashes: the eight least of a task, which is enough to know whether there are eight.
+    """
     sums: dict[tuple, list[int]] = {}
+    contents: dict[tuple, set[int]] = {}
     known: dict = {}
     kinds: dict = {}
     for batch in by_bytes(batches, "html", 1 << 20, 256):
         for k in range(batch.num_rows):
-            host, frame = batch.column("_host")[k].as_py(), batch.column("_frame")[k].as_py()
-            wrapper = _known(known, host, frame, batch.column("_wrapper")[k], json.loads)
+            key = batch.column("_host")[k].as_py(), batch.column("_frame")[k].as_py()
+            wrapper = _known(known, *key, batch.column("_wrapper")[k], json.loads)
             tree = dom.parse(batch.column("html")[k].as_py(), kinds)
-            _, pairs = dom.match(tree, wrapper)
+            pairs = dom.match(told(tree), wrapper)[1]
+            met = {id(a) for a, _ in pairs}
             regions = dom.articles(tree, dom.ARTICLE) or dom.articles(tree, dom.MAIN) or [tree]
-            bits = _bits(" ".join(t for r in regions for t in dom.content_texts(r)))
+            least = contents.setdefault(key, set())
+            least.add(hash_of(" ".join(t for r in regions for t in dom.content_texts(r))) - (1 << 63))
+            if len(least) > TEMPLATE_CONTENTS:
+                least.remove(max(least))
             for a, b in pairs:
-                held = sums.setdefault((host, frame, b[6]), [0, 0, 0, 0])
+                held = sums.setdefault((*key, b[6], None), [0, 0, 0])
                 held[0] += 1
                 held[1] += bool(b[5]) and a[2] == b[2]
-                held[2] += dom.mass(a)
-                held[3] |= bits
-        if len(sums) > HELD:
-            yield _summed(sums)
+                held[2] += dom.mass(a[5]) + sum(dom.whole_mass(c[5]) for c in a[4] if id(c) not in met)  # what the wrapper has no place for
+        if len(sums) + len(contents) > HELD:
+            yield _summed(sums, contents)
             sums.clear()
+            contents.clear()
     if sums:
-        yield _summed(sums)
+        yield _summed(sums, contents)
 
 
-def _summed(sums: dict) -> pa.RecordBatch:
-    keys = list(zip(*sums, strict=True))
-    values = list(zip(*sums.values(), strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), *[pa.array(x, pa.int64()) for x in (*keys[1:], *values)]], names=["_host", "_frame", "_node", "_n", "_equal", "_mass", "_bits"])
+def _summed(sums: dict, contents: dict) -> pa.RecordBatch:
+    rows = sums | {(*key, None, h): [0, 0, 0] for key, hashes in contents.items() for h in hashes}
+    keys = list(zip(*rows, strict=True))
+    values = list(zip(*rows.values(), strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), *[pa.array(x, pa.int64()) for x in (*keys[1:], *values)]], names=["_host", "_frame", "_node", "_content", "_n", "_equal", "_mass"])
 
 
-def decide(wrapper: list, counts: dict[int, tuple[int, int, int, int]]) -> list:
-    """The way to the content: nodes [label, kind, text, 0, children, mark], mark 'c' for content and 't' for template; only what leads to one of these."""
-    pages, _, _, bits = counts.get(0, (0, 0, 0, 0))
-    template = {n for n, (seen, equal, _, _) in counts.items() if equal >= TEMPLATE_SHARE * max(seen, 2)}
+def decide(wrapper: list, counts: dict[int, tuple[int, int, int]], contents: int) -> list:
+    """From the counts of nodes (pages, with the wrapper's text, characters) and the number of different contents the way to the content: nodes [label, kind, text, 0, children, mark], mark 'c' for content and 't' for template; only what leads to one of these."""
+    pages = counts.get(0, (0, 0, 0))[0]
+    template = {n for n, (seen, equal, _) in counts.items() if equal >= TEMPLATE_SHARE * max(seen, 2)}
     content = dom.articles(wrapper, dom.ARTICLE) or dom.articles(wrapper, dom.MAIN)
     if not content and counts:
         weight: dict[int, float] = {}
 
         def weigh(x: list) -> float:
-            own = 0 if x[6] in template else counts.get(x[6], (0, 0, 0, 0))[2]
+            own = 0 if x[6] in template else counts.get(x[6], (0, 0, 0))[2]
             weight[x[6]] = 0 if x[1] & (dom.OUTER | dom.UNSEEN | dom.HEADER) else own + sum(weigh(c) for c in x[4])
             return weight[x[6]]
 
@@ -203,7 +263,7 @@ def decide(wrapper: list, counts: dict[int, tuple[int, int, int, int]]) -> list:
             node = below[0]
         content = [node] if whole else []
     regions = {c[6] for c in content}
-    certain = {n for n in template if counts[n][0] >= TEMPLATE_SHARE * pages} if bin(bits).count("1") >= TEMPLATE_CONTENTS else set()
+    certain = {n for n in template if counts[n][0] >= TEMPLATE_SHARE * pages} if contents >= TEMPLATE_CONTENTS else set()
 
     def way(x: list, inside: bool) -> list | None:
         inside = inside or x[6] in regions
@@ -222,8 +282,8 @@ def decide(wrapper: list, counts: dict[int, tuple[int, int, int, int]]) -> list:
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            counts = {c["_node"]: (c["_n"], c["_equal"], c["_mass"], c["_bits"]) for c in batch.column("_counts")[k].as_py() or ()}
-            way = decide(json.loads(batch.column("_wrapper")[k].as_py()), counts)
+            counts = {c["_node"]: (c["_n"], c["_equal"], c["_mass"]) for c in batch.column("_counts")[k].as_py() or ()}
+            way = decide(json.loads(batch.column("_wrapper")[k].as_py()), counts, batch.column("_contents")[k].as_py() or 0)
             yield pa.RecordBatch.from_pydict({"_host": [batch.column("_host")[k].as_py()], "_frame": [batch.column("_frame")[k].as_py()], "_way": [json.dumps(way)]})
 
 
@@ -233,11 +293,11 @@ def page_text(page: str | None, way: list, kinds: dict | None = None) -> str:
     regions: list[dom.Node] = []
     dropped: set[int] = set()
     if way:
-        for a, b in dom.match(tree, way)[1]:
+        for a, b in dom.match(told(tree), way)[1]:
             if b[5] == "c":
-                regions.append(a)
+                regions.append(a[5])
             elif b[5] == "t" and a[2] == b[2]:
-                dropped.add(id(a))
+                dropped.add(id(a[5]))
     own = dom.articles(tree, dom.ARTICLE) or (not regions and dom.articles(tree, dom.MAIN)) or []
     regions += [r for r in own if not any(r is x for x in regions)]  # articles that the wrapper has no place for
     if not regions:
@@ -281,16 +341,17 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", carry:
     inner = [f"_c{k}" for k in range(len(carry))]
     plain = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, inner, strict=True)], F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
     rows = keyed(plain, "url", "html")
-    found = cut(wrappers(seeds(rows, "html")))
+    found = cut(wrappers(rows))
     open_ = found.where("_open").select(*KEYS, "_wrapper")
     if open_.isEmpty():
-        counted = found.withColumn("_counts", F.lit(None).cast("array<struct<_node:bigint,_n:bigint,_equal:bigint,_mass:bigint,_bits:bigint>>"))
+        counted = found.withColumn("_counts", F.lit(None).cast("array<struct<_node:bigint,_n:bigint,_equal:bigint,_mass:bigint>>")).withColumn("_contents", F.lit(None).cast("long"))
     else:
-        sums = rows.select(*KEYS, "html").join(_bounded(open_, "_wrapper"), KEYS).mapInArrow(_counts, "_host string, _frame long, _node long, _n long, _equal long, _mass long, _bits long")
-        sums = sums.groupBy(*KEYS, "_node").agg(F.sum("_n").alias("_n"), F.sum("_equal").alias("_equal"), F.sum("_mass").alias("_mass"), F.bit_or("_bits").alias("_bits"))
-        sums = sums.groupBy(*KEYS).agg(F.collect_list(F.struct("_node", "_n", "_equal", "_mass", "_bits")).alias("_counts"))  # at most 512 nodes
+        sums = rows.select(*KEYS, "html").join(_bounded(open_, "_wrapper"), KEYS).mapInArrow(_counts, "_host string, _frame long, _node long, _content long, _n long, _equal long, _mass long")
+        sums = sums.groupBy(*KEYS, "_node", "_content").agg(F.sum("_n").alias("_n"), F.sum("_equal").alias("_equal"), F.sum("_mass").alias("_mass"))
+        one = F.when(F.col("_node").isNotNull(), F.struct("_node", "_n", "_equal", "_mass"))
+        sums = sums.groupBy(*KEYS).agg(F.collect_list(one).alias("_counts"), F.count("_content").alias("_contents"))  # as many as a wrapper has nodes
         counted = found.join(sums, KEYS, "left")
-    ways = cut(counted.select(*KEYS, "_wrapper", "_counts").mapInArrow(_decided, "_host string, _frame long, _way string"))
+    ways = cut(counted.select(*KEYS, "_wrapper", "_counts", "_contents").mapInArrow(_decided, "_host string, _frame long, _way string"))
     schema = ", ".join(f"`{n}` {k}" for n, k in plain.select(*inner).dtypes)
     out = rows.select(*inner, *KEYS, "html").join(_bounded(ways, "_way"), KEYS, "left").mapInArrow(_texts(inner), f"{schema + ', ' if schema else ''}text string")
     return out.select(*[F.col(n).alias(c) for c, n in zip(carry, inner, strict=True)], "text", F.length("text").cast("long").alias("n_chars"))
