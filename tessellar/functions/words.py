@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -16,6 +17,8 @@ PROMPT_SIGNALS = {
     "stop": r"""(?i)까지만|멈춰|중단|지\s?(?:마(?:라|세요)?|말)([\s.,!?"']|$)|금지|않는다|\bonly\b|\bstop\b|\bdo not\b|\bdon't\b|범위""",
 }
 SHELL_WORDS = 8
+_BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+_SPACES = r"[\t\n\f\r ]+"
 TITLE_LENGTH = 240
 #: Bounds of a summary.
 MIN_SUMMARY, MAX_SUMMARY, MAX_SENTENCES, VERBATIM_LINE = 40, 1500, 10, 24
@@ -130,12 +133,25 @@ def convention(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""))
+    """Words between blanks, tabs and line breaks; blanks of any kind at the ends are no part of one."""
+    return F.size(F.filter(F.split(F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+\z", ""), _SPACES), lambda w: w != ""))
+
+
+def as_in_sql(pattern: str) -> str:
+    """A pattern without case as SQL reads it: word characters and boundaries are ASCII (Java takes ä for one at a boundary), white space has no vertical tab, ``$`` is the very end, long s and the kelvin sign are letters s and k."""
+
+    def put(m: re.Match) -> str:
+        part = m[0].replace(r"\w", "A-Za-z0-9_").replace(r"\s", r"\t\n\f\r ")
+        if part[0] == "[":
+            return "[\u017f\u212a" + part[1:] if "a-z" in part else part
+        return {r"\b": _BOUNDARY, r"\t\n\f\r ": f"[{part}]", "$": r"\z", "s": "[s\u017f]", "k": "[k\u212a]"}.get(part, part)
+
+    return re.sub(r"\[[^\]]*\]|\\.|[$sk]", put, pattern)
 
 
 def prompt_signals(text: Column) -> dict[str, Column]:
     """What a prompt shows: verification, context, stop condition, words."""
-    return {**{name: text.rlike(p) for name, p in PROMPT_SIGNALS.items()}, "words": word_count(text)}
+    return {**{name: text.rlike(as_in_sql(p)) for name, p in PROMPT_SIGNALS.items()}, "words": word_count(text)}
 
 
 def rubric_ceilings(text: Column) -> Column:
