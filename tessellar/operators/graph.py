@@ -173,30 +173,31 @@ def trace(edges: DataFrame, start: str, target: str, max_depth: int) -> DataFram
     return hops.select((F.col("hop") + 1).alias("hop"), "e.source", "e.relation", "e.target", F.concat("e.source", F.lit(" -"), "e.relation", F.lit("-> "), "e.target").alias("explain"))
 
 
-def dependency_closure(edges: DataFrame, start: str, relations: Sequence[str] = DEPENDENCIES, budget: int = EDGE_BUDGET, max_distance: int = MAX_DISTANCE) -> tuple[DataFrame, str | None]:
+def dependency_closure(edges: DataFrame, start: str, relations: Sequence[str] = DEPENDENCIES, budget: int | None = EDGE_BUDGET, max_distance: int = MAX_DISTANCE) -> tuple[DataFrame, str | None]:
     """(node, distance, via) of what depends on a node, and what stopped the walk: budget, distance or nothing.
 
     Edges with these relations are followed from target to source. ``via`` lists the edges from the consumer down to the
-    node. The walk takes edges in breadth-first order and looks at no more of them than the budget.
+    node. The walk takes edges in breadth-first order and looks at no more of them than the budget; without one, at all.
     """
     used = allowed(edges, relations).select(F.struct("source", "target", "relation").alias("e")).distinct()
     back = written(used.select(F.col("e.target").alias("node"), F.col("e.source").alias("other"), "e"))
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(start, [])], f"node string, way array<{EDGE}>")
     out = spark.createDataFrame([], f"node string, distance int, via array<{EDGE}>")
-    seen, expanded, stopped = frontier.select("node"), 0, None
+    seen, expanded, stopped, n_seen, held = frontier.select("node"), 0, None, 1, 1
     for distance in range(1, max_distance + 1):
-        looked = cut(back.join(F.broadcast(frontier), "node").select("other", F.concat("way", F.array("e")).alias("way")))  # the frontier has no more nodes than the budget
+        looked = cut(back.join(_near(frontier, held), "node").select("other", F.concat("way", F.array("e")).alias("way")))
         n = looked.count()
-        if expanded + n > budget:
+        if budget is not None and expanded + n > budget:
             looked, stopped = looked.orderBy("way").limit(budget - expanded), "budget"
         expanded += n
-        fresh = looked.join(F.broadcast(seen.withColumnRenamed("node", "other")), "other", "left_anti")
+        fresh = looked.join(_near(seen.withColumnRenamed("node", "other"), n_seen), "other", "left_anti")
         frontier = cut(fresh.groupBy("other").agg(F.min("way").alias("way")).withColumnRenamed("other", "node"))
         out = out.unionByName(frontier.select("node", F.lit(distance).alias("distance"), F.reverse("way").alias("via")))
-        if stopped or frontier.isEmpty():
+        n_fresh = frontier.count()
+        if stopped or not n_fresh:
             break
-        seen = seen.unionByName(frontier.select("node"))
+        seen, n_seen, held = seen.unionByName(frontier.select("node")), n_seen + n_fresh, n_fresh * 3 * distance  # a way holds three names an edge
         if distance == max_distance:
             stopped = "distance"
     return out, stopped

@@ -218,7 +218,7 @@ def code_cards(cards: DataFrame, selected: DataFrame, left: int, most: int = COD
 
 def change_brief(artifacts: DataFrame, edges: DataFrame, node: str, most: int = BRIEF_CONSUMERS) -> DataFrame:
     """(consumer, path, distance, omitted, complete, cost) before a change: the nearest 25 consumers of a node, how many more there are, whether the walk was complete, and the tokens of the brief's paths."""
-    found, stopped = dependency_closure(edges, node)
+    found, stopped = dependency_closure(edges, node, budget=None)  # what is omitted is counted, so the walk is whole
     found = cut(found)
     n = found.count()
     rows = found.orderBy("distance", "node").limit(most).join(artifacts.select(F.col("id").alias("node"), "path"), "node", "left")

@@ -144,3 +144,11 @@ def test_schema_edges_cards_and_contents(spark, tmp_path):
 
     (tmp_path / "t.json").write_text('{\n "sha": "s",\n "tree": [{"path": "a", "mode": "100644", "type": "blob", "sha": "x", "size": 3},\n {"path": "d", "mode": "040000", "type": "tree", "sha": "y"}]\n}')
     assert [(r.path, r.size) for r in recorded_tree(spark, str(tmp_path / "t.json")).collect()] == [("a", 3), ("d", None)]
+
+
+def test_brief_counts_all_consumers(spark):
+    edges = spark.range(6000).select(F.concat(F.lit("c"), F.format_string("%05d", "id")).alias("source"), F.lit("n").alias("target"), F.lit("imports").alias("relation"))
+    edges = edges.unionByName(spark.range(700).select(F.concat(F.lit("d"), F.format_string("%05d", "id")).alias("source"), F.concat(F.lit("c"), F.format_string("%05d", F.col("id") * 8)).alias("target"), F.lit("imports").alias("relation")))
+    rows = workspace.change_brief(edges.select(F.col("source").alias("id"), F.col("source").alias("path")), edges, "n").collect()
+    assert sorted(r.consumer for r in rows) == [f"c{i:05}" for i in range(25)]
+    assert {(r.distance, r.omitted, r.complete, r.cost) for r in rows} == {(1, 6675, True, 50)}
