@@ -27,7 +27,7 @@ _ELSEWHERE = r"(?i)^[a-z][a-z0-9+.-]*:"
 
 def first_known(rows: DataFrame, key: list[str], candidates: Column, known: DataFrame) -> DataFrame:
     """(key, target): of each key's candidate paths, in order, the first that is known; keys without one are left out."""
-    tried = rows.select(*key, F.posexplode(candidates).alias("_place", "target"))
+    tried = rows.select(*key, F.posexplode(candidates).alias("_place", "target")).hint("merge")  # Spark takes it for small, as it counts a row for each array
     return tried.join(known.select(F.col("path").alias("target")).distinct(), "target").groupBy(*key).agg(F.min_by("target", "_place").alias("target"))
 
 

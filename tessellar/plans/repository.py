@@ -396,7 +396,7 @@ def reported_paths(spark: SparkSession, sf_dir: str, repo: Repository | None = N
     """Paths of a coverage report, with a prefix of the machine that made it, and the files they stand for."""
     repo = repo or Repository(spark, sf_dir)
     reported = table(spark, sf_dir, "part").select(F.expr("concat('/ci/run', p_partkey % 7, '/./src/b', p_partkey % 26, '/p', p_partkey, '.ts')").alias("reported"))
-    return resolve.reported_paths(reported, repo.files.select("path"))
+    return resolve.reported_paths(reported, star.file_paths(spark, sf_dir))
 
 
 SQL_REPORTED = SQL_REPO + "select '/ci/run' || (p % 7) || '/./src/b' || (p % 26) || '/p' || p || '.ts' reported, case when p % 26 = p % 25 then path end path from p"

@@ -89,3 +89,19 @@ def test_words(spark):
     assert one(words.symbols_in(F.lit("Theme uses loadPart, SessionReceipt and MAX_SIZE, loadPart"))) == ["loadPart", "SessionReceipt", "MAX_SIZE"]
     assert one(words.convention(F.lit("API response JSON keys use camelCase"))) == "camelCase" and one(words.bare_name(F.lit('public."Users"'))) == "users"
     assert [one(words.summary_state(F.lit(s), F.lit(a), F.lit(b))) for s, a, b in ((" ", "x", "x"), ("s", "", "x"), ("s", "x", "x"), ("s", "x", "y"))] == ["missing", "unknown", "current", "stale"]
+
+
+def test_endings_are_tried_once_for_a_place(spark, monkeypatch):
+    asked = []
+    plain = resolve.first_known
+    monkeypatch.setattr(resolve, "first_known", lambda rows, *a: asked.append(rows.count()) or plain(rows, *a))
+    imports = spark.createDataFrame([(f"src/f{i}.ts", "./lib") for i in range(40)], "path string, specifier string")
+    got = resolve.script_targets(imports, spark.createDataFrame([("src/lib.ts",), ("src/lib/index.ts",)], "path string")).collect()
+    assert asked == [1] and {r.target for r in got} == {"src/lib.ts"} and len(got) == 40
+
+
+def test_candidates_are_not_broadcast(spark):
+    rows = spark.range(100).select(F.concat(F.lit("/ci/a/b/"), F.col("id").cast("string"), F.lit(".ts")).alias("reported"))
+    found = resolve.reported_paths(rows, rows.select(F.substring("reported", 7, 50).alias("path")))
+    assert found.where("path is not null").count() == 100
+    assert "SortMergeJoin [target" in found._jdf.queryExecution().executedPlan().toString()
