@@ -44,11 +44,13 @@ _ROUNDS = 4
 
 def _drawn(files: DataFrame, kind: str) -> DataFrame:
     """The code of files, statements drawn to the line where they begin (each may go on over four lines more)."""
-    text = F.col("text")
+    out = code_only(files)
     for before, after in _WRAPPED[kind]:
+        pattern, text = rf"{before}[ \t]*((?:\n[ \t]*)+)({after})", F.col("text")
         for _ in range(_ROUNDS):
-            text = F.regexp_replace(text, rf"{before}[ \t]*((?:\n[ \t]*)+)({after})", "$1 $3$2")
-    return code_only(files).withColumn("text", text)
+            text = F.regexp_replace(text, pattern, "$1 $3$2")
+        out = out.withColumn("text", F.when(F.col("text").rlike(pattern), text).otherwise(F.col("text")))  # most texts have none
+    return out
 
 
 def _bare(c: Column) -> Column:
@@ -73,7 +75,7 @@ def script_imports(files: DataFrame) -> DataFrame:
     own = code_only(_scripts(files))
     found = own.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(IMPORT), F.lit(0))).alias("n", "s"))
     clause = F.regexp_extract("s", IMPORT, 2)
-    rows = found.select("path", "n", F.regexp_extract("s", IMPORT, 3).alias("specifier"), (F.regexp_extract("s", IMPORT, 1) == "export").alias("is_re_export"), _bare(F.regexp_replace(clause, r"\s+from\s+$", "")).alias("clause"))
+    rows = found.select("path", "n", F.regexp_extract("s", IMPORT, 3).alias("specifier"), (F.col("s").contains("export") & (F.regexp_extract("s", IMPORT, 1) == "export")).alias("is_re_export"), _bare(F.regexp_replace(clause, r"\s+from\s+$", "")).alias("clause"))
     rows = rows.where(~F.col("is_re_export") | (F.col("clause") != ""))
     listed = F.filter(F.transform(F.split(F.regexp_extract("clause", r"\{([^}]*)\}", 1), ","), lambda x: F.regexp_replace(_bare(x), r"^type\s+", "")), lambda x: x != "")
     pair = lambda x: F.struct(F.regexp_extract(x, r"([\w$]+)\s*$", 1).alias("local"), F.regexp_extract(x, r"^([\w$]+)", 1).alias("symbol"))
@@ -99,17 +101,17 @@ def python_imports(files: DataFrame) -> DataFrame:
     return plain.unionByName(named.select("path", F.col("n") + 1_000_000, F.regexp_extract("s", PY_FROM, 1).alias("specifier"), listed.alias("names")).toDF("path", "n", "specifier", "names"))
 
 
-def exported_symbols(files: DataFrame) -> DataFrame:
-    """(path, line, kind, name): what scripts export, what Python defines at the left margin without a leading underscore, what Go names with a capital; of names given on, kind export."""
+def exported_symbols(files: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """(path, line, kind, name): what scripts export, what Python defines at the left margin without a leading underscore, what Go names with a capital; of names given on (by imports that are read already, if there are), kind export."""
     rows = numbered(_drawn(files, "script"), "path", "text").withColumnRenamed("doc_id", "path")
     lower = F.lower("path")
     kinds = F.when(F.regexp_extract("text", EXPORT, 1).isin("const", "let", "var"), "variable").otherwise(F.regexp_extract("text", EXPORT, 1))
-    script = rows.where(lower.rlike(SCRIPT) & F.col("text").rlike(EXPORT)).select("path", "line", kinds.alias("kind"), F.regexp_extract("text", EXPORT, 2).alias("name"))
+    script = rows.where(lower.rlike(SCRIPT) & F.col("text").contains("export") & F.col("text").rlike(EXPORT)).select("path", "line", kinds.alias("kind"), F.regexp_extract("text", EXPORT, 2).alias("name"))
     define = r"^(?:async\s+)?(def|class)\s+([A-Za-z]\w*)"
     python = rows.where(lower.endswith(".py") & F.col("text").rlike(define)).select("path", "line", F.when(F.regexp_extract("text", define, 1) == "def", "function").otherwise("class").alias("kind"), F.regexp_extract("text", define, 2).alias("name"))
     go_define = r"^(func|type|var|const)\s+(?:\([^)]*\)\s*)?([A-Z]\w*)"
     go = rows.where(lower.endswith(".go") & F.col("text").rlike(go_define)).select("path", "line", F.when(F.regexp_extract("text", go_define, 1) == "func", "function").otherwise(F.regexp_extract("text", go_define, 1)).alias("kind"), F.regexp_extract("text", go_define, 2).alias("name"))
-    again = script_imports(files).where("is_re_export").select("path", F.explode("bindings").alias("b")).where("b.symbol is not null")
+    again = (script_imports(files) if given is None else given).where("is_re_export").select("path", F.explode("bindings").alias("b")).where("b.symbol is not null")
     again = again.select("path", F.lit(0).alias("line"), F.lit("export").alias("kind"), F.col("b.local").alias("name"))
     return script.unionByName(python).unionByName(go).unionByName(again)
 
@@ -117,7 +119,8 @@ def exported_symbols(files: DataFrame) -> DataFrame:
 def heritage(files: DataFrame) -> DataFrame:
     """(path, line, kind, name, binding, member): bases of exported classes and interfaces of scripts, and of Python's public classes."""
     named = lambda df: numbered(df, "path", "text").withColumnRenamed("doc_id", "path")
-    scripts, pythons = named(_drawn(_scripts(files), "script")), named(_drawn(_pythons(files), "python"))
+    deriving = F.col("text").contains("extends") | F.col("text").contains("implements")  # no row comes of a text without
+    scripts, pythons = named(_drawn(_scripts(files).where(deriving), "script")), named(_drawn(_pythons(files), "python"))
     script = r"^\s*export\s+(?:default\s+)?(?:abstract\s+)?(class|interface)\s+([A-Za-z_$][\w$]*)(?:<[^>]*>)?\s+(.*?)\{?\s*$"
     bases = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"\b(?:extends|implements)\s+([\w$.,\s<>]+?)(?=\bimplements\b|\{|$)"), F.lit(1)), lambda x: F.split(F.regexp_replace(x, "<[^>]*>", ""), ",")))
     ts = scripts.where(F.col("text").rlike(script)).select("path", "line", F.regexp_extract("text", script, 1).alias("kind"), F.regexp_extract("text", script, 2).alias("name"), F.explode(bases).alias("base"))

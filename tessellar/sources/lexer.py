@@ -29,8 +29,11 @@ def _braces(depth: int) -> str:
     return rf"(?:[^{{}}`\"'/]|{_DOUBLE}|{_SINGLE}|/" + (rf"|{_template(depth - 1)}|\{{{_braces(depth - 1)}\}}" if depth else "") + ")*+"
 
 
+#: Strings that stay in a script's code whatever they hold; with what stands around them they are one token, so that a file has few.
+_PLAIN = r"[^\"'`/]++(?:(?:\"[^\"'`\\\n(){};=<>]*+\"|'[^\"'`\\\n(){};=<>]*+')[^\"'`/]*+)*+"
+
 TOKENS = {
-    SCRIPT: rf"{_LINE}|{_BLOCK}|{_DOUBLE}|{_SINGLE}|{_template(2)}|{_REGEX}|[^\"'`/]++|[\s\S]",
+    SCRIPT: rf"{_LINE}|{_BLOCK}|{_DOUBLE}|{_SINGLE}|{_template(2)}|{_REGEX}|{_PLAIN}|[\s\S]",
     PYTHON: rf"#[^\n]*+|\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+(?:\"\"\"|\z)|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+(?:'''|\z)|{_DOUBLE}|{_SINGLE}|[^\"'#]++|[\s\S]",
     SQL: rf"--[^\n]*+|{_BLOCK}|'(?:[^']|'')*+(?:'|\z)|\$(\w*)\$[\s\S]*?(?:\$\1\$|\z)|[^'/\-$]++|[\s\S]",
     GO: rf"{_LINE}|{_BLOCK}|{_DOUBLE}|{_SINGLE}|`[^`]*+(?:`|\z)|[^\"'`/]++|[\s\S]",
@@ -49,6 +52,11 @@ def _breaks(token: Column) -> Column:
     return F.regexp_replace(token, "[^\n]+", "")
 
 
+def _begins(token: Column, language: str, pattern: dict[str, str]) -> Column:
+    """Whether a token begins so; two characters tell, but for the dollar quotes of SQL."""
+    return (token if language == SQL else F.substring(token, 1, 2)).rlike(pattern[language])
+
+
 def _code(token: Column, language: str, depth: int = 2) -> Column:
     """A token as code: comments are a blank, strings that could be read as statements are empty; expressions of a template stay, as code."""
     quote, breaks = F.substring(token, 1, 1), _breaks(token)
@@ -57,7 +65,7 @@ def _code(token: Column, language: str, depth: int = 2) -> Column:
         inner = F.transform(places, lambda e: F.array_join(F.transform(F.regexp_extract_all(e, F.lit(TOKENS[SCRIPT]), F.lit(0)), lambda t: _code(t, language, depth - 1)), ""))
         breaks = F.when(quote == "`", F.concat(F.lit(" "), F.array_join(inner, " ; "), _breaks(F.regexp_replace(token, _PLACES, "")))).otherwise(breaks)
     unsafe = F.substring(token, 2, 1 << 30).rlike(_UNSAFE[language]) | (F.length(token) < 2)
-    out = F.when(token.rlike(_COMMENT[language]), F.concat(F.lit(" "), _breaks(token))).when(token.rlike(_STRING[language]), F.when(unsafe, F.concat(quote, quote, breaks)).otherwise(token))
+    out = F.when(_begins(token, language, _COMMENT), F.concat(F.lit(" "), _breaks(token))).when(_begins(token, language, _STRING), F.when(unsafe, F.concat(quote, quote, breaks)).otherwise(token))
     if language == SCRIPT:
         out = out.when((F.length(token) > 2) & token.startswith("/"), " 0 ")  # a regular expression
     return out.otherwise(token)
@@ -77,8 +85,13 @@ def _read(text: Column, path: Column, token: object) -> Column:
 
 
 def code_only(files: DataFrame) -> DataFrame:
-    """Files (path, text) whose texts hold code alone, by the language of their ending; those of other languages stay as they are."""
-    return files.withColumn("text", _read(F.col("text"), F.col("path"), _code))
+    """Files (path, text) whose texts hold code alone, by the language of their ending; those of other languages stay as they are, and so does a table that was made so (``lexed``)."""
+    return files if "lexed" in files.columns else files.withColumn("text", _read(F.col("text"), F.col("path"), _code))
+
+
+def lexed(files: DataFrame) -> DataFrame:
+    """``code_only``, marked so that readers take it as it is."""
+    return code_only(files).withColumn("lexed", F.lit(True))
 
 
 def comments_only(files: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ _NORMAL, _FENCE, _HTML, _FRONT, _COMMENT, _RAW = range(6)
 def numbered(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, line, text): the lines without their breaks."""
     raw = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "raw"))
-    return raw.select("doc_id", (F.col("line") + 1).alias("line"), F.regexp_replace("raw", "\r$", "").alias("text"))
+    return raw.select("doc_id", (F.col("line") + 1).alias("line"), F.when(F.col("raw").contains("\r"), F.regexp_replace("raw", "\r$", "")).otherwise(F.col("raw")).alias("text"))
 
 
 def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -100,3 +100,12 @@ def test_long_texts(spark):
     texts = [("a.ts", '"' + "x\\n" * 200_000 + '"'), ("b.ts", "/*" + "*" * 300_000), ("c.ts", "`" + "a${b}" * 50_000), ("d.sql", "$$" + "x" * 300_000), ("e.py", '"""' + '"' * 100_000), ("f.ts", "f(1);\n" * 50_000)]
     out = lexer.code_only(spark.createDataFrame(texts, "path string, text string")).select("path", F.length("text").alias("n")).collect()
     assert {r["path"]: r["n"] for r in out}["f.ts"] == 6 * 50_000 and len(out) == 6
+
+
+def test_imports_are_few_tokens(spark):
+    text = "\n".join(f"import {{ a{i} }} from '../b/p{i}.ts'; /* '{i}' */" if i % 50 == 0 else f'import {{ a{i} }} from "../b/p{i}.ts";' for i in range(200)) + "\nconst q = \"it's\", r = 'a\\'(b', s = \"x=1\";"
+    row = spark.createDataFrame([("a.ts", text)], "path string, text string")
+    assert row.select(F.size(F.regexp_extract_all("text", F.lit(lexer.TOKENS[lexer.SCRIPT]), F.lit(0)))).first()[0] < 30
+    assert len(code.script_imports(row).collect()) == 200 and lexer.code_only(row).first().text.endswith('const q = "", r = \'\', s = "";')
+    again = lexer.lexed(row)
+    assert lexer.code_only(again) is again and len(code.script_imports(again).collect()) == 200
