@@ -15,9 +15,9 @@ def analyse(files: DataFrame, symbols: DataFrame, tested: DataFrame, known_findi
     What is known are findings (id, status) and requirements (path, identity, status). Each step is written before the
     next reads it; the receipt is one row of counts.
     """
-    prose = files.where(F.col("classification").isin("adr", "agents", "claude", "cursor_rule", "skill", "spec", "todo_progress"))
-    needs = written(assurance.requirements(prose))
-    found = written(assurance.analyze(files, symbols, tested))
+    docs = assurance.prose(files)
+    needs = written(assurance.requirements(docs))
+    found = written(assurance.analyze(files, symbols, tested, docs, needs))
     links = written(assurance.implementation_links(needs, symbols))
     ids = found.select(assurance.fingerprint(F.col("type"), F.col("path"), F.col("line"), F.col("start_byte")).alias("id"))
     delta = written(sinks.findings_delta(known_findings, ids))

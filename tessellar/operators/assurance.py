@@ -202,10 +202,15 @@ def first_rule_wins(found: list[DataFrame]) -> DataFrame:
     return best.select("r.type", "path", "r.line", "start_byte", "end_byte", *[f"r.{c}" for c in ("severity", "confidence", "target", "detail")])
 
 
-def analyze(files: DataFrame, symbols: DataFrame, tested: DataFrame) -> DataFrame:
-    """All findings of (path, classification, text), (path, line, kind, name) and (path) of tested files."""
-    docs = written(marked_lines(files.where(F.col("classification").isin("adr", "agents", "claude", "cursor_rule", "skill", "spec", "todo_progress"))))
-    needs = cut(requirements(docs))
+def prose(files: DataFrame) -> DataFrame:
+    """The lines of the documents that rules read, made once for all of them."""
+    return written(marked_lines(files.where(F.col("classification").isin("adr", "agents", "claude", "cursor_rule", "skill", "spec", "todo_progress"))))
+
+
+def analyze(files: DataFrame, symbols: DataFrame, tested: DataFrame, docs: DataFrame | None = None, needs: DataFrame | None = None) -> DataFrame:
+    """All findings of (path, classification, text), (path, line, kind, name) and (path) of tested files; with their ``prose`` and requirements where these are made already."""
+    docs = prose(files) if docs is None else docs
+    needs = written(requirements(docs)) if needs is None else needs
     specs = files.where("classification = 'spec'").select("path")
     references = cut(source_references(docs.where("classification in ('adr', 'spec')"), files.select("path"), symbols))
     stale = stale_documents(references, files)
