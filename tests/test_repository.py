@@ -1,9 +1,12 @@
 """What queries derive of the repository: as much as they ask for."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from tessellar.plans import repository
 from tessellar.repository import star
+from tessellar.sources.tables import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +30,9 @@ def test_parts_of_the_repository_are_those_of_all_files(spark):
     ruled = files.withColumn("text", F.when(~F.col("path").like("src/%"), F.col("text")))
     assert plain(star.files_by_rule(spark, SF).select(columns).na.fill("")) == plain(ruled.select(columns).na.fill(""))
     files.unpersist()
+
+
+def test_packed_tables_count_as_large_as_their_rows(spark):
+    rows = written(spark.range(300_000).select(F.concat(F.lit("src/some/long/folder/p"), F.col("id").cast("string")).alias("path")))
+    stored = sum(os.path.getsize(f.removeprefix("file://")) for f in rows.inputFiles())
+    assert int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > 5 * stored
